@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.config import ValidationRules
 
-NUMERIC = ("double", "float", "bigint", "int", "smallint", "tinyint", "boolean")
+NUMERIC = ("double", "float", "bigint", "int", "smallint", "tinyint")
 ERRORS = "validation_errors"
 
 
@@ -17,10 +17,6 @@ def required_rule(field: str, columns: list[str]) -> Column:
     return F.when(F.col(field).isNull(), message) if field in columns else message
 
 
-def _number_text(value) -> str:
-    return str(value)
-
-
 def range_rule(field: str, low: float, high: float) -> Column:
     """Message when a number lies outside the inclusive range."""
     value = F.col(field)
@@ -29,7 +25,7 @@ def range_rule(field: str, low: float, high: float) -> Column:
         F.concat(
             F.lit(f"Field {field} value "),
             value.cast("string"),
-            F.lit(f" outside range [{_number_text(low)}, {_number_text(high)}]"),
+            F.lit(f" outside range [{low}, {high}]"),
         ),
     )
 
