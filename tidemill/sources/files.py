@@ -48,23 +48,29 @@ def read_json_array(spark: SparkSession, path: str, schema: str = TRANSACTION_SC
 def read_training_file(spark: SparkSession, path: str, model: ModelDefinition) -> DataFrame:
     """Training table from Parquet or CSV by extension.
 
-    When columns of the model are missing, every other column counts as a
-    feature. Whole numbers become doubles.
+    CSV text of the model's columns is read as numbers without a pass to infer
+    types. When columns of the model are missing, every other column counts as
+    a feature and types are inferred. Whole numbers become doubles.
     """
+    wanted = [*model.columns, model.target]
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
-        df = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    wanted = list(model.columns)
-    if missing_columns(df, [*wanted, model.target]):
-        wanted = [c for c in df.columns if c != model.target]
+        df = spark.read.option("header", True).csv(path)
+        if missing_columns(df, wanted):
+            df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+        else:
+            df = df.select(*[F.col(c).try_cast("double").alias(c) for c in wanted])
+    features = list(model.columns)
+    if missing_columns(df, wanted):
+        features = [c for c in df.columns if c != model.target]
     kinds = dict(df.dtypes)
     return df.select(
         *[
             F.col(c).cast("double").alias(c) if kinds[c] in ("int", "bigint") else F.col(c)
-            for c in wanted
+            for c in features
         ],
-        model.target,
+        F.col(model.target).cast("int").alias(model.target),
     )
 
 
