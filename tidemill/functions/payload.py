@@ -17,8 +17,9 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-FLOAT_TEXT = r"^[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
-INT_TEXT = r"^[+-]?\d+(_\d+)*$"
+# Python's spellings of numbers. The pattern keeps out Java's, such as "1.5d".
+FLOAT_TEXT = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
+INT_TEXT = r"^[+-]?\d+$"
 
 
 def strip(text: Column) -> Column:
@@ -27,99 +28,102 @@ def strip(text: Column) -> Column:
 
 
 def text_to_double(text: Column) -> Column:
-    """Number from text, or null when the text is not a decimal literal.
-
-    The pattern keeps out Java-only spellings such as ``1.5d``.
-    """
+    """Number from text, or null when the text is not a decimal literal."""
     clean = strip(text)
-    return F.when(
-        clean.rlike(FLOAT_TEXT),
-        F.regexp_replace(clean, "_", "").try_cast("double"),
-    )
+    return F.when(clean.rlike(FLOAT_TEXT), clean.try_cast("double"))
 
 
-def text_to_long(text: Column) -> Column:
-    """Whole number from text, or null; ``'3.5'`` is not whole."""
-    clean = strip(text)
-    return F.when(
-        clean.rlike(INT_TEXT), F.regexp_replace(clean, "_", "").try_cast("bigint")
-    )
+def number_sql(text: str, kind: str) -> str:
+    """SQL form of reading a ``double`` or ``bigint`` from text."""
+    clean = f"btrim({text}, '{WHITESPACE}')"
+    pattern = FLOAT_TEXT if kind == "double" else INT_TEXT
+    return f"CASE WHEN {clean} RLIKE r'{pattern}' THEN try_cast({clean} AS {kind}) END"
 
 
 class JsonRecord:
-    """Fields of a VARIANT document."""
-
-    def __init__(self, document: Column):
-        self.document = document
-
-    def _node(self, name: str) -> Column:
-        return F.try_variant_get(self.document, f"$.{name}", "variant")
-
-    def _type(self, name: str) -> Column:
-        return F.schema_of_variant(self._node(name))
+    """SQL expressions for the fields of a VARIANT document.
 
-    def present(self, name: str) -> Column:
-        return self._node(name).isNotNull()
+    :meth:`stage` casts the document to structs of the wanted fields: one of
+    nodes, which tells a missing key from a null, one of texts and one of
+    numbers. Three lookups serve the whole record, which keeps the generated
+    code of a wide projection small enough to compile.
+    """
 
-    def is_null(self, name: str) -> Column:
-        return F.is_variant_null(self._node(name))
+    def __init__(self, tag: str = ""):
+        self.tag = tag
+
+    def stage(
+        self, df: DataFrame, document: str, texts: tuple[str, ...] = (), numbers: dict[str, str] | None = None
+    ) -> DataFrame:
+        numbers = numbers or {}
+        fields = list(dict.fromkeys((*texts, *numbers)))
+
+        def cast(names, kind: str) -> str:
+            inside = ",".join(f"`{n}`:{kind}" for n in names)
+            return f"try_variant_get({document}, '$', 'struct<{inside}>')"
+
+        staged = [f"{cast(fields, 'variant')} AS _node{self.tag}", f"{cast(fields, 'string')} AS _text{self.tag}"]
+        if numbers:
+            staged.append(f"{cast(numbers, 'double')} AS _native{self.tag}")
+        df = df.selectExpr("*", *staged)
+        if numbers:
+            df = df.selectExpr(
+                "*", *[f"{self._number(n, kind)} AS `_number{self.tag}_{n}`" for n, kind in numbers.items()]
+            )
+        return df
+
+    def _number(self, name: str, kind: str) -> str:
+        # int() drops the fraction of a number but refuses it in text.
+        return (
+            f"CASE WHEN {self.kind(name)} = 'STRING' THEN {number_sql(self.text(name), kind)} "
+            f"ELSE CAST(_native{self.tag}.`{name}` AS {kind}) END"
+        )
 
-    def is_text(self, name: str) -> Column:
-        return F.coalesce(self._type(name) == "STRING", F.lit(False))
+    def kind(self, name: str) -> str:
+        return f"schema_of_variant(_node{self.tag}.`{name}`)"
 
-    def is_object(self, name: str) -> Column:
-        return F.coalesce(self._type(name).startswith("OBJECT"), F.lit(False))
+    def present(self, name: str) -> str:
+        return f"_node{self.tag}.`{name}` IS NOT NULL"
 
-    def text(self, name: str) -> Column:
-        return F.try_variant_get(self.document, f"$.{name}", "string")
+    def is_null(self, name: str) -> str:
+        return f"is_variant_null(_node{self.tag}.`{name}`)"
 
-    def text_or(self, name: str, default: str) -> Column:
-        return F.when(self.present(name), self.text(name)).otherwise(F.lit(default))
+    def text(self, name: str) -> str:
+        return f"_text{self.tag}.`{name}`"
 
-    def double(self, name: str) -> Column:
-        native = F.try_variant_get(self.document, f"$.{name}", "double")
-        return F.when(self.is_text(name), text_to_double(self.text(name))).otherwise(native)
+    def text_or(self, name: str, default: str) -> str:
+        return f"IF({self.present(name)}, {self.text(name)}, '{default}')"
 
-    def long(self, name: str) -> Column:
-        # int() drops the fraction of a number but refuses it in text.
-        native = F.try_variant_get(self.document, f"$.{name}", "double").cast("bigint")
-        return F.when(self.is_text(name), text_to_long(self.text(name))).otherwise(native)
+    def number(self, name: str) -> str:
+        return f"`_number{self.tag}_{name}`"
 
 
 class TableRecord:
-    """Fields of a DataFrame that is already columnar."""
+    """SQL expressions for the fields of a frame that is already columnar."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, numbers: dict[str, str] | None = None):
         self.types = dict(df.dtypes)
+        self.numbers = numbers or {}
 
-    def present(self, name: str) -> Column:
-        return F.lit(name in self.types)
-
-    def is_null(self, name: str) -> Column:
-        return F.col(name).isNull() if name in self.types else F.lit(False)
+    def present(self, name: str) -> str:
+        return "TRUE" if name in self.types else "FALSE"
 
-    def is_text(self, name: str) -> Column:
-        return F.lit(self.types.get(name) == "string")
+    def is_null(self, name: str) -> str:
+        return f"`{name}` IS NULL" if name in self.types else "FALSE"
 
-    def text(self, name: str) -> Column:
-        return F.col(name).cast("string") if name in self.types else F.lit(None).cast("string")
+    def text(self, name: str) -> str:
+        return f"CAST(`{name}` AS STRING)" if name in self.types else "CAST(NULL AS STRING)"
 
-    def text_or(self, name: str, default: str) -> Column:
-        return F.coalesce(self.text(name), F.lit(default))
-
-    def double(self, name: str) -> Column:
-        if name not in self.types:
-            return F.lit(None).cast("double")
-        if self.types[name] == "string":
-            return text_to_double(F.col(name))
-        return F.col(name).cast("double")
+    def text_or(self, name: str, default: str) -> str:
+        return f"coalesce({self.text(name)}, '{default}')"
 
-    def long(self, name: str) -> Column:
+    def number(self, name: str) -> str:
+        kind = self.numbers.get(name, "double")
         if name not in self.types:
-            return F.lit(None).cast("bigint")
+            return f"CAST(NULL AS {kind})"
         if self.types[name] == "string":
-            return text_to_long(F.col(name))
-        return F.col(name).cast("bigint")
+            return number_sql(f"`{name}`", kind)
+        return f"CAST(`{name}` AS {kind})"
 
 
 def decode_payload(value: Column) -> Column:

@@ -1,15 +1,12 @@
-"""Per-record feature columns.
+"""Per-record feature columns as SQL expressions.
 
-Each builder returns ``{name: Column}``; ``operators.extract`` puts them
-together in two projections, which Catalyst fuses into the scan stage.
+Each builder returns ``{name: expression}``; ``operators.extract`` puts them
+together in a few projections that run inside the scan's stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from tidemill.functions.payload import JsonRecord, TableRecord, strip
+from tidemill.functions.payload import WHITESPACE, JsonRecord, TableRecord
 
 Record = JsonRecord | TableRecord
 
@@ -58,158 +55,146 @@ _ISO = (
 )
 
 
-def wall_clock(text: Column) -> Column:
+def wall_clock(text: str) -> str:
     """Local date and time as written, without the offset; null if not ISO."""
-    has_time = F.length(text) > 10
-    bare = F.when(has_time, F.regexp_replace(text, _OFFSET, "")).otherwise(text)
-    bare = F.regexp_replace(bare, ",", ".")
-    # A bare hour has no minutes in Python's grammar but Spark needs them.
-    bare = F.when(F.length(bare) == 13, F.concat(bare, F.lit(":00"))).otherwise(bare)
-    return F.when(text.rlike(_ISO), bare.try_cast("timestamp_ntz"))
+    # Dates have no offset to cut. A bare hour gets the minutes Spark needs.
+    bare = f"replace(IF(length({text}) > 10, regexp_replace({text}, r'{_OFFSET}', ''), {text}), ',', '.')"
+    whole = f"regexp_replace({bare}, r'^(.{{13}})$', '$1:00')"
+    return f"CASE WHEN {text} RLIKE r'{_ISO}' THEN try_cast({whole} AS TIMESTAMP_NTZ) END"
 
 
-def utc_offset(text: Column) -> Column:
+def utc_offset(text: str) -> str:
     """Offset as ``+HH:MM``; ``Z`` reads as ``+00:00`` and none as empty text."""
-    found = F.when(F.length(text) > 10, F.regexp_extract(text, _OFFSET, 1)).otherwise("")
-    return (
-        F.when(found == "Z", F.lit("+00:00"))
-        .when(F.length(found) == 5, F.concat(F.substring(found, 1, 3), F.lit(":"), F.substring(found, 4, 2)))
-        .otherwise(found)
-    )
+    found = f"IF(length({text}) > 10, regexp_extract({text}, r'{_OFFSET}', 1), '')"
+    return rf"regexp_replace(replace({found}, 'Z', '+00:00'), r'^(...)(\d\d)$', '$1:$2')"
 
 
-def instant(wall: Column, offset: Column) -> Column:
+def instant(wall: str, offset: str) -> str:
     """The moment in time; a wall clock without offset counts as UTC."""
-    sign = F.when(offset.startswith("-"), -1).otherwise(1)
-    seconds = sign * (
-        F.coalesce(F.substring(offset, 2, 2).try_cast("int"), F.lit(0)) * 3600
-        + F.coalesce(F.substring(offset, 5, 2).try_cast("int"), F.lit(0)) * 60
+    minutes = (
+        f"coalesce(try_cast(substr({offset}, 2, 2) AS INT) * 60 + try_cast(substr({offset}, 5, 2) AS INT), 0)"
     )
-    utc_wall = wall - F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
-    return F.to_timestamp(F.concat(utc_wall.cast("string"), F.lit("Z")))
+    signed = f"IF({offset} LIKE '-%', -1, 1) * {minutes}"
+    return f"CAST(concat(CAST({wall} - make_dt_interval(0, 0, {signed}) AS STRING), 'Z') AS TIMESTAMP)"
 
 
-def iso_text(wall: Column, offset: Column) -> Column:
+def iso_text(wall: str, offset: str) -> str:
     """ISO text with microseconds only when there are some."""
-    whole = F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(wall, "SSSSSS")
-    return F.concat(
-        whole,
-        F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros)),
-        offset,
-    )
+    stamp = f"date_format({wall}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
+    return f"concat(replace({stamp}, '.000000', ''), {offset})"
 
 
-def amount_category(amount: Column) -> Column:
+def amount_category(amount: str) -> str:
     """Band of an amount; negative amounts fall into the lowest band."""
-    chain = None
-    for name, upper in AMOUNT_BANDS:
-        chain = F.when(amount < upper, name) if chain is None else chain.when(amount < upper, name)
-    return F.when(amount.isNotNull(), chain.otherwise("huge"))
+    tests = " ".join(f"WHEN {amount} < {upper} THEN '{name}'" for name, upper in AMOUNT_BANDS)
+    return f"CASE WHEN {amount} IS NULL THEN NULL {tests} ELSE 'huge' END"
+
 
+def amount_stage(record: Record, name: str = "amount") -> dict[str, str]:
+    """Amount as read, and with 0 for text that is no number.
+
+    Missing key: 0 in both. Null: null in both. Not a number: null as read.
+    """
+    known = f"IF({record.present(name)}, {record.number(name)}, 0.0D)"
+    broken = f"{record.present(name)} AND NOT {record.is_null(name)} AND {record.number(name)} IS NULL"
+    return {"_amount": known, "_amount_broken": broken}
 
-def amount_columns(record: Record, name: str = "amount") -> dict[str, Column]:
-    """Amount and its derivatives.
 
-    Missing key: 0. Null: every column null. Not a number: zeros, and no
-    rounded value and no category.
+def amount_columns() -> dict[str, str]:
+    """Amount and its derivatives from the staged amount.
+
+    Null: every column null. Not a number: zeros, and no rounded value and no
+    category.
     """
-    given = record.double(name)
-    value = F.when(~record.present(name), F.lit(0.0)).otherwise(given)
-    broken = record.present(name) & ~record.is_null(name) & given.isNull()
-    filled = F.when(broken, F.lit(0.0)).otherwise(value)
+    filled = "IF(_amount_broken, 0.0D, _amount)"
     return {
         "amount": filled,
-        "amount_log": F.when(filled.isNull(), F.lit(None)).when(filled > 0, F.log1p(filled)).otherwise(F.lit(0.0)),
-        "is_high_amount": filled > HIGH_AMOUNT,
-        "amount_rounded": F.bround(value, 2),
-        "amount_category": amount_category(value),
+        "amount_log": f"CASE WHEN {filled} > 0 THEN ln(1 + {filled}) WHEN {filled} <= 0 THEN 0.0D END",
+        "is_high_amount": f"{filled} > {HIGH_AMOUNT}",
+        "amount_rounded": "bround(_amount, 2)",
+        "amount_category": amount_category("_amount"),
     }
 
 
-def entity_columns(record: Record) -> dict[str, Column]:
+def entity_columns(record: Record) -> dict[str, str]:
     """Merchant, user and transaction identifiers."""
     return {name: record.text_or(name, default) for name, default in ENTITY_FIELDS.items()}
 
 
-def categorical_columns(record: Record) -> dict[str, Column]:
+def categorical_columns(record: Record) -> dict[str, str]:
     """Location, device and channel, read from the top level only."""
     return {name: record.text_or(name, "unknown") for name in CATEGORICAL_FIELDS}
 
 
-def _number(record: Record, name: str, kind: str) -> Column:
-    return record.double(name) if kind == "double" else record.long(name)
-
-
-def numerical_columns(record: Record) -> dict[str, Column]:
+def numerical_columns(record: Record) -> dict[str, str]:
     """Scores, account facts and coordinates; 0 when the key is missing."""
     return {
-        name: F.when(record.present(name), _number(record, name, kind)).otherwise(
-            F.lit(0).cast(kind)
-        )
+        name: f"IF({record.present(name)}, {record.number(name)}, CAST(0 AS {kind}))"
         for name, kind in NUMERICAL_FIELDS.items()
     }
 
 
-def numerical_error(record: Record) -> Column:
+# What Python says about values it cannot read as numbers.
+NULL_MESSAGES = {
+    "double": "float() argument must be a string or a real number, not 'NoneType'",
+    "bigint": "int() argument must be a string, a bytes-like object or a real number, not 'NoneType'",
+}
+TEXT_MESSAGES = {
+    "double": "could not convert string to float: '",
+    "bigint": "invalid literal for int() with base 10: '",
+}
+
+
+def numerical_error(record: Record) -> str:
     """Message for the first numeric field that is null or unreadable."""
-    checks = []
+    tests = []
     for name, kind in NUMERICAL_FIELDS.items():
-        if kind == "double":
-            on_null = "float() argument must be a string or a real number, not 'NoneType'"
-            on_text = "could not convert string to float: '"
-        else:
-            on_null = (
-                "int() argument must be a string, a bytes-like object or a real number, "
-                "not 'NoneType'"
-            )
-            on_text = "invalid literal for int() with base 10: '"
-        checks.append(
-            F.when(record.present(name) & record.is_null(name), F.lit(on_null)).when(
-                record.present(name) & _number(record, name, kind).isNull(),
-                F.concat(F.lit(on_text), record.text(name), F.lit("'")),
-            )
+        if record.present(name) == "FALSE":
+            continue
+        tests.append(f'WHEN {record.present(name)} AND {record.is_null(name)} THEN "{NULL_MESSAGES[kind]}"')
+        tests.append(
+            f"WHEN {record.present(name)} AND {record.number(name)} IS NULL "
+            f'THEN concat("{TEXT_MESSAGES[kind]}", {record.text(name)}, "\'")'
         )
-    return F.coalesce(*checks)
+    return f"CASE {' '.join(tests)} END" if tests else "CAST(NULL AS STRING)"
 
 
-def temporal_columns(wall: Column, moment: Column) -> dict[str, Column]:
+def temporal_columns(wall: str, moment: str) -> dict[str, str]:
     """Calendar fields of the wall clock and the epoch second of the instant."""
-    hour = F.hour(wall)
-    weekday = F.weekday(wall)
     return {
-        "hour_of_day": hour,
-        "day_of_week": weekday,
-        "day_of_month": F.dayofmonth(wall),
-        "month": F.month(wall),
-        "year": F.year(wall),
-        "is_weekend": weekday >= 5,
-        "is_business_hours": hour.between(9, 17),
-        "is_night": (hour < 6) | (hour >= 22),
-        "quarter": F.quarter(wall),
-        "week_of_year": F.weekofyear(wall),
-        "unix_timestamp": F.unix_seconds(moment),
+        "hour_of_day": f"hour({wall})",
+        "day_of_week": f"weekday({wall})",
+        "day_of_month": f"day({wall})",
+        "month": f"month({wall})",
+        "year": f"year({wall})",
+        "is_weekend": f"weekday({wall}) >= 5",
+        "is_business_hours": f"hour({wall}) BETWEEN 9 AND 17",
+        "is_night": f"hour({wall}) < 6 OR hour({wall}) >= 22",
+        "quarter": f"quarter({wall})",
+        "week_of_year": f"weekofyear({wall})",
+        "unix_timestamp": f"unix_seconds({moment})",
     }
 
 
-def derived_columns() -> dict[str, Column]:
+def derived_columns() -> dict[str, str]:
     """Ratios over columns that are already in the frame."""
-    amount, balance = F.col("amount"), F.col("account_balance")
-    hour = F.col("hour_of_day")
     return {
-        "amount_to_balance_ratio": F.when(balance > 0, amount / balance).otherwise(F.lit(0.0)),
-        "combined_risk_score": (F.col("risk_score") + F.col("fraud_score")) / 2,
-        "is_unusual_time": ((hour < 6) | (hour > 22)) & F.col("is_weekend"),
-        "avg_transactions_per_day": F.col("transaction_count")
-        / F.greatest(F.col("account_age_days"), F.lit(1)),
+        "amount_to_balance_ratio": "IF(account_balance > 0, amount / account_balance, 0.0D)",
+        "combined_risk_score": "(risk_score + fraud_score) / 2",
+        "is_unusual_time": "(hour_of_day < 6 OR hour_of_day > 22) AND is_weekend",
+        "avg_transactions_per_day": "transaction_count / greatest(account_age_days, 1)",
     }
 
 
-def clean(column: Column, kind: str) -> Column:
+def clean(name: str, kind: str) -> str:
     """NaN and infinities become 0; text is stripped and cut."""
     if kind in ("double", "float"):
-        bad = F.isnan(column) | (F.abs(column) == float("inf"))
-        return F.when(bad, F.lit(0.0)).otherwise(column)
+        return f"IF(isnan(`{name}`) OR abs(`{name}`) = double('inf'), 0.0D, `{name}`)"
     if kind == "string":
-        return F.substring(strip(column), 1, MAX_TEXT)
-    return column
+        return f"substr(btrim(`{name}`, '{WHITESPACE}'), 1, {MAX_TEXT})"
+    return f"`{name}`"
+
+
+def aliased(columns: dict[str, str]) -> list[str]:
+    """Expressions with their names, for ``selectExpr``."""
+    return [f"{expression} AS `{name}`" for name, expression in columns.items()]

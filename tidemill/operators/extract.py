@@ -28,40 +28,47 @@ def _wall_text(when: Column) -> Column:
     return F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-def _json_envelope(df: DataFrame, document: str, now: Column):
+NUMBERS = {"amount": "double", **R.NUMERICAL_FIELDS}
+TEXTS = (*R.ENTITY_FIELDS, *R.CATEGORICAL_FIELDS)
+
+
+def _json_envelope(df: DataFrame, document: str) -> tuple[DataFrame, JsonRecord]:
     """Split an element into its envelope and the payload inside ``data``."""
     if dict(df.dtypes)[document] == "string":
-        df = df.withColumn("_doc", F.try_parse_json(document))
-        shown = F.col(document)
+        df = df.selectExpr("*", f"try_parse_json(`{document}`) AS _doc", f"`{document}` AS _shown")
     else:
-        df = df.withColumn("_doc", F.col(document))
-        shown = F.to_json(F.col(document))
-    outer = JsonRecord(F.col("_doc"))
-    df = df.withColumn(
-        "_data",
-        F.when(outer.present("data"), F.try_variant_get("_doc", "$.data", "variant")).otherwise(F.col("_doc")),
-    )
-    stamp = outer.text("timestamp")
-    envelope_error = F.coalesce(
-        F.when(
-            outer.present("timestamp") & ~outer.is_text("timestamp"),
-            F.lit("timestamp is not text"),
-        ),
-        F.when(outer.present("data") & ~outer.is_object("data"), F.lit("data is not an object")),
+        df = df.selectExpr("*", f"`{document}` AS _doc", f"to_json(`{document}`) AS _shown")
+    outer = JsonRecord("_outer")
+    df = outer.stage(df, "_doc", ("message_id", "timestamp", "data"))
+    stamped = f"coalesce({outer.kind('timestamp')} = 'STRING', FALSE)"
+    df = df.selectExpr(
+        "*",
+        "coalesce(_node_outer.data, _doc) AS _data",
+        f"{outer.text_or('message_id', 'unknown')} AS _message_id",
+        f"IF({stamped}, {outer.text('timestamp')}, NULL) AS _stamp",
+        f"CASE WHEN {outer.present('timestamp')} AND NOT {stamped} THEN 'timestamp is not text' "
+        f"WHEN {outer.present('data')} AND {outer.kind('data')} NOT LIKE 'OBJECT%' "
+        "THEN 'data is not an object' END AS _envelope_error",
     )
-    return df, JsonRecord(F.col("_data")), outer.text_or("message_id", "unknown"), stamp, shown, envelope_error
+    record = JsonRecord()
+    return record.stage(df, "_data", TEXTS, NUMBERS), record
 
 
-def _table_envelope(df: DataFrame):
-    record = TableRecord(df)
-    kind = record.types.get("timestamp", "string")
-    if kind == "string":
+def _table_envelope(df: DataFrame) -> tuple[DataFrame, TableRecord]:
+    record = TableRecord(df, NUMBERS)
+    if record.types.get("timestamp", "string") == "string":
         stamp = record.text("timestamp")
     else:
-        stamp = F.regexp_replace(F.col("timestamp").cast("timestamp_ntz").cast("string"), " ", "T")
-    payload = [c for c in df.columns if not c.startswith("_")]
-    shown = F.to_json(F.struct(*payload))
-    return df, record, record.text_or("message_id", "unknown"), stamp, shown, F.lit(None).cast("string")
+        stamp = "replace(CAST(CAST(timestamp AS TIMESTAMP_NTZ) AS STRING), ' ', 'T')"
+    payload = ", ".join(f"`{c}`" for c in df.columns if not c.startswith("_"))
+    df = df.selectExpr(
+        "*",
+        f"to_json(struct({payload})) AS _shown",
+        f"{record.text_or('message_id', 'unknown')} AS _message_id",
+        f"{stamp} AS _stamp",
+        "CAST(NULL AS STRING) AS _envelope_error",
+    )
+    return df, record
 
 
 def extract_features(
@@ -81,80 +88,87 @@ def extract_features(
     Any domain but ``generic`` uses the transaction fields. ``keep`` passes
     columns of the input through unchanged.
     """
-    now = moment(processing_time)
-    if document is None:
-        df, record, message_id, stamp, shown, envelope_error = _table_envelope(df)
-    else:
-        df, record, message_id, stamp, shown, envelope_error = _json_envelope(df, document, now)
-
-    parsed = R.wall_clock(stamp)
-    now_wall = now.cast("timestamp_ntz")
-    base = df.select(
-        "*",
-        message_id.alias("_message_id"),
-        F.coalesce(parsed, now_wall).alias("_wall"),
-        F.when(parsed.isNull(), F.lit("+00:00")).otherwise(R.utc_offset(stamp)).alias("_offset"),
-    ).withColumn("_instant", R.instant(F.col("_wall"), F.col("_offset")))
+    generic = generic_names(df) if document is None else None
+    df, record = _table_envelope(df) if document is None else _json_envelope(df, document)
+    base = (
+        df.withColumn("_now", moment(processing_time))
+        .selectExpr(
+            "*",
+            f"{R.wall_clock('_stamp')} AS _parsed",
+            f"{R.utc_offset('_stamp')} AS _given",
+            *R.aliased(R.amount_stage(record)),
+        )
+        .selectExpr(
+            "*",
+            "coalesce(_parsed, CAST(_now AS TIMESTAMP_NTZ)) AS _wall",
+            "IF(_parsed IS NULL, '+00:00', _given) AS _offset",
+        )
+        .selectExpr("*", f"{R.instant('_wall', '_offset')} AS _instant")
+        # A generated column: Spark moves filters on plain columns below the
+        # projections they come from, which would read every field twice.
+        .selectExpr("*", f"explode(array(coalesce(_envelope_error, {R.numerical_error(record)}))) AS _error")
+    )
 
-    columns: dict[str, Column] = {}
+    columns: dict[str, str] = {}
     if domain == "generic":
-        columns.update(generic_columns(df, record, document))
+        columns.update(generic_columns(generic))
     else:
-        columns.update(R.amount_columns(record))
+        columns.update(R.amount_columns())
         columns.update(R.entity_columns(record))
-    columns.update(R.temporal_columns(F.col("_wall"), F.col("_instant")))
+    columns.update(R.temporal_columns("_wall", "_instant"))
     columns.update(R.categorical_columns(record))
     columns.update(R.numerical_columns(record))
 
-    reserved = {"message_id", "timestamp", "processed_at", "event_time", "event_wall", ERROR, ELEMENT}
-    columns = {name: column for name, column in columns.items() if name not in reserved}
-    error = F.coalesce(envelope_error, R.numerical_error(record))
-    first = base.select(
-        *keep,
-        F.col("_message_id").alias("message_id"),
-        R.iso_text(F.col("_wall"), F.col("_offset")).alias("timestamp"),
-        _wall_text(now).alias("processed_at"),
-        F.col("_instant").alias("event_time"),
-        F.col("_wall").alias("event_wall"),
-        *[column.alias(name) for name, column in columns.items() if name not in keep],
-        error.alias(ERROR),
-        F.when(error.isNotNull(), F.substring(shown, 1, ELEMENT_CHARS)).alias(ELEMENT),
-    )
-    if "amount" not in columns:
-        first = first.withColumn("amount", F.lit(0.0))
-    derived = first.withColumns(R.derived_columns())
-    if "amount" not in columns:
-        derived = derived.drop("amount")
-    fixed = {"event_time", "event_wall", ERROR, ELEMENT, *keep}
-    return derived.select(
-        *[
-            F.col(name) if name in fixed else R.clean(F.col(name), kind).alias(name)
-            for name, kind in derived.dtypes
-        ]
+    reserved = {"message_id", "timestamp", "processed_at", "event_time", "event_wall", ERROR, ELEMENT, *keep}
+    columns = {name: expression for name, expression in columns.items() if name not in reserved}
+    has_amount = "amount" in columns
+    if not has_amount:
+        columns["amount"] = "0.0D"
+    first = base.selectExpr(
+        *[f"`{name}`" for name in keep],
+        "_message_id AS message_id",
+        f"{R.iso_text('_wall', '_offset')} AS timestamp",
+        "date_format(_now, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") AS processed_at",
+        "_instant AS event_time",
+        "_wall AS event_wall",
+        *R.aliased(columns),
+        f"_error AS {ERROR}",
+        f"_shown AS {ELEMENT}",
     )
+    derived = first.selectExpr("*", *R.aliased(R.derived_columns()))
+    fixed = {"event_time", "event_wall", ERROR, *keep}
+    result = []
+    for name, kind in derived.dtypes:
+        if name == ELEMENT:
+            result.append(f"IF({ERROR} IS NOT NULL, substr({ELEMENT}, 1, {ELEMENT_CHARS}), NULL) AS {ELEMENT}")
+        elif name in fixed:
+            result.append(f"`{name}`")
+        elif has_amount or name != "amount":
+            result.append(f"{R.clean(name, kind)} AS `{name}`")
+    return derived.selectExpr(*result)
 
 
 # The scalar types that the generic domain passes through.
 _ATOMIC = ("string", "boolean", "double", "float", "bigint", "int", "smallint", "tinyint")
 
 
-def generic_columns(df: DataFrame, record, document: str | None) -> dict[str, Column]:
+def generic_names(df: DataFrame) -> list[str]:
+    """Scalar columns of a table."""
+    return [n for n, kind in df.dtypes if kind.split("(")[0] in _ATOMIC and not n.startswith("_")]
+
+
+def generic_columns(names: list[str] | None) -> dict[str, str]:
     """Top-level numbers, strings and booleans; nested values are dropped.
 
     A table knows its scalar columns. A JSON document has an open set of keys,
-    so its scalars go into one map of JSON text.
+    so its scalars go into one map of text.
     """
-    if document is None:
-        names = [n for n, kind in df.dtypes if kind.split("(")[0] in _ATOMIC and not n.startswith("_")]
-        return {name: F.col(name) for name in names}
-    return {"fields": atomic_map(F.col("_data"))}
-
-
-def atomic_map(document: Column) -> Column:
-    """Map from key to JSON text for the scalar members of a document."""
-    entries = F.map_entries(F.from_json(F.to_json(document), "map<string,string>"))
-    kept = F.filter(entries, lambda e: ~e["value"].startswith("{") & ~e["value"].startswith("["))
-    return F.map_from_entries(kept)
+    if names is not None:
+        return {name: f"`{name}`" for name in names}
+    members = "map_entries(try_variant_get(_data, '$', 'map<string,variant>'))"
+    scalar = "e -> schema_of_variant(e.value) NOT LIKE 'OBJECT%' AND schema_of_variant(e.value) NOT LIKE 'ARRAY%'"
+    text = "e -> struct(e.key, try_variant_get(e.value, '$', 'string') AS value)"
+    return {"fields": f"map_from_entries(transform(filter({members}, {scalar}), {text}))"}
 
 
 def features_of(extracted: DataFrame) -> DataFrame:

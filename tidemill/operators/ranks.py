@@ -147,7 +147,7 @@ def order_statistics(
         F.max("n").alias("n"),
         *[
             F.max(
-                F.when(F.exists("_found", lambda w, name=name: w["_name"] == name), F.col("_value"))
+                F.when(F.exists("_found", _named(name)), F.col("_value"))
             ).alias(name)
             for name in names
         ],
@@ -155,6 +155,10 @@ def order_statistics(
     return result if keys else result.drop("_all")
 
 
+def _named(name: str):
+    return lambda w: w["_name"] == name
+
+
 def quantiles(
     df: DataFrame,
     keys: list[str],

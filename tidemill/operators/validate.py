@@ -60,7 +60,8 @@ def validation_errors(df: DataFrame, rules: ValidationRules) -> Column:
 
 def validate_features(df: DataFrame, rules: ValidationRules) -> DataFrame:
     """Add ``validation_errors`` and ``is_valid``; split with the helpers below."""
-    checked = df.withColumn(ERRORS, validation_errors(df, rules))
+    # Generated, so that filters on the verdict do not evaluate the rules again.
+    checked = df.withColumn(ERRORS, F.explode(F.array(validation_errors(df, rules))))
     return checked.withColumn("is_valid", F.size(ERRORS) == 0)
 
 

@@ -48,6 +48,6 @@ def batch_features(
 ) -> None:
     """JSON-line files to feature files; failed records go to an error folder."""
     lines = read_json_lines(spark, input_path)
-    extracted = extract_features(lines.select("value"), "value", processing_time, domain)
+    extracted = extract_features(lines, "doc", processing_time, domain)
     write_json_lines(features_of(extracted), f"{output_path}/features", "overwrite")
     write_json_lines(errors_of(extracted, processing_time), f"{output_path}/errors", "overwrite")

@@ -106,19 +106,25 @@ def envelope_from_json(
     df: DataFrame, column: str = "value", processing_time: Column | dt.datetime | str | None = None
 ) -> DataFrame:
     """Envelope from its own JSON form; a missing time is the processing time."""
-    parsed = df.withColumn("_doc", F.try_parse_json(column))
-    record = JsonRecord(F.col("_doc"))
-    stamp = record.text("timestamp")
-    when = instant(wall_clock(stamp), utc_offset(stamp))
-    empty = F.create_map().cast("map<string,string>")
-    return parsed.select(
-        record.text("message_id").alias("message_id"),
-        record.text("data").alias("data"),
-        F.coalesce(when, moment(processing_time)).alias("timestamp"),
-        record.text("source").alias("source"),
-        F.coalesce(F.try_variant_get("_doc", "$.attributes", "map<string,string>"), empty).alias("attributes"),
-        record.text("partition_key").alias("partition_key"),
-        record.text("offset").try_cast("decimal(38,0)").alias("offset"),
+    record = JsonRecord()
+    staged = record.stage(
+        df.withColumns({"_doc": F.try_parse_json(column), "_now": moment(processing_time)}),
+        "_doc",
+        ("message_id", "data", "timestamp", "source", "partition_key", "offset"),
+    ).selectExpr(
+        "*",
+        f"{wall_clock(record.text('timestamp'))} AS _wall",
+        f"{utc_offset(record.text('timestamp'))} AS _offset",
+    )
+    return staged.selectExpr(
+        f"{record.text('message_id')} AS message_id",
+        f"{record.text('data')} AS data",
+        f"coalesce({instant('_wall', '_offset')}, _now) AS timestamp",
+        f"{record.text('source')} AS source",
+        "coalesce(try_variant_get(_doc, '$.attributes', 'map<string,string>'), "
+        "CAST(map() AS MAP<STRING,STRING>)) AS attributes",
+        f"{record.text('partition_key')} AS partition_key",
+        f"try_cast({record.text('offset')} AS DECIMAL(38,0)) AS offset",
     )
 
 
