@@ -13,7 +13,7 @@ from tidemill.catalog.registry import (
     TX,
     features,
     query,
-    r6,
+    r7,
     tx,
     with_,
 )
@@ -100,9 +100,9 @@ def x_unwrap(spark, folder):
     "x_amount",
     with_(
         DOCS,
-        f"""SELECT message_id, {r6('amount')} AS amount,
-          CASE WHEN amount IS NULL THEN NULL WHEN amount > 0 THEN {r6('ln(1 + amount)')} ELSE 0.0::DOUBLE END AS amount_log,
-          amount > 500 AS is_high_amount, {r6('known_amount')} AS amount_rounded
+        f"""SELECT message_id, {r7('amount')} AS amount,
+          CASE WHEN amount IS NULL THEN NULL WHEN amount > 0 THEN {r7('ln(1 + amount)')} ELSE 0.0::DOUBLE END AS amount_log,
+          amount > 500 AS is_high_amount, {r7('known_amount')} AS amount_rounded
         FROM docs""",
     ),
 )
@@ -215,7 +215,7 @@ def x_categorical(spark, folder):
     "x_numerical",
     with_(
         DOCS,
-        f"""SELECT message_id, {r6('risk_score')} AS risk_score, 0.0::DOUBLE AS fraud_score,
+        f"""SELECT message_id, {r7('risk_score')} AS risk_score, 0.0::DOUBLE AS fraud_score,
              0.0::DOUBLE AS credit_score, CAST(account_age_days AS BIGINT) AS account_age_days,
              CAST(0 AS BIGINT) AS transaction_count, CAST(account_balance AS DOUBLE) AS account_balance,
              0.0::DOUBLE AS latitude, 0.0::DOUBLE AS longitude, error AS numerical_error
@@ -233,9 +233,9 @@ def x_numerical(spark, folder):
     with_(
         FEAT,
         f"""SELECT message_id,
-             {r6('CASE WHEN account_balance > 0 THEN amount / account_balance ELSE 0.0::DOUBLE END')} AS amount_to_balance_ratio,
-             {r6('(risk_score + fraud_score) / 2')} AS combined_risk_score, is_unusual_time,
-             {r6('transaction_count::DOUBLE / greatest(account_age_days, 1)')} AS avg_transactions_per_day
+             {r7('CASE WHEN account_balance > 0 THEN amount / account_balance ELSE 0.0::DOUBLE END')} AS amount_to_balance_ratio,
+             {r7('(risk_score + fraud_score) / 2')} AS combined_risk_score, is_unusual_time,
+             {r7('transaction_count::DOUBLE / greatest(account_age_days, 1)')} AS avg_transactions_per_day
            FROM feat""",
     ),
 )
@@ -289,15 +289,15 @@ def x_errors(spark, folder):
     "extract_features",
     with_(
         DOCS,
-        f"""SELECT message_id, user_id, merchant_category, channel, city, {r6('amount')} AS amount,
-             amount > 500 AS is_high_amount, {r6('risk_score')} AS risk_score,
+        f"""SELECT message_id, user_id, merchant_category, channel, city, {r7('amount')} AS amount,
+             amount > 500 AS is_high_amount, {r7('risk_score')} AS risk_score,
              CAST(account_age_days AS BIGINT) AS account_age_days,
              CASE WHEN known_amount IS NULL THEN NULL WHEN known_amount < 10 THEN 'micro'
                WHEN known_amount < 100 THEN 'small' WHEN known_amount < 1000 THEN 'medium'
                WHEN known_amount < 10000 THEN 'large' ELSE 'huge' END AS amount_category,
              hour(wall) AS hour_of_day, isodow(wall) - 1 AS day_of_week,
-             {r6('CASE WHEN account_balance > 0 THEN amount / account_balance ELSE 0.0::DOUBLE END')} AS amount_to_balance_ratio,
-             {r6('risk_score / 2')} AS combined_risk_score,
+             {r7('CASE WHEN account_balance > 0 THEN amount / account_balance ELSE 0.0::DOUBLE END')} AS amount_to_balance_ratio,
+             {r7('risk_score / 2')} AS combined_risk_score,
              (hour(wall) < 6 OR hour(wall) > 22) AND isodow(wall) >= 6 AS is_unusual_time
            FROM docs WHERE error IS NULL""",
     ),
@@ -368,7 +368,7 @@ def codes_sql() -> str:
     with_(
         f"{FEAT}, {codes_sql()}",
         f"""SELECT hour_of_day, day_of_week, CAST(is_weekend AS BIGINT) AS is_weekend, transaction_count_24h,
-             {r6('avg_amount_30d')} AS avg_amount_30d, {r6('amount')} AS amount,
+             {r7('avg_amount_30d')} AS avg_amount_30d, {r7('amount')} AS amount,
              CAST(merchant_category_encoded AS BIGINT) AS merchant_category_encoded,
              CAST(payment_method_encoded AS BIGINT) AS payment_method_encoded, CAST(label AS BIGINT) AS label
            FROM ({PREPARED})""",

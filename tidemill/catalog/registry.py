@@ -47,7 +47,7 @@ def present(df: DataFrame) -> DataFrame:
         if kind in ("int", "smallint", "tinyint"):
             columns.append(column.cast("bigint").alias(name))
         elif kind in ("double", "float") or kind.startswith("decimal"):
-            columns.append((F.round(column.cast("double"), 6) + F.lit(0.0)).alias(name))
+            columns.append((F.round(column.cast("double"), 7) + F.lit(0.0)).alias(name))
         elif kind == "timestamp":
             columns.append(column.cast("timestamp_ntz").alias(name))
         elif kind == "date":
@@ -55,7 +55,7 @@ def present(df: DataFrame) -> DataFrame:
         elif kind == "array<string>":
             columns.append(F.array_join(column, "|").alias(name))
         elif kind == "array<double>":
-            rounded = F.transform(column, lambda v: F.round(v, 6).cast("string"))
+            rounded = F.transform(column, lambda v: F.round(v, 7).cast("string"))
             columns.append(F.array_join(rounded, "|").alias(name))
         elif kind.startswith("struct<start:timestamp") and name in ("window", "session_window"):
             columns.append(column["start"].cast("timestamp_ntz").alias("window_from"))
@@ -84,8 +84,8 @@ def crc_values(names, modulo: int) -> str:
     return ", ".join(f"('{n}', {zlib.crc32(n.encode()) % modulo})" for n in names)
 
 
-def r6(expression: str) -> str:
-    return f"round({expression}, 6) + 0.0"
+def r7(expression: str) -> str:
+    return f"round({expression}, 7) + 0.0"
 
 
 EV = "ev AS (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.catalog.registry import EV, TX, query, r6, tx, with_
+from tidemill.catalog.registry import EV, TX, query, r7, tx, with_
 from tidemill.config import RULE_PRESETS, ValidationRules
 from tidemill.operators import quality as Q
 from tidemill.operators.validate import (
@@ -240,7 +240,7 @@ def v_null_nan(spark, folder):
     "v_missing_rate",
     with_(
         GAPS,
-        f"""SELECT field, {r6('rate')} AS missing_rate, rate <= 0.1 AS ok FROM (
+        f"""SELECT field, {r7('rate')} AS missing_rate, rate <= 0.1 AS ok FROM (
              SELECT 'user_id' AS field, avg(CASE WHEN user_id IS NULL THEN 1.0::DOUBLE ELSE 0 END) AS rate FROM gaps
              UNION ALL SELECT 'amount', avg(CASE WHEN amount IS NULL THEN 1.0::DOUBLE ELSE 0 END) FROM gaps
              UNION ALL SELECT 'timestamp', avg(CASE WHEN timestamp IS NULL THEN 1.0::DOUBLE ELSE 0 END) FROM gaps)""",
@@ -284,8 +284,8 @@ def v_outlier_iqr(spark, folder):
     "v_lognormal",
     with_(
         TX,
-        f"""SELECT CAST(max(n) AS BIGINT) AS n, {r6('max(greatest(abs(upto / n - cdf), abs(cdf - (upto - copies) / n)))')} AS ks_statistic,
-             {r6('max(0.886 / sqrt(n))')} AS critical_value,
+        f"""SELECT CAST(max(n) AS BIGINT) AS n, {r7('max(greatest(abs(upto / n - cdf), abs(cdf - (upto - copies) / n)))')} AS ks_statistic,
+             {r7('max(0.886 / sqrt(n))')} AS critical_value,
              max(greatest(abs(upto / n - cdf), abs(cdf - (upto - copies) / n))) <= max(0.886 / sqrt(n)) AS is_lognormal
            FROM (SELECT *, CASE WHEN z >= 0 THEN 1 - poly * exp(-z * z / 2) / 2 ELSE poly * exp(-z * z / 2) / 2 END AS cdf
              FROM (SELECT *, ((((1.061405429::DOUBLE * t - 1.453152027::DOUBLE) * t + 1.421413741::DOUBLE) * t
