@@ -233,11 +233,12 @@ def x_numerical(spark, folder):
     with_(
         FEAT,
         f"""SELECT message_id,
-             {r7('CASE WHEN account_balance > 0 THEN amount / account_balance ELSE 0.0::DOUBLE END')} AS amount_to_balance_ratio,
-             {r7('(risk_score + fraud_score) / 2')} AS combined_risk_score, is_unusual_time,
-             {r7('transaction_count::DOUBLE / greatest(account_age_days, 1)')} AS avg_transactions_per_day
+             {r7('CASE WHEN account_balance > 0 THEN amount / account_balance ELSE 0.0::DOUBLE END', 9)} AS amount_to_balance_ratio,
+             {r7('(risk_score + fraud_score) / 2', 9)} AS combined_risk_score, is_unusual_time,
+             {r7('transaction_count::DOUBLE / greatest(account_age_days, 1)', 9)} AS avg_transactions_per_day
            FROM feat""",
     ),
+    digits=9,
 )
 def x_derived(spark, folder):
     """Ratios; k = 0 has no balance and tests the guard."""
@@ -289,18 +290,19 @@ def x_errors(spark, folder):
     "extract_features",
     with_(
         DOCS,
-        f"""SELECT message_id, user_id, merchant_category, channel, city, {r7('amount')} AS amount,
-             amount > 500 AS is_high_amount, {r7('risk_score')} AS risk_score,
+        f"""SELECT message_id, user_id, merchant_category, channel, city, {r7('amount', 9)} AS amount,
+             amount > 500 AS is_high_amount, {r7('risk_score', 9)} AS risk_score,
              CAST(account_age_days AS BIGINT) AS account_age_days,
              CASE WHEN known_amount IS NULL THEN NULL WHEN known_amount < 10 THEN 'micro'
                WHEN known_amount < 100 THEN 'small' WHEN known_amount < 1000 THEN 'medium'
                WHEN known_amount < 10000 THEN 'large' ELSE 'huge' END AS amount_category,
              hour(wall) AS hour_of_day, isodow(wall) - 1 AS day_of_week,
-             {r7('CASE WHEN account_balance > 0 THEN amount / account_balance ELSE 0.0::DOUBLE END')} AS amount_to_balance_ratio,
-             {r7('risk_score / 2')} AS combined_risk_score,
+             {r7('CASE WHEN account_balance > 0 THEN amount / account_balance ELSE 0.0::DOUBLE END', 9)} AS amount_to_balance_ratio,
+             {r7('risk_score / 2', 9)} AS combined_risk_score,
              (hour(wall) < 6 OR hour(wall) > 22) AND isodow(wall) >= 6 AS is_unusual_time
            FROM docs WHERE error IS NULL""",
     ),
+    digits=9,
 )
 def extract_all(spark, folder):
     """All steps in order, over irregular JSON documents."""

@@ -19,15 +19,18 @@ ORACLES: dict[str, str] = {}
 NOW = "2024-02-01 00:00:00"
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query; its result is brought to plain comparable types."""
+def query(name: str, sql: str | None = None, digits: int = 7):
+    """Register a query; its result is brought to plain comparable types.
+
+    ``digits`` is chosen so that no value of the supplied tables is a tie.
+    """
 
     def register(build):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return present(build(spark, folder))
+            return present(build(spark, folder), digits)
 
         run.__name__ = name
         run.__doc__ = build.__doc__
@@ -39,7 +42,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def present(df: DataFrame) -> DataFrame:
+def present(df: DataFrame, digits: int = 7) -> DataFrame:
     """Whole numbers as BIGINT, decimals rounded, window structs as two times."""
     columns = []
     for name, kind in df.dtypes:
@@ -47,7 +50,7 @@ def present(df: DataFrame) -> DataFrame:
         if kind in ("int", "smallint", "tinyint"):
             columns.append(column.cast("bigint").alias(name))
         elif kind in ("double", "float") or kind.startswith("decimal"):
-            columns.append((F.round(column.cast("double"), 7) + F.lit(0.0)).alias(name))
+            columns.append((F.round(column.cast("double"), digits) + F.lit(0.0)).alias(name))
         elif kind == "timestamp":
             columns.append(column.cast("timestamp_ntz").alias(name))
         elif kind == "date":
@@ -55,7 +58,7 @@ def present(df: DataFrame) -> DataFrame:
         elif kind == "array<string>":
             columns.append(F.array_join(column, "|").alias(name))
         elif kind == "array<double>":
-            rounded = F.transform(column, lambda v: F.round(v, 7).cast("string"))
+            rounded = F.transform(column, lambda v: F.round(v, digits).cast("string"))
             columns.append(F.array_join(rounded, "|").alias(name))
         elif kind.startswith("struct<start:timestamp") and name in ("window", "session_window"):
             columns.append(column["start"].cast("timestamp_ntz").alias("window_from"))
@@ -84,8 +87,8 @@ def crc_values(names, modulo: int) -> str:
     return ", ".join(f"('{n}', {zlib.crc32(n.encode()) % modulo})" for n in names)
 
 
-def r7(expression: str) -> str:
-    return f"round({expression}, 7) + 0.0"
+def r7(expression: str, digits: int = 7) -> str:
+    return f"round({expression}, {digits}) + 0.0"
 
 
 EV = "ev AS (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events)"

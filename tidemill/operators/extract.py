@@ -104,9 +104,6 @@ def extract_features(
             "IF(_parsed IS NULL, '+00:00', _given) AS _offset",
         )
         .selectExpr("*", f"{R.instant('_wall', '_offset')} AS _instant")
-        # A generated column: Spark moves filters on plain columns below the
-        # projections they come from, which would read every field twice.
-        .selectExpr("*", f"explode(array(coalesce(_envelope_error, {R.numerical_error(record)}))) AS _error")
     )
 
     columns: dict[str, str] = {}
@@ -124,17 +121,22 @@ def extract_features(
     has_amount = "amount" in columns
     if not has_amount:
         columns["amount"] = "0.0D"
-    first = base.selectExpr(
-        *[f"`{name}`" for name in keep],
+    outputs = [
         "_message_id AS message_id",
         f"{R.iso_text('_wall', '_offset')} AS timestamp",
         "date_format(_now, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") AS processed_at",
         "_instant AS event_time",
         "_wall AS event_wall",
         *R.aliased(columns),
-        f"_error AS {ERROR}",
+        f"coalesce(_envelope_error, {R.numerical_error(record)}) AS {ERROR}",
         f"_shown AS {ELEMENT}",
-    )
+    ]
+    if document is not None:
+        # Spark moves a filter on a plain column below the projections that
+        # make it, which would read JSON fields once more per filter. It does
+        # not move filters on generated columns.
+        outputs = [f"inline(array(struct({', '.join(outputs)})))"]
+    first = base.selectExpr(*[f"`{name}`" for name in keep], *outputs)
     derived = first.selectExpr("*", *R.aliased(R.derived_columns()))
     fixed = {"event_time", "event_wall", ERROR, *keep}
     result = []
