@@ -24,17 +24,17 @@ from tidemill.operators.labeling import rule_based
 from tidemill.session import table
 
 USER_AGGREGATES = f"""min(timestamp) AS window_start, max(timestamp) AS window_end, count(*) AS record_count,
-  {r7('sum(amount)')} AS total_amount, {r7('avg(amount)')} AS avg_amount, {r7('stddev_pop(amount)')} AS std_amount,
-  {r7('min(amount)')} AS min_amount, {r7('max(amount)')} AS max_amount,
-  {r7('quantile_cont(amount, 0.5)')} AS median_amount,
-  {r7('avg(risk_score)')} AS avg_risk_score, {r7('max(risk_score)')} AS max_risk_score,
-  {r7('avg(fraud_score)')} AS avg_fraud_score, {r7('max(fraud_score)')} AS max_fraud_score,
+  {r7('sum(amount)', 9)} AS total_amount, {r7('avg(amount)', 9)} AS avg_amount, {r7('stddev_pop(amount)', 9)} AS std_amount,
+  {r7('min(amount)', 9)} AS min_amount, {r7('max(amount)', 9)} AS max_amount,
+  {r7('quantile_cont(amount, 0.5)', 9)} AS median_amount,
+  {r7('avg(risk_score)', 9)} AS avg_risk_score, {r7('max(risk_score)', 9)} AS max_risk_score,
+  {r7('avg(fraud_score)', 9)} AS avg_fraud_score, {r7('max(fraud_score)', 9)} AS max_fraud_score,
   count(DISTINCT merchant_category) AS unique_merchants, count(DISTINCT channel) AS unique_channels,
   count(DISTINCT payment_method) AS unique_payment_methods,
   count(*) FILTER (WHERE is_weekend) AS weekend_transactions, count(*) FILTER (WHERE is_night) AS night_transactions,
   count(*) FILTER (WHERE is_business_hours) AS business_hours_transactions,
-  {r7('avg(CASE WHEN is_high_amount THEN 1.0::DOUBLE ELSE 0 END)')} AS high_amount_ratio,
-  {r7('avg(CASE WHEN is_unusual_time THEN 1.0::DOUBLE ELSE 0 END)')} AS unusual_time_ratio"""
+  {r7('avg(CASE WHEN is_high_amount THEN 1.0::DOUBLE ELSE 0 END)', 9)} AS high_amount_ratio,
+  {r7('avg(CASE WHEN is_unusual_time THEN 1.0::DOUBLE ELSE 0 END)', 9)} AS unusual_time_ratio"""
 
 
 @query(
@@ -44,13 +44,14 @@ USER_AGGREGATES = f"""min(timestamp) AS window_start, max(timestamp) AS window_e
         f"""SELECT user_id, {bucket(86400)} AS window_from, {bucket(86400)} + INTERVAL 1 DAY AS window_to,
              {USER_AGGREGATES} FROM feat GROUP BY ALL""",
     ),
+    digits=9,
 )
 def agg_user_window(spark, folder):
     """Per user and day."""
     return A.aggregate_users(features(spark, folder), WindowSpec("fixed", "1 day"))
 
 
-@query("agg_user_all", with_(FEAT, f"SELECT user_id, {USER_AGGREGATES} FROM feat GROUP BY user_id"))
+@query("agg_user_all", with_(FEAT, f"SELECT user_id, {USER_AGGREGATES} FROM feat GROUP BY user_id"), digits=9)
 def agg_user_all(spark, folder):
     """Per user over the whole input, as training assembly needs it."""
     return A.aggregate_users(features(spark, folder), None)

@@ -23,6 +23,7 @@ from tidemill.sources import adapters
         f"{FEAT}, agg AS (SELECT user_id, {USER_AGGREGATES} FROM feat WHERE CAST(user_id AS BIGINT) % 3 <> 0 GROUP BY user_id)",
         "SELECT message_id, f.user_id, record_count, avg_amount FROM feat f LEFT JOIN agg a ON f.user_id = a.user_id",
     ),
+    digits=9,
 )
 def j_agg_left(spark, folder):
     """Mapped aggregate columns on every record; some users have no aggregate."""

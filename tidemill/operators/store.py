@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.transforms import TransformRegistry
 from tidemill.operators.extract import moment
+from tidemill.session import materialize
 
 KEY = ["entity_id", "feature_group"]
 STORE_SCHEMA = (
@@ -396,14 +397,19 @@ class FeatureTable:
         return self
 
     def upsert(self, batch: DataFrame, batch_id: str | None = None) -> "FeatureTable":
-        """Merge a batch; groups it does not mention are neither read nor written."""
+        """Merge a batch; groups it does not mention are neither read nor written.
+
+        The batch is written out first, because folding it reads it twice.
+        """
+        name = batch_id or uuid.uuid4().hex
         if batch_id is not None and self.committed(batch_id):
             return self
+        batch = materialize(batch, f"{self.path}/_batches/{name}")
         groups = [row[0] for row in batch.select("feature_group").distinct().collect()]
         if not groups:
             return self
         old = self.read().filter(F.col("feature_group").isin(*groups))
-        return self.replace(upsert(old, batch), groups, batch_id)
+        return self.replace(upsert(old, batch), groups, name)
 
     def delete(self, keys: DataFrame) -> "FeatureTable":
         groups = [row[0] for row in keys.select("feature_group").distinct().collect()]

@@ -61,3 +61,13 @@ def work_path(spark: SparkSession, name: str) -> str:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the supplied Parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def materialize(df: DataFrame, path: str) -> DataFrame:
+    """Write a frame once and go on from the files.
+
+    Jobs with several outputs use this instead of computing a costly frame once
+    per output. The files outlive any executor, which a cache does not.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

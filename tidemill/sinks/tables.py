@@ -55,7 +55,11 @@ def write_to_store(
     batch_id: str | None = None,
     dead_letter_path: str | None = None,
 ) -> DataFrame:
-    """Merge rows into the store and append the unusable ones to dead letters."""
+    """Merge rows into the store and append the unusable ones to dead letters.
+
+    ``rows`` is read twice, by the store and by the dead letters; jobs pass a
+    materialized frame.
+    """
     batch = pack_features(
         rows,
         group,
