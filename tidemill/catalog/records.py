@@ -18,8 +18,13 @@ from tidemill.catalog.registry import (
     with_,
 )
 from tidemill.functions import record as R
-from tidemill.functions.payload import JsonRecord
-from tidemill.operators.extract import NUMBERS, TEXTS, errors_of, extract_features, features_of
+from tidemill.operators.extract import (
+    NUMBERS,
+    errors_of,
+    extract_features,
+    features_of,
+    read_document,
+)
 from tidemill.plans.training import flatten_profile, prepare_training
 from tidemill.session import table
 from tidemill.sources import adapters
@@ -58,9 +63,8 @@ def extracted(spark, folder):
 
 def doc_record(df):
     """Documents with their fields staged for the column builders."""
-    record = JsonRecord()
-    staged = record.stage(df.withColumn("_doc", F.try_parse_json("value")), "_doc", TEXTS, NUMBERS)
-    return staged, record
+    staged, record = read_document(df, "value")
+    return record.stage(staged, NUMBERS), record
 
 
 def with_id(df, columns):

@@ -1,8 +1,9 @@
 """Reading fields off a record, whether it arrives as JSON or as columns.
 
-JSON payloads are parsed once into a VARIANT, which keeps the difference
-between a missing key and a key holding null. Tables have no such difference:
-a null cell counts as missing for text fields and as null for numbers.
+JSON payloads are parsed once into a map from key to text, which keeps the
+difference between a missing key and a key holding null. Tables have no such
+difference: a null cell counts as missing for text fields and as null for
+numbers.
 """
 
 from __future__ import annotations
@@ -40,62 +41,53 @@ def number_sql(text: str, kind: str) -> str:
     return f"CASE WHEN {clean} RLIKE r'{pattern}' THEN try_cast({clean} AS {kind}) END"
 
 
+MAP = "map<string,string>"
+
+
 class JsonRecord:
-    """SQL expressions for the fields of a VARIANT document.
+    """SQL expressions for the top-level fields of a JSON document.
 
-    :meth:`stage` casts the document to structs of the wanted fields: one of
-    nodes, which tells a missing key from a null, one of texts and one of
-    numbers. Three lookups serve the whole record, which keeps the generated
-    code of a wide projection small enough to compile.
+    ``fields`` is a map column from key to text. The type of a value is only
+    asked for where the text alone does not settle the reading; then the
+    document, a VARIANT expression, is looked into.
     """
 
-    def __init__(self, tag: str = ""):
-        self.tag = tag
-
-    def stage(
-        self, df: DataFrame, document: str, texts: tuple[str, ...] = (), numbers: dict[str, str] | None = None
-    ) -> DataFrame:
-        numbers = numbers or {}
-        fields = list(dict.fromkeys((*texts, *numbers)))
-
-        def cast(names, kind: str) -> str:
-            inside = ",".join(f"`{n}`:{kind}" for n in names)
-            return f"try_variant_get({document}, '$', 'struct<{inside}>')"
-
-        staged = [f"{cast(fields, 'variant')} AS _node{self.tag}", f"{cast(fields, 'string')} AS _text{self.tag}"]
-        if numbers:
-            staged.append(f"{cast(numbers, 'double')} AS _native{self.tag}")
-        df = df.selectExpr("*", *staged)
-        if numbers:
-            df = df.selectExpr(
-                "*", *[f"{self._number(n, kind)} AS `_number{self.tag}_{n}`" for n, kind in numbers.items()]
-            )
-        return df
-
-    def _number(self, name: str, kind: str) -> str:
+    def __init__(self, fields: str, document: str):
+        self.fields = fields
+        self.document = document
+
+    def stage(self, df: DataFrame, numbers: dict[str, str]) -> DataFrame:
+        """Add one column per numeric field, so that each is read once."""
+        return df.selectExpr("*", *[f"{self._read(n, kind)} AS `_number_{n}`" for n, kind in numbers.items()])
+
+    def _read(self, name: str, kind: str) -> str:
         # int() drops the fraction of a number but refuses it in text.
+        text = f"btrim({self.text(name)}, '{WHITESPACE}')"
+        pattern = FLOAT_TEXT if kind == "double" else INT_TEXT
+        native = f"try_variant_get({self.document}, '$.{name}', 'double')"
         return (
-            f"CASE WHEN {self.kind(name)} = 'STRING' THEN {number_sql(self.text(name), kind)} "
-            f"ELSE CAST(_native{self.tag}.`{name}` AS {kind}) END"
+            f"CASE WHEN {self.text(name)} IS NULL THEN NULL "
+            f"WHEN {text} RLIKE r'{pattern}' THEN try_cast({text} AS {kind}) "
+            f"WHEN {self.kind(name)} <> 'STRING' THEN CAST({native} AS {kind}) END"
         )
 
     def kind(self, name: str) -> str:
-        return f"schema_of_variant(_node{self.tag}.`{name}`)"
+        return f"schema_of_variant(try_variant_get({self.document}, '$.{name}', 'variant'))"
 
     def present(self, name: str) -> str:
-        return f"_node{self.tag}.`{name}` IS NOT NULL"
+        return f"coalesce(map_contains_key({self.fields}, '{name}'), FALSE)"
 
     def is_null(self, name: str) -> str:
-        return f"is_variant_null(_node{self.tag}.`{name}`)"
+        return f"({self.present(name)} AND {self.text(name)} IS NULL)"
 
     def text(self, name: str) -> str:
-        return f"_text{self.tag}.`{name}`"
+        return f"{self.fields}['{name}']"
 
     def text_or(self, name: str, default: str) -> str:
-        return f"IF({self.present(name)}, {self.text(name)}, '{default}')"
+        return f"coalesce({self.text(name)}, IF({self.present(name)}, NULL, '{default}'))"
 
     def number(self, name: str) -> str:
-        return f"`_number{self.tag}_{name}`"
+        return f"`_number_{name}`"
 
 
 class TableRecord:

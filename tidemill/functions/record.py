@@ -74,8 +74,10 @@ def instant(wall: str, offset: str) -> str:
     minutes = (
         f"coalesce(try_cast(substr({offset}, 2, 2) AS INT) * 60 + try_cast(substr({offset}, 5, 2) AS INT), 0)"
     )
-    signed = f"IF({offset} LIKE '-%', -1, 1) * {minutes}"
-    return f"CAST(concat(CAST({wall} - make_dt_interval(0, 0, {signed}) AS STRING), 'Z') AS TIMESTAMP)"
+    shift = f"make_dt_interval(0, 0, IF({offset} LIKE '-%', -1, 1) * {minutes})"
+    # Interval arithmetic from the epoch does not depend on the session's zone.
+    since = f"({wall} - TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+    return f"TIMESTAMP'1970-01-01 00:00:00Z' + {since} - IF({offset} = '', INTERVAL '0' SECOND, {shift})"
 
 
 def iso_text(wall: str, offset: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import record as R
-from tidemill.functions.payload import JsonRecord, TableRecord
+from tidemill.functions.payload import MAP, JsonRecord, TableRecord
 
 ELEMENT_CHARS = 1000
 ERROR = "extraction_error"
@@ -29,48 +29,65 @@ def _wall_text(when: Column) -> Column:
 
 
 NUMBERS = {"amount": "double", **R.NUMERICAL_FIELDS}
-TEXTS = (*R.ENTITY_FIELDS, *R.CATEGORICAL_FIELDS)
 
 
-def _json_envelope(df: DataFrame, document: str) -> tuple[DataFrame, JsonRecord]:
-    """Split an element into its envelope and the payload inside ``data``."""
+def read_document(df: DataFrame, document: str, fields: str = "_fields") -> tuple[DataFrame, JsonRecord]:
+    """Add the map of a JSON text or VARIANT column and a reader for it."""
     if dict(df.dtypes)[document] == "string":
-        df = df.selectExpr("*", f"try_parse_json(`{document}`) AS _doc", f"`{document}` AS _shown")
+        variant, entries = f"try_parse_json(`{document}`)", f"from_json(`{document}`, '{MAP}')"
     else:
-        df = df.selectExpr("*", f"`{document}` AS _doc", f"to_json(`{document}`) AS _shown")
-    outer = JsonRecord("_outer")
-    df = outer.stage(df, "_doc", ("message_id", "timestamp", "data"))
-    stamped = f"coalesce({outer.kind('timestamp')} = 'STRING', FALSE)"
+        variant, entries = f"`{document}`", f"try_variant_get(`{document}`, '$', '{MAP}')"
+    return df.selectExpr("*", f"{entries} AS {fields}"), JsonRecord(fields, variant)
+
+
+def _json_envelope(df: DataFrame, document: str) -> tuple[DataFrame, JsonRecord]:
+    """Split an element into its envelope and the payload inside ``data``."""
+    shown = f"`{document}`" if dict(df.dtypes)[document] == "string" else f"to_json(`{document}`)"
+    df, outer = read_document(df, document, "_element")
+    wrapped = outer.present("data")
     df = df.selectExpr(
         "*",
-        "coalesce(_node_outer.data, _doc) AS _data",
+        f"{shown} AS _shown",
+        f"IF({wrapped}, from_json({outer.text('data')}, '{MAP}'), _element) AS _fields",
         f"{outer.text_or('message_id', 'unknown')} AS _message_id",
-        f"IF({stamped}, {outer.text('timestamp')}, NULL) AS _stamp",
-        f"CASE WHEN {outer.present('timestamp')} AND NOT {stamped} THEN 'timestamp is not text' "
-        f"WHEN {outer.present('data')} AND {outer.kind('data')} NOT LIKE 'OBJECT%' "
+        f"{outer.text('timestamp')} AS _stamp",
+        # Text that is not a time counts as missing; other values are failures.
+        f"CASE WHEN {outer.is_null('timestamp')} OR ({R.wall_clock(outer.text('timestamp'))} IS NULL "
+        f"AND {outer.present('timestamp')} AND {outer.kind('timestamp')} <> 'STRING') THEN 'timestamp is not text' "
+        f"WHEN {wrapped} AND coalesce({outer.text('data')} NOT LIKE '{{%', TRUE) "
         "THEN 'data is not an object' END AS _envelope_error",
     )
-    record = JsonRecord()
-    return record.stage(df, "_data", TEXTS, NUMBERS), record
+    node = f"IF({wrapped}, try_variant_get({outer.document}, '$.data', 'variant'), {outer.document})"
+    record = JsonRecord("_fields", node)
+    return record.stage(df, NUMBERS), record
 
 
 def _table_envelope(df: DataFrame) -> tuple[DataFrame, TableRecord]:
     record = TableRecord(df, NUMBERS)
-    if record.types.get("timestamp", "string") == "string":
-        stamp = record.text("timestamp")
-    else:
-        stamp = "replace(CAST(CAST(timestamp AS TIMESTAMP_NTZ) AS STRING), ' ', 'T')"
+    typed = record.types.get("timestamp", "string") != "string"
     payload = ", ".join(f"`{c}`" for c in df.columns if not c.startswith("_"))
     df = df.selectExpr(
         "*",
         f"to_json(struct({payload})) AS _shown",
         f"{record.text_or('message_id', 'unknown')} AS _message_id",
-        f"{stamp} AS _stamp",
+        "CAST(timestamp AS TIMESTAMP_NTZ) AS _stamp" if typed else f"{record.text('timestamp')} AS _stamp",
         "CAST(NULL AS STRING) AS _envelope_error",
     )
     return df, record
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """The same rows as generated columns.
+
+    Spark moves a filter on a plain column below the projections that make it,
+    which would read JSON fields once more per filter. It does not move filters
+    on generated columns. The generator only packs finished columns, because
+    it does not take part in code generation.
+    """
+    columns = ", ".join(f"`{name}`" for name in df.columns)
+    return df.selectExpr(f"inline(array(struct({columns})))")
+
+
 def extract_features(
     df: DataFrame,
     document: str | None = None,
@@ -90,12 +107,14 @@ def extract_features(
     """
     generic = generic_names(df) if document is None else None
     df, record = _table_envelope(df) if document is None else _json_envelope(df, document)
+    # A typed time needs no parsing and has no offset of its own.
+    typed = dict(df.dtypes)["_stamp"] != "string"
     base = (
         df.withColumn("_now", moment(processing_time))
         .selectExpr(
             "*",
-            f"{R.wall_clock('_stamp')} AS _parsed",
-            f"{R.utc_offset('_stamp')} AS _given",
+            f"{'_stamp' if typed else R.wall_clock('_stamp')} AS _parsed",
+            "'' AS _given" if typed else f"{R.utc_offset('_stamp')} AS _given",
             *R.aliased(R.amount_stage(record)),
         )
         .selectExpr(
@@ -108,7 +127,7 @@ def extract_features(
 
     columns: dict[str, str] = {}
     if domain == "generic":
-        columns.update(generic_columns(generic))
+        columns.update(generic_columns(generic, getattr(record, "document", None)))
     else:
         columns.update(R.amount_columns())
         columns.update(R.entity_columns(record))
@@ -131,12 +150,9 @@ def extract_features(
         f"coalesce(_envelope_error, {R.numerical_error(record)}) AS {ERROR}",
         f"_shown AS {ELEMENT}",
     ]
-    if document is not None:
-        # Spark moves a filter on a plain column below the projections that
-        # make it, which would read JSON fields once more per filter. It does
-        # not move filters on generated columns.
-        outputs = [f"inline(array(struct({', '.join(outputs)})))"]
     first = base.selectExpr(*[f"`{name}`" for name in keep], *outputs)
+    if document is not None:
+        first = fence(first)
     derived = first.selectExpr("*", *R.aliased(R.derived_columns()))
     fixed = {"event_time", "event_wall", ERROR, *keep}
     result = []
@@ -159,7 +175,7 @@ def generic_names(df: DataFrame) -> list[str]:
     return [n for n, kind in df.dtypes if kind.split("(")[0] in _ATOMIC and not n.startswith("_")]
 
 
-def generic_columns(names: list[str] | None) -> dict[str, str]:
+def generic_columns(names: list[str] | None, document: str | None = None) -> dict[str, str]:
     """Top-level numbers, strings and booleans; nested values are dropped.
 
     A table knows its scalar columns. A JSON document has an open set of keys,
@@ -167,7 +183,7 @@ def generic_columns(names: list[str] | None) -> dict[str, str]:
     """
     if names is not None:
         return {name: f"`{name}`" for name in names}
-    members = "map_entries(try_variant_get(_data, '$', 'map<string,variant>'))"
+    members = f"map_entries(try_variant_get({document}, '$', 'map<string,variant>'))"
     scalar = "e -> schema_of_variant(e.value) NOT LIKE 'OBJECT%' AND schema_of_variant(e.value) NOT LIKE 'ARRAY%'"
     text = "e -> struct(e.key, try_variant_get(e.value, '$', 'string') AS value)"
     return {"fields": f"map_from_entries(transform(filter({members}, {scalar}), {text}))"}

@@ -61,7 +61,8 @@ def validation_errors(df: DataFrame, rules: ValidationRules) -> Column:
 def validate_features(df: DataFrame, rules: ValidationRules) -> DataFrame:
     """Add ``validation_errors`` and ``is_valid``; split with the helpers below."""
     # Generated, so that filters on the verdict do not evaluate the rules again.
-    checked = df.withColumn(ERRORS, F.explode(F.array(validation_errors(df, rules))))
+    marked = df.withColumn("_messages", validation_errors(df, rules))
+    checked = marked.withColumn(ERRORS, F.explode(F.array("_messages"))).drop("_messages")
     return checked.withColumn("is_valid", F.size(ERRORS) == 0)
 
 

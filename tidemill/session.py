@@ -28,6 +28,9 @@ def build_session(
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # The JVM never compiles methods above 8000 bytes. Wide projections such
+        # as feature extraction run faster as several small methods.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     if shuffle_partitions is not None:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

@@ -30,7 +30,9 @@ def merchant(kind: Column) -> Column:
 
 
 def with_k(events: DataFrame) -> DataFrame:
-    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    """Events with ``k`` as a generated column, so that it is parsed once per row."""
+    parsed = events.withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
+    return parsed.withColumn("k", F.explode(F.array("_k"))).drop("_k")
 
 
 def transactions(events: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def transactions(events: DataFrame) -> DataFrame:
     return with_k(events).select(
         F.col("event_id").cast("string").alias("message_id"),
         F.col("user_id").cast("string").alias("user_id"),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+        F.col("ts").alias("timestamp"),
         (F.col("value") * 10).alias("amount"),
         merchant(F.col("event_type")).alias("merchant_category"),
         choose(F.col("k"), PAYMENTS).alias("payment_method"),

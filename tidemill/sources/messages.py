@@ -11,9 +11,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions.payload import JsonRecord, decode_payload
+from tidemill.functions.payload import MAP, decode_payload
 from tidemill.functions.record import instant, utc_offset, wall_clock
-from tidemill.operators.extract import moment
+from tidemill.operators.extract import moment, read_document
 
 
 def kafka_options(
@@ -106,12 +106,8 @@ def envelope_from_json(
     df: DataFrame, column: str = "value", processing_time: Column | dt.datetime | str | None = None
 ) -> DataFrame:
     """Envelope from its own JSON form; a missing time is the processing time."""
-    record = JsonRecord()
-    staged = record.stage(
-        df.withColumns({"_doc": F.try_parse_json(column), "_now": moment(processing_time)}),
-        "_doc",
-        ("message_id", "data", "timestamp", "source", "partition_key", "offset"),
-    ).selectExpr(
+    staged, record = read_document(df.withColumn("_now", moment(processing_time)), column)
+    staged = staged.selectExpr(
         "*",
         f"{wall_clock(record.text('timestamp'))} AS _wall",
         f"{utc_offset(record.text('timestamp'))} AS _offset",
@@ -121,8 +117,7 @@ def envelope_from_json(
         f"{record.text('data')} AS data",
         f"coalesce({instant('_wall', '_offset')}, _now) AS timestamp",
         f"{record.text('source')} AS source",
-        "coalesce(try_variant_get(_doc, '$.attributes', 'map<string,string>'), "
-        "CAST(map() AS MAP<STRING,STRING>)) AS attributes",
+        f"coalesce(from_json({record.text('attributes')}, '{MAP}'), CAST(map() AS {MAP})) AS attributes",
         f"{record.text('partition_key')} AS partition_key",
         f"try_cast({record.text('offset')} AS DECIMAL(38,0)) AS offset",
     )
