@@ -76,16 +76,17 @@ def _table_envelope(df: DataFrame) -> tuple[DataFrame, TableRecord]:
     return df, record
 
 
-def fence(df: DataFrame) -> DataFrame:
-    """The same rows as generated columns.
+def fence(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The same rows with some columns generated from themselves.
 
     Spark moves a filter on a plain column below the projections that make it,
-    which would read JSON fields once more per filter. It does not move filters
-    on generated columns. The generator only packs finished columns, because
-    it does not take part in code generation.
+    which would parse times and numbers once more per filter. It does not move
+    filters on generated columns. The generator only packs finished columns,
+    because it does not take part in code generation.
     """
-    columns = ", ".join(f"`{name}`" for name in df.columns)
-    return df.selectExpr(f"inline(array(struct({columns})))")
+    packed = ", ".join(f"`{name}`" for name in columns)
+    others = [f"`{name}`" for name in df.columns if name not in columns]
+    return df.selectExpr(*others, f"inline(array(struct({packed})))")
 
 
 def extract_features(
@@ -125,6 +126,11 @@ def extract_features(
         .selectExpr("*", f"{R.instant('_wall', '_offset')} AS _instant")
     )
 
+    base = base.selectExpr("*", f"coalesce(_envelope_error, {R.numerical_error(record)}) AS _error")
+    if document is not None:
+        staged = [f"_number_{name}" for name in NUMBERS]
+        base = fence(base, ["_error", "_amount", "_amount_broken", "_wall", "_offset", "_instant", *staged])
+
     columns: dict[str, str] = {}
     if domain == "generic":
         columns.update(generic_columns(generic, getattr(record, "document", None)))
@@ -147,12 +153,10 @@ def extract_features(
         "_instant AS event_time",
         "_wall AS event_wall",
         *R.aliased(columns),
-        f"coalesce(_envelope_error, {R.numerical_error(record)}) AS {ERROR}",
+        f"_error AS {ERROR}",
         f"_shown AS {ELEMENT}",
     ]
     first = base.selectExpr(*[f"`{name}`" for name in keep], *outputs)
-    if document is not None:
-        first = fence(first)
     derived = first.selectExpr("*", *R.aliased(R.derived_columns()))
     fixed = {"event_time", "event_wall", ERROR, *keep}
     result = []
