@@ -141,7 +141,7 @@ def smoothed_risk(
 ) -> DataFrame:
     """Risk of a location: its positive rate, drawn to the overall rate when rare.
 
-    The reference names a scorer without a formula; this definition is ours.
+    No formula is published for this score; the definition is ours.
     """
     overall = df.agg(F.avg(F.col(label).cast("double"))).scalar()
     return df.groupBy(*keys).agg(
