@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import exactdedup, mixing, urlfilter
+from tidemill.llm import exactdedup, langid, linededup, mixing, packing, urlfilter
+from tidemill.llm.common import remainder
 from tidemill.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +79,45 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+_LINE_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS position FROM d),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+g AS (SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS gone FROM k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM g GROUP BY doc_id"""
+
+
+@_query("op6_line_dedup", _LINE_SQL)
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that each document keeps, as a digest of the text that is left."""
+    docs = table(spark, folder, "documents")
+    kept = linededup.apply_bitmaps(docs, linededup.repeated_lines(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@_query("op7_language_id")
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document, learnt from two folds of three."""
+    docs = table(spark, folder, "documents")
+    fold = docs.select("doc_id", "text", "lang", (remainder(3) == 1).alias("held_out"))
+    model = langid.learn(fold.filter(~F.col("held_out")).select("text", F.col("lang").alias("label")))
+    judged = langid.identify(fold.select("doc_id", "text", "held_out"), model)
+    return judged.select("doc_id", "held_out", "lang_pred", "score", F.map_keys("languages").alias("languages"))
+
+
+@_query("op8_pack_documents")
+def op8_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 1024 ids."""
+    pieces = packing.tokenize_pieces(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    # The digest is taken first, so that ids stay where they were written.
+    digested = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return digested.join(packing.place_pieces(pieces), ["row", "piece"]).drop("row")
+
+
 _URL_SQL = r"""
 WITH u AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
