@@ -17,7 +17,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = exact_duplicates(docs)
     gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("gone_key"))
-    return docs.select(*COLUMNS).join(gone, same, "left_anti")
+    return docs.select(*COLUMNS).join(gone.hint("shuffle_hash"), same, "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.expr("explode(sequence(1, cast(ceil(taken / size) as int)))").alias("epoch"),
     )
     same = F.col("doc_id").eqNullSafe(F.col("mixed_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("mixed_key"))
-    return docs.select(*COLUMNS).join(copies, same).select(*COLUMNS)
+    return docs.select(*COLUMNS).join(copies.hint("shuffle_hash"), same).select(*COLUMNS)
 
 
 STAGES = [

@@ -109,11 +109,12 @@ def exact_duplicates(
         F.octet_length(own).cast("bigint").alias("n_bytes"),
         own.alias("body"),
     )
-    copies = texts.join(copied, _CHAIN)
+    # A hash join reads the texts without sorting them, and does so at any size.
+    copies = materialize(texts.join(copied.hint("shuffle_hash"), _CHAIN), work_path(spark, "exact-copies"))
     heads = (
         copies.filter(F.col("doc_id").eqNullSafe(F.col("head_id")))
         .groupBy(*_CHAIN)
-        .agg(F.min("body").alias("head_body"))
+        .agg(F.first("body").alias("head_body"))
     )
     compared = materialize(
         copies.join(heads, _CHAIN).select(

@@ -167,7 +167,8 @@ def _keep_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, kept_text."""
-    joined = _versioned(docs).join(bitmaps, ["owner", "version"], "left")
+    # A hash join reads the texts without sorting them, and does so at any size.
+    joined = _versioned(docs).join(bitmaps.hint("shuffle_hash"), ["owner", "version"], "left")
     kept = joined.select(
         "owner", "text", "keep_bitmap", F.coalesce("n_dropped", F.lit(0)).cast("bigint").alias("n_dropped")
     ).mapInArrow(_keep_lines, "owner bigint, n_lines bigint, n_dropped bigint, kept_text string")
