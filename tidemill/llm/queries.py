@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import exactdedup, langid, linededup, mixing, packing, urlfilter
+from tidemill.llm import exactdedup, langid, linededup, mixing, neardup, packing, urlfilter
 from tidemill.llm.common import remainder
 from tidemill.session import table
 
@@ -58,6 +58,13 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM o"""
 
 
+@_query("op2_minhash_dedup")
+def op2_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose sets of 3-word shingles are 85% alike."""
+    found = neardup.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @_query("op3_mix_sources", _MIX_SQL)
 def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Words that a mix of 150% of all words takes of each document."""
