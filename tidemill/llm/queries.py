@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import exactdedup, langid, linededup, mixing, neardup, packing, urlfilter
+from tidemill.llm import exactdedup, kneserney, langid, linededup, mixing, neardup, packing, urlfilter
 from tidemill.llm.common import remainder
 from tidemill.session import table
 
@@ -26,6 +26,9 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+#: Longest n-grams of the language model.
+LM_ORDER = 2
+
 #: The rules that the URL query judges by.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -58,6 +61,14 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM o"""
 
 
+@_query("op1_lm_score")
+def op1_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of every document, learnt from six folds of seven."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", (remainder(7) == 2).alias("held_out"))
+    model = kneserney.train(docs.filter(~F.col("held_out")), order=LM_ORDER)
+    return kneserney.score_texts(docs, model).withColumn("train_tokens", F.lit(model.train_tokens).cast("bigint"))
+
+
 @_query("op2_minhash_dedup")
 def op2_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents whose sets of 3-word shingles are 85% alike."""
@@ -141,5 +152,5 @@ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rul
 @_query("op10_url_filter", _URL_SQL)
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Rule and verdict of every page."""
-    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS rules(action, host, path)")
     return urlfilter.judge_urls(table(spark, folder, "pages"), rules)
