@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import exactdedup, kneserney, langid, linededup, mixing, neardup, packing, topk, urlfilter
+from tidemill.llm import exactdedup, kneserney, langid, linededup, mixing, neardup, packing, quality, topk, urlfilter
 from tidemill.llm.common import remainder
 from tidemill.session import table
 
@@ -156,6 +156,20 @@ def op8_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     return digested.join(packing.place_pieces(pieces), ["row", "piece"]).drop("row")
 
 
+@_query("op9_quality")
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learnt from the labels of four folds of five.
+
+    The documents' hosts are their sources, the paths the languages of a source.
+    """
+    docs = table(spark, folder, "documents").withColumn("path", F.concat_ws("/", "source", "lang"))
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("labelled_id"), F.col("quality").alias("label"))
+    known = docs.join(labels.hint("shuffle_hash"), F.col("doc_id") == F.col("labelled_id"))
+    model = quality.fit(known.filter(remainder(5) != 1).select("text", "label"))
+    judged = quality.judge(docs, model, host="source")
+    return judged.withColumn("held_out", remainder(5) == 1)
+
+
 _URL_SQL = r"""
 WITH u AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
