@@ -2,8 +2,8 @@
 
 Pieces shorter than a sequence are dealt to shards of bounded size by hash. In a
 shard, long pieces first, each piece goes where the sum of squares of the
-numbers of open bins with each residual gap becomes smallest: into an open bin
-or a new one. Whole sequences need no packing. Token ids are written once and
+numbers of open bins with each residual gap becomes smallest; a new bin is
+opened where no open one has room. Whole sequences need no packing. Token ids are written once and
 never travel with the packing, which sees lengths only.
 """
 
@@ -142,9 +142,8 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
         change = 2 * (count[: size + 1 - length] - count[length:]) + 2
         change[0] -= 1  # a full bin is counted nowhere
         change[count[length:] == 0] = np.iinfo(np.int64).max
-        fresh = 2 * count[size - length] + 1 if length < size else 0
         best = int(change.argmin())
-        if change[best] <= fresh and count[best + length]:
+        if count[best + length]:
             gap = best + length
             bin_ = open_bins[gap].pop()
             count[gap] -= 1
