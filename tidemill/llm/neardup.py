@@ -8,12 +8,17 @@ that similar classes stay together with the probability of their similarity and
 a path is taken 1 / threshold times on average.
 
 A node of at most ``limit`` classes ends its branch and is compared
-exhaustively. A larger node first compares everything with one pivot. When all
-but ``limit`` of its classes resemble the pivot, the rest are compared with the
-whole node, block by block, and the branch ends: the others are joined through
-the pivot. So a group of near copies of any size is linked without listing its
-pairs. Comparisons use sketches and only propose links; a link counts once the
-full shingle sets confirm it.
+exhaustively. A larger node first compares everything with a few pivots. Classes
+that clearly resemble a pivot are joined through it and leave the branch; if at
+most ``limit`` are left, these are compared with the whole node, block by block,
+and the branch ends, else they go on branching. So a group of near copies of any
+size is linked without listing its pairs.
+
+Comparisons use sketches and only propose: a pivot and a class, or a cluster of
+classes that hang together by their estimates. Equal clusters of several trees
+are one. A link counts once the full shingle sets confirm it; inside a cluster
+every two classes that are not yet joined are tested, so nothing is listed pair
+by pair and nothing is left out.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from tidemill.session import materialize, work_path
 #: Positions of a signature.
 WIDTH = 128
 _PROFILE = "doc_id bigint, text_key bigint, n_shingles bigint, class bigint, signature binary"
-_PAIR = "a bigint, b bigint, estimate float"
+_BLOCK = "array<struct<class: bigint, sketch: binary>>"
 
 
 def _seeds(salt: int, n: int) -> np.ndarray:
@@ -158,17 +163,46 @@ def _estimate(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (agree - 1 / 256) / (1 - 1 / 256)
 
 
-def _against_pivot(near: float):
-    """Estimate of each class against its node's pivot, where it resembles it."""
+class _Groups:
+    """Union of a few ids."""
+
+    def __init__(self):
+        self.parent: dict = {}
+
+    def find(self, x):
+        parent = self.parent
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def join(self, a, b) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.parent[a] = b
+        return a != b
+
+
+def _against_pivots(clear: float):
+    """Whether a class clearly resembles a pivot of its node, and the links that says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = _Groups()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = _estimate(_matrix(batch.column("signature")).astype(np.uint8), _matrix(batch.column("pivot_signature")).astype(np.uint8))
+            own = _matrix(batch.column("sketch"), np.uint8)
+            covered, links = [], []
+            nodes, classes = batch.column("node").to_pylist(), batch.column("class").to_pylist()
+            for i, pivots in enumerate(batch.column("pivots").to_pylist()):
+                names = [p["class"] for p in pivots]
+                found = _estimate(own[i], np.frombuffer(b"".join(p["sketch"] for p in pivots), np.uint8).reshape(len(names), -1))
+                near = sorted(((float(e), x) for e, x in zip(found, names) if e >= clear and x != classes[i]), reverse=True)
+                covered.append(bool(near))
+                # Further pivots count only as far as they join pivots.
+                near = near[:1] + [(e, x) for e, x in near[1:] if joined.join((nodes[i], near[0][1]), (nodes[i], x))]
+                links.append([x for _, x in near])
             yield pa.record_batch(
-                [batch.column("node"), batch.column("class"), batch.column("pivot"), pa.array(found, pa.float32())],
-                names=["node", "class", "pivot", "estimate"],
+                [batch.column("node"), batch.column("class"), pa.array(covered), pa.array(links, pa.list_(pa.int64()))],
+                names=["node", "class", "covered", "links"],
             )
 
     return run
@@ -189,31 +223,27 @@ def _branch(threshold: float):
     return run
 
 
-def _compare(propose: float):
-    """All pairs of two blocks of a node whose sketches come close enough."""
+def _gather(propose: float):
+    """Clusters of a whole small node, or of a few classes with a block of a large one."""
 
-    def block(rows) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array([r["class"] for r in rows], np.int64)
-        return ids, np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(ids), -1)
+    def block(rows) -> tuple[list[int], np.ndarray]:
+        return [r["class"] for r in rows], np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for mine, theirs in zip(batch.column("few"), batch.column("block")):
-                left, a = block(mine.as_py())
-                right, b = block(theirs.as_py())
-                for i in range(len(left)):
-                    found = _estimate(a[i], b)
-                    hit = (found >= propose) & (right != left[i])
-                    if hit.any():
-                        one = np.full(int(hit.sum()), left[i])
-                        yield pa.record_batch(
-                            [
-                                pa.array(np.minimum(one, right[hit])),
-                                pa.array(np.maximum(one, right[hit])),
-                                pa.array(found[hit], pa.float32()),
-                            ],
-                            names=["a", "b", "estimate"],
-                        )
+            out = []
+            for whole, mine, theirs in zip(*(batch.column(c).to_pylist() for c in ("whole", "few", "block"))):
+                right, b = block(theirs)
+                left, a = (right, b) if whole else block(mine)
+                groups = _Groups()
+                for i, x in enumerate(left):
+                    for k in np.flatnonzero(_estimate(a[i], b[:i] if whole else b) >= propose).tolist():
+                        groups.join(x, right[k])
+                held: dict[int, list[int]] = {}
+                for x in list(groups.parent):
+                    held.setdefault(groups.find(x), []).append(x)
+                out += [sorted(c) for c in held.values() if len(c) > 1]
+            yield pa.record_batch([pa.array(out, pa.list_(pa.int64()))], names=["members"])
 
     return run
 
@@ -230,71 +260,75 @@ def _sketch():
     return run
 
 
-def candidate_pairs(
-    classes: DataFrame, threshold: float, trees: int, limit: int, slack: float, block_rows: int = 256
-) -> DataFrame:
-    """Pairs of classes (a, b, estimate) that the trees bring together."""
+def candidates(
+    classes: DataFrame,
+    threshold: float,
+    trees: int,
+    limit: int,
+    slack: float,
+    pivots: int = 8,
+    block_rows: int = 256,
+) -> tuple[DataFrame, DataFrame]:
+    """What the trees bring together: pairs (a, b) with pivots, and clusters (members)."""
     spark = classes.sparkSession
     kept = lambda df, name: materialize(df, work_path(spark, f"near-{name}"))
     signatures = classes.select("class", "signature")
     sketches = kept(signatures.mapInArrow(_sketch(), "class bigint, sketch binary"), "sketches")
-    propose = threshold - slack
+    propose, clear = threshold - slack, threshold + slack / 2
     nodes = signatures.mapInArrow(_roots(trees, threshold), "node bigint, class bigint")
     proposed, ended = [], []
+    turns = [F.xxhash64("node", F.lit(i)) for i in range(pivots)]
     while True:
-        # The pivot is the smallest class under a node's own permutation.
+        # A pivot is the smallest class under one of the node's own permutations.
         sizes = nodes.groupBy("node").agg(
-            F.count("*").alias("n"), F.min(F.col("class").bitwiseXOR(F.col("node"))).alias("least")
+            F.count("*").alias("n"), *(F.min(F.col("class").bitwiseXOR(t)).alias(f"least_{i}") for i, t in enumerate(turns))
         )
-        sizes = sizes.filter("n > 1").withColumn("pivot", F.col("least").bitwiseXOR(F.col("node"))).drop("least")
+        chosen = F.array_distinct(F.array(*(F.col(f"least_{i}").bitwiseXOR(t) for i, t in enumerate(turns))))
+        sizes = sizes.filter("n > 1").select("node", "n", F.when(F.col("n") > limit, chosen).alias("chosen"))
         placed = kept(nodes.join(sizes, "node"), "nodes")
         small = placed.filter(F.col("n") <= limit)
         ended.append(small.select("node", "class", "n", F.lit(True).alias("alone")))
         large = placed.filter(F.col("n") > limit)
         if large.isEmpty():
             break
-        pivots = large.select("node", "pivot").distinct()
-        pivots = pivots.join(signatures.toDF("pivot", "pivot_signature"), "pivot")
-        with_own = large.join(signatures, "class").select("node", "class", "signature")
+        named = large.groupBy("node").agg(F.first("chosen").alias("chosen")).select("node", F.explode("chosen").alias("class"))
+        listed = named.join(sketches, "class").groupBy("node").agg(F.collect_list(F.struct("class", "sketch")).alias("pivots"))
         judged = kept(
-            with_own.join(pivots, "node").mapInArrow(
-                _against_pivot(threshold), "node bigint, class bigint, pivot bigint, estimate float"
+            large.select("node", "class").join(sketches, "class").join(listed, "node").mapInArrow(
+                _against_pivots(clear),
+                "node bigint, class bigint, covered boolean, links array<bigint>",
             ),
-            "pivots",
+            "judged",
         )
+        links = judged.select("class", F.explode("links").alias("l"))
         proposed.append(
-            judged.filter((F.col("estimate") >= propose) & (F.col("class") != F.col("pivot"))).select(
-                F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"), "estimate"
-            )
+            links.select(F.least("class", "l").alias("a"), F.greatest("class", "l").alias("b"))
         )
-        unlike = judged.groupBy("node").agg(
-            F.count("*").alias("n"), F.count_if(F.col("estimate") < threshold).alias("n_unlike")
-        )
-        done = unlike.filter(F.col("n_unlike") <= limit).select(F.col("node"), "n")
-        rest = unlike.filter(F.col("n_unlike") > limit).select("node")
-        ended.append(
-            judged.join(done, "node").select("node", "class", "n", (F.col("estimate") < threshold).alias("alone"))
-        )
-        nodes = with_own.join(rest, "node").mapInArrow(_branch(threshold), "node bigint, class bigint")
+        left = judged.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~F.col("covered")).alias("n_left"))
+        done = left.filter(F.col("n_left").between(1, limit)).select("node", "n")
+        ended.append(judged.join(done, "node").select("node", "class", "n", (~F.col("covered")).alias("alone")))
+        rest = left.filter(F.col("n_left") > limit).select("node")
+        going = judged.filter(~F.col("covered")).join(rest, "node").select("node", "class")
+        nodes = going.join(signatures, "class").mapInArrow(_branch(threshold), "node bigint, class bigint")
     finished = ended[0]
     for more in ended[1:]:
         finished = finished.unionByName(more)
+    member = F.struct("class", "sketch")
     blocks = (
         finished.join(sketches, "class")
         .withColumn("part", F.expr(f"pmod(xxhash64(class), cast(ceil(n / {block_rows}) as int))"))
-        .groupBy("node", "part")
-        .agg(
-            F.collect_list(F.struct("class", "sketch")).alias("block"),
-            F.collect_list(F.when(F.col("alone"), F.struct("class", "sketch"))).alias("few"),
-        )
+        .groupBy("node", "part", "n")
+        .agg(F.collect_list(member).alias("block"), F.collect_list(F.when(F.col("alone"), member)).alias("few"))
     )
-    blocks = kept(blocks, "blocks")
-    few = blocks.filter(F.size("few") > 0).select("node", "few")
-    proposed.append(few.join(blocks.select("node", "block"), "node").mapInArrow(_compare(propose), _PAIR))
-    pairs = proposed[0]
-    for more in proposed[1:]:
+    whole = blocks.filter(F.col("n") <= limit).select(F.lit(True).alias("whole"), F.array().cast(_BLOCK).alias("few"), "block")
+    wide = kept(blocks.filter(F.col("n") > limit), "blocks")
+    few = wide.groupBy("node").agg(F.flatten(F.collect_list("few")).alias("few"))
+    crossed = few.join(wide.select("node", "block"), "node").select(F.lit(False).alias("whole"), "few", "block")
+    clusters = whole.unionByName(crossed).mapInArrow(_gather(propose), "members array<bigint>").distinct()
+    pairs = spark.createDataFrame([], "a bigint, b bigint")
+    for more in proposed:
         pairs = pairs.unionByName(more)
-    return kept(pairs.groupBy("a", "b").agg(F.max("estimate").alias("estimate")), "pairs")
+    return kept(pairs.distinct(), "pairs"), kept(clusters, "clusters")
 
 
 def _confirm(words: int, percent: int):
@@ -351,12 +385,72 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, words: int, percent: int,
     )
 
 
+def _linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
+        return False
+    at = np.minimum(np.searchsorted(one, two), len(one) - 1)
+    shared = int((one[at] == two).sum())
+    return 100 * shared >= percent * (len(one) + len(two) - shared)
+
+
+def _confirm_clusters(words: int, percent: int):
+    """Links that join the classes of each cluster as far as their sets do."""
+
+    def links(names: list[int], labels: list[int], texts: list[str]):
+        sets = shingle_sets(texts, words)
+        known: dict[int, list[int]] = {}
+        for i, label in enumerate(labels):
+            known.setdefault(label, []).append(i)
+        groups: list[list[int]] = []
+        for joined in sorted(known.values(), key=len, reverse=True):
+            apart, fresh = [], joined
+            for group in groups:
+                found = next(((j, i) for i in fresh for j in group if _linked(sets[j], sets[i], percent)), None)
+                if found is None:
+                    apart.append(group)
+                else:
+                    yield names[found[0]], names[found[1]]
+                    joined = group + joined
+            groups = [*apart, joined]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cluster, held = None, ([], [], [])
+        for batch in batches:
+            out = []
+            for c, *row in zip(*(batch.column(x).to_pylist() for x in ("cluster", "class", "label", "text"))):
+                if c != cluster:
+                    out += links(*held)
+                    cluster, held = c, ([], [], [])
+                for column, value in zip(held, row):
+                    column.append(value)
+            yield pa.record_batch(
+                [pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"]
+            )
+        out = list(links(*held))
+        yield pa.record_batch(
+            [pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"]
+        )
+
+    return run
+
+
+def confirm_clusters(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes with different labels of clusters (cluster, class, label)."""
+    return (
+        members.join(texts, "class")
+        .select("cluster", "class", "label", "text")
+        .repartition("cluster")
+        .sortWithinPartitions("cluster", "class")
+        .mapInArrow(_confirm_clusters(words, percent), "a bigint, b bigint")
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
     percent: int = 80,
     trees: int = 12,
-    limit: int = 64,
+    limit: int = 512,
     slack: float = 0.1,
     chunk_chars: int = 1_000_000,
 ) -> DataFrame:
@@ -383,8 +477,11 @@ def near_duplicates(
         ),
         work_path(spark, "near-classes"),
     )
-    pairs = candidate_pairs(classes, threshold, trees, limit, slack)
-    chosen = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    pairs, clusters = candidates(classes, threshold, trees, limit, slack)
+    members = clusters.select(
+        F.xxhash64("members").alias("cluster"), F.size("members").alias("n"), F.explode("members").alias("class")
+    )
+    chosen = members.select("class").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("class"))).distinct()
     heads = classes.join(chosen, "class").select(
         "class", F.col("head.doc_id").alias("head_id"), F.col("head.text_key").alias("head_key")
     )
@@ -393,26 +490,25 @@ def near_duplicates(
         keyed.join(heads.hint("shuffle_hash"), same).groupBy("class").agg(F.first("text").alias("text")),
         work_path(spark, "near-texts"),
     )
-    # First the best partner of each class; then only pairs that still join two
-    # components are worth a test.
-    both = pairs.select(F.explode(F.expr("array(struct(a, b, a as c, estimate), struct(a, b, b as c, estimate))")).alias("e")).select("e.*")
-    best = Window.partitionBy("c").orderBy(F.desc("estimate"), "a", "b")
-    first = both.withColumn("turn", F.row_number().over(best)).filter("turn = 1").select("a", "b").distinct()
-    tested = materialize(confirm_pairs(first, texts, words, percent), work_path(spark, "near-tested"))
-    links = tested.filter("linked").select("a", "b")
-    labels = components(links)
-    open_pairs = pairs.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    label_a, label_b = labels.toDF("a", "label_a"), labels.toDF("b", "label_b")
-    open_pairs = (
-        open_pairs.join(label_a, "a", "left").join(label_b, "b", "left")
-        .filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
-        .select("a", "b")
+    # First the largest cluster of each class; then only clusters that may still
+    # join two components.
+    largest = Window.partitionBy("class").orderBy(F.desc("n"), "cluster")
+    ranked = materialize(
+        members.withColumn("home", F.row_number().over(largest) == 1), work_path(spark, "near-members")
     )
-    more = materialize(
-        confirm_pairs(materialize(open_pairs, work_path(spark, "near-open")), texts, words, percent),
-        work_path(spark, "near-more"),
+    homes = ranked.filter("home").select("cluster").distinct()
+    first = confirm_clusters(
+        ranked.join(homes, "cluster").select("cluster", "class", F.col("class").alias("label")), texts, words, percent
     )
-    labels = components(links.unionByName(more.filter("linked").select("a", "b")))
+    stars = confirm_pairs(pairs, texts, words, percent).filter("linked").select("a", "b")
+    links = materialize(first.unionByName(stars), work_path(spark, "near-links"))
+    labels = components(links)
+    others = ranked.join(homes, "cluster", "left_anti").join(labels.toDF("class", "label"), "class", "left")
+    others = others.withColumn("label", F.coalesce("label", "class"))
+    mixed = others.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    more = confirm_clusters(others.join(mixed.select("cluster"), "cluster"), texts, words, percent)
+    more = materialize(more, work_path(spark, "near-more"))
+    labels = components(links.unionByName(more))
     grouped = classes.select("class", "least_id").join(labels.toDF("class", "label"), "class", "left")
     grouped = grouped.withColumn("label", F.coalesce("label", "class"))
     smallest = grouped.groupBy("label").agg(F.min("least_id").alias("component_id"))
