@@ -10,8 +10,10 @@ never travel with the packing, which sees lengths only.
 from __future__ import annotations
 
 import os
-import re
+import sys
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,44 +27,57 @@ from tidemill.session import work_path
 
 PIECES = "row bigint, doc_id bigint, piece int, start bigint, length bigint, ids binary"
 _PLACES = "row bigint, piece int, sequence_id bigint, offset bigint"
-_MEMO_WORDS = 300_000
+_MEMO_WORDS = 1_500_000
 _ENCODERS: dict[str, "_Encoder"] = {}
 
 
+def _little(ids: array) -> array:
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids
+
+
 class _Encoder:
     """Ids of texts, word by word, with a memory for words.
 
     A byte-level pattern never lets a token span the place before a single
-    space that follows a printing character, so a text may be cut there. Texts
-    with adjoining white space are encoded whole.
+    space between two printing characters, so a text may be cut there. Texts
+    with other white space beside a space are encoded whole.
     """
 
-    adjoining = re.compile(r"\s\s|^\s|\s$")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        # Ids of a word with the space before it; None where cutting is not safe.
+        self.memo: dict[str, bytes | None] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.model.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in done]
+        return [_little(array("I", x.ids)).tobytes() for x in done]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         memo = self.memo
         if len(memo) > _MEMO_WORDS:
             memo.clear()
-        cut = [None if self.adjoining.search(x) else x.replace(" ", "\0 ").split("\0") if "\0" not in x else None for x in texts]
-        new = list({w for words in cut if words for w in words if w not in memo})
-        memo.update(zip(new, self._encode(new)))
-        return [
-            b"".join([memo[w] for w in words]) if words is not None else self._encode([text])[0]
-            for text, words in zip(texts, cut)
-        ]
+        cut = [x.split(" ") for x in texts]
+        new = [w for w in set(chain.from_iterable(cut)).difference(memo)]
+        safe = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
+        memo.update(dict.fromkeys(new))
+        memo.update(zip(safe, self._encode([f" {w}" for w in safe])))
+        heads = self._encode([words[0] for words in cut])
+        found = []
+        for text, words, head in zip(texts, cut, heads):
+            parts = [memo[w] for w in words]
+            if None in parts:
+                found.append(self._encode([text])[0])
+            else:
+                parts[0] = head
+                found.append(b"".join(parts))
+        return found
 
 
 def encoder(path: str) -> _Encoder:
