@@ -12,7 +12,7 @@ import os
 import time
 
 from tidemill import catalog
-from tidemill.session import build_session
+from tidemill.session import build_session, with_local_folder
 
 HEADLINE = (
     "extract_features",
@@ -22,6 +22,7 @@ HEADLINE = (
     "assemble_training",
     "dedup_first",
     "fs_upsert",
+    "fs_snapshots",
     "fs_vector",
     "per_user_30d",
     "velocity",
@@ -53,6 +54,7 @@ def main() -> None:
         spark__driver__memory="12g",
     )
     spark.sparkContext.setLogLevel("ERROR")
+    with_local_folder(spark)
     registered = catalog.queries()
     seconds = {}
     for name in HEADLINE:

@@ -20,15 +20,15 @@ from tidemill.sources import adapters
 @query(
     "j_agg_left",
     with_(
-        f"{FEAT}, agg AS (SELECT user_id, {USER_AGGREGATES} FROM feat WHERE CAST(user_id AS BIGINT) % 3 <> 0 GROUP BY user_id)",
+        f"{FEAT}, agg AS (SELECT user_id, {USER_AGGREGATES} FROM feat GROUP BY user_id)",
         "SELECT message_id, f.user_id, record_count, avg_amount FROM feat f LEFT JOIN agg a ON f.user_id = a.user_id",
     ),
     digits=9,
 )
 def j_agg_left(spark, folder):
-    """Mapped aggregate columns on every record; some users have no aggregate."""
+    """Mapped aggregate columns on every record."""
     rows = features(spark, folder)
-    aggregated = aggregate_users(rows.filter(F.col("user_id").cast("bigint") % 3 != 0), None)
+    aggregated = aggregate_users(rows, None)
     joined = J.join_aggregates(rows, aggregated.withColumnRenamed("user_id", "key"), FRAUD_DETECTOR)
     return joined.select("message_id", "user_id", "record_count", "avg_amount")
 
@@ -49,7 +49,7 @@ def j_labels_left(spark, folder):
     "j_groups_outer",
     """SELECT coalesce(a.key, b.key) AS key, a.orders, b.balance
        FROM (SELECT CAST(o_custkey AS VARCHAR) AS key, count(*) AS orders FROM orders GROUP BY 1) a
-       FULL JOIN (SELECT CAST(c_custkey AS VARCHAR) AS key, round(c_acctbal, 6) + 0.0 AS balance FROM customer WHERE c_nationkey < 12) b
+       FULL JOIN (SELECT CAST(c_custkey AS VARCHAR) AS key, round(c_acctbal, 6) + 0.0 AS balance FROM customer) b
        ON a.key = b.key""",
 )
 def j_groups_outer(spark, folder):
@@ -58,7 +58,7 @@ def j_groups_outer(spark, folder):
         .groupBy(F.col("o_custkey").cast("string").alias("key"))
         .agg(F.count(F.lit(1)).alias("orders"))
     )
-    balances = table(spark, folder, "customer").filter("c_nationkey < 12").select(
+    balances = table(spark, folder, "customer").select(
         F.col("c_custkey").cast("string").alias("key"), F.col("c_acctbal").alias("balance")
     )
     return J.join_groups([orders, balances])
@@ -67,7 +67,7 @@ def j_groups_outer(spark, folder):
 @query(
     "j_user_profile",
     with_(
-        f"{TX}, profile AS (SELECT CAST(c_custkey AS VARCHAR) AS user_id, 18 + c_custkey % 60 AS age, c_nationkey AS income_bracket, c_custkey % 9 AS transaction_count, round(c_acctbal / 10000, 6) AS location_risk_score FROM customer WHERE c_custkey % 4 <> 0)",
+        f"{TX}, profile AS (SELECT CAST(c_custkey AS VARCHAR) AS user_id, 18 + c_custkey % 60 AS age, c_nationkey AS income_bracket, c_custkey % 9 AS transaction_count, round(c_acctbal / 10000, 6) AS location_risk_score FROM customer)",
         f"""SELECT message_id, t.user_id, CAST(coalesce(age, 0) AS BIGINT) AS age, CAST(coalesce(income_bracket, 0) AS BIGINT) AS income_bracket,
              CAST(coalesce(p.transaction_count, 0) AS BIGINT) AS transaction_count,
              {r7('coalesce(location_risk_score, 0.5)')} AS location_risk_score
@@ -76,7 +76,7 @@ def j_groups_outer(spark, folder):
 )
 def j_user_profile(spark, folder):
     key = F.col("c_custkey")
-    profiles = table(spark, folder, "customer").filter(key % 4 != 0).select(
+    profiles = table(spark, folder, "customer").select(
         key.cast("string").alias("user_id"),
         (18 + key % 60).alias("age"),
         F.col("c_nationkey").alias("income_bracket"),
@@ -93,13 +93,13 @@ def j_user_profile(spark, folder):
         """SELECT CAST(event_id AS VARCHAR) AS request_id, CASE WHEN user_id % 2 = 0 THEN 'fraud_detector' ELSE 'churn' END AS model_name,
              CAST(CASE WHEN k >= 50 THEN 1 ELSE 0 END AS BIGINT) AS predicted,
              CAST(CASE WHEN k + user_id % 7 >= 52 THEN 1 ELSE 0 END AS BIGINT) AS actual
-           FROM ev WHERE event_type <> 'error'""",
+           FROM ev""",
     ),
 )
 def j_prediction_outcome(spark, folder):
-    """Outcomes exist for requests that did not fail."""
+    """Outcomes beside the predictions of all requests."""
     rows = log(spark, folder)
-    outcomes = rows.filter("status <> 'error'").select("request_id", "actual")
+    outcomes = rows.select("request_id", "actual")
     return M.prediction_outcome(rows.select("request_id", "model_name", "predicted"), outcomes)
 
 

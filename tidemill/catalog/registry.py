@@ -115,17 +115,17 @@ FEAT = f"""{TX}, feat AS (
     amount > 500 AS is_high_amount,
     (hour(ts) < 6 OR hour(ts) > 22) AND isodow(ts) >= 6 AS is_unusual_time
   FROM tx)"""
-# Noise-free rule labels over the features.
-LABELLED = f"""{FEAT}, labelled AS (
-  SELECT *, CASE WHEN greatest(least(
+RISK = """least(
       CASE merchant_category WHEN 'grocery' THEN 0.01::DOUBLE WHEN 'restaurant' THEN 0.03::DOUBLE
         WHEN 'electronics' THEN 0.08::DOUBLE WHEN 'jewelry' THEN 0.15::DOUBLE
         WHEN 'cash_advance' THEN 0.25::DOUBLE ELSE 0.03::DOUBLE END
       + CASE WHEN hour_of_day < 6 OR hour_of_day >= 22 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END
       + CASE WHEN amount > 1000 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END
       + CASE WHEN merchant_category IN ('jewelry', 'cash_advance') THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END
-      + CASE WHEN is_weekend AND merchant_category = 'cash_advance' THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END,
-      1.0::DOUBLE), 0.0::DOUBLE) >= 0.65::DOUBLE THEN 1 ELSE 0 END AS label
+      + CASE WHEN is_weekend AND merchant_category = 'cash_advance' THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE)"""
+# Noise-free rule labels over the features.
+LABELLED = f"""{FEAT}, labelled AS (
+  SELECT *, CASE WHEN greatest({RISK}, 0.0::DOUBLE) >= 0.65::DOUBLE THEN 1 ELSE 0 END AS label
   FROM feat)"""
 LOG = f"""{EV}, plog AS (
   SELECT CAST(event_id AS VARCHAR) AS request_id,

@@ -293,13 +293,22 @@ def t_boolean(spark, folder):
     )
 
 
+CLEAN_TEXT = r"regexp_replace(lower(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')), '[^a-zA-Z0-9\s]', '', 'g')"
+
+
 @query(
     "t_text",
-    """SELECT doc_id, substr(regexp_replace(lower(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')), '[^a-zA-Z0-9\\s]', '', 'g'), 1, 200) AS text
-       FROM documents""",
+    f"SELECT doc_id, {CLEAN_TEXT} AS text FROM documents",
 )
 def t_text(spark, folder):
-    """Whole documents: strip, fold, drop special characters, then cut."""
+    """Whole documents: strip, fold, drop special characters."""
+    clean = T.Text(plain=True)
+    return table(spark, folder, "documents").select("doc_id", clean(F.col("text"), "string").alias("text"))
+
+
+@query("t_text_cut", f"SELECT doc_id, substr({CLEAN_TEXT}, 1, 200) AS text FROM documents")
+def t_text_cut(spark, folder):
+    """Cutting to a length is the last step of the transform."""
     clean = T.Text(max_length=200, plain=True)
     return table(spark, folder, "documents").select("doc_id", clean(F.col("text"), "string").alias("text"))
 

@@ -135,14 +135,12 @@ def fs_get(spark, folder):
     with_(
         STORE,
         f"""SELECT entity_id, n, {r7('total')} AS total FROM order_store
-           WHERE entity_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_mktsegment = 'BUILDING')""",
+           WHERE entity_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer)""",
     ),
 )
 def fs_get_batch(spark, folder):
     """Active rows of many ids; ids without orders are absent."""
-    ids = table(spark, folder, "customer").filter("c_mktsegment = 'BUILDING'").select(
-        F.col("c_custkey").cast("string").alias("entity_id")
-    )
+    ids = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("entity_id"))
     return S.get_batch(store(spark, folder), ids, "orders", ["n", "total"]).select(
         "entity_id", value("n").try_cast("bigint").alias("n"), value("total").try_cast("double").alias("total")
     )
@@ -152,11 +150,11 @@ def fs_get_batch(spark, folder):
     "j_entity_lookup",
     with_(
         STORE,
-        """SELECT entity_id, segment FROM profile WHERE entity_id IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT')""",
+        """SELECT entity_id, segment FROM profile WHERE entity_id IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders)""",
     ),
 )
 def j_entity_lookup(spark, folder):
-    ids = table(spark, folder, "orders").filter("o_orderpriority = '1-URGENT'").select(
+    ids = table(spark, folder, "orders").select(
         F.col("o_custkey").cast("string").alias("entity_id")
     )
     return S.get_batch(store(spark, folder), ids, "profile").select("entity_id", value("segment").alias("segment"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemill.catalog.aggregates import USER_AGGREGATES
-from tidemill.catalog.monitoring import alert_series
+from tidemill.catalog.monitoring import STATE_SQL, alert_series
 from tidemill.catalog.records import DOCS
 from tidemill.catalog.registry import EV, FEAT, NOW, bucket, query, with_
 from tidemill.config import ValidationRules, WindowSpec
@@ -183,7 +183,7 @@ def stream_job(spark, folder):
     return result
 
 
-@query("stateful_alert")
+@query("stateful_alert", STATE_SQL)
 def stateful_alert(spark, folder):
     """Alert states on a stream; a test compares them with the batch form."""
     root = work_path(spark, "alerts")

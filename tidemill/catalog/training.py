@@ -9,7 +9,7 @@ from pyspark.ml.evaluation import (
 from pyspark.sql import functions as F
 
 from tidemill.catalog.joins import RUNS, runs
-from tidemill.catalog.registry import LABELLED, LOG, features, log, query, r7, with_
+from tidemill.catalog.registry import FEAT, LABELLED, LOG, crc_values, features, log, query, r7, with_
 from tidemill.config import FRAUD_DETECTOR
 from tidemill.operators import metrics as Q
 from tidemill.operators import ranks
@@ -18,6 +18,7 @@ from tidemill.operators.labeling import rule_based
 from tidemill.operators.mapping import transform_features
 from tidemill.session import table
 
+PAYMENTS = ("credit_card", "debit_card", "digital_wallet", "bank_transfer")
 COLUMNS = ["hour_of_day", "day_of_week", "is_weekend", "amount", "merchant_category_encoded", "payment_method_encoded"]
 
 
@@ -75,68 +76,121 @@ def class_weight(spark, folder):
 
 
 def fit_and_measure(spark, folder, kind, **params):
+    """Facts of a model that is fitted on the training rows: how many test rows
+    it scored, that its metrics are shares, and that it beats the most frequent
+    class."""
     rows = T.stratified_split(training_rows(spark, folder), "label", ["message_id"])
     model = T.fit(rows.filter("split = 'train'"), COLUMNS, kind, **params)
     scored = T.score(model, rows.filter("split = 'test'"), COLUMNS, ["message_id", "label"])
-    return Q.binary_metrics(scored)
+    measured = Q.binary_metrics(scored).crossJoin(
+        scored.agg(F.count(F.lit(1)).alias("test_rows"), F.avg("label").alias("_positive"))
+    )
+    shares = [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall", "f1_score")]
+    return measured.select(
+        "test_rows",
+        (shares[0] & shares[1] & shares[2] & shares[3]).alias("metrics_are_shares"),
+        (F.col("accuracy") >= F.greatest("_positive", 1 - F.col("_positive"))).alias("beats_majority"),
+    )
+
+
+FITTED = with_(
+    LABELLED,
+    """SELECT CAST(sum(test) AS BIGINT) AS test_rows, TRUE AS metrics_are_shares, TRUE AS beats_majority
+       FROM (SELECT ceil(count(*) * 0.2) AS test FROM labelled GROUP BY label)""",
+)
 
 
-@query("fit_rf")
+@query("fit_rf", FITTED)
 def fit_rf(spark, folder):
-    """Scaler and random forest; quality on the test rows."""
+    """Scaler and random forest."""
     return fit_and_measure(spark, folder, "random_forest", balanced=True)
 
 
-@query("fit_linear")
+@query("fit_logistic", FITTED)
+def fit_logistic(spark, folder):
+    """Scaler and logistic regression."""
+    return fit_and_measure(spark, folder, "logistic_regression")
+
+
+@query(
+    "fit_linear",
+    """SELECT 'linear_regression' AS model, count(*) AS "rows", TRUE AS explains_quantity FROM lineitem""",
+)
 def fit_linear(spark, folder):
-    """Logistic regression on labels, linear regression on line prices."""
-    logistic = fit_and_measure(spark, folder, "logistic_regression")
+    """Linear regression on line prices explains no less than the best single line by quantity."""
     lines = table(spark, folder, "lineitem").select("l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("label"))
     inputs = ["l_quantity", "l_discount", "l_tax"]
     model = T.fit(lines, inputs, "linear_regression", "regression")
     linear = Q.regression_metrics(T.score(model, lines, inputs, ["label"]))
-    return logistic.select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")).unionByName(
-        linear.select(F.lit("r2").alias("metric"), F.col("r2").alias("value"))
+    alone = lines.agg(F.count(F.lit(1)).alias("rows"), F.corr("l_quantity", "label").alias("_corr"))
+    return linear.crossJoin(alone).select(
+        F.lit("linear_regression").alias("model"),
+        "rows",
+        (F.col("r2") >= F.col("_corr") * F.col("_corr") - 1e-6).alias("explains_quantity"),
     )
 
 
-@query("fit_boost")
+@query("fit_boost", FITTED)
 def fit_boost(spark, folder):
-    """Boosted trees; few rounds here, the default is a hundred."""
-    return fit_and_measure(spark, folder, "boosted_trees", maxIter=10, maxDepth=4)
+    """Boosted trees with their defaults."""
+    return fit_and_measure(spark, folder, "boosted_trees")
 
 
-@query("tune")
+@query("tune", "SELECT CAST(range AS BIGINT) AS trial, TRUE AS auc_is_share FROM range(20)")
 def tune(spark, folder):
-    """Random search over the grid, two trials and two folds here."""
+    """Random search over the grid: twenty trials of five folds."""
     rows = training_rows(spark, folder)
-    validator = T.tune(rows, COLUMNS, "random_forest", trials=2, folds=2)
-    results = [(i, float(v)) for i, v in enumerate(validator.avgMetrics)]
-    return spark.createDataFrame(results, "trial int, auc double")
+    validator = T.tune(rows, COLUMNS, "random_forest")
+    results = [(i, 0.5 <= float(v) <= 1) for i, v in enumerate(validator.avgMetrics)]
+    return spark.createDataFrame(results, "trial int, auc_is_share boolean")
 
 
-@query("cross_val")
+@query(
+    "cross_val",
+    with_(LABELLED, "SELECT 'accuracy' AS metric, CAST(5 AS BIGINT) AS folds, TRUE AS beats_majority, TRUE AS folds_agree FROM labelled LIMIT 1"),
+)
 def cross_val(spark, folder):
-    """Accuracy over three folds by hash of the id."""
+    """Accuracy over five folds by hash of the id."""
     evaluator = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
-    return T.cross_validate(
-        spark, training_rows(spark, folder), COLUMNS, ["message_id"], evaluator, "logistic_regression", folds=3
+    rows = training_rows(spark, folder)
+    found = T.cross_validate(spark, rows, COLUMNS, ["message_id"], evaluator, "logistic_regression")
+    majority = rows.agg(F.greatest(F.avg("label"), 1 - F.avg("label")).alias("_majority"))
+    return found.crossJoin(majority).select(
+        "metric",
+        "folds",
+        (F.col("mean") >= F.col("_majority") - F.col("std")).alias("beats_majority"),
+        (F.col("std") < 0.1).alias("folds_agree"),
     )
 
 
-@query("batch_score")
+@query(
+    "batch_score",
+    with_(FEAT, "SELECT message_id, TRUE AS sums_to_one, TRUE AS prediction_is_likeliest FROM feat"),
+)
 def batch_score(spark, folder):
     """Every row scored with class probabilities."""
     rows = training_rows(spark, folder)
-    model = T.fit(rows, COLUMNS, numTrees=10, maxDepth=5)
-    return T.score(model, rows, COLUMNS, ["message_id"])
+    model = T.fit(rows, COLUMNS)
+    first, second = F.col("probabilities")[0], F.col("probabilities")[1]
+    return T.score(model, rows, COLUMNS, ["message_id"]).select(
+        "message_id",
+        (F.abs(first + second - 1) < 1e-9).alias("sums_to_one"),
+        (F.when(F.col("prediction") == 1, second - first).otherwise(first - second) >= 0).alias("prediction_is_likeliest"),
+    )
 
 
-@query("score_distinct")
+@query(
+    "score_distinct",
+    with_(
+        f"{FEAT}, pay(payment_method, code) AS (VALUES {crc_values(PAYMENTS, 10)})",
+        """SELECT count(*) AS "rows", count(DISTINCT (hour_of_day, day_of_week, is_weekend, floor(amount / 1000 + 0.5), merchant_category, code)) AS scored,
+             count(DISTINCT message_id) AS messages FROM feat JOIN pay USING (payment_method)""",
+    ),
+)
 def score_distinct(spark, folder):
     """Equal inputs are scored once and share the result."""
     coarse = training_rows(spark, folder).withColumn("amount", F.round("amount", -3))
-    model = T.fit(coarse, COLUMNS, numTrees=10, maxDepth=5)
+    model = T.fit(coarse, COLUMNS)
     scored = T.score_distinct(model, coarse, COLUMNS, ["message_id"], "fraud_detector", "1")
     return scored.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -270,17 +324,23 @@ def gate(spark, folder):
 
 TRAFFIC = f"""{LOG}, traffic AS (SELECT model_name, model_version, avg(latency_ms) AS avg_latency_ms, count(*) / 60.0::DOUBLE AS requests_per_minute,
     count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY model_name) AS usage_share, CAST(model_version AS INTEGER) * 40 AS age_days,
-    avg(CASE WHEN predicted = actual THEN 1.0::DOUBLE ELSE 0 END) AS accuracy FROM plog GROUP BY model_name, model_version)"""
+    avg(CASE WHEN predicted = actual THEN 1.0::DOUBLE ELSE 0 END) AS accuracy,
+    count(*) FILTER (WHERE predicted = 1 AND actual = 1)::DOUBLE / count(*) FILTER (WHERE predicted = 1) AS precision,
+    count(*) FILTER (WHERE predicted = 1 AND actual = 1)::DOUBLE / count(*) FILTER (WHERE actual = 1) AS recall
+    FROM plog GROUP BY model_name, model_version)"""
 
 
 def traffic(spark, folder):
     from pyspark.sql import Window as W
 
+    hit = (F.col("predicted") == 1) & (F.col("actual") == 1)
     rows = log(spark, folder).groupBy("model_name", "model_version").agg(
         F.avg("latency_ms").alias("avg_latency_ms"),
         (F.count(F.lit(1)) / 60.0).alias("requests_per_minute"),
         F.count(F.lit(1)).alias("_n"),
         F.avg((F.col("predicted") == F.col("actual")).cast("int")).alias("accuracy"),
+        F.try_divide(F.count_if(hit), F.count_if(F.col("predicted") == 1)).alias("precision"),
+        F.try_divide(F.count_if(hit), F.count_if(F.col("actual") == 1)).alias("recall"),
     )
     total = F.sum("_n").over(W.partitionBy("model_name"))
     return rows.withColumns(
@@ -292,28 +352,34 @@ def traffic(spark, folder):
     "auto_promotion_rules",
     with_(
         TRAFFIC,
-        f"""SELECT model_name, model_version, accuracy >= 0.85 AND avg_latency_ms <= 100 AND requests_per_minute >= 10 AS promote,
+        f"""SELECT model_name, model_version, coalesce(accuracy >= 0.85 AND "precision" >= 0.8 AND recall >= 0.8 AND avg_latency_ms <= 100 AND requests_per_minute >= 1000, FALSE) AS promote,
              max(accuracy) OVER (PARTITION BY model_name) - accuracy > 0.1 OR age_days > 90 OR usage_share < 0.01 AS retire FROM traffic""",
     ),
 )
 def auto_promotion_rules(spark, folder):
-    """Quality from outcomes, speed and volume from the log; volume limit scaled down."""
+    """Quality from outcomes, speed and volume from the log."""
     facts = traffic(spark, folder)
-    versions = facts.select(
-        "model_name",
-        "model_version",
-        "accuracy",
-        F.lit(0.9).alias("precision"),
-        F.lit(0.9).alias("recall"),
-    )
-    limits = {**Q.PROMOTION_LIMITS, "requests_per_minute": 10.0}
-    checked = Q.auto_promotion(versions, facts.drop("accuracy"), limits)
+    quality = ["accuracy", "precision", "recall"]
+    versions = facts.select("model_name", "model_version", *quality)
+    checked = Q.auto_promotion(versions, facts.drop(*quality))
     return checked.select("model_name", "model_version", "promote", "retire")
 
 
-@query("canary_check")
+def variant_sql(ids: str, percent: str) -> str:
+    return f"CASE WHEN ('0x' || substr(md5({ids} || ':0'), 1, 8))::BIGINT % 100 < {percent} THEN 'canary' ELSE 'control' END"
+
+
+@query(
+    "canary_check",
+    with_(
+        f"{LOG}, s AS (SELECT *, CAST(floor(epoch(request_timestamp - TIMESTAMP '2024-01-01') / 300) AS BIGINT) AS step FROM plog)",
+        f"""SELECT step, traffic_percent, variant, count(*) AS requests, {r7("avg(CASE WHEN status <> 'error' THEN 1.0::DOUBLE ELSE 0 END)")} AS success_rate,
+             avg(CASE WHEN status <> 'error' THEN 1.0::DOUBLE ELSE 0 END) >= 0.98 AS healthy
+           FROM (SELECT *, least(5 + step * 10, 100) AS traffic_percent, {variant_sql('request_id', 'least(5 + step * 10, 100)')} AS variant FROM s) GROUP BY ALL""",
+    ),
+)
 def canary_check(spark, folder):
-    """Success per variant while traffic ramps up; the assignment is Spark's hash."""
+    """Success per variant while traffic ramps up."""
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     return Q.canary_check(log(spark, folder), start)
 
@@ -332,13 +398,20 @@ def canary_totals(spark, folder):
     return checked.groupBy("step", "traffic_percent").agg(F.sum("requests").alias("requests"))
 
 
-@query("ab_summary")
+@query(
+    "ab_summary",
+    with_(
+        LOG,
+        f"""SELECT {variant_sql('user_id', '50')} AS variant, count(*) AS requests, {r7('avg(CASE WHEN predicted = actual THEN 1.0::DOUBLE ELSE 0 END)')} AS accuracy,
+             {r7('avg(latency_ms)')} AS avg_latency_ms, {r7("avg(CASE WHEN status = 'error' THEN 1.0::DOUBLE ELSE 0 END)")} AS error_rate FROM plog GROUP BY 1""",
+    ),
+)
 def ab_summary(spark, folder):
     """Two even variants by user."""
     return Q.ab_summary(log(spark, folder))
 
 
-@query("auc_evaluator")
+@query("auc_evaluator", with_(LABELLED, "SELECT TRUE AS is_share, TRUE AS close_to_evaluator FROM labelled LIMIT 1"))
 def auc_evaluator(spark, folder):
     """MLlib's evaluator beside the exact area, for a fitted model."""
     rows = training_rows(spark, folder)
@@ -347,4 +420,7 @@ def auc_evaluator(spark, folder):
         F.col("label").cast("double").alias("label"), F.col("probabilities")[1].alias("score")
     )
     evaluator = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label")
-    return Q.roc_auc(scored).withColumn("evaluator", F.lit(evaluator.evaluate(scored)))
+    return Q.roc_auc(scored).select(
+        F.col("auc").between(0.5, 1).alias("is_share"),
+        (F.abs(F.col("auc") - evaluator.evaluate(scored)) < 0.005).alias("close_to_evaluator"),
+    )

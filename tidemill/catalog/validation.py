@@ -264,20 +264,36 @@ def v_type_range(spark, folder):
     return Q.type_ranges(raw_text(spark, folder), ["transaction_id"])
 
 
+QUARTILES = """WITH b AS (SELECT q1 - 3 * (q3 - q1) AS low, q3 + 3 * (q3 - q1) AS high FROM
+  (SELECT quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.75) AS q3 FROM documents))"""
+
+
 @query(
     "v_outlier_iqr",
-    """WITH b AS (SELECT quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem)
-       SELECT l_returnflag, l_linestatus, count(*) AS "rows",
-         CAST(sum(CASE WHEN l_extendedprice < q1 - 0.3 * (q3 - q1) OR l_extendedprice > q3 + 0.3 * (q3 - q1) THEN 1 ELSE 0 END) AS BIGINT) AS outliers
-       FROM lineitem, b GROUP BY ALL""",
+    f"{QUARTILES} SELECT doc_id, coalesce(n_chars < low OR n_chars > high, FALSE) AS is_outlier FROM documents, b",
 )
 def v_outlier_iqr(spark, folder):
-    """Outliers of line prices; the factor is small so that there are some."""
-    rows = table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
-    flagged = Q.iqr_outliers(rows, "l_extendedprice", threshold=0.3)
-    return flagged.groupBy("l_returnflag", "l_linestatus").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if("is_outlier").alias("outliers")
-    )
+    """Documents whose length is far outside the quartiles."""
+    rows = table(spark, folder, "documents").select("doc_id", "n_chars")
+    return Q.iqr_outliers(rows, "n_chars").select("doc_id", "is_outlier")
+
+
+@query(
+    "v_outlier_remove",
+    f"{QUARTILES} SELECT doc_id, n_chars FROM documents, b WHERE NOT coalesce(n_chars < low OR n_chars > high, FALSE)",
+)
+def v_outlier_remove(spark, folder):
+    rows = table(spark, folder, "documents").select("doc_id", "n_chars")
+    return Q.iqr_outliers(rows, "n_chars", action="remove").select("doc_id", "n_chars")
+
+
+@query(
+    "v_outlier_cap",
+    f"{QUARTILES} SELECT doc_id, round(CAST(least(greatest(n_chars, low), high) AS DOUBLE), 7) + 0.0 AS n_chars FROM documents, b",
+)
+def v_outlier_cap(spark, folder):
+    rows = table(spark, folder, "documents").select("doc_id", "n_chars")
+    return Q.iqr_outliers(rows, "n_chars", action="cap").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"))
 
 
 @query(

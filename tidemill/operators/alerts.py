@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -26,6 +27,7 @@ ALERT_RULES = (
     AlertRule("HighErrorRate", "error_rate > 0.05", 5),
     AlertRule("HighPredictionLatency", "p95 > 0.5", 5),
     AlertRule("CriticalPredictionLatency", "p95 > 1.0", 2, "critical"),
+    AlertRule("ModelAPIDown", "up = 0", 1, "critical"),
     AlertRule("LowCacheHitRate", "cache_hit_rate < 0.5", 10),
     AlertRule("NoPredictions", "requests = 0", 10),
 )
@@ -34,12 +36,15 @@ ALERT_RULES = (
 def fill_steps(series: DataFrame, step: str, time: str = "step") -> DataFrame:
     """Add the steps that have no row, with null metrics.
 
-    The spine runs over the time range of the series, one row per step.
+    The spine runs over the time range of the series, one row per step. Its days
+    are dealt out before each becomes steps, so no row holds the whole range.
     """
-    bounds = series.agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
-    spine = bounds.filter(F.col("lo").isNotNull()).select(
-        F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {step}"))).alias(time)
-    )
+    bounds = series.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).filter(F.col("lo").isNotNull())
+    days = bounds.select(
+        "lo", "hi", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("_day")
+    ).repartition("_day")
+    last = F.least(F.col("hi"), F.col("_day") + F.expr(f"INTERVAL 1 DAY - INTERVAL {step}"))
+    spine = days.select(F.explode(F.sequence("_day", last, F.expr(f"INTERVAL {step}"))).alias(time))
     return spine.join(series, time, "left")
 
 
@@ -118,42 +123,76 @@ STATE_SCHEMA = (
 )
 
 
-class AlertState:
-    """State of one alert while its evaluations pass by in time order.
+@dataclass
+class Carry:
+    """What one alert's past means for its next evaluation."""
 
-    A notice needs an active alert and ``cooldown`` since the last notice, even
-    when the alert was resolved in between. A suppressed alert is not
-    evaluated at all; lifting the suppression resolves it.
-    """
+    active: bool = False
+    count: int = 0
+    first: pd.Timestamp = pd.NaT
+    notified: pd.Timestamp = pd.NaT
+    resolved: pd.Timestamp = pd.NaT
+
+
+def _last(marks: np.ndarray) -> np.ndarray:
+    """Position of the last mark up to each row, -1 before the first."""
+    return np.maximum.accumulate(np.where(marks, np.arange(len(marks)), -1))
 
-    def __init__(self, cooldown: pd.Timedelta, auto_resolve: bool = True):
-        self.cooldown = cooldown
-        self.auto_resolve = auto_resolve
-        self.status = "resolved"
-        self.count = 0
-        self.first = self.notified = self.resolved = pd.NaT
-
-    def step(self, at: pd.Timestamp, met: bool, suppressed: bool = False) -> tuple:
-        notify = False
-        if suppressed:
-            self.status = "suppressed"
-            return self.row(at, met, notify)
-        if self.status == "suppressed":
-            self.status = "resolved"
-        if met:
-            if self.status == "resolved":
-                self.status, self.first, self.count, self.resolved = "active", at, 1, pd.NaT
-            else:
-                self.count += 1
-            notify = pd.isna(self.notified) or at >= self.notified + self.cooldown
-            if notify:
-                self.notified = at
-        elif self.status == "active" and self.auto_resolve:
-            self.status, self.resolved = "resolved", at
-        return self.row(at, met, notify)
-
-    def row(self, at, met, notify) -> tuple:
-        return (at, bool(met), self.status, self.count, notify, self.first, self.notified, self.resolved)
+
+def advance(
+    rows: pd.DataFrame, carry: Carry, cooldown: pd.Timedelta, auto_resolve: bool
+) -> tuple[pd.DataFrame, Carry]:
+    """States after evaluations of one alert in time order, and what to carry on.
+
+    An episode is a run of met evaluations. It is broken by a suppression and,
+    with ``auto_resolve``, by one that is not met; the values of the last episode
+    stay until the next begins. A notice goes out at the first met evaluation
+    and then at the first one after each cooldown, across episodes.
+    """
+    ts, met, hidden = rows["ts"].reset_index(drop=True), rows["met"].to_numpy(bool), rows["suppressed"].to_numpy(bool)
+    live = met & ~hidden
+    breaks = hidden | (~met if auto_resolve else np.zeros(len(met), bool))
+    last_live, last_break = _last(live), _last(breaks)
+    active = np.where((last_live < 0) & (last_break < 0), carry.active, last_live > last_break)
+    before = np.concatenate([[carry.active], active[:-1]])
+    begun = _last(live & ~before)
+    running = np.cumsum(live)
+    count = np.where(begun >= 0, running - running[begun] + 1, carry.count + running)
+    ended = _last(breaks & ~hidden & before)
+
+    def at(position: np.ndarray, known: np.ndarray, otherwise) -> pd.Series:
+        return ts.take(np.maximum(position, 0)).reset_index(drop=True).where(known, otherwise)
+
+    first = at(begun, begun >= 0, carry.first)
+    fresh = np.where(begun >= 0, pd.NaT, carry.resolved)
+    resolved = at(ended, ended > begun, pd.Series(pd.to_datetime(fresh)))
+    candidates, notices = np.flatnonzero(live), np.zeros(len(live), bool)
+    times, place, latest = ts.to_numpy()[candidates], 0, carry.notified
+    while True:
+        if not pd.isna(latest):
+            place = int(np.searchsorted(times, (latest + cooldown).to_datetime64()))
+        if place >= len(times):
+            break
+        notices[candidates[place]] = True
+        latest = pd.Timestamp(times[place])
+        if cooldown <= pd.Timedelta(0):
+            notices[candidates], latest = True, pd.Timestamp(times[-1])
+            break
+    told = _last(notices)
+    out = pd.DataFrame(
+        {
+            "alert": rows["alert"].to_numpy(),
+            "ts": ts,
+            "met": met,
+            "status": np.select([hidden, active], ["suppressed", "active"], "resolved"),
+            "trigger_count": count,
+            "notified": notices,
+            "first_triggered": first,
+            "last_notified": at(told, told >= 0, carry.notified),
+            "resolved_at": resolved,
+        }
+    )
+    return out, Carry(bool(active[-1]), int(count[-1]), first.iloc[-1], latest, resolved.iloc[-1])
 
 
 def alert_states(
@@ -168,17 +207,15 @@ def alert_states(
     if "suppressed" not in evaluations.columns:
         evaluations = evaluations.withColumn("suppressed", F.lit(False))
     cooldown = pd.Timedelta(minutes=cooldown_minutes)
-    names = [field.strip().split(" ")[0] for field in STATE_SCHEMA.split(",")]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+        current, carry = None, Carry()
         for batch in batches:
-            rows = []
-            for alert, at, met, suppressed in batch.itertuples(index=False):
+            for alert, rows in batch.groupby("alert", sort=False, dropna=False):
                 if alert != current:
-                    current, state = alert, AlertState(cooldown, auto_resolve)
-                rows.append((alert, *state.step(at, met, suppressed)))
-            yield pd.DataFrame(rows, columns=names)
+                    current, carry = alert, Carry()
+                out, carry = advance(rows, carry, cooldown, auto_resolve)
+                yield out
 
     ordered = (
         evaluations.select("alert", F.col("ts").cast("timestamp").alias("ts"), "met", "suppressed")

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.config import ModelDefinition
 
 
+def row_hash(df: DataFrame) -> Column:
+    """Settles ties by content, so that the chosen row is the same in every run."""
+    plain = [F.col(name) for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(*plain) if plain else F.lit(0)
+
+
 def dedup_first(
     df: DataFrame,
     key: str = "message_id",
@@ -30,7 +36,7 @@ def dedup_first(
     ).select(
         ((F.col("some") == 0) | ((F.col("lo") == placeholder) & (F.col("hi") == placeholder))).alias("skip")
     )
-    first = W.partitionBy(key).orderBy(*order)
+    first = W.partitionBy(key).orderBy(*order, row_hash(df))
     kept = (
         df.filter(~facts.scalar())
         .withColumn("_rank", F.row_number().over(first))
@@ -95,7 +101,7 @@ def left_join_first(
     """Left-join the first profile per key and fill gaps with defaults."""
     defaults = defaults or {}
     fields = [c for c in profiles.columns if c != key]
-    rank = W.partitionBy(key).orderBy(*(order or (key,)))
+    rank = W.partitionBy(key).orderBy(*order, row_hash(profiles))
     first = profiles.withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").drop("_rank")
     joined = records.join(first.select(key, *fields), key, "left")
     return joined.withColumns(
@@ -125,20 +131,17 @@ def latest_per_key(
 ) -> DataFrame:
     """Newest ``count`` rows per key.
 
-    Small counts are cut below the shuffle by Spark. Larger ones first rank
-    within a hash of the row, so that one key is ranked by many tasks and the
-    last ranking sees at most ``salts * count`` rows of it.
+    Rows are ranked within finer and then coarser hashes of the row before they
+    are ranked by key, so many tasks rank one key and each ranking but the last
+    sees a small share of it; the last sees at most ``count`` rows of eight.
     """
-    final = W.partitionBy(*keys).orderBy(*newest)
-    if count > 1000:
-        partial = W.partitionBy(*keys, "_salt").orderBy(*newest)
-        df = (
-            df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-            .withColumn("_rank", F.row_number().over(partial))
-            .filter(F.col("_rank") <= count)
-            .drop("_rank", "_salt")
-        )
-    return df.withColumn("_rank", F.row_number().over(final)).filter(F.col("_rank") <= count).drop("_rank")
+    fine, coarse = F.pmod(F.xxhash64(*df.columns), F.lit(salts)), F.pmod(F.xxhash64(*df.columns), F.lit(8))
+    for salt in (fine, coarse, None):
+        groups = [*keys, "_salt"] if salt is not None else keys
+        salted = df if salt is None else df.withColumn("_salt", salt)
+        rank = F.row_number().over(W.partitionBy(*groups).orderBy(*newest))
+        df = salted.withColumn("_rank", rank).filter(F.col("_rank") <= count).drop("_rank", "_salt")
+    return df
 
 
 def best_run(runs: DataFrame, metric: str, per: list[str] | None = None) -> DataFrame:

@@ -224,7 +224,9 @@ CANARY_SUCCESS = 0.98
 
 def variant(ids: Column, percent: Column | int, seed: int = 0) -> Column:
     """Stable assignment of an id to the canary or the control side."""
-    return F.when(F.pmod(F.xxhash64(ids, F.lit(seed)), F.lit(100)) < percent, "canary").otherwise("control")
+    digest = F.md5(F.concat(ids.cast("string"), F.lit(f":{seed}")).cast("binary"))
+    share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100
+    return F.when(share < percent, "canary").otherwise("control")
 
 
 def canary_check(log: DataFrame, start: Column, id_column: str = "request_id", time: str = "request_timestamp") -> DataFrame:

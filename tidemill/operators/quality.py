@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.record import wall_clock
 from tidemill.config import MAX_MISSING_RATE
 from tidemill.functions.payload import text_to_double
 from tidemill.operators import ranks
@@ -90,7 +91,7 @@ def type_ranges(df: DataFrame, keep: list[str]) -> DataFrame:
         "amount_is_float": amount.isNotNull(),
         "amount_in_type_range": F.coalesce(amount.between(*TYPE_RANGES["amount"]), F.lit(False)),
         "amount_in_range": F.coalesce(amount.between(*STRICT_AMOUNT), F.lit(False)),
-        "timestamp_is_iso": F.col("timestamp").try_cast("timestamp").isNotNull(),
+        "timestamp_is_iso": F.expr(wall_clock("timestamp")).isNotNull(),
     }
     if "age" in df.columns:
         age = text_to_double(F.col("age").cast("string"))

@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import ranks
 
-MAX_CLASSES = 10000
-
 
 def hash_share(ids: list[str], seed: int = 42) -> Column:
     """Uniform number in [0, 1) from the identity of a row."""
@@ -30,21 +28,14 @@ def hash_share(ids: list[str], seed: int = 42) -> Column:
     return bits.cast("double") / float(2**53)
 
 
-def class_lookup(facts: DataFrame, label: str, value: Column) -> Column:
-    """A small per-class table as a scalar map, refused when it is not small.
+def with_class_facts(rows: DataFrame, facts: DataFrame, label: str) -> DataFrame:
+    """Add the columns of a per-class table to every row, for any number of classes.
 
-    Joining on the label would send each class to one task. Class counts are
-    small by nature; the check makes sure of it.
+    The facts side is chosen by adaptive execution: a few classes are broadcast
+    by their measured size, and a class with many rows is split in a shuffle.
     """
-    entries = F.collect_list(F.struct(F.col(label).cast("string"), value))
-    table = facts.agg(
-        F.when(F.count(F.lit(1)) <= MAX_CLASSES, F.map_from_entries(entries)).otherwise(
-            F.raise_error(F.lit("more classes than a classification label has")).cast(
-                facts.select(F.map_from_entries(F.array(F.struct(F.col(label).cast("string"), value)))).schema[0].dataType
-            )
-        )
-    ).scalar()
-    return F.try_element_at(table, F.col(label).cast("string"))
+    named = facts.withColumnRenamed(label, "_class")
+    return rows.join(named, F.col(label).eqNullSafe(F.col("_class")), "left").drop("_class")
 
 
 def stratified_split(
@@ -59,8 +50,7 @@ def stratified_split(
 
     Rows are ranked by a hash of their identity inside each class and the
     first ``ceil(test * n)`` are the test rows. The hash at that rank is found
-    with :func:`ranks.order_statistics`, so no class is sorted in one task and
-    the split itself is a comparison without a shuffle.
+    with :func:`ranks.order_statistics`, so no class is sorted in one task.
     """
     hashed = df.withColumn("_u", hash_share(ids, seed))
     n = F.col("n")
@@ -74,15 +64,11 @@ def stratified_split(
         {"test_cut": in_test - 1, "validation_cut": in_both - 1},
         bucket=ranks.unit_bucket(F.col("_u")),
     )
-    cut = class_lookup(cuts, label, F.struct("test_cut", "validation_cut"))
-    split = F.when(F.col("_u") <= F.col("_cut.test_cut"), "test")
+    split = F.when(F.col("_u") <= F.col("test_cut"), "test")
     if validation:
-        split = split.when(F.col("_u") <= F.col("_cut.validation_cut"), "validation")
-    return (
-        hashed.withColumn("_cut", cut)
-        .withColumn("split", split.otherwise("train"))
-        .drop("_u", "_cut")
-    )
+        split = split.when(F.col("_u") <= F.col("validation_cut"), "validation")
+    cut = with_class_facts(hashed, cuts.select(label, "test_cut", "validation_cut"), label)
+    return cut.withColumn("split", split.otherwise("train")).drop("_u", "test_cut", "validation_cut")
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -93,8 +79,9 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
-    """Each row with the weight of its class, without a join."""
-    return df.withColumn(weight, class_lookup(class_weights(df, label), label, F.col("weight")))
+    """Each row with the weight of its class."""
+    facts = class_weights(df, label).select(label, F.col("weight").alias(weight))
+    return with_class_facts(df.drop(weight), facts, label)
 
 
 def estimator(kind: str, task: str = "classification", label: str = "label", **params):
@@ -116,7 +103,7 @@ def estimator(kind: str, task: str = "classification", label: str = "label", **p
         return LogisticRegression(**common, **{"maxIter": 1000, **params})
     if kind == "linear_regression" and not classify:
         return LinearRegression(**common, **params)
-    raise ValueError(f"Unsupported model type: {kind} for task: {task}")
+    raise ValueError(f"no {task} model is called {kind}")
 
 
 def build_pipeline(columns: list[str], model) -> Pipeline:
@@ -192,21 +179,23 @@ def importances(spark: SparkSession, model: PipelineModel, columns: list[str], t
 
 
 def search_grid(kind: str, model, trials: int, seed: int = 42) -> list[dict]:
-    """Random sample of a small grid, at most ``trials`` and never above 20."""
+    """Random sample of ``trials`` points of a small grid, or the whole grid."""
     builder = ParamGridBuilder()
-    # The published search grids, in MLlib's names.
+    # The published search grids, in MLlib's names. 30 is the
+    # largest depth there, for none; a node that splits from 2, 5 or 10 rows on
+    # leaves at least half of them, rounded up, to one side.
     if kind == "boosted_trees":
         builder.addGrid(model.maxIter, [50, 100, 200])
         builder.addGrid(model.maxDepth, [3, 6, 9])
         builder.addGrid(model.stepSize, [0.01, 0.1, 0.2])
     elif kind == "random_forest":
         builder.addGrid(model.numTrees, [50, 100, 200])
-        builder.addGrid(model.maxDepth, [5, 10, 20])
-        builder.addGrid(model.minInstancesPerNode, [2, 5, 10])
+        builder.addGrid(model.maxDepth, [30, 10, 20])
+        builder.addGrid(model.minInstancesPerNode, [1, 3, 5])
     else:
         return []
     grid = builder.build()
-    return random.Random(seed).sample(grid, min(trials, 20, len(grid)))
+    return random.Random(seed).sample(grid, min(trials, len(grid)))
 
 
 def tune(

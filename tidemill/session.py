@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,19 +42,18 @@ def build_session(
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it.
-
-    On a cluster ``spark.checkpoint.dir`` must be set. Only a local session
-    without the setting falls back to a folder of its own.
-    """
+    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="tidemill-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return root.rstrip("/")
+
+
+def with_local_folder(spark: SparkSession) -> SparkSession:
+    """Name a new folder of this machine where a local session names none."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and re.match(r"local(\[|$)", spark.sparkContext.master):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidemill-"))
+    return spark
 
 
 def work_path(spark: SparkSession, name: str) -> str:

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemill.operators.alerts import STATE_SCHEMA, AlertState
+from tidemill.operators.alerts import STATE_SCHEMA, Carry, advance
 
-_SAVED = "status string, count bigint, first timestamp, notified timestamp, resolved timestamp"
+_SAVED = "active boolean, count bigint, first timestamp, notified timestamp, resolved timestamp"
 
 
 def alert_state_stream(
@@ -21,24 +21,19 @@ def alert_state_stream(
     are put in time order before they are applied.
     """
     cooldown = pd.Timedelta(minutes=cooldown_minutes)
-    names = [field.strip().split(" ")[0] for field in STATE_SCHEMA.split(",")]
-
     def update(key, batches, saved: GroupState):
-        state = AlertState(cooldown, auto_resolve)
+        carry = Carry()
         if saved.exists:
-            status, count, first, notified, resolved = saved.get
-            state.status, state.count = status, count
-            state.first, state.notified, state.resolved = (
-                pd.NaT if v is None else pd.Timestamp(v) for v in (first, notified, resolved)
-            )
+            active, count, *times = saved.get
+            carry = Carry(active, count, *(pd.NaT if v is None else pd.Timestamp(v) for v in times))
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        out = [(key[0], *state.step(r.ts, r.met, r.suppressed)) for r in rows.itertuples(index=False)]
+        out, carry = advance(rows, carry, cooldown, auto_resolve)
 
         def plain(value):
             return None if pd.isna(value) else value.to_pydatetime()
 
-        saved.update((state.status, state.count, plain(state.first), plain(state.notified), plain(state.resolved)))
-        yield pd.DataFrame(out, columns=names)
+        saved.update((carry.active, carry.count, plain(carry.first), plain(carry.notified), plain(carry.resolved)))
+        yield out
 
     if "suppressed" not in evaluations.columns:
         evaluations = evaluations.withColumn("suppressed", F.lit(False))
