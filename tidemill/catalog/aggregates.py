@@ -101,14 +101,13 @@ def agg_flags(spark, folder):
 
 @query(
     "agg_errors",
-    with_(FEAT, "SELECT count(*) FILTER (WHERE FALSE) AS failed_groups, 'error,feature_count,key,timestamp,transform' AS columns FROM feat"),
+    with_(FEAT, "SELECT user_id AS key, count(*) AS feature_count, 'AggregateFeatures' AS transform FROM feat GROUP BY user_id HAVING bool_or(hour_of_day = 3 AND amount > 500)"),
 )
 def agg_errors(spark, folder):
-    """Typed columns leave no group that can fail: the error table is empty."""
-    errors = A.aggregation_errors(A.aggregate_users(features(spark, folder), None))
-    return errors.agg(
-        F.count(F.lit(1)).alias("failed_groups"), F.lit(",".join(sorted(errors.columns))).alias("columns")
-    )
+    """Users with an amount that is not finite: here those of some night hours."""
+    infinite = (F.col("hour_of_day") == 3) & (F.col("amount") > 500)
+    rows = features(spark, folder).withColumn("amount", F.when(infinite, float("inf")).otherwise(F.col("amount")))
+    return A.aggregation_errors(A.aggregate_users(rows, None)).select("key", "feature_count", "transform")
 
 
 def labelled(spark, folder):

@@ -19,6 +19,7 @@ from tidemill.catalog.aggregates import labelled
 from tidemill.config import FRAUD_DETECTOR, Mapping
 from tidemill.functions import scalars as S
 from tidemill.functions import transforms as T
+from tidemill.operators.explore import frequent_categories, label_codes
 from tidemill.operators import explore as E
 from tidemill.operators.mapping import fill_nulls_zero, has_model_schema, transform_features
 from tidemill.session import table
@@ -360,7 +361,7 @@ def s_unusual_hour(spark, folder):
          SELECT p, row_number() OVER (ORDER BY p) - 1 AS code FROM (SELECT DISTINCT o_orderpriority AS p FROM orders)) r ON r.p = o_orderpriority""",
 )
 def s_label_encode(spark, folder):
-    encoded = S.label_codes("o_orderpriority")(table(spark, folder, "orders").select("o_orderkey", "o_orderpriority"))
+    encoded = label_codes(table(spark, folder, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority")
     return encoded.select("o_orderkey", F.col("o_orderpriority_code").alias("code"))
 
 
@@ -375,6 +376,24 @@ def s_onehot(spark, folder):
     return table(spark, folder, "customer").select("c_custkey", *[c.alias(n.lower()) for n, c in columns.items()])
 
 
+FITTED_SQL = ", ".join(
+    f"CAST(count(*) FILTER (WHERE source = (SELECT source FROM top WHERE place = {i})) AS BIGINT) AS top_{i}" for i in range(1, 4)
+)
+
+
+@query(
+    "s_onehot_fitted",
+    f"""WITH top AS (SELECT source, row_number() OVER (ORDER BY count(*) DESC, source) AS place FROM documents WHERE source IS NOT NULL GROUP BY source)
+        SELECT lang, {FITTED_SQL} FROM documents GROUP BY lang""",
+)
+def s_onehot_fitted(spark, folder):
+    """The three most frequent sources as columns, counted per language."""
+    docs = table(spark, folder, "documents").select("lang", "source")
+    columns = S.one_hot(F.col("source"), frequent_categories(docs, "source", 3))
+    coded = docs.select("lang", *[c.alias(f"top_{i}") for i, c in enumerate(columns.values(), 1)])
+    return coded.groupBy("lang").agg(*[F.sum(f"top_{i}").alias(f"top_{i}") for i in range(1, len(columns) + 1)])
+
+
 @query(
     "s_age_bucket",
     with_(

@@ -67,17 +67,26 @@ def src_json_array(spark, folder):
     return files.read_json_array(spark, f"{path}/block=*").select(*orders.columns)
 
 
-@query("src_kafka_options", with_(EV, "SELECT count(*) AS records, 'latest' AS starting, 'a,b' AS topics FROM ev"))
-def src_kafka_options(spark, folder):
-    """Settings of the Kafka source beside records with its layout.
+@query(
+    "src_kafka",
+    with_(
+        EV,
+        """SELECT 'transactions' AS topic, CAST(user_id % 4 AS BIGINT) AS "partition", count(*) AS records, min(event_id) AS first_offset, max(event_id) AS last_offset
+           FROM ev GROUP BY ALL""",
+    ),
+)
+def src_kafka(spark, folder):
+    """Records of each topic and partition with the range of their offsets.
 
-    The connector is a separate package; the records come from a table.
+    The connector is a separate package; records with its layout come from a
+    table and go through the envelope.
     """
-    options = messages.kafka_options("broker:9092", ["a", "b"])
-    return adapters.kafka_records(table(spark, folder, "events")).agg(
+    envelopes = messages.kafka_envelope(adapters.kafka_records(table(spark, folder, "events")))
+    attribute = F.col("attributes")
+    return envelopes.groupBy(attribute["topic"].alias("topic"), attribute["partition"].cast("bigint").alias("partition")).agg(
         F.count(F.lit(1)).alias("records"),
-        F.lit(options["startingOffsets"]).alias("starting"),
-        F.lit(options["subscribe"]).alias("topics"),
+        F.min("offset").cast("bigint").alias("first_offset"),
+        F.max("offset").cast("bigint").alias("last_offset"),
     )
 
 

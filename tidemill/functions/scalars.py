@@ -102,20 +102,3 @@ def location_hash(city: Column, state: Column, modulo: int = 1000) -> Column:
 def one_hot(value: Column, categories: list[str]) -> dict[str, Column]:
     """One 0/1 column per category; unknown values are 0 everywhere."""
     return {name: F.coalesce((value == name).cast("int"), F.lit(0)) for name in categories}
-
-
-def label_codes(name: str):
-    """Index of each value in sorted order, as ``DataFrame -> DataFrame(value, code)``."""
-
-    def build(df):
-        from pyspark.ml.feature import StringIndexer
-
-        indexer = StringIndexer(
-            inputCol=name,
-            outputCol=f"{name}_code",
-            stringOrderType="alphabetAsc",
-            handleInvalid="keep",
-        )
-        return indexer.fit(df).transform(df)
-
-    return build

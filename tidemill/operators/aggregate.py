@@ -183,13 +183,16 @@ def assign_sessions(df: DataFrame, gap: str, time: str = "event_time") -> DataFr
 
 
 def aggregation_errors(aggregated: DataFrame) -> DataFrame:
-    """Failed groups. Typed columns cannot fail, so the table is empty by design."""
-    return aggregated.filter(F.lit(False)).select(
-        F.lit("").alias("error"),
+    """Groups whose aggregates are no numbers: the amounts overflowed or were not finite."""
+    numbers = [name for name, kind in aggregated.dtypes if kind == "double"]
+    broken = F.filter(
+        F.array(*[F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(c)) for c in numbers]), lambda name: name.isNotNull()
+    )
+    return aggregated.withColumn("_broken", broken).filter(F.size("_broken") > 0).select(
+        F.concat(F.lit("not a finite number: "), F.array_join("_broken", ", ")).alias("error"),
         F.col("user_id").alias("key"),
         F.col("record_count").alias("feature_count"),
         F.lit("AggregateFeatures").alias("transform"),
-        F.lit("").alias("timestamp"),
     )
 
 

@@ -33,9 +33,9 @@ def histogram(values: DataFrame, edges: DataFrame, by: list[str], bins: int = 10
     """Share of each bin per group; bin ``i`` holds values above ``i`` edges.
 
     All counts of a group come from one aggregate. ``edges`` has one row per
-    feature column of the model, which bounds the broadcast.
+    feature column of the model.
     """
-    placed = values.join(F.broadcast(edges), "feature").withColumn(
+    placed = values.join(edges, "feature").withColumn(
         "_bin", F.aggregate("edges", F.lit(0), lambda n, e: n + (F.col("value") > e).cast("int"))
     )
     counts = placed.groupBy("feature", *by).agg(
@@ -66,7 +66,7 @@ def drift(
     edges = bin_edges(base, bins)
     expected = histogram(base, edges, [], bins).select("feature", F.col("shares").alias("q"))
     actual = histogram(long_form(current, features, by), edges, by, bins)
-    joined = actual.join(F.broadcast(expected), "feature")
+    joined = actual.join(expected, "feature")
     pairs = F.arrays_zip(F.col("shares").alias("p"), F.col("q"))
 
     def half(x, y):

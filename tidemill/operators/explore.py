@@ -149,3 +149,24 @@ def smoothed_risk(
     ).select(
         *keys, "rows", ((F.col("_positive") + weight * overall) / (F.col("rows") + weight)).alias("location_risk_score")
     )
+
+
+def label_codes(df: DataFrame, name: str) -> DataFrame:
+    """Add ``<name>_code``: the place of a value among the sorted distinct values.
+
+    Codes are counted in ranges of values, so neither the driver nor one task
+    holds all of them. A null has no code.
+    """
+    values = df.select(F.col(name).alias("_value")).filter(F.col("_value").isNotNull()).distinct()
+    # Two leading characters keep the order of texts and deal out their range.
+    ordered = ranks.running_totals(
+        values.withColumn("_one", F.lit(1)), [], F.substring(F.col("_value").cast("binary"), 1, 2), "_value", {"_place": "_one"}
+    )
+    codes = ordered.select("_value", (F.col("_place") - 1).cast("double").alias(f"{name}_code"))
+    return df.join(codes, F.col(name) == F.col("_value"), "left").drop("_value")
+
+
+def frequent_categories(df: DataFrame, name: str, limit: int = 50) -> list[str]:
+    """The ``limit`` most frequent values, ties by value: what a one-hot is fitted on."""
+    counts = df.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("_rows"))
+    return [row[0] for row in counts.orderBy(F.desc("_rows"), name).limit(limit).collect()]

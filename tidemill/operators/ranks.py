@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKETS_PER_E = 512.0
+#: About so many different values are put in order by one task.
+PART_VALUES = 8192.0
 
 
 def magnitude_bucket(value: Column, per_e: float = BUCKETS_PER_E) -> Column:
@@ -100,7 +102,12 @@ def order_statistics(
         .groupBy(*grouping, bucket.alias("_bucket"), F.col(value).alias("_value"))
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
-    histogram = distinct.groupBy(*grouping, "_bucket").agg(F.sum("_copies").alias("_rows"))
+    histogram = distinct.groupBy(*grouping, "_bucket").agg(
+        F.sum("_copies").alias("_rows"),
+        F.count(F.lit(1)).alias("_distinct"),
+        F.min("_value").cast("double").alias("_low"),
+        F.max("_value").cast("double").alias("_high"),
+    )
     upto = W.partitionBy(*grouping).orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy(*grouping)
     placed = histogram.withColumns(
@@ -125,10 +132,23 @@ def order_statistics(
             ),
         )
         .filter(F.size("_wanted") > 0)
-        .select(*grouping, "_bucket", "_start", "n", "_wanted")
+        .select(*grouping, "_bucket", "_start", "n", "_wanted", "_low", "_high", "_distinct")
+    )
+    # Narrow data fills few buckets: one that is asked for is cut again, evenly
+    # between its own ends, until a part holds some thousand values.
+    parts = F.ceil(F.col("_distinct") / PART_VALUES)
+    share = F.try_divide(F.col("_value").cast("double") - F.col("_low"), F.col("_high") - F.col("_low"))
+    cut = F.least(parts - 1, F.floor(F.coalesce(share, F.lit(0.0)) * parts))
+    rows = null_safe_join(distinct, targets, [*grouping, "_bucket"]).withColumn("_part", cut)
+    in_part = rows.groupBy(*grouping, "_bucket", "_part").agg(F.sum("_copies").alias("_in_part"))
+    earlier = W.partitionBy(*grouping, "_bucket").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shifts = in_part.select(
+        *grouping, "_bucket", "_part", F.coalesce(F.sum("_in_part").over(earlier), F.lit(0)).alias("_shift")
+    )
+    candidates = null_safe_join(rows, shifts, [*grouping, "_bucket", "_part"]).withColumn(
+        "_start", F.col("_start") + F.col("_shift")
     )
-    candidates = null_safe_join(distinct, targets, [*grouping, "_bucket"])
-    inside = W.partitionBy(*grouping, "_bucket").orderBy("_value")
+    inside = W.partitionBy(*grouping, "_bucket", "_part").orderBy("_value")
     hits = (
         candidates.withColumn(
             "_upto", F.col("_start") + F.sum("_copies").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))

@@ -418,6 +418,14 @@ class FeatureTable:
         old = self.read().filter(F.col("feature_group").isin(*groups))
         return self.replace(delete(old, keys), groups)
 
-    def expire(self, now) -> "FeatureTable":
-        groups = [group for group, _ in self._current()]
-        return self.replace(expire(self.read(), now), groups)
+    def expire(self, now) -> int:
+        """Switch off what has run out; returns how many rows that were.
+
+        Only groups with such rows are written again.
+        """
+        before = self.read()
+        due = before.filter(F.col("is_active") & _expired(now))
+        counts = {group: n for group, n in due.groupBy("feature_group").count().collect()}
+        if counts:
+            self.replace(expire(before.filter(F.col("feature_group").isin(*counts)), now), sorted(counts))
+        return sum(counts.values())
