@@ -7,6 +7,8 @@ watermark has passed its end, so the last windows of the table are not there.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidemill.catalog.aggregates import USER_AGGREGATES
@@ -17,6 +19,7 @@ from tidemill.config import ValidationRules, WindowSpec
 from tidemill.operators.alerts import ALERT_RULES
 from tidemill.operators.extract import extract_features, features_of
 from tidemill.plans.features import FeatureSettings
+from tidemill.operators.store import FeatureTable
 from tidemill.session import table, work_path
 from tidemill.sources import adapters
 from tidemill.streaming.alerts import alert_state_stream
@@ -74,9 +77,9 @@ def st_sliding(spark, folder):
     return run_aggregate(spark, folder, WindowSpec("sliding", "1 hour", "30 minutes"))
 
 
-SESSIONS = f"""{FEAT}, marked AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS opens FROM feat),
+SESSIONS = f"""{FEAT}, marked AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS opens FROM feat),
   sess AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM marked),
-  bounds AS (SELECT *, min(ts) OVER (PARTITION BY user_id, session) AS lo, max(ts) OVER (PARTITION BY user_id, session) + INTERVAL 6 HOUR AS hi FROM sess)"""
+  bounds AS (SELECT *, min(ts) OVER (PARTITION BY user_id, session) AS lo, max(ts) OVER (PARTITION BY user_id, session) + INTERVAL 6 HOUR - INTERVAL 1 MICROSECOND AS hi FROM sess)"""
 
 
 @query(
@@ -183,6 +186,22 @@ def stream_job(spark, folder):
     return result
 
 
+@query(
+    "stream_store",
+    with_(
+        DOCS,
+        f"""SELECT user_id AS entity_id, TRUE AS is_active FROM docs WHERE {GOOD} AND user_id <> 'unknown' GROUP BY user_id""",
+    ),
+)
+def stream_store(spark, folder):
+    """The job with the feature store as its output: one row per known user."""
+    root = work_path(spark, "store-job")
+    source = adapters.raw_documents(read_table_stream(spark, folder, "events"))
+    settings = replace(JOB_SETTINGS, window=None)
+    finish(start_feature_job(source, f"{root}/out", f"{root}/checkpoint", settings, "value", output="store"))
+    return FeatureTable(spark, f"{root}/out/store").read().select("entity_id", "is_active")
+
+
 @query("stateful_alert", STATE_SQL)
 def stateful_alert(spark, folder):
     """Alert states on a stream; a test compares them with the batch form."""

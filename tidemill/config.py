@@ -114,3 +114,51 @@ class WindowSpec:
     slide: str = "30 seconds"
     gap: str = "600 seconds"
     lateness: str = "5 minutes"
+
+
+def _mapping(entry, kind: str = "numeric") -> Mapping:
+    """A mapping from a bare source field or from its settings."""
+    if isinstance(entry, str):
+        return Mapping(entry, kind)
+    return Mapping(entry["source_field"], entry.get("type", kind), int(entry.get("modulo", 100)))
+
+
+def model_definition(settings: dict) -> ModelDefinition:
+    """A model from the settings of a definition file; unnamed parts stay empty."""
+    features, store = settings["features"], settings.get("feature_store") or {}
+    mapping, labeling = settings.get("beam_mapping") or {}, store.get("labeling") or {}
+
+    def table(name: str) -> dict[str, Mapping]:
+        return {column: _mapping(entry) for column, entry in (mapping.get(name) or {}).items()}
+
+    return ModelDefinition(
+        name=settings["model_name"],
+        columns=tuple(features["columns"]),
+        target=features.get("target", "label"),
+        per_record=table("per_record_fields"),
+        aggregated=table("aggregated_fields"),
+        transforms=table("transforms"),
+        store_schema={group: tuple(names) for group, names in (store.get("schema") or {}).items()},
+        label_strategy=labeling.get("strategy", "rule_based"),
+        label_threshold=float(labeling.get("threshold", 0.65)),
+    )
+
+
+def read_models(spark, path: str) -> dict[str, ModelDefinition]:
+    """All models that the JSON or YAML files of a folder define, by name.
+
+    Files are read by Spark, so the folder may be in any store it reaches.
+    """
+    import json
+
+    found = {}
+    for row in spark.read.text(path, wholetext=True).selectExpr("value", "_metadata.file_name AS file").collect():
+        if row["file"].endswith((".yaml", ".yml")):
+            import yaml
+
+            settings = yaml.safe_load(row["value"])
+        else:
+            settings = json.loads(row["value"])
+        model = model_definition(settings)
+        found[model.name] = model
+    return found

@@ -18,15 +18,16 @@ CATEGORY_COUNTS = {
 def window_column(spec: WindowSpec, time: str) -> Column | None:
     """Grouping expression of a window setting; None for no windowing.
 
-    Two events exactly one gap apart share a Spark session window. Callers who
-    want them apart pass a gap that is one microsecond shorter.
+    Events a whole gap apart belong to two sessions. Spark's session window
+    would join them, so it gets a gap that is one microsecond shorter, and the
+    window ends that much earlier.
     """
     if spec.kind == "fixed":
         return F.window(time, spec.size)
     if spec.kind == "sliding":
         return F.window(time, spec.size, spec.slide)
     if spec.kind == "session":
-        return F.session_window(time, spec.gap)
+        return F.session_window(time, f"{spec.gap} -1 microseconds")
     return None
 
 
@@ -162,7 +163,7 @@ def assign_sessions(df: DataFrame, gap: str, time: str = "event_time") -> DataFr
         .withColumn("_before", F.coalesce(F.lag("_at").over(inside), F.col("_carried")))
         .withColumn(
             "_opens",
-            (F.col("_before").isNull() | (F.col("_at") > F.col("_before") + span)).cast("bigint"),
+            (F.col("_before").isNull() | (F.col("_at") >= F.col("_before") + span)).cast("bigint"),
         )
     )
     numbered = ranks.running_totals(
@@ -173,7 +174,7 @@ def assign_sessions(df: DataFrame, gap: str, time: str = "event_time") -> DataFr
         {"_session": "_opens"},
     )
     bounds = numbered.groupBy("user_id", "_session").agg(
-        F.min("_at").alias("start"), (F.max("_at") + span).alias("end")
+        F.min("_at").alias("start"), (F.max("_at") + span - F.expr("INTERVAL 1 MICROSECOND")).alias("end")
     )
     windows = numbered.join(bounds, ["user_id", "_session"]).select(
         F.col("user_id").alias("_u"), "_at", F.struct("start", "end").alias("window")

@@ -16,7 +16,7 @@ def write_features(
 ) -> None:
     """Features and aggregates next to each other, on disk or in an object store."""
     if object_store and not path.startswith(("s3://", "s3a://")):
-        raise ValueError("S3 output type requires a path starting with s3://")
+        raise ValueError(f"an object store was asked for, but {path} names none")
     write_json_lines(features, f"{path}/features", mode)
     write_json_lines(aggregated, f"{path}/aggregated", mode)
 

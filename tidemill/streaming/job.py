@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemill.operators.extract import ERROR, errors_of, extract_features, features_of
 from tidemill.operators.validate import invalid_of, valid_of, validate_features
 from tidemill.plans.features import FeatureSettings
-from tidemill.sinks.tables import Outputs, append_tables
+from tidemill.sinks.files import write_json_lines
+from tidemill.sinks.tables import Outputs, append_tables, write_to_store
 from tidemill.streaming.windows import aggregate_stream, output_mode
 
 
@@ -59,6 +60,7 @@ def start_feature_job(
     settings: FeatureSettings = FeatureSettings(),
     document: str | None = None,
     limits: ErrorLimits | None = None,
+    output: str = "tables",
     **trigger,
 ) -> list[StreamingQuery]:
     """Start the two queries of the job on one source definition.
@@ -67,7 +69,13 @@ def start_feature_job(
     batch is extracted once and kept while its outputs are written. The second
     aggregates valid features over event-time windows. Both recover from their
     own checkpoint, and a repeated batch overwrites its own folder.
+
+    ``output`` sends valid features to append ``tables``, to JSON lines in
+    ``files``, to the feature ``store`` below ``root``, or to tables and store
+    with ``both``.
     """
+    if output not in ("tables", "files", "store", "both"):
+        raise ValueError(f"no output is called {output}")
     trigger = trigger or {"availableNow": True}
     now = settings.processing_time
 
@@ -81,9 +89,22 @@ def start_feature_job(
         ).persist()
         try:
             checked = validate_features(features_of(kept), settings.rules)
-            append_tables(
-                Outputs(valid_of(checked), errors_of(kept, now), invalid_of(checked)), root, batch_id
-            )
+            outputs = Outputs(valid_of(checked), errors_of(kept, now), invalid_of(checked))
+            if output in ("tables", "both"):
+                append_tables(outputs, root, batch_id)
+            if output == "files":
+                for name, rows in outputs.frames().items():
+                    write_json_lines(rows, f"{root}/{name}/batch={batch_id}", "overwrite")
+            if output in ("store", "both"):
+                write_to_store(
+                    batch.sparkSession,
+                    outputs.features,
+                    f"{root}/store",
+                    "transaction_features",
+                    processing_time=now,
+                    batch_id=f"batch-{batch_id}",
+                    dead_letter_path=f"{root}/dead_letters",
+                )
             if limits is not None:
                 limits.add(counted.get["errors"], counted.get["rows"])
         finally:
