@@ -485,8 +485,9 @@ def test_quality(spark, none):
     extra = [(5000, None, None, None), (5001, "", "h1", None), (5002, "ok " * 20000, "once", "p")]
     docs = spark.createDataFrame(good + bad + extra, "doc_id long, text string, host string, path string")
     label = F.when(F.col("doc_id") < 1000, 1).when(F.col("doc_id") < 5000, 0)
-    model = quality.fit(docs.filter("doc_id % 2 = 0").withColumn("label", label))
-    found = {r.doc_id: r for r in quality.judge(docs, model).collect()}
+    featured = quality.featurize(docs)
+    model = quality.fit(featured.filter("doc_id % 2 = 0").withColumn("label", label))
+    found = {r.doc_id: r for r in quality.judge(featured, model).collect()}
     assert len(found) == 403
     assert all(found[i].kept for i in range(200)) and not any(found[1000 + i].kept for i in range(200))
     # A site with much evidence goes far below the rest; one with a single document hardly moves.
@@ -494,9 +495,10 @@ def test_quality(spark, none):
     assert spam.site_score < 0.2
     assert abs(found[5002].site_score - 0.5) < abs(found[5002].doc_score - 0.5)
     assert 0 <= found[5000].score <= 1
-    flat = quality.fit(none.select("text", F.lit(None).cast("int").alias("label")))
-    assert {round(r.doc_score, 6) for r in quality.judge(docs, flat).collect()} == {0.5}
-    assert quality.judge(docs.limit(0), model).isEmpty()
+    empty = quality.featurize(none.withColumns({"host": F.lit("h"), "path": F.lit("p")}))
+    flat = quality.fit(empty.withColumn("label", F.lit(None).cast("int")))
+    assert {round(r.doc_score, 6) for r in quality.judge(featured, flat).collect()} == {0.5}
+    assert quality.judge(empty, model).isEmpty()
 
 
 # ---- pipeline

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.llm.common import text_of
 from tidemill.session import materialize, work_path
@@ -60,12 +61,27 @@ def features(text: str) -> list[float]:
 WIDTH = len(features(""))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [features(x) for x in batch.column("text").to_pylist()]
-        yield pa.record_batch(
-            [batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], names=["label", "features"]
-        )
+def _featured(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [features(x) for x in batch.column("text").to_pylist()]
+            yield pa.record_batch(
+                [*(batch.column(c) for c in names), pa.array(rows, pa.list_(pa.float64()))], names=[*names, "features"]
+            )
+
+    return run
+
+
+def featurize(docs: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
+    """Read every text once: doc_id, host, path and the features of the text.
+
+    ``host`` and ``path`` name the columns of the sites. Null text counts as
+    empty; other columns are ignored.
+    """
+    names = ["doc_id", "host", "path"]
+    chosen = docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), text_of().alias("text"))
+    schema = T.StructType([*chosen.schema.fields[:3], T.StructField("features", T.ArrayType(T.DoubleType()))])
+    return materialize(chosen.mapInArrow(_featured(names), schema), work_path(docs.sparkSession, "quality-features"))
 
 
 def _matrix(column: pa.Array, center: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -99,16 +115,13 @@ def _added(df: DataFrame, make, size: int) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, ridge: float = 1.0, rounds: int = 12) -> dict[str, np.ndarray]:
-    """Logistic regression by Newton's method over all rows (text, label 0 or 1).
+    """Logistic regression by Newton's method over all rows (features, label 0 or 1).
 
     Rows with a null label are left out. Without both labels the classifier is
     flat and says 0.5, or the single label's smoothed rate.
     """
-    rows = labelled.filter(F.col("label").isNotNull()).select(text_of().alias("text"), F.col("label").cast("double").alias("label"))
-    spark = labelled.sparkSession
-    ready = materialize(
-        rows.mapInArrow(_features, "label double, features array<double>"), work_path(spark, "quality-features")
-    )
+    rows = labelled.filter(F.col("label").isNotNull()).select("features", F.col("label").cast("double").alias("label"))
+    ready = materialize(rows, work_path(labelled.sparkSession, "quality-labelled"))
 
     def moments(batch):
         x = batch.column("features").values.to_numpy().reshape(batch.num_rows, WIDTH)
@@ -149,8 +162,7 @@ def _scored(model: dict[str, np.ndarray], names: list[str]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array([features(t) for t in batch.column("text").to_pylist()])
-            x = np.column_stack([(x - model["center"]) / model["scale"], np.ones(len(x))])
+            x = _matrix(batch.column("features"), model["center"], model["scale"])
             p = 1 / (1 + np.exp(-np.clip(x @ model["weights"], -15, 15)))
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(p)], names=[*names, "doc_score"])
 
@@ -176,23 +188,21 @@ def _strength(groups: DataFrame, rate: str, toward: Column) -> float:
     return float(np.clip(row["within"] / variance - 1, 1.0, 1e6)) if variance > 0 else 1e6
 
 
-def judge(docs: DataFrame, model: dict[str, np.ndarray], host: str = "host", path: str = "path", keep_at: float = 0.5) -> DataFrame:
+def judge(featured: DataFrame, model: dict[str, np.ndarray], keep_at: float = 0.5) -> DataFrame:
     """One row per document: doc_id, host, path, doc_score, site_score, score, kept.
 
-    ``docs`` has doc_id, text and the columns named by ``host`` and ``path``;
-    null hosts and paths are sites of their own. ``score`` is the posterior
-    probability of good quality, and documents at ``keep_at`` or above are kept.
-    Null text counts as empty. An empty table gives an empty result; other
-    columns are ignored.
+    ``featured`` comes from :func:`featurize`; null hosts and paths are sites of
+    their own. ``score`` is the posterior probability of good quality, and
+    documents at ``keep_at`` or above are kept. An empty table gives an empty
+    result.
     """
-    spark = docs.sparkSession
     names = ["doc_id", "host", "path"]
-    chosen = docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), text_of().alias("text"))
-    fields = ", ".join(f"{n} {t}" for n, t in chosen.dtypes if n in names)
-    scored = materialize(chosen.mapInArrow(_scored(model, names), f"{fields}, doc_score double"), work_path(spark, "quality-scored"))
+    rows = featured.select(*names, "features")
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("doc_score", T.DoubleType())])
+    scored = materialize(rows.mapInArrow(_scored(model, names), schema), work_path(featured.sparkSession, "quality-scored"))
     p = F.col("doc_score")
     sums = [F.count("*").alias("n"), F.sum(p).alias("good"), F.sum(p * p).alias("good_squared")]
-    paths = materialize(scored.groupBy("host", "path").agg(*sums), work_path(spark, "quality-paths"))
+    paths = materialize(scored.groupBy("host", "path").agg(*sums), work_path(featured.sparkSession, "quality-paths"))
     # How much one document's evidence varies around its site's rate.
     noise = F.greatest(F.col("good_squared") - F.col("good") * F.col("good") / F.col("n"), F.lit(0.0)).alias("noise")
     hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "good", "good_squared")])

@@ -163,11 +163,11 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     The documents' hosts are their sources, the paths the languages of a source.
     """
     docs = table(spark, folder, "documents").withColumn("path", F.concat_ws("/", "source", "lang"))
+    featured = quality.featurize(docs, host="source")
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("labelled_id"), F.col("quality").alias("label"))
-    known = docs.join(labels.hint("shuffle_hash"), F.col("doc_id") == F.col("labelled_id"))
-    model = quality.fit(known.filter(remainder(5) != 1).select("text", "label"))
-    judged = quality.judge(docs, model, host="source")
-    return judged.withColumn("held_out", remainder(5) == 1)
+    known = featured.join(labels, F.col("doc_id") == F.col("labelled_id"))
+    model = quality.fit(known.filter(remainder(5) != 1))
+    return quality.judge(featured, model).withColumn("held_out", remainder(5) == 1)
 
 
 _URL_SQL = r"""
