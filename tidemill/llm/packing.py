@@ -53,13 +53,27 @@ class _Encoder:
         self.model.encode_special_tokens = True
         # Ids of a word with the space before it; None where cutting is not safe.
         self.memo: dict[str, bytes | None] = {}
+        # Byte-level vocabularies write a space as this letter.
+        self.begins = np.zeros(self.model.get_vocab_size(), bool)
+        for token, number in self.model.get_vocab().items():
+            self.begins[number] = token.startswith("\u0120")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [_little(array("I", x.ids)).tobytes() for x in done]
 
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word with a space before it; some thousand words are one text."""
+        for start in range(0, len(words), 2000):
+            raw = self._encode([" " + " ".join(words[start : start + 2000])])[0]
+            cuts = 4 * np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")])
+            ends = [*cuts[1:].tolist(), len(raw)]
+            yield from (raw[a:b] for a, b in zip(cuts.tolist(), ends))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.begins.any():  # not byte-level
+            return self._encode(texts)
         memo = self.memo
         if len(memo) > _MEMO_WORDS:
             memo.clear()
@@ -67,7 +81,7 @@ class _Encoder:
         new = [w for w in set(chain.from_iterable(cut)).difference(memo)]
         safe = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
         memo.update(dict.fromkeys(new))
-        memo.update(zip(safe, self._encode([f" {w}" for w in safe])))
+        memo.update(zip(safe, self._encode_words(safe), strict=True))
         heads = self._encode([words[0] for words in cut])
         found = []
         for text, words, head in zip(texts, cut, heads):
