@@ -294,7 +294,7 @@ def _words_above(folder: str, least: int):
 
 
 def train(
-    texts: DataFrame, order: int = 3, folder: str | None = None, chunk_chars: int = 2_000_000, held_rows: int = 3_000_000
+    texts: DataFrame, order: int = 3, folder: str | None = None, chunk_chars: int = 1_000_000, held_rows: int = 1_500_000
 ) -> Model:
     """Count a model over the column ``text``; null counts as empty.
 
@@ -450,7 +450,7 @@ class Scorer:
         }
 
 
-def score_texts(docs: DataFrame, model: Model, chunk_chars: int = 4_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, model: Model, chunk_chars: int = 1_000_000) -> DataFrame:
     """The columns of ``docs`` without ``text``, with n_tokens, n_known, base_score and score.
 
     ``score`` is the model's log10 probability of the text's words and its end,
