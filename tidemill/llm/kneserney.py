@@ -24,6 +24,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,12 +165,13 @@ def _count(order: int, shards: int, frequent: np.ndarray, chunk_chars: int, held
 def _text_chunks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[list[str]]:
     held, size = [], 0
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            held.append(text)
-            size += len(text)
-            if size >= chars:
-                yield held
-                held, size = [], 0
+        for start in range(0, batch.num_rows, 100):  # not all texts of a batch at once
+            for text in batch.column("text").slice(start, 100).to_pylist():
+                held.append(text)
+                size += len(text)
+                if size >= chars:
+                    yield held
+                    held, size = [], 0
     if held:
         yield held
 
@@ -294,7 +296,7 @@ def _words_above(folder: str, least: int):
 
 
 def train(
-    texts: DataFrame, order: int = 3, folder: str | None = None, chunk_chars: int = 1_000_000, held_rows: int = 1_500_000
+    texts: DataFrame, order: int = 3, folder: str | None = None, chunk_chars: int = 500_000, held_rows: int = 800_000
 ) -> Model:
     """Count a model over the column ``text``; null counts as empty.
 
@@ -480,7 +482,7 @@ def _merged_batches(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[p
     """Batches cut and joined to about so many characters; none is empty."""
     held, size = [], 0
     for batch in batches:
-        lengths = np.cumsum([len(x) for x in batch.column("text").to_pylist()])
+        lengths = np.cumsum(pc.utf8_length(batch.column("text")).to_numpy())
         start = 0
         while start < batch.num_rows:
             done = lengths[start - 1] if start else 0
