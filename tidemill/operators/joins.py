@@ -122,7 +122,7 @@ def missing_columns(df: DataFrame, expected: list[str]) -> list[str]:
 def require_columns(df: DataFrame, expected: list[str]) -> DataFrame:
     missing = missing_columns(df, expected)
     if missing:
-        raise ValueError(f"Missing training columns: {sorted(missing)}")
+        raise ValueError(f"the table has no {', '.join(sorted(missing))}")
     return df
 
 

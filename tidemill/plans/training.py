@@ -54,7 +54,7 @@ def check_training(spark: SparkSession, path: str, model: ModelDefinition = FRAU
     """Row count and class balance of a written table; an empty one is an error."""
     balance = class_balance(spark.read.parquet(path), model.target).first().asDict()
     if balance["rows"] == 0:
-        raise ValueError("Assembled DataFrame is empty - no training data produced")
+        raise ValueError(f"no training rows at {path}")
     if balance["warning"] != "ok":
         log.warning("%s: %.2f%%", balance["warning"], 100 * balance["rate"])
     return balance
