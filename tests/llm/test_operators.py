@@ -314,6 +314,23 @@ def test_large_groups_of_near_copies(spark):
     assert sum(want[r.doc_id] != r.component_id for r in found) <= 3
 
 
+def edited(base, places, mark):
+    own = list(base)
+    for at in places:
+        own[at] = f"{mark}y{at}"
+    return own
+
+
+def test_star_of_variants_that_resemble_only_their_hub(spark):
+    """The hub resembles the pivots of every large node and must meet all variants nonetheless."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = [base, *(edited(base, rng.choice(200, 4, replace=False), f"c{c}") for c in range(900))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    found = neardup.near_duplicates(docs, 3, 85, limit=256)
+    assert found.filter("component_id <> 0").count() == 0
+
+
 def test_near_empty(none):
     assert neardup.near_duplicates(none).isEmpty()
 

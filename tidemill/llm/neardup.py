@@ -8,11 +8,11 @@ that similar classes stay together with the probability of their similarity and
 a path is taken 1 / threshold times on average.
 
 A node of at most ``limit`` classes ends its branch and is compared
-exhaustively. A larger node first compares everything with a few pivots. Classes
-that clearly resemble a pivot are joined through it and leave the branch; if at
-most ``limit`` are left, these are compared with the whole node, block by block,
-and the branch ends, else they go on branching. So a group of near copies of any
-size is linked without listing its pairs.
+exhaustively. A larger node first compares everything with a few pivots, and
+classes that clearly resemble a pivot are joined through it. If at most
+``limit`` do not, these are compared with the whole node, block by block, and the
+branch ends, else the whole node goes on branching. So a group of near copies of
+any size is linked without listing its pairs.
 
 Comparisons use sketches and only propose: a pivot and a class, or a cluster of
 classes that hang together by their estimates. Equal clusters of several trees
@@ -329,8 +329,9 @@ def candidates(
         ended = judged.join(done, "node")
         wholes.append(ended.filter(~F.col("covered")).select("node", "class"))
         joined.append(ended.filter("covered").select("node", "class", "n"))
+        # Covered classes go on too: their other links are not compared here.
         rest = left.filter(F.col("n_left") > limit).select("node")
-        going = judged.filter(~F.col("covered")).join(rest, "node").select("node", "class")
+        going = judged.join(rest, "node").select("node", "class")
         nodes = going.join(signatures, "class").mapInArrow(_branch(threshold), "node bigint, class bigint")
     union = lambda frames: reduce(DataFrame.unionByName, frames)
     member = F.collect_list(F.struct("class", "sketch"))
