@@ -331,6 +331,19 @@ def test_star_of_variants_that_resemble_only_their_hub(spark):
     assert found.filter("component_id <> 0").count() == 0
 
 
+def test_families_that_one_pair_joins(spark):
+    """All classes resemble pivots, of two families that only the pair at 4 and 13 edits links."""
+    base = [f"w{i}" for i in range(400)]
+    order = np.random.default_rng(3).permutation(np.arange(2, 398, 4))
+    chain = [edited(base, order[:k], "z") for k in (0, 4, 13, 17)]
+    texts = chain + [edited(chain[3 * (c % 2)], [order[20 + c % 70]], f"c{c}") for c in range(100)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = {i: c for i, _, c in groups_of(rows, 3, 85)}
+    assert set(want.values()) == {0}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert neardup.near_duplicates(docs, 3, 85, limit=16).filter("component_id <> 0").count() == 0
+
+
 def test_near_empty(none):
     assert neardup.near_duplicates(none).isEmpty()
 

@@ -9,10 +9,12 @@ a path is taken 1 / threshold times on average.
 
 A node of at most ``limit`` classes ends its branch and is compared
 exhaustively. A larger node first compares everything with a few pivots, and
-classes that clearly resemble a pivot are joined through it. If at most
-``limit`` do not, these are compared with the whole node, block by block, and the
-branch ends, else the whole node goes on branching. So a group of near copies of
-any size is linked without listing its pairs.
+classes that clearly resemble a pivot are proposed as its copies. The branch ends
+if all but ``limit`` classes seem copies of one family of pivots, else the whole
+node goes on branching. Once the proposals are tested on full sets, all classes
+of an ended node that no confirmed link has joined to its largest group meet the
+whole node, block by block. So a group of near copies of any size is linked
+without listing its pairs, and no estimate takes a class out.
 
 Comparisons use sketches and only propose: a pivot and a class, or a cluster of
 classes that hang together by their estimates. Equal clusters of several trees
@@ -26,6 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,8 @@ from tidemill.session import materialize, work_path
 #: Positions of a signature.
 WIDTH = 128
 _PROFILE = "doc_id bigint, text_key bigint, n_shingles bigint, class bigint, signature binary"
-_BLOCK = "array<struct<class: bigint, sketch: binary>>"
+#: Rounds of branching, after which large nodes are compared as they are.
+_ROUNDS = 16
 
 
 def _seeds(salt: int, n: int) -> np.ndarray:
@@ -185,27 +189,34 @@ class _Groups:
 
 
 def _against_pivots(clear: float):
-    """Whether a class clearly resembles a pivot of its node, and the links that says."""
+    """The links of a class to pivots that it clearly resembles, and the family of the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined = _Groups()
+        joined, families = _Groups(), {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             own = _matrix(batch.column("sketch"), np.uint8)
-            covered, links = [], []
+            family, links = [], []
             nodes, classes = batch.column("node").to_pylist(), batch.column("class").to_pylist()
             for i, pivots in enumerate(batch.column("pivots").to_pylist()):
                 names = [p["class"] for p in pivots]
-                found = _estimate(own[i], np.frombuffer(b"".join(p["sketch"] for p in pivots), np.uint8).reshape(len(names), -1))
+                sketches = np.frombuffer(b"".join(p["sketch"] for p in pivots), np.uint8).reshape(len(names), -1)
+                if nodes[i] not in families:
+                    # Pivots that clearly resemble each other, named by the first.
+                    alike = np.arange(len(names))
+                    for k in range(len(names)):
+                        _merge(alike, np.flatnonzero(_estimate(sketches[k], sketches) >= clear))
+                    families[nodes[i]] = dict(zip(names, alike.tolist()))
+                found = _estimate(own[i], sketches)
                 near = sorted(((float(e), x) for e, x in zip(found, names) if e >= clear and x != classes[i]), reverse=True)
-                covered.append(bool(near))
+                family.append(families[nodes[i]][near[0][1]] if near else None)
                 # Further pivots count only as far as they join pivots.
                 near = near[:1] + [(e, x) for e, x in near[1:] if joined.join((nodes[i], near[0][1]), (nodes[i], x))]
                 links.append([x for _, x in near])
             yield pa.record_batch(
-                [batch.column("node"), batch.column("class"), pa.array(covered), pa.array(links, pa.list_(pa.int64()))],
-                names=["node", "class", "covered", "links"],
+                [batch.column("node"), batch.column("class"), pa.array(family, pa.int32()), pa.array(links, pa.list_(pa.int64()))],
+                names=["node", "class", "family", "links"],
             )
 
     return run
@@ -233,42 +244,60 @@ def _merge(labels: np.ndarray, alike: np.ndarray) -> None:
         labels[np.isin(labels, found)] = found[0]
 
 
-def _gather(propose: float):
-    """Clusters of a whole small node, or between a few classes and a block of others."""
+def _split(labels: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
+    """The distinct ids of each label that has two or more."""
+    order = np.argsort(labels, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1):
+        members = np.unique(ids[own])
+        if len(members) > 1:
+            yield members
+
+
+def _block(rows) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.array([r["class"] for r in rows], np.int64)
+    return ids, np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
 
-    def block(rows) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array([r["class"] for r in rows], np.int64)
-        return ids, np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
+
+def _gather(propose: float):
+    """Clusters of a whole small node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for whole, mine, theirs in zip(*(batch.column(c).to_pylist() for c in ("whole", "few", "block"))):
-                ids, b = block(theirs)
-                if whole:
-                    labels = np.arange(len(ids))
-                    for i in range(1, len(ids)):
-                        hits = np.flatnonzero(_estimate(b[i], b[:i]) >= propose)
-                        if len(hits):
-                            _merge(labels, np.append(hits, i))
-                else:
-                    few, a = block(mine)
-                    labels = np.arange(len(few) + len(ids))
-                    for i in range(len(few)):
-                        hits = np.flatnonzero(_estimate(a[i], b) >= propose)
-                        if len(hits):
-                            _merge(labels, np.append(hits + len(few), i))
-                    ids = np.concatenate([few, ids])
-                order = np.argsort(labels, kind="stable")
-                for own in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1):
-                    members = np.unique(ids[own])
-                    if len(members) > 1:
-                        out.append(members)
+            for rows in batch.column("block").to_pylist():
+                ids, b = _block(rows)
+                labels = np.arange(len(ids))
+                for i in range(1, len(ids)):
+                    hits = np.flatnonzero(_estimate(b[i], b[:i]) >= propose)
+                    if len(hits):
+                        _merge(labels, np.append(hits, i))
+                out += _split(labels, ids)
             yield pa.record_batch([pa.array(out, pa.list_(pa.int64()))], names=["members"])
 
     return run
 
 
+def _gather_apart(propose: float):
+    """Clusters of differently labelled classes of two blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # a row holds two whole blocks
+                mine, theirs = (batch.column(c).slice(k, 1).to_pylist()[0] for c in ("few", "block"))
+                few, a = _block(mine)
+                ids, b = _block(theirs)
+                of_few, of_ids = (np.array([r["label"] for r in rows], np.int64) for rows in (mine, theirs))
+                labels = np.arange(len(few) + len(ids))
+                for i in range(len(few)):
+                    hits = np.flatnonzero((_estimate(a[i], b) >= propose) & (of_ids != of_few[i]))
+                    if len(hits):
+                        _merge(labels, np.append(hits + len(few), i))
+                out = list(_split(labels, np.concatenate([few, ids])))
+                yield pa.record_batch([pa.array(out, pa.list_(pa.int64()))], names=["members"])
+
+    return run
+
+
 def _sketch():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,18 +317,18 @@ def candidates(
     limit: int,
     slack: float,
     pivots: int = 8,
-    block_rows: int = 256,
-) -> tuple[DataFrame, DataFrame]:
-    """What the trees bring together: pairs (a, b) with pivots, and clusters (members)."""
+) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
+    """What the trees bring together: pairs (a, b) with pivots, clusters (members) of small
+    nodes, large nodes (node, class) for ``apart``, and the sketches of all classes."""
     spark = classes.sparkSession
     kept = lambda df, name: materialize(df, work_path(spark, f"near-{name}"))
     signatures = classes.select("class", "signature")
     sketches = kept(signatures.mapInArrow(_sketch(), "class bigint, sketch binary"), "sketches")
     propose, clear = threshold - slack, threshold + slack / 2
     nodes = signatures.mapInArrow(_roots(trees, threshold), "node bigint, class bigint")
-    proposed, wholes, joined = [], [], []
+    proposed, wholes, ended = [], [], []
     turns = [F.xxhash64("node", F.lit(i)) for i in range(pivots)]
-    while True:
+    for turn in count():
         # A pivot is the smallest class under one of the node's own permutations.
         sizes = nodes.groupBy("node").agg(
             F.count("*").alias("n"), *(F.min(F.col("class").bitwiseXOR(t)).alias(f"least_{i}") for i, t in enumerate(turns))
@@ -316,7 +345,7 @@ def candidates(
         judged = kept(
             large.select("node", "class").join(sketches, "class").join(listed, "node").mapInArrow(
                 _against_pivots(clear),
-                "node bigint, class bigint, covered boolean, links array<bigint>",
+                "node bigint, class bigint, family int, links array<bigint>",
             ),
             "judged",
         )
@@ -324,30 +353,53 @@ def candidates(
         proposed.append(
             links.select(F.least("class", "l").alias("a"), F.greatest("class", "l").alias("b"))
         )
-        left = judged.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~F.col("covered")).alias("n_left"))
-        done = left.filter(F.col("n_left").between(1, limit)).select("node", (F.col("n") - F.col("n_left")).alias("n"))
-        ended = judged.join(done, "node")
-        wholes.append(ended.filter(~F.col("covered")).select("node", "class"))
-        joined.append(ended.filter("covered").select("node", "class", "n"))
-        # Covered classes go on too: their other links are not compared here.
-        rest = left.filter(F.col("n_left") > limit).select("node")
-        going = judged.join(rest, "node").select("node", "class")
+        # A branch ends when all but a few classes are of one family.
+        shares = judged.groupBy("node", "family").agg(F.count("*").alias("n")).groupBy("node")
+        left = shares.agg((F.sum("n") - F.coalesce(F.max(F.when(F.col("family").isNotNull(), F.col("n"))), F.lit(0))).alias("n_left"))
+        ends = (F.col("n_left") <= limit) | F.lit(turn + 1 >= _ROUNDS)
+        placed = judged.join(left.select("node", ends.alias("ends")), "node")
+        ended.append(placed.filter("ends").select("node", "class"))
+        # Classes of families go on too: their other links are not compared here.
+        going = placed.filter("not ends").select("node", "class")
         nodes = going.join(signatures, "class").mapInArrow(_branch(threshold), "node bigint, class bigint")
     union = lambda frames: reduce(DataFrame.unionByName, frames)
     member = F.collect_list(F.struct("class", "sketch"))
     blocks = union(wholes).join(sketches, "class").groupBy("node").agg(member.alias("block"))
-    rows = blocks.select(F.lit(True).alias("whole"), F.array().cast(_BLOCK).alias("few"), "block")
-    if joined:
-        # What is left of a large node also meets those that left it before.
-        blocks = kept(blocks, "blocks")
-        rows = blocks.select(F.lit(True).alias("whole"), F.array().cast(_BLOCK).alias("few"), "block")
-        part = F.expr(f"pmod(xxhash64(class), cast(ceil(n / {block_rows}) as int))")
-        others = union(joined).join(sketches, "class").groupBy("node", part.alias("part")).agg(member.alias("block"))
-        crossed = blocks.withColumnRenamed("block", "few").join(others, "node")
-        rows = rows.unionByName(crossed.select(F.lit(False).alias("whole"), "few", "block"))
-    clusters = rows.mapInArrow(_gather(propose), "members array<bigint>").distinct()
+    clusters = blocks.select("block").mapInArrow(_gather(propose), "members array<bigint>").distinct()
     pairs = union([spark.createDataFrame([], "a bigint, b bigint"), *proposed])
-    return kept(pairs.distinct(), "pairs"), kept(clusters, "clusters")
+    large = kept(union(ended), "large") if ended else None
+    return kept(pairs.distinct(), "pairs"), kept(clusters, "clusters"), large, sketches
+
+
+def apart(large: DataFrame, labels: DataFrame, sketches: DataFrame, propose: float, block_rows: int = 1024) -> DataFrame:
+    """Clusters (members) of large nodes (node, class), of classes that are not yet joined.
+
+    Of each node, everything outside its largest label meets the whole node, block by block.
+    """
+    spark = large.sparkSession
+    kept = lambda df, name: materialize(df, work_path(spark, f"near-{name}"))
+    named = large.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    named = kept(named, "named")
+    sizes = named.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node")
+    sizes = sizes.agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).filter("n > main.n")
+    of_few, of_main = (f"cast(ceil({n} / {block_rows}) as int)" for n in ("(n - main.n)", "main.n"))
+    sizes = kept(
+        sizes.select("node", F.col("main.label").alias("main"), F.expr(of_few).alias("few"), F.expr(of_main).alias("rest")), "sizes"
+    )
+    # Blocks of the few come first.
+    part = F.expr("if(label <> main, pmod(xxhash64(class), few), few + pmod(xxhash64(class), rest))")
+    blocks = kept(
+        named.join(sizes, "node")
+        .select("node", "class", "label", part.alias("part"))
+        .join(sketches, "class")
+        .groupBy("node", "part")
+        .agg(F.collect_list(F.struct("class", "label", "sketch")).alias("block")),
+        "blocks",
+    )
+    meet = sizes.select("node", "few", "rest", F.explode(F.expr("sequence(0, few - 1)")).alias("own"))
+    meet = meet.select("node", "own", F.explode(F.expr("sequence(own, few + rest - 1)")).alias("part"))
+    rows = meet.join(blocks.toDF("node", "own", "few"), ["node", "own"]).join(blocks, ["node", "part"]).select("few", "block")
+    return kept(rows.mapInArrow(_gather_apart(propose), "members array<bigint>").distinct(), "apart")
 
 
 def _confirm(words: int, percent: int):
@@ -504,11 +556,14 @@ def near_duplicates(
         ),
         work_path(spark, "near-classes"),
     )
-    pairs, clusters = candidates(classes, threshold, trees, limit, slack)
+    pairs, clusters, large, sketches = candidates(classes, threshold, trees, limit, slack)
     members = clusters.select(
         F.xxhash64("members").alias("cluster"), F.size("members").alias("n"), F.explode("members").alias("class")
     )
-    chosen = members.select("class").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("class"))).distinct()
+    chosen = members.select("class").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("class")))
+    if large is not None:
+        chosen = chosen.unionByName(large.select("class"))
+    chosen = chosen.distinct()
     heads = classes.join(chosen, "class").select(
         "class", F.col("head.doc_id").alias("head_id"), F.col("head.text_key").alias("head_key")
     )
@@ -535,8 +590,18 @@ def near_duplicates(
     mixed = others.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     more = confirm_clusters(others.join(mixed.select("cluster"), "cluster"), texts, words, percent)
     more = materialize(more, work_path(spark, "near-more"))
+    links = links.unionByName(more)
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        labels = components(links)
+    if large is not None:
+        # Whatever the confirmed links leave apart in a large node is compared.
+        split = apart(large, labels, sketches, threshold - slack).select(
+            F.xxhash64("members").alias("cluster"), F.explode("members").alias("class")
+        )
+        split = split.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        last = materialize(confirm_clusters(split, texts, words, percent), work_path(spark, "near-last"))
+        if not last.isEmpty():
+            labels = components(links.unionByName(last))
     grouped = classes.select("class", "least_id").join(labels.toDF("class", "label"), "class", "left")
     grouped = grouped.withColumn("label", F.coalesce("label", "class"))
     smallest = grouped.groupBy("label").agg(F.min("least_id").alias("component_id"))
