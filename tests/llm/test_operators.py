@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemill.llm import exactdedup, kneserney, langid, linededup, mixing, neardup, packing, quality, topk, urlfilter
+from tidemill.llm import exactdedup, kneserney, langid, linededup, mixing, neardup, packing, quality, queries, topk, urlfilter
 from tidemill.llm.graph import components
 
 SCHEMA = T.StructType(
@@ -494,6 +494,19 @@ def test_language_model(spark, docs, rows, order):
     assert model.train_tokens == total and model.vocabulary == len(counts)
 
 
+def test_shards_of_the_model_grow_with_the_tokens(docs):
+    """The query counts trigrams; more shards change no score."""
+    assert queries.LM_ORDER == 3
+    texts = docs.select("doc_id", "text").filter("doc_id is not null")
+    few, many = kneserney.train(texts), kneserney.train(texts, shard_tokens=1500)
+    assert few.shards == 8 and many.shards >= many.train_tokens / 1500 > 8
+    found = [
+        sorted(((r.doc_id, r.n_known, round(r.base_score, 4), round(r.score, 4)) for r in kneserney.score_texts(texts, m).collect()), key=str)
+        for m in (few, many)
+    ]
+    assert found[0] == found[1]
+
+
 def test_language_model_without_texts(docs, none):
     model = kneserney.train(none, order=2)
     assert model.train_tokens == 0

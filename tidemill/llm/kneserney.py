@@ -261,6 +261,7 @@ class Model:
     folder: str
     order: int
     shards: int
+    word_shards: int
     frequent: np.ndarray
     discounts: dict[int, list[float]]
     train_tokens: int
@@ -296,37 +297,44 @@ def _words_above(folder: str, least: int):
 
 
 def train(
-    texts: DataFrame, order: int = 3, folder: str | None = None, chunk_chars: int = 500_000, held_rows: int = 800_000
+    texts: DataFrame,
+    order: int = 3,
+    folder: str | None = None,
+    chunk_chars: int = 500_000,
+    held_rows: int = 800_000,
+    shard_tokens: int = 1_000_000,
 ) -> Model:
     """Count a model over the column ``text``; null counts as empty.
 
-    The number of shards is ``spark.sql.shuffle.partitions``. The driver gets a
-    few sums per shard and the words that hold more than 1 / (8 shards) of all
+    Words are counted in ``spark.sql.shuffle.partitions`` shards, n-grams in as
+    many more as keep a shard at ``shard_tokens`` tokens on average; a task holds
+    one shard. The driver gets a few sums per shard and the words that hold more than 1 / (8 shards) of all
     tokens, of which there are less than eight per shard.
     """
     spark = texts.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    word_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = local_folder(folder or work_path(spark, "ngrams"))
     own = texts.select(text_of().alias("text"))
     none = np.empty(0, np.uint64)
 
-    def step(rows: DataFrame, k: int, frequent: np.ndarray, name: str) -> DataFrame:
-        dealt = rows.filter("kind <> 'summary'").repartition(shards, "shard")
+    def step(rows: DataFrame, k: int, frequent: np.ndarray, name: str, shards: int) -> DataFrame:
+        dealt = rows.filter("kind <> 'summary'").repartitionById(shards, F.col("shard"))
         run = _reduce(folder, k, shards, frequent, k > 1, name)
         return materialize(dealt.mapInArrow(run, _BLOB), work_path(spark, f"ngrams-{name}"))
 
-    words = step(own.mapInArrow(_count(1, shards, none, chunk_chars, held_rows), _BLOB), 1, none, "word")
+    words = step(own.mapInArrow(_count(1, word_shards, none, chunk_chars, held_rows), _BLOB), 1, none, "word", word_shards)
     vocabulary = _merged(words)
+    shards = max(word_shards, -(-vocabulary["total"] // shard_tokens))
     above = _words_above(folder, max(2, vocabulary["total"] // (8 * shards)))
     full = words.filter("kind = 'summary'").select("shard").mapInArrow(above, "word bigint")
     frequent = np.array([r["word"] for r in full.collect()], np.int64).view(np.uint64)
     rows = own.mapInArrow(_count(order, shards, frequent, chunk_chars, held_rows), _BLOB)
     discounts, summary = {}, {}
     for k in range(order, 0, -1):
-        rows = step(rows, k, frequent, str(k))
+        rows = step(rows, k, frequent, str(k), shards)
         summary = _merged(rows)
         discounts[k] = _discounts(summary["n"])
-    return Model(folder, order, shards, frequent, discounts, vocabulary["total"], vocabulary["distinct"], summary)
+    return Model(folder, order, shards, word_shards, frequent, discounts, vocabulary["total"], vocabulary["distinct"], summary)
 
 
 class _Table:
@@ -389,7 +397,7 @@ class Scorer:
 
     def word_counts(self, words: np.ndarray) -> np.ndarray:
         """Raw training counts of words."""
-        return self._counts("word", mix64(words), _range_of(mix64(words), self.model.shards))
+        return self._counts("word", mix64(words), _range_of(mix64(words), self.model.word_shards))
 
     def _counts(self, name: str, grams: np.ndarray, shard: np.ndarray) -> np.ndarray:
         found = np.zeros(len(grams), np.int64)

@@ -27,7 +27,7 @@ def _query(name: str, sql: str | None = None):
 
 
 #: Longest n-grams of the language model.
-LM_ORDER = 2
+LM_ORDER = 3
 
 #: The rules that the URL query judges by.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
