@@ -42,7 +42,8 @@ class _Encoder:
 
     A byte-level pattern never lets a token span the place before a single
     space between two printing characters, so a text may be cut there. Texts
-    with other white space beside a space are encoded whole.
+    with other white space beside a space are encoded whole. Special tokens within a
+    text are encoded as plain text, unlike by the tokenizer's defaults.
     """
 
     def __init__(self, path: str):
