@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import exactdedup, kneserney, langid, linededup, mixing, neardup, packing, quality, topk, urlfilter
+from tidemill.llm import centroids, exactdedup, kneserney, langid, linededup, mixing, neardup, packing, quality, topk, urlfilter
 from tidemill.llm.common import remainder
 from tidemill.session import table
 
@@ -188,3 +188,36 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Rule and verdict of every page."""
     rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS rules(action, host, path)")
     return urlfilter.judge_urls(table(spark, folder, "pages"), rules)
+
+
+def _cluster_sql(rounds: int) -> str:
+    steps = [
+        """e AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, q) - 1 AS cluster, q AS c FROM e QUALIFY cluster < 40)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, vec_id, q, cluster, CAST(list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(q, c)]) AS BIGINT) AS distance
+  FROM e CROSS JOIN c{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, cluster) = 1)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.cluster, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c
+    FROM (SELECT cluster, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+      FROM (SELECT cluster, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{i}) GROUP BY cluster, i)
+    GROUP BY cluster) m USING (cluster))""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+@_query("op13_cluster_centroids", _cluster_sql(5))
+def op13_cluster_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """The cluster of every vector after five rounds from 40 first centroids."""
+    return centroids.cluster(table(spark, folder, "embeddings"))
