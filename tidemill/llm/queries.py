@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import centroids, exactdedup, kneserney, langid, linededup, mixing, neardup, packing, quality, topk, urlfilter
+from tidemill.llm import centroids, exactdedup, kneserney, langid, linededup, mixing, neardup, packing, quality, suffixdedup, topk, urlfilter
 from tidemill.llm.common import remainder
 from tidemill.session import table
 
@@ -221,3 +221,31 @@ FROM a{rounds} JOIN c{rounds} USING (cluster)"""
 def op13_cluster_centroids(spark: SparkSession, folder: str) -> DataFrame:
     """The cluster of every vector after five rounds from 40 first centroids."""
     return centroids.cluster(table(spark, folder, "embeddings"))
+
+
+_SUFFIX_SQL = """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT r, unnest(range(0, CAST(length(x) // 2 - 99 AS BIGINT), 256)) AS c0, x FROM d),
+y AS (SELECT r, c0, substr(x, 2 * c0 + 1, 710) AS x FROM c),
+p AS (SELECT r, c0, x, unnest(range(least(256, CAST(length(x) // 2 - 99 AS BIGINT)))) AS k FROM y),
+s AS (SELECT r, c0 + k AS p0, row_number() OVER (PARTITION BY md5(substr(x, 2 * k + 1, 200)) ORDER BY r, c0 + k) > 1 AS again FROM p),
+g AS (SELECT r, p0, p0 > 100 + coalesce(lag(p0) OVER (PARTITION BY r ORDER BY p0), -101) AS opens FROM s WHERE again),
+i AS (SELECT r, p0, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY r ORDER BY p0) AS span FROM g),
+m AS (SELECT r, span, min(p0) AS a, max(p0) + 100 AS b FROM i GROUP BY r, span),
+k AS (
+  SELECT r, span, b, coalesce(lead(a) OVER (PARTITION BY r ORDER BY span), 1000000000) AS next_a,
+    min(a) OVER (PARTITION BY r) AS first_a, b - a AS gone FROM m),
+t AS (
+  SELECT r, count(*) AS n_spans, CAST(sum(gone) AS BIGINT) AS n_removed, min(first_a) AS first_a,
+    list((b, next_a) ORDER BY span) AS gaps FROM k GROUP BY r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN gaps IS NULL THEN x ELSE
+    substr(x, 1, 2 * first_a) || array_to_string([substr(x, 2 * g[1] + 1, 2 * (g[2] - g[1])) FOR g IN gaps], '') END)) AS kept_sha256
+FROM d LEFT JOIN t USING (r)"""
+
+
+@_query("op12_suffix_dedup", _SUFFIX_SQL)
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What each document loses of strings of 100 bytes that start earlier, and a digest of what is left."""
+    kept = suffixdedup.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
