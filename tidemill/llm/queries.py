@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import centroids, exactdedup, kneserney, langid, linededup, mixing, neardup, packing, quality, suffixdedup, topk, urlfilter
+from tidemill.llm import centroids, exactdedup, kneserney, langid, lexical, linededup, mixing, neardup, packing, quality, suffixdedup, topk, urlfilter
 from tidemill.llm.common import remainder
 from tidemill.session import table
 
@@ -249,3 +249,33 @@ def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What each document loses of strings of 100 bytes that start earlier, and a digest of what is left."""
     kept = suffixdedup.remove_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+_LEXICAL_SQL = r"""
+WITH w AS (
+  SELECT 1 AS kind, doc_id AS id, row_number() OVER () AS r, text FROM documents
+  UNION ALL SELECT 2, item_id, row_number() OVER (), text FROM benchmark),
+t AS (
+  SELECT kind, id, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM w WHERE text IS NOT NULL),
+c AS (SELECT kind, id, r, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM c WHERE kind = 1 GROUP BY r),
+a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS occurrences FROM n),
+f AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight
+  FROM c, a WHERE kind = 1 GROUP BY term, docs),
+d AS (
+  SELECT c.id AS doc_id, c.r, term, weight, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // occurrences)) AS impact
+  FROM c JOIN n USING (r) JOIN f USING (term), a WHERE kind = 1),
+s AS (
+  SELECT i.r AS item, i.id AS item_id, d.r, doc_id, CAST(sum(i.tf * weight * impact) AS BIGINT) AS score
+  FROM c i JOIN d USING (term) WHERE i.kind = 2 GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@_query("op11_lexical_search", _LEXICAL_SQL)
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
