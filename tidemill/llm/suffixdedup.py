@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import text_of
-from tidemill.session import materialize, work_path
+from tidemill.session import discard, materialize, work_path
 
 _LAST = (1 << 63) - 1
 _PLACE = "owner bigint, version bigint, first int, last int"
@@ -309,12 +309,14 @@ def repeated_strings(rows: DataFrame, length: int = 100, gram: int = 40) -> Data
     if not 0 < gram <= length:
         raise ValueError("a gram must not be longer than the strings")
     spark = rows.sparkSession
-    anchors = materialize(rows.mapInArrow(_anchors(length, gram), _ANCHORS), work_path(spark, "suffix-anchors"))
+    filed = work_path(spark, "suffix-anchors")
+    anchors = materialize(rows.mapInArrow(_anchors(length, gram), _ANCHORS), filed)
     order = ["bucket", "later", "owner", "version", "first"]
     decided = materialize(
         anchors.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_refine, _DECIDED),
         work_path(spark, "suffix-segments"),
     )
+    discard(spark, filed)
     asked = (
         decided.filter(~F.col("covered"))
         .groupBy("owner", "version")
