@@ -95,14 +95,14 @@ def latency_quantiles_by_version(spark, folder):
     return M.latency_quantiles(log(spark, folder), None, ("model_name", "model_version"))
 
 
-def _bucket_sql(q: float) -> str:
+def _bucket_sql(q: float, total: str = "requests") -> str:
     tests = []
     for i, edge in enumerate(M.REQUEST_EDGES):
         lower = M.REQUEST_EDGES[i - 1] if i else 0.0
         before = f"le{i - 1}" if i else "0"
         tests.append(
-            f"WHEN le{i} >= {q}::DOUBLE * requests THEN {lower}::DOUBLE + ({edge}::DOUBLE - {lower}::DOUBLE) "
-            f"* coalesce(({q}::DOUBLE * requests - {before}) / nullif(le{i} - {before}, 0), 0)"
+            f"WHEN le{i} >= {q}::DOUBLE * {total} THEN {lower}::DOUBLE + ({edge}::DOUBLE - {lower}::DOUBLE) "
+            f"* coalesce(({q}::DOUBLE * {total} - {before}) / nullif(le{i} - {before}, 0), 0)"
         )
     return f"CASE {' '.join(tests)} ELSE {M.REQUEST_EDGES[-1]}::DOUBLE END"
 
@@ -239,20 +239,21 @@ def alert_series(spark, folder):
     """Error rate, latency, hit rate, volume and success per five-minute step, gaps filled."""
     rows = log(spark, folder)
     window = F.col("window.start").alias("step")
-    timed = rows.groupBy(F.window(TS, "5 minutes").alias("window")).agg(
+    known = rows.groupBy(F.window(TS, "5 minutes").alias("window")).agg(
         F.count(F.lit(1)).alias("requests"),
         F.avg((F.col("status") == "error").cast("int")).alias("error_rate"),
         F.avg((F.col("status") == "cache_hit").cast("int")).alias("cache_hit_rate"),
         F.max((F.col("status") != "error").cast("int")).alias("up"),
+        *M.bucket_counts(),
     )
-    slow = M.latency_quantiles(rows, "5 minutes", ()).select(window, "p95")
-    known = timed.select(window, "requests", "error_rate", "cache_hit_rate", "up").join(slow, "step", "left")
+    known = known.select(window, "requests", "error_rate", "cache_hit_rate", "up", M.bucket_quantile(0.95).alias("p95"))
     return A.fill_steps(known, "5 minutes").withColumn("requests", F.coalesce("requests", F.lit(0)))
 
 
-ALERT_SERIES = f"""{LOG}, steps AS (SELECT {bucket(300, TS)} AS step, count(*) AS requests, {share("status = 'error'")} AS error_rate,
+ALERT_SERIES = f"""{LOG}, counted AS (SELECT {bucket(300, TS)} AS step, count(*) AS requests, {share("status = 'error'")} AS error_rate,
     {share("status = 'cache_hit'")} AS cache_hit_rate, max(CASE WHEN status <> 'error' THEN 1 ELSE 0 END) AS up,
-    quantile_cont(latency_ms / 1000, 0.95) AS p95 FROM plog GROUP BY 1),
+    count(latency_ms) AS seen, {_COUNTS} FROM plog GROUP BY 1),
+  steps AS (SELECT *, CASE WHEN seen > 0 THEN {_bucket_sql(0.95, 'seen')} END AS p95 FROM counted),
   spine AS (SELECT unnest(generate_series((SELECT min(step) FROM steps), (SELECT max(step) FROM steps), INTERVAL 5 MINUTE)) AS step),
   series AS (SELECT spine.step, coalesce(requests, 0) AS requests, error_rate, cache_hit_rate, up, p95 FROM spine LEFT JOIN steps ON steps.step = spine.step)"""
 RULES_SQL = " UNION ALL ".join(

@@ -211,8 +211,13 @@ def stateful_alert(spark, folder):
         F.col("step").alias("ts"), F.explode(F.create_map(*pairs)).alias("alert", "met")
     )
     evaluations.write.parquet(f"{root}/evaluations")
-    source = spark.readStream.schema(evaluations.schema).parquet(f"{root}/evaluations")
-    states = alert_state_stream(source, cooldown_minutes=60)
+    # Files come one by one in any order; a closing mark lets the watermark pass all of them.
+    span = spark.read.parquet(f"{root}/evaluations").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    lateness = f"{span.select(F.expr('coalesce(timestampdiff(MINUTE, lo, hi), 0) + 1')).first()[0]} minutes"
+    mark = span.select((F.col("hi") + F.expr(f"INTERVAL {lateness}") * 2).alias("ts"), F.lit(None).cast("string").alias("alert"), F.lit(False).alias("met"))
+    mark.write.mode("append").parquet(f"{root}/evaluations")
+    source = spark.readStream.schema(evaluations.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/evaluations")
+    states = alert_state_stream(source, cooldown_minutes=60, lateness=lateness)
     finish([start_file_query(states, f"{root}/out", f"{root}/checkpoint")])
     return spark.read.schema(states.schema).parquet(f"{root}/out")
 

@@ -71,37 +71,19 @@ def latency_quantiles(
     return ranks.quantiles(seconds, keys, "_latency", QUANTILES).withColumnRenamed("n", "requests")
 
 
-def histogram_quantiles(
-    log: DataFrame,
-    size: str | None = "5 minutes",
-    by: tuple[str, ...] = ("model_name",),
-    edges: tuple[float, ...] = REQUEST_EDGES,
-) -> DataFrame:
-    """Quantiles read off cumulative bucket counts with linear interpolation.
-
-    A rank above the last edge gives the last edge. All buckets are counted in
-    one aggregate that combines before the shuffle.
-    """
-    rows, keys = windowed(log, size, list(by))
+def bucket_counts(edges: tuple[float, ...] = REQUEST_EDGES) -> list[Column]:
+    """Cumulative bucket counts of the latency, and how many requests have one."""
     seconds = F.col("latency_ms") / 1000.0
-    counted = (
-        rows.filter(F.col("latency_ms").isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("requests"),
-            *[F.count_if(seconds <= edge).alias(f"_le{i}") for i, edge in enumerate(edges)],
-        )
-    )
-    return counted.select(
-        *keys,
-        "requests",
-        *[_bucket_quantile(q, edges).alias(name) for name, q in QUANTILES.items()],
-    )
+    return [F.count("latency_ms").alias("_seen"), *[F.count_if(seconds <= edge).alias(f"_le{i}") for i, edge in enumerate(edges)]]
 
 
-def _bucket_quantile(q: float, edges: tuple[float, ...]) -> Column:
-    rank = F.col("requests") * F.lit(q)
-    chain = None
+def bucket_quantile(q: float, edges: tuple[float, ...] = REQUEST_EDGES) -> Column:
+    """A quantile read off :func:`bucket_counts` with linear interpolation; null without requests.
+
+    A rank above the last edge gives the last edge.
+    """
+    rank = F.col("_seen") * F.lit(q)
+    chain = F.when(F.col("_seen") == 0, F.lit(None).cast("double"))
     for i, edge in enumerate(edges):
         lower = edges[i - 1] if i else 0.0
         before = F.col(f"_le{i - 1}") if i else F.lit(0)
@@ -109,11 +91,24 @@ def _bucket_quantile(q: float, edges: tuple[float, ...]) -> Column:
         value = F.lit(lower) + F.lit(edge - lower) * F.coalesce(
             F.try_divide(rank - before, inside), F.lit(0.0)
         )
-        test = F.col(f"_le{i}") >= rank
-        chain = F.when(test, value) if chain is None else chain.when(test, value)
+        chain = chain.when(F.col(f"_le{i}") >= rank, value)
     return chain.otherwise(F.lit(edges[-1]))
 
 
+def histogram_quantiles(
+    log: DataFrame,
+    size: str | None = "5 minutes",
+    by: tuple[str, ...] = ("model_name",),
+    edges: tuple[float, ...] = REQUEST_EDGES,
+) -> DataFrame:
+    """Quantiles read off cumulative bucket counts, all in one aggregate that combines before the shuffle."""
+    rows, keys = windowed(log, size, list(by))
+    counted = rows.filter(F.col("latency_ms").isNotNull()).groupBy(*keys).agg(*bucket_counts(edges))
+    return counted.select(
+        *keys, F.col("_seen").alias("requests"), *[bucket_quantile(q, edges).alias(name) for name, q in QUANTILES.items()]
+    )
+
+
 def average_latency(log: DataFrame, size: str | None = "5 minutes", by: tuple[str, ...] = ("model_name",)) -> DataFrame:
     rows, keys = windowed(log, size, list(by))
     return rows.groupBy(*keys).agg((F.avg("latency_ms") / 1000.0).alias("avg_latency_seconds"))
