@@ -138,10 +138,9 @@ def passages(rng):
 
 
 @pytest.mark.parametrize(("gram", "chunk"), [(12, 1 << 18), (30, 1 << 18), (7, 256)])
-def test_suffixes(spark, monkeypatch, gram, chunk):
-    monkeypatch.setattr(suffixdedup, "_CHUNK", chunk)
+def test_suffixes(spark, gram, chunk):
     rows = passages(np.random.default_rng(gram))
-    got = suffixdedup.remove_repeats(frame(spark, rows), length=30, gram=gram)
+    got = suffixdedup.remove_repeats(frame(spark, rows), length=30, gram=gram, chunk=chunk)
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes"]
     found = sorted(((*r[:4], bytes(r.kept_bytes)) for r in got.collect()), key=str)
     assert found == removed(rows, 30)

@@ -116,7 +116,7 @@ def segments(data: bytes, sizes: list[int], length: int, gram: int) -> tuple[np.
     return grams[held].view(np.int64), later.view(np.int64), text[cut], cut - base, until - base
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[list, bytes, list[int]]]:
+def _pieces(batches: Iterator[pa.RecordBatch], length: int, chunk: int) -> Iterator[tuple[list, bytes, list[int]]]:
     """Chunks of whole short texts, and parts of long ones that overlap by a window less one byte.
 
     Rows are (owner, version, place of the part in its text).
@@ -127,9 +127,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[li
             body = text.encode("utf-8", "surrogatepass")
             if len(body) < length:
                 continue
-            for start in range(0, len(body) - length + 1, _CHUNK):
-                part = body[start : start + _CHUNK + length - 1]
-                if held + len(part) > 2 * _CHUNK:
+            for start in range(0, len(body) - length + 1, chunk):
+                part = body[start : start + chunk + length - 1]
+                if rows and held + len(part) > 2 * chunk:
                     yield rows, b"".join(parts), [len(p) for p in parts]
                     rows, parts, held = [], [], 0
                 rows.append((owner, version, start))
@@ -144,9 +144,9 @@ def _places(rows: list, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return owner[text], version[text], start[text]
 
 
-def _anchors(length: int, gram: int):
+def _anchors(length: int, gram: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, sizes in _pieces(batches, length):
+        for rows, data, sizes in _pieces(batches, length, chunk):
             bucket, later, text, first, last = segments(data, sizes, length, gram)
             owner, version, start = _places(rows, text)
             yield pa.record_batch(
@@ -301,7 +301,7 @@ def _versioned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, rows if unique else rows.dropDuplicates(["owner", "version"])
 
 
-def repeated_strings(rows: DataFrame, length: int = 100, gram: int = 40) -> DataFrame:
+def repeated_strings(rows: DataFrame, length: int = 100, gram: int = 40, chunk: int = _CHUNK) -> DataFrame:
     """Runs of starts of repeated strings: owner, version, first, last.
 
     ``rows`` has owner, version and text; owner and version name and order the texts.
@@ -310,7 +310,7 @@ def repeated_strings(rows: DataFrame, length: int = 100, gram: int = 40) -> Data
         raise ValueError("a gram must not be longer than the strings")
     spark = rows.sparkSession
     filed = work_path(spark, "suffix-anchors")
-    anchors = materialize(rows.mapInArrow(_anchors(length, gram), _ANCHORS), filed)
+    anchors = materialize(rows.mapInArrow(_anchors(length, gram, chunk), _ANCHORS), filed)
     order = ["bucket", "later", "owner", "version", "first"]
     decided = materialize(
         anchors.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_refine, _DECIDED),
@@ -364,7 +364,7 @@ def _keep(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 40) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 40, chunk: int = _CHUNK) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_bytes.
 
     Texts are UTF-8 bytes, and null counts as empty. Every byte goes that a
@@ -378,7 +378,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 40) -> DataFr
     """
     rows, once = _versioned(docs)
     runs = (
-        repeated_strings(once, length, gram)
+        repeated_strings(once, length, gram, chunk)
         .groupBy("owner", "version")
         .agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     )
