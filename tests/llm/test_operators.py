@@ -361,7 +361,6 @@ def test_components(spark):
 def test_packing(docs, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     found = packing.pack_documents(docs, path).collect()
     want = Counter((r[0], tuple([*model.encode(r[1] or "", add_special_tokens=False).ids, 2])) for r in rows)
     by_row = defaultdict(list)
@@ -390,8 +389,8 @@ def test_packing(docs, rows):
 def test_special_strings_and_white_space_encode_as_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    texts = ["a <|endoftext|> b", " lead", "trail ", "a  b", "a\u00a0b c", "x\n\ny z", "it's we'll 12 3", "\x1c a b\x1d", "", "a\0b c", "tab\t x"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|endoftext |> a", " lead", "trail ", "a  b", "a\u00a0b c", "x\n\ny z", "it's we'll 12 3", "\x1c a b\x1d", "", "a\0b c", "tab\t x"]
+    texts += ["a\nb", "\na b", "a\n", "a \nb", "a\n b", "a.\nB, c!\nd", "a..\n\n\nb", "it's,\nwe'll; it's. 'tis, '! a' b", "é.\nÉ ß: 3. 4,", "a\n, b\n. c", "\n", "a\r\nb c\n\td", "x\u2028y z.\n\u00a0a"]
     got = packing.encoder(path).encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [model.encode(x, add_special_tokens=False).ids for x in texts]
 

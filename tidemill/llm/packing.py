@@ -13,7 +13,6 @@ import os
 import sys
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,6 +27,8 @@ from tidemill.session import work_path
 PIECES = "row bigint, doc_id bigint, piece int, start bigint, length bigint, ids binary"
 _PLACES = "row bigint, piece int, sequence_id bigint, offset bigint"
 _MEMO_WORDS = 1_500_000
+#: Marks that often follow a word; each is a token by itself between a letter and white space.
+_MARKS = ".,;:!?"
 _ENCODERS: dict[str, "_Encoder"] = {}
 
 
@@ -41,9 +42,10 @@ class _Encoder:
     """Ids of texts, word by word, with a memory for words.
 
     A byte-level pattern never lets a token span the place before a single
-    space between two printing characters, so a text may be cut there. Texts
-    with other white space beside a space are encoded whole. Special tokens within a
-    text are encoded as plain text, unlike by the tokenizer's defaults.
+    space or line end between two printing characters, nor that between letters
+    and a closing mark, so a text may be cut there. Texts with other white space
+    beside a space or line end, and texts that hold one of the tokenizer's added
+    tokens, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -51,47 +53,70 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        # Ids of a word with the space before it; None where cutting is not safe.
-        self.memo: dict[str, bytes | None] = {}
-        # Byte-level vocabularies write a space as this letter.
+        self.added = [token.content for token in self.model.get_added_tokens_decoder().values()]
+        # Ids of a word with the space before it, or of a line end and the word after it.
+        self.memo: dict[str, bytes] = {}
+        # Byte-level vocabularies write a space and a line end as these letters.
         self.begins = np.zeros(self.model.get_vocab_size(), bool)
         for token, number in self.model.get_vocab().items():
-            self.begins[number] = token.startswith("\u0120")
+            self.begins[number] = token.startswith(("\u0120", "\u010a"))
+        self.marks = {mark: ids for mark, ids in zip(_MARKS, self._encode(list(_MARKS)))}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [_little(array("I", x.ids)).tobytes() for x in done]
 
     def _encode_words(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of each word with a space before it; some thousand words are one text."""
-        for start in range(0, len(words), 2000):
-            raw = self._encode([" " + " ".join(words[start : start + 2000])])[0]
+        """Ids of each word with a space before it; some hundred words are one text."""
+        for start in range(0, len(words), 200):
+            part = words[start : start + 200]
+            raw = self._encode(["".join([w if w[0] == "\n" else " " + w for w in part])])[0]
             cuts = 4 * np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")])
             ends = [*cuts[1:].tolist(), len(raw)]
             yield from (raw[a:b] for a, b in zip(cuts.tolist(), ends))
 
+    def _learn(self, words: set[str]) -> None:
+        """Remember new words; those that must not be cut off from their neighbours stay unknown."""
+        memo, marked, safe = self.memo, [], set()
+        for word in words:
+            body = word[1:] if word[:1] == "\n" else word
+            if not body or body[0].isspace() or body[-1].isspace():
+                continue
+            if word[-1] in self.marks and body[:-1].isalpha():
+                marked.append(word)
+                if word[:-1] not in memo:
+                    safe.add(word[:-1])
+            else:
+                safe.add(word)
+        safe = list(safe)
+        memo.update(zip(safe, self._encode_words(safe), strict=True))
+        for word in marked:
+            memo[word] = memo[word[:-1]] + self.marks[word[-1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.begins.any():  # not byte-level
             return self._encode(texts)
-        memo = self.memo
-        if len(memo) > _MEMO_WORDS:
-            memo.clear()
-        cut = [x.split(" ") for x in texts]
-        new = [w for w in set(chain.from_iterable(cut)).difference(memo)]
-        safe = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        memo.update(dict.fromkeys(new))
-        memo.update(zip(safe, self._encode_words(safe), strict=True))
-        heads = self._encode([words[0] for words in cut])
-        found = []
-        for text, words, head in zip(texts, cut, heads):
-            parts = [memo[w] for w in words]
-            if None in parts:
-                found.append(self._encode([text])[0])
+        if len(self.memo) > _MEMO_WORDS:
+            self.memo.clear()
+        get = self.memo.get
+        cut = [text.replace("\n", " \n").split(" ") for text in texts]
+        # The head has no space before it and is encoded by itself.
+        parts = [list(map(get, words)) for words in cut]
+        gaps = [[j for j, ids in enumerate(own) if ids is None and j] for own in parts]
+        self._learn({words[j] for words, missing in zip(cut, gaps) for j in missing})
+        found = self._encode([words[0] for words in cut])
+        for i, (text, words, own, missing) in enumerate(zip(texts, cut, parts, gaps)):
+            own[0] = found[i]
+            for j in missing:
+                own[j] = get(words[j])
+                if own[j] is None:
+                    break
             else:
-                parts[0] = head
-                found.append(b"".join(parts))
+                if not any(token in text for token in self.added):
+                    found[i] = b"".join(own)
+                    continue
+            found[i] = self._encode([text])[0]
         return found
 
 
