@@ -7,13 +7,19 @@ one-hour slots instead, and a user's rows spread over the slots.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tidemill.operators import ranks
+from tidemill.session import materialize, work_path
 
 DAY = 86400
 SLOT_MICROS = 3600 * 1000000
@@ -73,69 +79,118 @@ def _slot(micros):
     return F.floor(micros / F.lit(SLOT_MICROS))
 
 
+#: Instants of one key in one hour above which the hour is split.
+CELL_INSTANTS = 65_536
+#: Width of the parts of such an hour in microseconds, and so the most instants of a part.
+PART_MICROS = 8192
+#: Frame lengths that a block of rows holds; one in so many rows is copied to the next block.
+HALO_BLOCKS = 16
+
+
+def _narrow(df: DataFrame, key: str, time: str, *columns: Column) -> DataFrame:
+    """Key, instant in microseconds and the given columns, written once, so that the source is read once."""
+    return materialize(
+        df.select(key, F.unix_micros(time).alias("_at"), *columns), work_path(df.sparkSession, "timeframe")
+    )
+
+
+def _crowded(instants: DataFrame, key: str, limit: int) -> DataFrame | None:
+    """Hours of a key with more than ``limit`` instants: key, _slot; none is the common case."""
+    cells = instants.groupBy(key, _slot(F.col("_at")).alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+    crowded = materialize(cells.filter(F.col("_n") > limit).drop("_n"), work_path(instants.sparkSession, "crowded"))
+    return None if crowded.isEmpty() else crowded
+
+
+_MERGE = {
+    F.sum: lambda a, b: F.coalesce(a + b, a, b),
+    F.max: F.greatest,
+}
+
+
+def within_slots(
+    rows: DataFrame, key: str, totals: dict[str, tuple], crowded: DataFrame | None
+) -> DataFrame:
+    """Running totals over ``_at`` within each (key, _slot).
+
+    ``totals`` maps an output name to (``F.sum`` or ``F.max``, column, whether it
+    runs backward). An hour in ``crowded`` is cut into parts of ``PART_MICROS``,
+    which hold no more instants than that; totals of its parts, of which an hour
+    has a fixed number at most, are carried across them.
+    """
+
+    def windows(*by: str, order: str):
+        whole = W.partitionBy(*by)
+        return {False: whole.orderBy(order), True: whole.orderBy(F.desc(order))}
+
+    def local(frame: DataFrame, *by: str) -> DataFrame:
+        along = windows(*by, order="_at")
+        return frame.withColumns(
+            {
+                name: how(column).over(along[backward].rowsBetween(W.unboundedPreceding, W.currentRow))
+                for name, (how, column, backward) in totals.items()
+            }
+        )
+
+    if crowded is None:
+        return local(rows, key, "_slot")
+    marked = ranks.null_safe_join(rows, crowded.withColumn("_crowded", F.lit(True)), [key, "_slot"], "left")
+    calm = local(marked.filter(F.col("_crowded").isNull()), key, "_slot").drop("_crowded")
+    split = marked.filter("_crowded").drop("_crowded").withColumn("_part", F.floor(F.col("_at") / PART_MICROS))
+    cells = [key, "_slot", "_part"]
+    parts = split.groupBy(*cells).agg(*[how(column).alias(name) for name, (how, column, _) in totals.items()])
+    along = windows(key, "_slot", order="_part")
+    carried = parts.select(
+        *cells,
+        *[
+            how(name).over(along[backward].rowsBetween(W.unboundedPreceding, -1)).alias(f"_c_{name}")
+            for name, (how, _, backward) in totals.items()
+        ],
+    )
+    inside = ranks.null_safe_join(local(split, *cells), carried, cells)
+    full = inside.withColumns(
+        {name: _MERGE[how](F.col(f"_c_{name}"), F.col(name)) for name, (how, _, _) in totals.items()}
+    )
+    return calm.unionByName(full.select(*calm.columns))
+
+
 def trailing(
-    df: DataFrame,
-    key: str,
-    hours: dict[str, int],
-    amount: str = "amount",
-    time: str = "event_time",
+    instants: DataFrame, key: str, hours: dict[str, int], limit: int = CELL_INSTANTS
 ) -> DataFrame:
     """Count, sum and maximum over ``[t - hours, t]`` per key and instant ``_at``.
 
-    A frame is the rest of the slot it starts in, the whole slots between, and
-    the current slot so far. The first part is read by shifting that slot's
-    events forward so that they share a group with the instants that need
-    them; the second comes from one row per slot. Nothing is subtracted, so
-    the sums carry no cancellation error. All windows share one shuffle on
-    (key, slot).
+    ``instants`` has the key, ``_at`` in microseconds and ``_amount``. A frame is
+    the rest of the slot it starts in, the whole slots between, and the current
+    slot so far. The first part is read by shifting that slot's events forward so
+    that they share a group with the instants that need them; one pass over the
+    rows yields them as they are and once per window. The second part comes from
+    one row per slot. Nothing is subtracted, so the sums carry no cancellation
+    error. Hours with more than ``limit`` instants are split into finer parts.
     """
-    moments = (
-        df.select(key, F.unix_micros(time).alias("_at"), F.col(amount).alias("_amount"))
-        .groupBy(key, "_at")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.sum("_amount").alias("_s"),
-            F.max("_amount").alias("_x"),
-        )
+    moments = instants.groupBy(key, "_at").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_amount").alias("_s"), F.max("_amount").alias("_x")
     )
     measures = ("_n", "_s", "_x")
-    series = ["own", *hours]
-    shift = {"own": 0, **{name: span * SLOT_MICROS for name, span in hours.items()}}
-    parts = []
-    for current in series:
-        parts.append(
-            moments.select(
-                key,
-                (F.col("_at") + F.lit(shift[current])).alias("_at"),
-                *[
-                    (F.col(m) if name == current else F.lit(None)).alias(f"{m}_{name}")
-                    for name in series
-                    for m in measures
-                ],
-            )
-        )
-    columns = [f"{m}_{name}" for name in series for m in measures]
-    together = reduce(DataFrame.unionByName, parts).withColumn("_slot", _slot(F.col("_at")))
-    # Hash on (key, slot) once; the grouping and both windows reuse it.
-    merged = (
-        together.groupBy(key, "_slot", "_at").agg(*[F.max(c).alias(c) for c in columns])
-    )
-    forward = W.partitionBy(key, "_slot").orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    backward = (
-        W.partitionBy(key, "_slot").orderBy(F.desc("_at")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    shifts = {"own": 0, **{name: span * SLOT_MICROS for name, span in hours.items()}}
+    copies = F.explode(F.array(*[F.struct(F.lit(name).alias("of"), F.lit(by).alias("by")) for name, by in shifts.items()]))
+    copied = moments.withColumn("_copy", copies).select(
+        key,
+        (F.col("_at") + F.col("_copy.by")).alias("_at"),
+        *[F.when(F.col("_copy.of") == name, F.col(m)).alias(f"{m}_{name}") for name in shifts for m in measures],
     )
-    edges = merged.withColumns(
-        {
-            "_head_n": F.sum("_n_own").over(forward),
-            "_head_s": F.sum("_s_own").over(forward),
-            "_head_x": F.max("_x_own").over(forward),
-            **{f"_tail_n_{name}": F.sum(f"_n_{name}").over(backward) for name in hours},
-            **{f"_tail_s_{name}": F.sum(f"_s_{name}").over(backward) for name in hours},
-            **{f"_tail_x_{name}": F.max(f"_x_{name}").over(backward) for name in hours},
-        }
-    ).filter(F.col("_n_own").isNotNull())
-    slots = moments.groupBy(key, _slot(F.col("_at")).alias("_slot")).agg(
-        F.sum("_n").alias("_n"), F.sum("_s").alias("_s"), F.max("_x").alias("_x")
+    columns = [f"{m}_{name}" for name in shifts for m in measures]
+    merged = copied.groupBy(key, _slot(F.col("_at")).alias("_slot"), "_at").agg(*[F.max(c).alias(c) for c in columns])
+    # Every copy of an hour's instants is moved by whole hours, so an hour of the
+    # merged rows holds no more than the hours that it is made of together.
+    found = _crowded(moments, key, max(1, limit // len(shifts)))
+    moved = F.explode(F.array(*[F.col("_slot") + by // SLOT_MICROS for by in shifts.values()]))
+    crowded = None if found is None else found.select(key, moved.alias("_slot")).distinct()
+    totals = {"_head_n": (F.sum, "_n_own", False), "_head_s": (F.sum, "_s_own", False), "_head_x": (F.max, "_x_own", False)}
+    for name in hours:
+        totals |= {f"_tail_n_{name}": (F.sum, f"_n_{name}", True), f"_tail_s_{name}": (F.sum, f"_s_{name}", True)}
+        totals |= {f"_tail_x_{name}": (F.max, f"_x_{name}", True)}
+    edges = within_slots(merged, key, totals, crowded).filter(F.col("_n_own").isNotNull())
+    slots = instants.groupBy(key, _slot(F.col("_at")).alias("_slot")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_amount").alias("_s"), F.max("_amount").alias("_x")
     )
     middle = {}
     for name, span in hours.items():
@@ -163,13 +218,7 @@ def trailing(
     )
 
 
-def distinct_marks(
-    df: DataFrame,
-    key: str,
-    item: str,
-    hours: int,
-    time: str = "event_time",
-) -> DataFrame:
+def distinct_marks(instants: DataFrame, key: str, item: str, hours: int) -> DataFrame:
     """Births and deaths of items: their running total is the number alive.
 
     An item is alive from its first event until ``hours`` after its last one,
@@ -178,8 +227,7 @@ def distinct_marks(
     """
     span = hours * SLOT_MICROS
     per_slot = (
-        df.select(key, item, F.unix_micros(time).alias("_at"))
-        .groupBy(key, item, _slot(F.col("_at")).alias("_slot"))
+        instants.groupBy(key, item, _slot(F.col("_at")).alias("_slot"))
         .agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
     )
     order = W.partitionBy(key, item).orderBy("_slot")
@@ -208,19 +256,25 @@ def per_user_30d(
     days: int = 30,
     time: str = "event_time",
     amount: str = "amount",
+    limit: int = CELL_INSTANTS,
 ) -> DataFrame:
     """Count, total, mean, maximum and item variety over the trailing days.
 
-    One row per key and instant at which the key had an event.
+    One row per key and instant at which the key had an event. The source is
+    read once; all parts go on from its instants, amounts and items.
     """
     items = items or {}
-    result = trailing(df, key, {"frame": days * 24}, amount, time)
+    kept = {name: f"_item_{i}" for i, name in enumerate(items)}
+    instants = _narrow(
+        df, key, time, F.col(amount).alias("_amount"), *[F.col(items[name]).alias(c) for name, c in kept.items()]
+    )
+    result = trailing(instants.select(key, "_at", "_amount"), key, {"frame": days * 24}, limit)
     if items:
         # The instants themselves join the marks with a weight of zero, so that
         # each gets the running total of all marks up to and including it.
-        marks = result.select(key, "_at", F.lit(True).alias("_here"), *[F.lit(0).alias(f"_d_{n}") for n in items])
-        for name, item in items.items():
-            lives = distinct_marks(df, key, item, days * 24, time)
+        marks = instants.select(key, "_at", F.lit(True).alias("_here"), *[F.lit(0).alias(f"_d_{n}") for n in items])
+        for name, item in kept.items():
+            lives = distinct_marks(instants, key, item, days * 24)
             marks = marks.unionByName(
                 lives.select(
                     key,
@@ -229,13 +283,22 @@ def per_user_30d(
                     *[(F.col("_n") if other == name else F.lit(0)).alias(f"_d_{other}") for other in items],
                 )
             )
-        merged = marks.groupBy(key, "_at").agg(
+        merged = marks.groupBy(key, _slot(F.col("_at")).alias("_slot"), "_at").agg(
             F.max("_here").alias("_here"), *[F.sum(f"_d_{n}").alias(f"_d_{n}") for n in items]
         )
-        alive = ranks.running_totals(
-            merged, [key], _slot(F.col("_at")), "_at", {n: f"_d_{n}" for n in items}
+        merged = materialize(merged, work_path(df.sparkSession, "timeframe-marks"))
+        in_slot = within_slots(
+            merged, key, {n: (F.sum, f"_d_{n}", False) for n in items}, _crowded(merged, key, limit)
         ).filter("_here")
-        result = result.join(alive.select(key, "_at", *items), [key, "_at"])
+        slots = merged.groupBy(key, "_slot").agg(*[F.sum(f"_d_{n}").alias(f"_d_{n}") for n in items])
+        earlier = W.partitionBy(key).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+        before = slots.select(
+            key, "_slot", *[F.coalesce(F.sum(f"_d_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in items]
+        )
+        alive = in_slot.join(before, [key, "_slot"]).select(
+            key, "_at", *[(F.col(f"_b_{n}") + F.col(n)).alias(n) for n in items]
+        )
+        result = result.join(alive, [key, "_at"])
     return result.select(
         key,
         F.timestamp_micros("_at").alias(time),
@@ -256,9 +319,11 @@ def velocity(
     key: str = "user_id",
     time: str = "event_time",
     amount: str = "amount",
+    limit: int = CELL_INSTANTS,
 ) -> DataFrame:
     """Transactions and money per hour over three trailing windows."""
-    frames = trailing(df, key, VELOCITY_HOURS, amount, time)
+    instants = _narrow(df, key, time, F.col(amount).alias("_amount"))
+    frames = trailing(instants, key, VELOCITY_HOURS, limit)
     return frames.select(
         key,
         F.timestamp_micros("_at").alias(time),
@@ -277,19 +342,20 @@ def zscore_last_rows(
 ) -> DataFrame:
     """Z-score against the last ``rows`` rows of the same key, current row included.
 
-    Rows get a position by a running count over time slots. Blocks of ``rows``
-    positions are then windowed together with a copy of the block before, so
-    no task sorts a whole key and every frame still sees all its rows. Frame
-    sums are differences of running sums of values centred on their block,
-    which keeps them linear in the rows and free of large cancellations.
-    ``order`` starts with a timestamp and identifies a row.
+    Rows get a position by their place in ranges of (key, order). Blocks of
+    ``HALO_BLOCKS`` times ``rows`` positions are then windowed together with the
+    ``rows - 1`` rows before them, so no task sorts a whole key, every frame sees
+    all its rows, and few rows are copied. Frame sums are differences of running
+    sums of values centred on their block, which keeps them linear in the rows
+    and free of large cancellations. ``order`` starts with a timestamp and
+    identifies a row.
     """
     numbered = row_positions(df, key, order)
-    block = F.floor((F.col("_position") - 1) / rows)
-    pairs = numbered.withColumn(
-        "_copy", F.explode(F.array(F.struct(block.alias("b"), F.lit(True).alias("own")),
-                                   F.struct((block + 1).alias("b"), F.lit(False).alias("own"))))
-    ).withColumns({"_block": F.col("_copy.b"), "_own": F.col("_copy.own")})
+    size = rows * HALO_BLOCKS
+    block = F.floor((F.col("_position") - 1) / size)
+    in_halo = F.col("_position") - block * size > size - rows + 1
+    places = F.when(in_halo, F.array(block, block + 1)).otherwise(F.array(block))
+    pairs = numbered.withColumns({"_home": block, "_block": F.explode(places)})
     group = W.partitionBy(key, "_block")
     ordered = group.orderBy("_position")
     upto = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -306,21 +372,44 @@ def zscore_last_rows(
     mean = F.col("_s1") / F.col("_n")
     spread = F.sqrt(F.greatest(F.col("_s2") / F.col("_n") - mean * mean, F.lit(0.0)))
     return (
-        sums.filter("_own")
+        sums.filter(F.col("_block") == F.col("_home"))
         .withColumn(f"{value}_zscore", (F.col("_d") - mean) / F.greatest(spread, F.lit(min_std)))
         .select(*df.columns, f"{value}_zscore")
     )
 
 
-def row_positions(df: DataFrame, key: str, order: list[str], slot_seconds: int = 3600) -> DataFrame:
-    """One-based position of each row within its key, counted across time slots."""
-    slots = df.withColumn("_slot", F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / (slot_seconds * 1000000)))
-    counts = slots.groupBy(key, "_slot").agg(F.count(F.lit(1)).alias("_rows"))
-    before = W.partitionBy(key).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(key, "_slot", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    inside = W.partitionBy(key, "_slot").orderBy(*order)
+def _number(key: str):
+    """Adds the range and the place of a row among its key's rows in the range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, reached = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(batch.schema.get_field_index(key))
+            codes = own.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            begins = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            place = np.arange(1, len(codes) + 1) - np.repeat(begins, np.diff(np.append(begins, len(codes))))
+            if last is not None and own[0].as_py() == last:
+                until = begins[1] if len(begins) > 1 else len(codes)
+                place[:until] += reached
+            last, reached = own[-1].as_py(), int(place[-1])
+            columns = [*batch.columns, pa.array(np.full(len(codes), part, np.int32)), pa.array(place)]
+            yield pa.record_batch(columns, names=[*batch.schema.names, "_range", "_place"])
+
+    return run
+
+
+def row_positions(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One-based position of each row within its key in ``order``, counted across ranges of (key, order)."""
+    schema = StructType([*df.schema.fields, StructField("_range", IntegerType()), StructField("_place", LongType())])
+    ranges = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    placed = materialize(ranges.mapInArrow(_number(key), schema), work_path(df.sparkSession, "positions"))
+    counts = placed.groupBy(key, "_range").agg(F.max("_place").alias("_rows"))
+    before = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(key, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     return (
-        slots.join(offsets, [key, "_slot"])
-        .withColumn("_position", F.col("_offset") + F.row_number().over(inside))
-        .drop("_slot", "_offset")
+        ranks.null_safe_join(placed, offsets, [key, "_range"])
+        .withColumn("_position", F.col("_offset") + F.col("_place"))
+        .drop("_range", "_place", "_offset")
     )
