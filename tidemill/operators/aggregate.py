@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.config import WindowSpec
 from tidemill.operators import ranks
+from tidemill.session import materialize, work_path
 
 CATEGORY_COUNTS = {
     "unique_merchants": "merchant_category",
     "unique_channels": "channel",
     "unique_payment_methods": "payment_method",
 }
+#: Columns that the user aggregates read.
+_COUNTED = (
+    "timestamp",
+    "amount",
+    "risk_score",
+    "fraud_score",
+    *CATEGORY_COUNTS.values(),
+    "is_weekend",
+    "is_night",
+    "is_business_hours",
+    "is_high_amount",
+    "is_unusual_time",
+)
 
 
 def window_column(spec: WindowSpec, time: str) -> Column | None:
@@ -119,68 +134,60 @@ def aggregate_users(
     df: DataFrame,
     spec: WindowSpec | None = None,
     time: str = "event_time",
+    calm_rows: int = ranks.CALM_ROWS,
 ) -> DataFrame:
     """Spending, risk, variety and timing per user and window, in batch.
 
     ``spec=None`` gives one row per user over the whole input, which is what
-    training assembly joins on. Sums, counts and extremes combine before the
-    shuffle; the median comes from :mod:`ranks`, so a very active user is never
-    held in one task.
+    training assembly joins on. The columns that count are written once, so the
+    source is read once. Groups of up to ``calm_rows`` rows are aggregated at
+    once, their medians and sets of values included; larger ones, of which most
+    inputs have none, get exact distinct counts and the medians of
+    :mod:`ranks`, so a very active user is never held in one task.
     """
+    named = df.withColumn("user_id", F.coalesce("user_id", F.lit("unknown")))
+    counted = [c for c in dict.fromkeys(("user_id", time, *_COUNTED)) if c in named.columns]
+    rows = materialize(named.select(*counted), work_path(df.sparkSession, "users"))
     if spec is not None and spec.kind == "session":
-        df = assign_sessions(df, spec.gap, time)
-        keys = ["user_id", "window"]
+        rows, keys = assign_sessions(rows, spec.gap, time), ["user_id", "window"]
     else:
-        df, keys = _keyed(df, spec, time)
-    main = df.groupBy(*keys).agg(*user_aggregates(df.columns))
-    values = df.select(*keys, F.coalesce("amount", F.lit(0.0)).alias("_amount"))
-    medians = ranks.quantiles(values, keys, "_amount", {"median_amount": 0.5}).drop("n")
-    return main.join(medians, keys, "left").select(*keys, *AGGREGATE_COLUMNS)
+        rows, keys = _keyed(rows, spec, time)
+    crowded = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > calm_rows).select(*keys)
+    together = [*user_aggregates(rows.columns, "set", median=True)]
+    if crowded.isEmpty():
+        return rows.groupBy(*keys).agg(*together).select(*keys, *AGGREGATE_COLUMNS)
+    calm = rows.join(crowded, keys, "left_anti").groupBy(*keys).agg(*together)
+    large = rows.join(crowded, keys, "left_semi")
+    main = large.groupBy(*keys).agg(*user_aggregates(rows.columns))
+    values = large.select(*keys, F.coalesce("amount", F.lit(0.0)).alias("_amount"))
+    medians = ranks.quantiles(values, keys, "_amount", {"median_amount": 0.5}, calm_rows=0).drop("n")
+    names = [*keys, *AGGREGATE_COLUMNS]
+    return calm.select(*names).unionByName(main.join(medians, keys, "left").select(*names))
 
 
 def assign_sessions(df: DataFrame, gap: str, time: str = "event_time") -> DataFrame:
     """Give each row the bounds of its session as a ``window`` struct.
 
-    Rows are first reduced to one row per user and instant, so the sort that
-    finds the gaps sees each instant once, and it is cut into days: only the
-    first instant of a day looks back, at the last instant of an earlier day.
+    Time is cut into slices as long as the gap, so no session breaks within a
+    slice: all rows of a user's slice are of one session. The first and last
+    instant of each slice say where sessions begin, and one row per slice is put
+    in order, however many events it has. Rows without a time have no session.
     """
-    from pyspark.sql import Window as W
-
     span = F.expr(f"INTERVAL {gap}")
     df = df.withColumn("user_id", F.coalesce("user_id", F.lit("unknown")))
-    marks = (
-        df.groupBy("user_id", F.col(time).alias("_at"))
-        .agg(F.lit(1).alias("_one"))
-        .withColumn("_day", F.date_trunc("day", "_at"))
-    )
-    days = marks.groupBy("user_id", "_day").agg(F.max("_at").alias("_last"))
-    by_day = W.partitionBy("user_id").orderBy("_day")
-    carried = days.select("user_id", "_day", F.lag("_last").over(by_day).alias("_carried"))
-    inside = W.partitionBy("user_id", "_day").orderBy("_at")
-    starts = (
-        marks.join(carried, ["user_id", "_day"])
-        .withColumn("_before", F.coalesce(F.lag("_at").over(inside), F.col("_carried")))
-        .withColumn(
-            "_opens",
-            (F.col("_before").isNull() | (F.col("_at") >= F.col("_before") + span)).cast("bigint"),
-        )
-    )
-    numbered = ranks.running_totals(
-        starts.select("user_id", "_at", "_day", "_opens"),
-        ["user_id"],
-        F.unix_seconds("_day"),
-        "_at",
-        {"_session": "_opens"},
-    )
-    bounds = numbered.groupBy("user_id", "_session").agg(
-        F.min("_at").alias("start"), (F.max("_at") + span - F.expr("INTERVAL 1 MICROSECOND")).alias("end")
-    )
-    windows = numbered.join(bounds, ["user_id", "_session"]).select(
-        F.col("user_id").alias("_u"), "_at", F.struct("start", "end").alias("window")
+    micros = F.unix_micros(F.timestamp_seconds(F.lit(0)) + span)
+    sliced = df.withColumn("_slice", F.floor(F.unix_micros(time) / micros))
+    slices = sliced.filter(F.col("_slice").isNotNull()).groupBy("user_id", "_slice").agg(
+        F.min(time).alias("_first"), F.max(time).alias("_last")
     )
-    joined = df.join(windows, (df["user_id"] == F.col("_u")) & (df[time] == F.col("_at")))
-    return joined.drop("_u", "_at")
+    along = W.partitionBy("user_id").orderBy("_slice")
+    before = F.lag("_last").over(along)
+    opened = slices.withColumn("_opens", (before.isNull() | (F.col("_first") >= before + span)).cast("bigint"))
+    numbered = opened.withColumn("_session", F.sum("_opens").over(along))
+    whole = W.partitionBy("user_id", "_session")
+    end = F.max("_last").over(whole) + span - F.expr("INTERVAL 1 MICROSECOND")
+    bounds = numbered.select("user_id", "_slice", F.struct(F.min("_first").over(whole).alias("start"), end.alias("end")).alias("window"))
+    return sliced.join(bounds, ["user_id", "_slice"]).drop("_slice").select(*df.columns, "window")
 
 
 def aggregation_errors(aggregated: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 BUCKETS_PER_E = 512.0
 #: About so many different values are put in order by one task.
 PART_VALUES = 8192.0
+#: Groups of up to so many rows are aggregated by one task at once, values and all.
+CALM_ROWS = 16_384
 
 
 def magnitude_bucket(value: Column, per_e: float = BUCKETS_PER_E) -> Column:
@@ -185,8 +187,41 @@ def quantiles(
     value: str,
     shares: dict[str, float],
     bucket: Column | None = None,
+    calm_rows: int = CALM_ROWS,
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, as numpy and pandas define them.
+
+    Groups of up to ``calm_rows`` values are aggregated at once. Larger ones, if
+    a count finds any, go through :func:`order_statistics`. The result holds
+    ``keys``, ``n`` and one column per name.
+    """
+    if not calm_rows:
+        return _spread_quantiles(df, keys, value, shares, bucket)
+    crowded = df.groupBy(*keys).agg(F.count(value).alias("_n")).filter(F.col("_n") > calm_rows)
+    if crowded.isEmpty():
+        return _calm_quantiles(df, keys, value, shares)
+    if not keys:
+        return _spread_quantiles(df, keys, value, shares, bucket)
+    marked = null_safe_join(df, crowded.select(*keys, F.lit(True).alias("_crowded")), keys, "left")
+    calm, large = marked.filter(F.col("_crowded").isNull()), marked.filter("_crowded")
+    return _calm_quantiles(calm, keys, value, shares).unionByName(
+        _spread_quantiles(large.drop("_crowded"), keys, value, shares, bucket)
+    )
+
+
+def _calm_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    found = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*keys)
+        .agg(F.count(value).alias("n"), F.percentile(F.col(value).cast("double"), list(map(float, shares.values()))).alias("_q"))
+        .filter("n > 0")
+    )
+    return found.select(*keys, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(shares)])
+
+
+def _spread_quantiles(
+    df: DataFrame, keys: list[str], value: str, shares: dict[str, float], bucket: Column | None
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, as numpy and pandas define them."""
     ranks: dict[str, Column] = {}
     n = F.col("n")
     for name, share in shares.items():
