@@ -4,23 +4,28 @@ A text is filed under its 64-bit key. The directory has ``2 ** depth`` slots,
 one for each leading bit pattern, and doubles until no bucket holds more than
 ``capacity`` distinct keys; neighbouring slots share a bucket as long as their
 common shorter prefix is not overfull. Copies have one key, so a large group of
-copies never makes the directory grow. Index files are cut by (bucket, key,
-document); each owner task reads a range of keys. Texts with equal keys are
-chained by digest and length, and then compared byte by byte with the text at
-the head of their chain.
+copies never makes the directory grow. Index files are cut into ranges of
+(bucket, key, digest, length, document), each of which has an owner task. An
+owner walks its range in order and chains what collides on a key by digest and
+length; the first and the last chain of a range may go on in its neighbours, and
+these few are settled at the end. So a large group of copies has many owners.
+Texts are then compared byte by byte with the text at the head of their chain.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import text_of
 from tidemill.session import materialize, work_path
 
 _CHAIN = ["key", "digest", "n_bytes"]
+#: Copies of one chain that are compared with its head together.
+SHARE_ROWS = 1000
 
 
 def _prefix(key: Column, depth: int) -> Column:
@@ -69,20 +74,61 @@ def directory_of(entries: DataFrame, capacity: int) -> tuple[DataFrame, int]:
 
 
 def build_index(docs: DataFrame, capacity: int = 20_000, **columns: str) -> DataFrame:
-    """Write the index files and return them: bucket, key, digest, n_bytes, doc_id."""
+    """Write the index files and return them: bucket, key, digest, n_bytes, doc_id, owner."""
     spark = docs.sparkSession
     entries = materialize(entries_of(docs, **columns), work_path(spark, "exact-entries"))
     directory, depth = directory_of(entries, capacity)
+    order = ["bucket", *_CHAIN, "doc_id"]
     filed = (
         entries.withColumn("slot", _prefix(F.col("key"), depth))
         .join(directory.select("slot", "bucket"), "slot", "left")
         .select(F.coalesce("bucket", "slot").alias("bucket"), *_CHAIN, "doc_id")
-        .repartitionByRange("bucket", "key", "doc_id")
-        .sortWithinPartitions("bucket", "key", "doc_id")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("owner", F.spark_partition_id())
     )
     return materialize(filed, work_path(spark, "exact-index"))
 
 
+def chain_entries(index: DataFrame) -> DataFrame:
+    """The index with each entry's chain: head_id, chain_size.
+
+    An owner's range is one window. Its chains are numbered where key, digest or
+    length change; only the first and the last of them are looked at again.
+    """
+    along = Window.partitionBy("owner").orderBy("bucket", *_CHAIN, "doc_id")
+    same = reduce(lambda a, b: a & b, [F.lag(c).over(along).eqNullSafe(F.col(c)) for c in _CHAIN])
+    opens = (~same | (F.row_number().over(along) == 1)).cast("bigint")
+    walked = index.withColumn("_opens", opens).withColumn(
+        "link", F.sum("_opens").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    )
+    chain = Window.partitionBy("owner", "link")
+    chained = walked.withColumns(
+        {
+            "head_id": F.max("doc_id").over(chain),
+            "chain_size": F.count(F.lit(1)).over(chain),
+            "_last": F.max("link").over(Window.partitionBy("owner")),
+        }
+    )
+    edge = (F.col("link") == 1) | (F.col("link") == F.col("_last"))
+    chained = materialize(
+        chained.withColumn("edge", edge).drop("_opens", "_last"), work_path(index.sparkSession, "exact-chains")
+    )
+    # Two rows per owner.
+    edges = chained.filter("edge").groupBy("owner", "link", *_CHAIN).agg(
+        F.max("head_id").alias("head_id"), F.max("chain_size").alias("chain_size")
+    )
+    whole = edges.groupBy(*_CHAIN).agg(F.max("head_id").alias("_head"), F.sum("chain_size").alias("_size"))
+    settled = edges.join(whole, _CHAIN).select("owner", "link", "_head", "_size")
+    joined = chained.join(settled, ["owner", "link"], "left")
+    return joined.select(
+        *_CHAIN,
+        "doc_id",
+        F.when(F.col("edge"), F.col("_head")).otherwise(F.col("head_id")).alias("head_id"),
+        F.when(F.col("edge"), F.col("_size")).otherwise(F.col("chain_size")).alias("chain_size"),
+    )
+
+
 def exact_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = 20_000
 ) -> DataFrame:
@@ -96,12 +142,11 @@ def exact_duplicates(
     """
     spark = docs.sparkSession
     index = build_index(docs, capacity, id_column=id_column, text_column=text_column)
-    chained = index.groupBy(*_CHAIN).agg(
-        F.max("doc_id").alias("head_id"), F.count("*").alias("chain_size")
-    )
-    copied = materialize(chained.filter("chain_size > 1"), work_path(spark, "exact-copied"))
+    entries = materialize(chain_entries(index), work_path(spark, "exact-chained"))
+    copied = entries.filter("chain_size > 1")
     own = text_of(text_column)
-    # Only texts whose key, digest and length occur twice are read again.
+    # Only texts whose key, digest and length occur twice are read again. Entries
+    # are looked up by document, so that no group of copies meets in one task.
     texts = docs.select(
         F.col(id_column).alias("doc_id"),
         F.xxhash64(own).alias("key"),
@@ -109,28 +154,46 @@ def exact_duplicates(
         F.octet_length(own).cast("bigint").alias("n_bytes"),
         own.alias("body"),
     )
+    names = ["doc_id", *_CHAIN]
+    listed = copied.dropDuplicates(names).withColumnsRenamed({c: f"_{c}" for c in names})
+    known = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names])
     # A hash join reads the texts without sorting them, and does so at any size.
-    copies = materialize(texts.join(copied.hint("shuffle_hash"), _CHAIN), work_path(spark, "exact-copies"))
-    heads = (
-        copies.filter(F.col("doc_id").eqNullSafe(F.col("head_id")))
-        .groupBy(*_CHAIN)
-        .agg(F.first("body").alias("head_body"))
+    found = texts.join(listed.hint("shuffle_hash"), known).drop(*[f"_{c}" for c in names])
+    copies = materialize(
+        found.withColumns(
+            {
+                "shares": F.ceil(F.col("chain_size") / SHARE_ROWS).cast("int"),
+                "is_head": F.col("doc_id").eqNullSafe(F.col("head_id")),
+            }
+        ).withColumn("share", F.expr("cast(pmod(xxhash64(doc_id, body), shares) as int)")),
+        work_path(spark, "exact-copies"),
     )
-    compared = materialize(
-        copies.join(heads, _CHAIN).select(
-            "doc_id", *_CHAIN, F.when(F.col("body") != F.col("head_body"), F.col("body")).alias("other")
-        ),
-        work_path(spark, "exact-compared"),
+    # The head of a large chain goes to each share of its copies.
+    heads = (
+        copies.filter("is_head")
+        .select(*_CHAIN, F.col("body").alias("head_body"), "shares")
+        .dropDuplicates(_CHAIN)
+        .withColumn("share", F.explode(F.expr("sequence(0, shares - 1)")))
+        .drop("shares")
     )
-    groups = compared.groupBy(*_CHAIN, "other").agg(
-        F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
+    compared = copies.join(heads, [*_CHAIN, "share"]).select(
+        "doc_id", *_CHAIN, "head_id", "chain_size", F.when(F.col("body") != F.col("head_body"), F.col("body")).alias("other")
     )
-    a, b = compared.alias("a"), groups.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in _CHAIN]
-    settled = a.join(b, [*same, F.col("a.other").eqNullSafe(F.col("b.other"))]).select(
-        "a.doc_id", "b.keep_id", "b.group_size", "a.digest", "a.key"
+    compared = materialize(compared, work_path(spark, "exact-compared"))
+    # Texts that differ from the head in spite of an equal digest are groups of their own.
+    others = compared.filter(F.col("other").isNotNull())
+    apart = others.groupBy(*_CHAIN, "other").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    strays = apart.groupBy(*_CHAIN).agg(F.sum("group_size").alias("strays"))
+    with_head = compared.filter(F.col("other").isNull()).join(strays, _CHAIN, "left").select(
+        "doc_id",
+        F.col("head_id").alias("keep_id"),
+        (F.col("chain_size") - F.coalesce("strays", F.lit(0))).alias("group_size"),
+        "digest",
+        "key",
     )
-    alone = index.join(copied, _CHAIN, "left_anti").select(
+    settled = others.join(apart, [*_CHAIN, "other"]).select("doc_id", "keep_id", "group_size", "digest", "key")
+    alone = entries.filter("chain_size = 1").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "digest", "key"
     )
-    return alone.unionByName(settled).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    result = alone.unionByName(with_head).unionByName(settled)
+    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
