@@ -111,15 +111,53 @@ def test_codes_follow_the_order_of_values(spark):
     assert {r["v"]: r["v_code"] for r in label_codes(rows, "v").collect()} == {"a": 0, "b": 1, "b2": 2, "äx": 3, None: None}
 
 
-def test_expiry_returns_its_count_and_leaves_other_groups(spark, tmp_path):
-    row = "entity_id string, feature_group string, features map<string,string>, event_timestamp timestamp, ingestion_timestamp timestamp, ttl_timestamp timestamp, is_active boolean"
+STORE_ROW = "entity_id string, feature_group string, features map<string,string>, event_timestamp timestamp, ingestion_timestamp timestamp, ttl_timestamp timestamp, is_active boolean, _order struct<n:int>"
+
+
+def store_batch(spark, *rows):
+    """Rows of entity, group, features, day and day of expiry."""
     at = lambda day: __import__("datetime").datetime(2024, 1, day)
-    rows = [("a", "g", {"x": "1"}, at(1), at(1), at(2), True), ("b", "g", {"x": "1"}, at(1), at(1), at(9), True), ("a", "h", {"x": "1"}, at(1), at(1), at(9), True)]
-    table = FeatureTable(spark, str(tmp_path / "store")).replace(spark.createDataFrame(rows, row), ["g", "h"])
+    return spark.createDataFrame([(e, g, f, at(d), at(d), at(t), True, (i,)) for i, (e, g, f, d, t) in enumerate(rows)], STORE_ROW)
+
+
+def stored_files(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_expiry_returns_its_count_and_leaves_other_partitions(spark, tmp_path):
+    path = tmp_path / "store"
+    table = FeatureTable(spark, str(path), parts=4)
+    table.upsert(store_batch(spark, ("a", "g", {"x": "1"}, 1, 2), ("b", "g", {"x": "1"}, 1, 9), ("a", "h", {"x": "1"}, 1, 9)), 1)
+    before = stored_files(path)
     assert table.expire("2024-01-05 00:00:00") == 1
     assert table.expire("2024-01-05 00:00:00") == 0
     assert table.read().filter("is_active").count() == 2
-    assert {r["feature_group"] for r in spark.read.json(str(tmp_path / "store/_log")).filter("sequence > 0").collect()} == {"g"}
+    changed = {f for f in set(stored_files(path)) - set(before)}
+    assert len(changed) == 1 and all("feature_group=g" in f for f in changed)
+
+
+def test_only_touched_partitions_are_written_and_repeats_change_nothing(spark, tmp_path):
+    path = tmp_path / "store"
+    table = FeatureTable(spark, str(path), parts=8)
+    table.upsert(store_batch(spark, *[(f"e{i}", g, {"x": str(i)}, 1, 9) for i in range(60) for g in ("g", "h")]), 1)
+    before = stored_files(path)
+    second = store_batch(spark, ("e5", "g", {"y": "2"}, 2, 9), ("e5", "g", {"x": "7"}, 3, 9), ("new", "g", {"x": "0"}, 2, 9))
+    table.upsert(second, 2)
+    after = stored_files(path)
+    assert 1 <= len(set(after) - set(before)) <= 2 and len(set(before) - set(after)) <= 2
+    state = lambda: sorted(map(str, table.read().collect()))
+    settled = state()
+    row = table.read().filter("entity_id = 'e5' and feature_group = 'g'").first()
+    assert row.features == {"x": "7", "y": "2"} and row.ingestion_timestamp.day == 3
+    # A batch that comes again, and one that comes late after a newer one, are settled by their numbers.
+    table.upsert(second, 2)
+    table.upsert(store_batch(spark, ("e5", "g", {"x": "old"}, 1, 9)), 1)
+    assert state() == settled
+    table.upsert(store_batch(spark, ("e5", "g", {"x": "unnumbered"}, 4, 9)))
+    assert table.read().filter("features['x'] = 'unnumbered'").count() == 1
+    table.delete(store_batch(spark, ("e5", "g", {}, 1, 9)))
+    assert table.read().filter("not is_active").select("entity_id", "feature_group").collect() == [("e5", "g")]
+    assert table.read().count() == 121
 
 
 def test_service_down_and_steps_over_days(spark):

@@ -115,9 +115,9 @@ def from_store(spark, folder):
     stored = S.FeatureTable(spark, path)
     records = rows.select("user_id", "message_id", "hour_of_day", "day_of_week", "is_weekend", "amount", "merchant_category", "payment_method")
     ordered = records.withColumn("sequence", F.col("message_id").cast("bigint"))
-    stored.upsert(S.pack_features(ordered, "transaction_features", processing_time=NOW, order=["sequence"], drop=("sequence",)), "records")
+    stored.upsert(S.pack_features(ordered, "transaction_features", processing_time=NOW, order=["sequence"], drop=("sequence",)), 1)
     totals = aggregate_users(rows, None).select("user_id", "record_count", "avg_amount")
-    stored.upsert(S.pack_features(totals, "aggregated_features", processing_time=NOW), "totals")
+    stored.upsert(S.pack_features(totals, "aggregated_features", processing_time=NOW), 1)
     return store_to_training(stored.read(), labeling_options={"noise_std": 0.0})
 
 

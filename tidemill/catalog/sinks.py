@@ -150,7 +150,7 @@ def sink_feature_store(spark, folder):
         "transaction_features",
         processing_time=NOW,
         order=["sequence"],
-        batch_id="b0",
+        batch_id=0,
         dead_letter_path=f"{path}-dead",
     )
     written = spark.read.schema(dead.schema).parquet(f"{path}-dead")
@@ -178,7 +178,7 @@ def sink_dual(spark, folder):
     frames = outputs(spark, folder)
     frames = Outputs(features=frames.features, errors=frames.errors, invalid=frames.invalid)
     for _ in range(2):
-        write_both(spark, frames, f"{path}/store", f"{path}/files", "0", NOW, ["event_time", "message_id"])
+        write_both(spark, frames, f"{path}/store", f"{path}/files", 0, NOW, ["event_time", "message_id"])
     state = FeatureTable(spark, f"{path}/store").read()
     counts = [state.agg(F.lit("store").alias("output"), F.count(F.lit(1)).alias("rows"))]
     for name in ("features", "errors"):

@@ -382,9 +382,9 @@ def fs_snapshots(spark, folder):
     first, second = profile_batches(spark, folder)
     path = work_path(spark, "store")
     stored = S.FeatureTable(spark, path)
-    stored.upsert(S.pack_features(first, "profile", processing_time=EARLY), "one")
+    stored.upsert(S.pack_features(first, "profile", processing_time=EARLY), 1)
     for _ in range(2):
-        stored.upsert(S.pack_features(second, "profile", processing_time=LATE), "two")
+        stored.upsert(S.pack_features(second, "profile", processing_time=LATE), 2)
     return stored.read().select(
         "entity_id",
         value("acctbal").try_cast("double").alias("acctbal"),

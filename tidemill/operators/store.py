@@ -9,16 +9,14 @@ again.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.transforms import TransformRegistry
 from tidemill.operators.extract import moment
-from tidemill.session import materialize
+from tidemill.session import discard, exists, materialize, work_path
 
 KEY = ["entity_id", "feature_group"]
 STORE_SCHEMA = (
@@ -86,26 +84,29 @@ def pack_features(
 def fold_batch(batch: DataFrame) -> DataFrame:
     """One row per key of a batch, later rows over earlier ones.
 
-    Rows are exploded to names and each name keeps its latest value. The
+    Rows are exploded to names and each name keeps its latest value; one more
+    entry without a name carries the times, so the batch is read once. The
     maximum combines before the shuffle, so an entity that fills a third of
     the batch sends one value per name and task.
     """
-    rows = batch.select(*KEY, "_order", F.explode("features").alias("name", "value"))
-    latest = rows.groupBy(*KEY, "name").agg(F.max(F.struct("_order", "value"))["value"].alias("value"))
-    features = latest.groupBy(*KEY).agg(
-        F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("features")
+    times = ("event_timestamp", "ingestion_timestamp", "ttl_timestamp")
+    entry = "array<struct<key:string,value:string>>"
+    entries = F.concat(
+        F.coalesce(F.map_entries("features"), F.array().cast(entry)).cast(entry),
+        F.array(F.lit(None).cast("struct<key:string,value:string>")),
     )
-    times = batch.groupBy(*KEY).agg(
-        F.max(F.struct("_order", "event_timestamp", "ingestion_timestamp", "ttl_timestamp")).alias("_t")
-    )
-    return times.join(features, KEY, "left").select(
+    rows = batch.select(*KEY, "_order", *times, F.explode(entries).alias("e")).select(
         *KEY,
-        F.coalesce("features", F.create_map().cast("map<string,string>")).alias("features"),
-        "_t.event_timestamp",
-        "_t.ingestion_timestamp",
-        "_t.ttl_timestamp",
-        F.lit(True).alias("is_active"),
+        F.col("e.key").alias("name"),
+        F.struct("_order", F.col("e.value").alias("value"), *[F.when(F.col("e").isNull(), F.col(t)).alias(t) for t in times]).alias("_v"),
     )
+    latest = rows.groupBy(*KEY, "name").agg(F.max("_v").alias("_v"))
+    named = F.when(F.col("name").isNotNull(), F.struct("name", F.col("_v.value").alias("value")))
+    folded = latest.groupBy(*KEY).agg(
+        F.map_from_entries(F.collect_list(named)).alias("features"),
+        F.max(F.when(F.col("name").isNull(), F.struct(*[F.col(f"_v.{t}").alias(t) for t in times]))).alias("_t"),
+    )
+    return folded.select(*KEY, "features", *[F.col(f"_t.{t}").alias(t) for t in times], F.lit(True).alias("is_active"))
 
 
 def merge_maps(old: Column, new: Column) -> Column:
@@ -116,23 +117,28 @@ def merge_maps(old: Column, new: Column) -> Column:
     return F.map_concat(kept, new)
 
 
-def upsert(store: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert(store: DataFrame, batch: DataFrame, batch_id: int | None = None) -> DataFrame:
     """New state of the store after a batch.
 
     New names overwrite old ones, old names stay, times are replaced and the
     row is active again. One full join on the key; nothing else is shuffled.
+    With a ``batch_id`` the store has a column of that name, the last batch that
+    wrote the row, and a row that this or a later batch has written stays as it is.
     """
-    new = fold_batch(batch).withColumnsRenamed(
-        {c: f"_n_{c}" for c in ("features", "event_timestamp", "ingestion_timestamp", "ttl_timestamp", "is_active")}
-    )
+    values = ("features", "event_timestamp", "ingestion_timestamp", "ttl_timestamp", "is_active")
+    new = fold_batch(batch).withColumnsRenamed({c: f"_n_{c}" for c in values}).withColumn("_new", F.lit(True))
     joined = store.join(new, KEY, "full")
+    fresh = F.col("_new").isNotNull()
+    columns = []
+    if batch_id is not None:
+        fresh = fresh & (F.col("batch_id").isNull() | (F.col("batch_id") < batch_id))
+        columns = [F.when(fresh, F.lit(batch_id).cast("bigint")).otherwise(F.col("batch_id")).alias("batch_id")]
+    merged = merge_maps(F.col("features"), F.col("_n_features"))
     return joined.select(
         *KEY,
-        merge_maps(F.col("features"), F.col("_n_features")).alias("features"),
-        F.coalesce("_n_event_timestamp", "event_timestamp").alias("event_timestamp"),
-        F.coalesce("_n_ingestion_timestamp", "ingestion_timestamp").alias("ingestion_timestamp"),
-        F.coalesce("_n_ttl_timestamp", "ttl_timestamp").alias("ttl_timestamp"),
-        F.coalesce("_n_is_active", "is_active").alias("is_active"),
+        F.when(fresh, merged).otherwise(F.col("features")).alias("features"),
+        *[F.when(fresh, F.coalesce(f"_n_{c}", c)).otherwise(F.col(c)).alias(c) for c in values[1:]],
+        *columns,
     )
 
 
@@ -335,97 +341,89 @@ def infer_numeric(df: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-class FeatureTable:
-    """A store kept as immutable Parquet snapshots below one folder.
+#: Parts of a group in a stored table; an entity's hash names its part.
+STORE_PARTS = 64
 
-    A write makes a new snapshot of the groups it touches and then appends the
-    snapshot's name to the commit log, one small JSON file written in a single
-    job commit. Readers take the newest snapshot per group, so a job that dies
-    half-way leaves the old state in place. The log keeps the batch id, which
-    makes a repeated batch a no-op. One writer per table at a time.
-    """
 
-    LOG_SCHEMA = "sequence bigint, batch_id string, feature_group string, snapshot string"
+class FeatureTable:
+    """A store kept as one Parquet table, partitioned by group and part of the entities.
+
+    A write computes the new rows of the partitions it touches, writes them below
+    the session's shared folder, and then has Spark overwrite these partitions and
+    no others. Rows keep the number of the last batch that wrote them, so a batch
+    that is delivered again, or was only partly in place, is settled by its number;
+    numbers of a group must grow. One writer per table at a time, and ``parts``
+    must stay the same for a table. A driver that dies while Spark puts partitions
+    in place leaves their new rows in the shared folder.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, parts: int = STORE_PARTS):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.parts = parts
 
-    def _log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.LOG_SCHEMA).json(f"{self.path}/_log")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], self.LOG_SCHEMA)
-
-    def _current(self) -> list[tuple[str, str]]:
-        """Newest snapshot per group: one row per feature group, no data."""
-        newest = self._log().groupBy("feature_group").agg(F.max_by("snapshot", "sequence").alias("s"))
-        return [(row["feature_group"], row["s"]) for row in newest.collect()]
+    def _rows(self) -> DataFrame:
+        schema = f"{STORE_SCHEMA}, batch_id bigint, part int"
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path)
 
     def read(self) -> DataFrame:
-        names = [f.split(" ")[0] for f in STORE_SCHEMA.split(", ")]
-        by_snapshot: dict[str, list[str]] = {}
-        for group, snapshot in self._current():
-            by_snapshot.setdefault(snapshot, []).append(group)
-        frames = [
-            self.spark.read.schema(STORE_SCHEMA)
-            .parquet(f"{self.path}/{snapshot}")
-            .filter(F.col("feature_group").isin(*groups))
-            .select(*names)
-            for snapshot, groups in sorted(by_snapshot.items())
-        ]
-        if not frames:
-            return self.spark.createDataFrame([], STORE_SCHEMA)
-        return reduce(DataFrame.unionByName, frames)
-
-    def committed(self, batch_id: str) -> bool:
-        return not self._log().filter(F.col("batch_id") == batch_id).isEmpty()
-
-    def replace(self, state: DataFrame, groups: list[str], batch_id: str | None = None) -> "FeatureTable":
-        """Write the state of some groups and point readers at it."""
-        batch = batch_id or uuid.uuid4().hex
-        last = self._log().agg(F.max("sequence")).first()[0]
-        sequence = 0 if last is None else last + 1
-        snapshot = f"snapshot-{sequence:08d}-{uuid.uuid4().hex}"
-        state.write.partitionBy("feature_group").parquet(f"{self.path}/{snapshot}")
-        entries = [(sequence, batch, group, snapshot) for group in groups]
-        if entries:
-            log = self.spark.createDataFrame(entries, self.LOG_SCHEMA)
-            log.coalesce(1).write.mode("append").json(f"{self.path}/_log")
-        return self
+        return self._rows().select(*[f.split(" ")[0] for f in STORE_SCHEMA.split(", ")])
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64("entity_id"), F.lit(self.parts)).cast("int")
+
+    def _within(self, touched: DataFrame) -> DataFrame:
+        """Rows of the partitions that ``touched`` names, one row per partition."""
+        by_group: dict[str, list[int]] = {}
+        for row in touched.select("feature_group", "part").collect():
+            by_group.setdefault(row["feature_group"], []).append(row["part"])
+        tests = [F.col("feature_group").eqNullSafe(group) & F.col("part").isin(parts) for group, parts in by_group.items()]
+        return self._rows().filter(reduce(lambda a, b: a | b, tests, F.lit(False)))
+
+    def _put(self, state: DataFrame) -> None:
+        """Overwrite the partitions that ``state`` holds; it is computed in full before any is."""
+        kept = work_path(self.spark, "store-state")
+        rows = state.withColumn("part", self._part()).repartition("feature_group", "part")
+        (
+            materialize(rows, kept)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("feature_group", "part")
+            .parquet(self.path)
+        )
+        discard(self.spark, kept)
 
-    def upsert(self, batch: DataFrame, batch_id: str | None = None) -> "FeatureTable":
-        """Merge a batch; groups it does not mention are neither read nor written.
+    def upsert(self, batch: DataFrame, batch_id: int | None = None) -> "FeatureTable":
+        """Merge a batch; partitions without any of its entities are neither read nor written.
 
-        The batch is written out first, because folding it reads it twice.
+        The batch is computed once; its partitions and its rows come from the files.
         """
-        name = batch_id or uuid.uuid4().hex
-        if batch_id is not None and self.committed(batch_id):
-            return self
-        batch = materialize(batch, f"{self.path}/_batches/{name}")
-        groups = [row[0] for row in batch.select("feature_group").distinct().collect()]
-        if not groups:
-            return self
-        old = self.read().filter(F.col("feature_group").isin(*groups))
-        return self.replace(upsert(old, batch), groups, name)
+        kept = work_path(self.spark, "store-batch")
+        batch = materialize(batch, kept)
+        old = self._within(batch.select("feature_group", self._part().alias("part")).distinct()).drop("part")
+        if batch_id is None:
+            last = old.select(*KEY, "batch_id")
+            self._put(upsert(old.drop("batch_id"), batch).join(last, KEY, "left"))
+        else:
+            self._put(upsert(old, batch, batch_id))
+        discard(self.spark, kept)
+        return self
 
     def delete(self, keys: DataFrame) -> "FeatureTable":
-        groups = [row[0] for row in keys.select("feature_group").distinct().collect()]
-        if not groups:
-            return self
-        old = self.read().filter(F.col("feature_group").isin(*groups))
-        return self.replace(delete(old, keys), groups)
+        old = self._within(keys.select("feature_group", self._part().alias("part")).distinct())
+        self._put(delete(old.drop("part"), keys))
+        return self
 
     def expire(self, now) -> int:
         """Switch off what has run out; returns how many rows that were.
 
-        Only groups with such rows are written again.
+        Only partitions with such rows are written again.
         """
-        before = self.read()
-        due = before.filter(F.col("is_active") & _expired(now))
-        counts = {group: n for group, n in due.groupBy("feature_group").count().collect()}
-        if counts:
-            self.replace(expire(before.filter(F.col("feature_group").isin(*counts)), now), sorted(counts))
-        return sum(counts.values())
+        due = self._rows().filter(F.col("is_active") & _expired(now)).groupBy("feature_group", "part").count()
+        due = materialize(due, work_path(self.spark, "store-due"))
+        count = due.agg(F.sum("count")).first()[0]
+        if count:
+            self._put(expire(self._within(due).drop("part"), now))
+        return count or 0

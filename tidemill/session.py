@@ -89,8 +89,20 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _in_store(spark: SparkSession, name: str):
+    """A path and the file system that holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete files of ``materialize`` that no frame reads any more."""
     for name in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        store, path = _in_store(spark, name)
+        store.delete(path, True)
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    """Whether a file or folder is there."""
+    store, path = _in_store(spark, name)
+    return store.exists(path)

@@ -52,7 +52,7 @@ def write_to_store(
     processing_time=None,
     ttl_seconds: int = 86400,
     order: list[str] | None = None,
-    batch_id: str | None = None,
+    batch_id: int | None = None,
     dead_letter_path: str | None = None,
 ) -> DataFrame:
     """Merge rows into the store and append the unusable ones to dead letters.
@@ -82,7 +82,7 @@ def write_both(
     outputs: Outputs,
     store_path: str,
     files_root: str,
-    batch_id: str,
+    batch_id: int,
     processing_time=None,
     order: list[str] | None = None,
 ) -> None:
@@ -94,7 +94,7 @@ def write_both(
         "transaction_features",
         processing_time=processing_time,
         order=order,
-        batch_id=f"features-{batch_id}",
+        batch_id=batch_id,
         dead_letter_path=f"{files_root}/dead_letters",
     )
     if outputs.aggregated is not None:
@@ -104,7 +104,7 @@ def write_both(
             store_path,
             "aggregated_features",
             processing_time=processing_time,
-            batch_id=f"aggregated-{batch_id}",
+            batch_id=batch_id,
         )
     for name, df in outputs.frames().items():
         df.write.mode("overwrite").json(f"{files_root}/{name}/batch={batch_id}")

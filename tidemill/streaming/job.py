@@ -102,7 +102,7 @@ def start_feature_job(
                     f"{root}/store",
                     "transaction_features",
                     processing_time=now,
-                    batch_id=f"batch-{batch_id}",
+                    batch_id=batch_id,
                     dead_letter_path=f"{root}/dead_letters",
                 )
             if limits is not None:
