@@ -154,11 +154,13 @@ def exact_duplicates(
         F.octet_length(own).cast("bigint").alias("n_bytes"),
         own.alias("body"),
     )
-    names = ["doc_id", *_CHAIN]
-    listed = copied.dropDuplicates(names).withColumnsRenamed({c: f"_{c}" for c in names})
-    known = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names])
+    # All entries of a chain carry the same facts, so a null id may share the
+    # number that stands for it.
+    place = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint")).alias("place")
+    names = ["place", *_CHAIN]
+    listed = copied.select(place, *_CHAIN, "head_id", "chain_size").dropDuplicates(names)
     # A hash join reads the texts without sorting them, and does so at any size.
-    found = texts.join(listed.hint("shuffle_hash"), known).drop(*[f"_{c}" for c in names])
+    found = texts.withColumn("place", place).join(listed.hint("shuffle_hash"), names).drop("place")
     copies = materialize(
         found.withColumns(
             {
