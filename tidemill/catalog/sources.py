@@ -14,7 +14,8 @@ from tidemill.config import FRAUD_DETECTOR
 from tidemill.functions.payload import decode_payload
 from tidemill.session import table, work_path
 from tidemill.sinks.files import write_json_lines
-from tidemill.sources import adapters, files, messages
+from tidemill.sources import adapters, files, messages, recorded
+from tidemill.streaming.job import finish, start_file_query
 
 
 @query(
@@ -90,6 +91,32 @@ def src_kafka(spark, folder):
     )
 
 
+@query(
+    "src_kafka_stream",
+    with_(
+        EV,
+        """SELECT 'transactions' AS topic, CAST(user_id % 4 AS BIGINT) AS "partition", event_id AS "offset", ts AS timestamp, 'transactions-' || (user_id % 4) || '-' || event_id AS message_id FROM ev""",
+    ),
+)
+def src_kafka_stream(spark, folder):
+    """All records of a recorded topic, streamed by offset in two runs of one query; the second half comes between them."""
+    root = work_path(spark, "topics")
+    records = adapters.kafka_records(table(spark, folder, "events"))
+    middle = table(spark, folder, "events").agg(F.avg("event_id")).scalar()
+    for half in (F.col("offset") < middle, F.col("offset") >= middle):
+        recorded.record_topics(records.filter(half), f"{root}/log")
+        stream = messages.kafka_envelope(recorded.read_recorded(spark, f"{root}/log", ["transactions"], "earliest"))
+        finish([start_file_query(stream, f"{root}/out", f"{root}/checkpoint")])
+    attribute = F.col("attributes")
+    return spark.read.schema(stream.schema).parquet(f"{root}/out").select(
+        attribute["topic"].alias("topic"),
+        attribute["partition"].cast("bigint").alias("partition"),
+        F.col("offset").cast("bigint").alias("offset"),
+        "timestamp",
+        "message_id",
+    )
+
+
 PAYLOAD = """CASE WHEN k % 10 = 0 THEN '{"raw_data":null}' WHEN k % 10 = 1 THEN '{"raw_data":"' || event_type || '"}'
   WHEN k % 10 = 2 THEN '{"raw_data_b64":"//6A"}' ELSE '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' END"""
 

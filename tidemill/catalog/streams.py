@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemill.catalog.aggregates import USER_AGGREGATES
 from tidemill.catalog.monitoring import STATE_SQL, alert_series
 from tidemill.catalog.records import DOCS
-from tidemill.catalog.registry import EV, FEAT, NOW, bucket, query, with_
+from tidemill.catalog.registry import EV, FEAT, NOW, bucket, query, r7, with_
 from tidemill.config import ValidationRules, WindowSpec
 from tidemill.operators.alerts import ALERT_RULES
 from tidemill.operators.extract import extract_features, features_of
@@ -46,7 +46,7 @@ def run_aggregate(spark, folder, spec):
     root = work_path(spark, "stream")
     rows = aggregate_stream(stream_features(spark, folder), spec)
     finish([start_file_query(rows, f"{root}/out", f"{root}/checkpoint", mode=output_mode(spec))])
-    return spark.read.schema(rows.schema).parquet(f"{root}/out")
+    return spark.read.schema(rows.schema).parquet(f"{root}/out").select(*rows.columns)
 
 
 @query(
@@ -77,6 +77,42 @@ def st_sliding(spark, folder):
     return run_aggregate(spark, folder, WindowSpec("sliding", "1 hour", "30 minutes"))
 
 
+@query(
+    "st_tumbling_sketch",
+    with_(
+        FEAT,
+        f"""SELECT user_id, window_from, window_to, record_count, {r7('total')} AS total_amount, TRUE AS median_fits, TRUE AS merchants_fit FROM (
+             SELECT user_id, {bucket(86400)} AS window_from, {bucket(86400)} + INTERVAL 1 DAY AS window_to, count(*) AS record_count, sum(coalesce(amount, 0)) AS total
+             FROM feat GROUP BY ALL) WHERE window_to <= {CLOSED}""",
+    ),
+    digits=9,
+)
+def st_tumbling_sketch(spark, folder):
+    """Windows of a day in state of fixed size; medians and counts are held against the exact ones."""
+    root = work_path(spark, "stream")
+    rows = aggregate_stream(stream_features(spark, folder), WindowSpec("fixed", "1 day"), summaries="sketch")
+    finish([start_file_query(rows, f"{root}/out", f"{root}/checkpoint")])
+    found = spark.read.schema(rows.schema).parquet(f"{root}/out").alias("f")
+    batch = features_of(extract_features(adapters.transactions(table(spark, folder, "events")), processing_time=NOW))
+    values = batch.select("user_id", F.window("event_time", "1 day").alias("window"), "amount", "merchant_category").alias("v")
+    amount = F.coalesce("v.amount", F.lit(0.0))
+    checked = found.join(values, (F.col("f.user_id") == F.col("v.user_id")) & (F.col("f.window") == F.col("v.window"))).groupBy(
+        "f.user_id", "f.window", "record_count", "total_amount", "median_amount", "unique_merchants"
+    ).agg(
+        F.avg((amount < F.col("median_amount")).cast("int")).alias("below"),
+        F.avg((amount <= F.col("median_amount")).cast("int")).alias("upto"),
+        F.count_distinct(F.coalesce("v.merchant_category", F.lit(""))).alias("merchants"),
+    )
+    return checked.select(
+        "user_id",
+        "window",
+        "record_count",
+        "total_amount",
+        ((F.col("below") <= 0.51) & (F.col("upto") >= 0.49)).alias("median_fits"),
+        (F.abs(F.col("unique_merchants") - F.col("merchants")) <= F.ceil(F.col("merchants") * 0.08)).alias("merchants_fit"),
+    )
+
+
 SESSIONS = f"""{FEAT}, marked AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS opens FROM feat),
   sess AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM marked),
   bounds AS (SELECT *, min(ts) OVER (PARTITION BY user_id, session) AS lo, max(ts) OVER (PARTITION BY user_id, session) + INTERVAL 6 HOUR - INTERVAL 1 MICROSECOND AS hi FROM sess)"""
@@ -112,7 +148,7 @@ def session_batch(spark, folder):
     digits=9,
 )
 def st_none(spark, folder):
-    """No windowing: one group per user, complete output."""
+    """No windowing: one group per user; a trigger writes the users it changes."""
     return run_aggregate(spark, folder, WindowSpec("none"))
 
 
@@ -134,7 +170,7 @@ def st_lateness(spark, folder):
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     finish([start_file_query(rows, f"{root}/out", f"{root}/checkpoint")])
-    return spark.read.schema(rows.schema).parquet(f"{root}/out")
+    return spark.read.schema(rows.schema).parquet(f"{root}/out").select(*rows.columns)
 
 
 @query("stream_dedup", with_(FEAT, "SELECT DISTINCT message_id FROM feat"))

@@ -46,11 +46,19 @@ def window_column(spec: WindowSpec, time: str) -> Column | None:
     return None
 
 
+#: Size of the quantile sketch: medians lie within 1 % of the rows of the exact one, at 99 % confidence.
+KLL_K = 600
+#: Relative standard error of the distinct counts of sketches.
+DISTINCT_ERROR = 0.02
+
+
 def user_aggregates(columns: list[str], distinct: str = "exact", median: bool = False) -> list[Column]:
     """The aggregate list of a user window.
 
     ``distinct`` is ``exact`` for batch and ``set`` for streams, which do not
-    allow a distinct count. Columns the frame lacks count as missing values.
+    allow a distinct count. ``sketch`` counts distinct values and finds medians
+    from sketches of fixed size, within ``DISTINCT_ERROR`` and the bound of
+    ``KLL_K``. Columns the frame lacks count as missing values.
     """
 
     def has(name: str) -> bool:
@@ -66,6 +74,8 @@ def user_aggregates(columns: list[str], distinct: str = "exact", median: bool =
         value = F.coalesce(F.col(name), F.lit("")) if has(name) else F.lit("")
         if distinct == "exact":
             return F.count_distinct(value)
+        if distinct == "sketch":
+            return F.approx_count_distinct(value, DISTINCT_ERROR)
         return F.size(F.collect_set(value)).cast("bigint")
 
     amount, risk, fraud = number("amount"), number("risk_score"), number("fraud_score")
@@ -89,7 +99,10 @@ def user_aggregates(columns: list[str], distinct: str = "exact", median: bool =
         F.avg(flag("is_high_amount").cast("int")).alias("high_amount_ratio"),
         F.avg(flag("is_unusual_time").cast("int")).alias("unusual_time_ratio"),
     ]
-    if median:
+    if median and distinct == "sketch":
+        sketch = F.kll_sketch_agg_double(amount, F.lit(KLL_K))
+        result.append(F.kll_sketch_get_quantile_double(sketch, F.lit(0.5)).alias("median_amount"))
+    elif median:
         result.append(F.median(amount).alias("median_amount"))
     return result
 

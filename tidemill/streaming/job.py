@@ -12,22 +12,23 @@ from tidemill.operators.extract import ERROR, errors_of, extract_features, featu
 from tidemill.operators.validate import invalid_of, valid_of, validate_features
 from tidemill.plans.features import FeatureSettings
 from tidemill.sinks.files import write_json_lines
+from tidemill.sinks.keyed import KeyedTable
 from tidemill.sinks.tables import Outputs, append_tables, write_to_store
 from tidemill.streaming.windows import aggregate_stream, output_mode
 
 
 def start_file_query(
-    df: DataFrame, path: str, checkpoint: str, kind: str = "parquet", mode: str = "append", **trigger
+    df: DataFrame, path: str, checkpoint: str, kind: str = "parquet", mode: str = "append", keys: tuple[str, ...] = ("user_id",), **trigger
 ) -> StreamingQuery:
-    """Append a stream to files; ``complete`` output replaces a folder instead."""
+    """Append a stream to files; ``update`` output is merged by ``keys`` into a keyed Parquet table instead."""
     writer = df.writeStream.option("checkpointLocation", checkpoint).outputMode(mode)
     writer = writer.trigger(**(trigger or {"availableNow": True}))
-    if mode == "complete":
+    if mode == "update":
 
-        def replace(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").format(kind).save(path)
+        def merge(batch: DataFrame, batch_id: int) -> None:
+            KeyedTable(batch.sparkSession, path, df.schema, list(keys)).merge(batch)
 
-        return writer.foreachBatch(replace).start()
+        return writer.foreachBatch(merge).start()
     return writer.format(kind).start(path)
 
 

@@ -9,15 +9,22 @@ from tidemill.config import WindowSpec
 from tidemill.operators.aggregate import AGGREGATE_COLUMNS, user_aggregates, window_column
 
 
-def aggregate_stream(features: DataFrame, spec: WindowSpec, time: str = "event_time") -> DataFrame:
-    """User aggregates per event-time window with bounded state.
+def aggregate_stream(
+    features: DataFrame, spec: WindowSpec, time: str = "event_time", summaries: str = "exact"
+) -> DataFrame:
+    """User aggregates per event-time window.
 
     The watermark drops rows later than the allowed lateness and lets a window
-    leave the state once it is over. Kind ``none`` has no window to close: use
-    it with complete output.
+    leave the state once it is over. Kind ``none`` has no window to close: each
+    trigger yields the users it changes. With ``exact`` summaries a window's
+    state holds its amounts and categories; with ``sketch`` it has the same size
+    whatever the window's rows, and medians and distinct counts are within the
+    bounds of :func:`tidemill.operators.aggregate.user_aggregates`.
     """
+    if summaries not in ("exact", "sketch"):
+        raise ValueError(f"no summaries are called {summaries}")
     rows = features.withColumn("user_id", F.coalesce("user_id", F.lit("unknown")))
-    aggregates = user_aggregates(rows.columns, distinct="set", median=True)
+    aggregates = user_aggregates(rows.columns, distinct="set" if summaries == "exact" else "sketch", median=True)
     window = window_column(spec, time)
     if window is None:
         return rows.groupBy("user_id").agg(*aggregates).select("user_id", *AGGREGATE_COLUMNS)
@@ -30,7 +37,7 @@ def aggregate_stream(features: DataFrame, spec: WindowSpec, time: str = "event_t
 
 
 def output_mode(spec: WindowSpec) -> str:
-    return "complete" if spec.kind == "none" else "append"
+    return "update" if spec.kind == "none" else "append"
 
 
 def drop_redelivered(
