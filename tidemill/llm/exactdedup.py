@@ -182,20 +182,20 @@ def exact_duplicates(
         "doc_id", *_CHAIN, "head_id", "chain_size", F.when(F.col("body") != F.col("head_body"), F.col("body")).alias("other")
     )
     compared = materialize(compared, work_path(spark, "exact-compared"))
-    # Texts that differ from the head in spite of an equal digest are groups of their own.
-    others = compared.filter(F.col("other").isNotNull())
-    apart = others.groupBy(*_CHAIN, "other").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    strays = apart.groupBy(*_CHAIN).agg(F.sum("group_size").alias("strays"))
-    with_head = compared.filter(F.col("other").isNull()).join(strays, _CHAIN, "left").select(
-        "doc_id",
-        F.col("head_id").alias("keep_id"),
-        (F.col("chain_size") - F.coalesce("strays", F.lit(0))).alias("group_size"),
-        "digest",
-        "key",
-    )
-    settled = others.join(apart, [*_CHAIN, "other"]).select("doc_id", "keep_id", "group_size", "digest", "key")
     alone = entries.filter("chain_size = 1").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "digest", "key"
     )
-    result = alone.unionByName(with_head).unionByName(settled)
+    with_head = compared.filter(F.col("other").isNull())
+    others = compared.filter(F.col("other").isNotNull())
+    size = F.col("chain_size")
+    settled = alone
+    if not others.isEmpty():
+        # Texts that differ from the head in spite of an equal digest are groups of their own.
+        apart = others.groupBy(*_CHAIN, "other").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        with_head = with_head.join(apart.groupBy(*_CHAIN).agg(F.sum("group_size").alias("strays")), _CHAIN, "left")
+        size = size - F.coalesce("strays", F.lit(0))
+        strayed = others.join(apart, [*_CHAIN, "other"]).select("doc_id", "keep_id", "group_size", "digest", "key")
+        settled = alone.unionByName(strayed)
+    headed = with_head.select("doc_id", F.col("head_id").alias("keep_id"), size.alias("group_size"), "digest", "key")
+    result = settled.unionByName(headed)
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
