@@ -106,3 +106,21 @@ def test_few_rows_are_copied(spark):
     copies = numbered.filter(F.col("_position") - F.floor((F.col("_position") - 1) / size) * size > size - 99).count()
     assert copies < 0.1 * 40_000
     assert numbered.filter(F.col("_position") != F.col("id") + 1).isEmpty()
+
+
+def test_codes_of_values_with_a_common_beginning(spark):
+    """All values begin alike; their order is still found in many tasks."""
+    from tidemill.operators.explore import label_codes
+
+    urls = spark.range(20_000).select(F.concat(F.lit("https://example.com/a/very/long/path/"), F.sha2(F.col("id").cast("string"), 256)).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = T.row_positions(urls.withColumn("_all", F.lit(0)), "_all", ["v"])
+        places = placed.select("_position").distinct().count()
+        counts = urls.repartitionByRange("v").groupBy(F.spark_partition_id()).count().collect()
+        codes = {r.v: r.v_code for r in label_codes(urls, "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert places == 20_000 and len(counts) == 8 and max(r["count"] for r in counts) < 5_000
+    assert [v for v, _ in sorted(codes.items(), key=lambda x: x[1])] == sorted(codes)
+    assert sorted(codes.values()) == list(range(20_000))

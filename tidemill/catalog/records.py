@@ -268,6 +268,16 @@ def x_clean(spark, folder):
     return docs.selectExpr("doc_id", f"{R.clean('text', 'string')} AS text", f"{R.clean('number', 'double')} AS number")
 
 
+@query(
+    "x_clean_uncut",
+    """SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_replace(regexp_replace(text, '^[\\s\\x{a0}]+', ''), '[\\s\\x{a0}]+$', '') AS text FROM documents""",
+)
+def x_clean_uncut(spark, folder):
+    """The same texts in whole."""
+    docs = table(spark, folder, "documents").select("doc_id", F.concat(F.lit(" \t"), "text", F.lit("\n ")).alias("text"))
+    return docs.selectExpr("doc_id", f"{R.clean('text', 'string', None)} AS text")
+
+
 @query(
     "x_errors",
     with_(
@@ -290,6 +300,27 @@ def x_errors(spark, folder):
     )
 
 
+@query(
+    "x_errors_uncut",
+    with_(
+        DOCS,
+        "SELECT message_id, error, CASE WHEN k % 6 = 0 THEN repeat('long name ', 12) END AS city, TRUE AS whole FROM docs WHERE error IS NOT NULL",
+    ),
+)
+def x_errors_uncut(spark, folder):
+    """Error rows with the whole document and its texts as they came."""
+    docs = documents(spark, folder).select(F.col("event_id").cast("string").alias("id"), F.col("value").alias("given"))
+    errors = errors_of(extract_features(documents(spark, folder), "value", NOW, element_chars=None), NOW)
+    document = F.try_parse_json("element")
+    named = errors.withColumn("message_id", F.try_variant_get(document, "$.message_id", "string"))
+    return named.join(docs, F.col("message_id") == F.col("id")).select(
+        "message_id",
+        "error",
+        F.try_variant_get(document, "$.city", "string").alias("city"),
+        (F.col("element") == F.col("given")).alias("whole"),
+    )
+
+
 @query(
     "extract_features",
     with_(

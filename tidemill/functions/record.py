@@ -46,6 +46,7 @@ NUMERICAL_FIELDS = {
 # Upper bounds of the amount categories; above the last is "huge".
 AMOUNT_BANDS = (("micro", 10.0), ("small", 100.0), ("medium", 1000.0), ("large", 10000.0))
 HIGH_AMOUNT = 500.0
+#: Characters of a text that a record keeps unless told otherwise.
 MAX_TEXT = 100
 
 _OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
@@ -188,12 +189,13 @@ def derived_columns() -> dict[str, str]:
     }
 
 
-def clean(name: str, kind: str) -> str:
+def clean(name: str, kind: str, max_chars: int | None = MAX_TEXT) -> str:
     """NaN and infinities become 0; text is stripped and cut."""
     if kind in ("double", "float"):
         return f"IF(isnan(`{name}`) OR abs(`{name}`) = double('inf'), 0.0D, `{name}`)"
     if kind == "string":
-        return f"substr(btrim(`{name}`, '{WHITESPACE}'), 1, {MAX_TEXT})"
+        stripped = f"btrim(`{name}`, '{WHITESPACE}')"
+        return stripped if max_chars is None else f"substr({stripped}, 1, {max_chars})"
     return f"`{name}`"
 
 

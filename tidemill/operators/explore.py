@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators import ranks
+from tidemill.operators.timeframes import row_positions
 
 NUMBERS = ("double", "float", "bigint", "int", "smallint", "tinyint")
 
@@ -154,15 +155,13 @@ def smoothed_risk(
 def label_codes(df: DataFrame, name: str) -> DataFrame:
     """Add ``<name>_code``: the place of a value among the sorted distinct values.
 
-    Codes are counted in ranges of values, so neither the driver nor one task
-    holds all of them. A null has no code.
+    Values are cut into ranges at splitters that Spark samples from them, so
+    values with a common beginning are spread as well; places are counted within
+    ranges and then across them. A null has no code.
     """
     values = df.select(F.col(name).alias("_value")).filter(F.col("_value").isNotNull()).distinct()
-    # Two leading characters keep the order of texts and deal out their range.
-    ordered = ranks.running_totals(
-        values.withColumn("_one", F.lit(1)), [], F.substring(F.col("_value").cast("binary"), 1, 2), "_value", {"_place": "_one"}
-    )
-    codes = ordered.select("_value", (F.col("_place") - 1).cast("double").alias(f"{name}_code"))
+    placed = row_positions(values.withColumn("_all", F.lit(0)), "_all", ["_value"])
+    codes = placed.select("_value", (F.col("_position") - 1).cast("double").alias(f"{name}_code"))
     return df.join(codes, F.col(name) == F.col("_value"), "left").drop("_value")
 
 

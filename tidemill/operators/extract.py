@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import record as R
 from tidemill.functions.payload import MAP, JsonRecord, TableRecord
 
+#: Characters of a failed record that its error row keeps unless told otherwise.
 ELEMENT_CHARS = 1000
 ERROR = "extraction_error"
 ELEMENT = "extraction_element"
@@ -95,6 +96,8 @@ def extract_features(
     processing_time: Column | dt.datetime | str | None = None,
     domain: str = "transaction",
     keep: tuple[str, ...] = (),
+    max_chars: int | None = R.MAX_TEXT,
+    element_chars: int | None = ELEMENT_CHARS,
 ) -> DataFrame:
     """One row of features per record, with the failure beside it.
 
@@ -104,7 +107,8 @@ def extract_features(
     :func:`errors_of` instead of extracting twice.
 
     Any domain but ``generic`` uses the transaction fields. ``keep`` passes
-    columns of the input through unchanged.
+    columns of the input through unchanged. Texts are cut to ``max_chars`` and
+    failed records to ``element_chars`` characters; None keeps them whole.
     """
     generic = generic_names(df) if document is None else None
     df, record = _table_envelope(df) if document is None else _json_envelope(df, document)
@@ -162,11 +166,12 @@ def extract_features(
     result = []
     for name, kind in derived.dtypes:
         if name == ELEMENT:
-            result.append(f"IF({ERROR} IS NOT NULL, substr({ELEMENT}, 1, {ELEMENT_CHARS}), NULL) AS {ELEMENT}")
+            element = ELEMENT if element_chars is None else f"substr({ELEMENT}, 1, {element_chars})"
+            result.append(f"IF({ERROR} IS NOT NULL, {element}, NULL) AS {ELEMENT}")
         elif name in fixed:
             result.append(f"`{name}`")
         elif has_amount or name != "amount":
-            result.append(f"{R.clean(name, kind)} AS `{name}`")
+            result.append(f"{R.clean(name, kind, max_chars)} AS `{name}`")
     return derived.selectExpr(*result)
 
 
