@@ -33,6 +33,26 @@ def j_agg_left(spark, folder):
     return joined.select("message_id", "user_id", "record_count", "avg_amount")
 
 
+@query(
+    "j_agg_left_gaps",
+    """SELECT CAST(c_custkey AS VARCHAR) AS message_id, n.n AS record_count, round(n.mean, 9) + 0.0 AS avg_amount
+       FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS mean FROM orders GROUP BY 1) n ON o_custkey = c_custkey""",
+    digits=9,
+)
+def j_agg_left_gaps(spark, folder):
+    """Customers as records and their orders as aggregates: who has no order gets nulls."""
+    records = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("user_id"))
+    orders = table(spark, folder, "orders").select(
+        F.col("o_custkey").cast("string").alias("user_id"),
+        F.col("o_totalprice").cast("double").alias("amount"),
+        F.col("o_orderdate").cast("timestamp").alias("event_time"),
+        F.col("o_orderdate").cast("string").alias("timestamp"),
+    )
+    aggregated = aggregate_users(orders, None).withColumnRenamed("user_id", "key")
+    joined = J.join_aggregates(records, aggregated, FRAUD_DETECTOR)
+    return joined.select(F.col("user_id").alias("message_id"), "record_count", "avg_amount")
+
+
 @query(
     "j_labels_left",
     """SELECT d.doc_id, CAST(coalesce(l.label, 0) AS BIGINT) AS label
@@ -103,6 +123,24 @@ def j_prediction_outcome(spark, folder):
     return M.prediction_outcome(rows.select("request_id", "model_name", "predicted"), outcomes)
 
 
+@query(
+    "j_prediction_outcome_gaps",
+    """SELECT CAST(d.doc_id AS VARCHAR) AS request_id, d.lang AS model_name, CAST(d.n_chars > 1000 AS BIGINT) AS predicted, l.actual
+       FROM documents d JOIN (SELECT doc_id, CAST(max(quality) AS BIGINT) AS actual FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id""",
+)
+def j_prediction_outcome_gaps(spark, folder):
+    """Documents as requests and their labels as outcomes; requests whose outcome is unknown are left out."""
+    requests = table(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("request_id"),
+        F.col("lang").alias("model_name"),
+        (F.col("n_chars") > 1000).cast("bigint").alias("predicted"),
+    )
+    outcomes = table(spark, folder, "labels").groupBy(F.col("doc_id").cast("string").alias("request_id")).agg(
+        F.max("quality").cast("bigint").alias("actual")
+    )
+    return M.prediction_outcome(requests, outcomes)
+
+
 @query(
     "flatten_errors",
     with_(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 
@@ -81,6 +83,74 @@ def sink_csv_parquet(spark, folder):
     return frames[0].unionByName(frames[1])
 
 
+DOC_GOOD = "error IS NULL AND amount IS NOT NULL AND amount BETWEEN 0 AND 4000"
+DOC_ROWS = f"""SELECT 'errors' AS output, message_id AS id, NULL::DOUBLE AS amount, error FROM docs WHERE error IS NOT NULL
+  UNION ALL SELECT 'features', message_id, {r7('amount')}, NULL FROM docs WHERE {DOC_GOOD}
+  UNION ALL SELECT 'invalid_features', message_id, {r7('amount')}, NULL FROM docs WHERE error IS NULL AND NOT coalesce({DOC_GOOD}, FALSE)"""
+DOC_TOTALS = f"""SELECT 'aggregated_features' AS output, coalesce(user_id, 'unknown') AS id, {r7('sum(amount)')} AS amount, NULL AS error
+  FROM docs WHERE {DOC_GOOD} GROUP BY 2"""
+LAST_GOOD = f"""SELECT 'store' AS output, user_id AS id, {r7("arg_max(amount, (CASE WHEN bad_time THEN TIMESTAMP '" + NOW + "' ELSE wall - to_minutes(offset_minutes) END, message_id))")} AS amount,
+  NULL AS error FROM docs WHERE {DOC_GOOD} AND user_id <> 'unknown' GROUP BY user_id"""
+
+
+def output_rows(read, *names):
+    """Every row of the outputs: its id, its amount and its error."""
+    ids = {
+        "errors": F.try_variant_get(F.try_parse_json("element"), "$.message_id", "string"),
+        "invalid_features": F.col("features.message_id"),
+        "aggregated_features": F.col("user_id"),
+    }
+    amounts = {
+        "errors": F.lit(None).cast("double"),
+        "invalid_features": F.col("features.amount"),
+        "aggregated_features": F.col("total_amount"),
+    }
+    frames = []
+    for name in names:
+        error = F.col("error") if name == "errors" else F.lit(None).cast("string")
+        frames.append(
+            read(name).select(
+                F.lit(name).alias("output"),
+                ids.get(name, F.col("message_id")).alias("id"),
+                amounts.get(name, F.col("amount")).alias("amount"),
+                error.alias("error"),
+            )
+        )
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+@query("sink_multi_table_rows", with_(DOCS, f"{DOC_ROWS} UNION ALL {DOC_TOTALS}"))
+def sink_multi_table_rows(spark, folder):
+    """The rows of all four tables after the batch came twice."""
+    root = work_path(spark, "tables")
+    frames = outputs(spark, folder)
+    for _ in range(2):
+        append_tables(frames, root, batch_id=0)
+    names = ("features", "errors", "invalid_features", "aggregated_features")
+    return output_rows(lambda name: spark.read.parquet(f"{root}/{name}"), *names)
+
+
+@query("sink_dual_rows", with_(DOCS, f"{DOC_ROWS} UNION ALL {LAST_GOOD}"))
+def sink_dual_rows(spark, folder):
+    """Rows in files and the newest amount of each user in the store, after the batch came twice."""
+    path = work_path(spark, "dual")
+    frames = outputs(spark, folder)
+    frames = Outputs(features=frames.features, errors=frames.errors, invalid=frames.invalid)
+    for _ in range(2):
+        write_both(spark, frames, f"{path}/store", f"{path}/files", 0, NOW, ["event_time", "message_id"])
+    schema = "message_id string, amount double, error string, element string, features struct<message_id:string,amount:double>"
+    rows = output_rows(lambda name: spark.read.schema(schema).json(f"{path}/files/{name}"), "features", "errors", "invalid_features")
+    state = FeatureTable(spark, f"{path}/store").read()
+    return rows.unionByName(
+        state.select(
+            F.lit("store").alias("output"),
+            F.col("entity_id").alias("id"),
+            json_text(F.col("features")["amount"]).try_cast("double").alias("amount"),
+            F.lit(None).cast("string").alias("error"),
+        )
+    )
+
+
 def row_counts(spark, root, suffix=""):
     frames = []
     for name in ("features", "errors", "invalid_features", "aggregated_features"):
