@@ -222,17 +222,26 @@ def histogram_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     # The reported quantiles.
     shares = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
     n = F.col("n")
-    picked = ranks.order_statistics(
-        df, by, value, {name: F.floor(n * F.lit(share)) for name, share in shares.items()}
-    ).drop("n")
-    basic = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(
+    known = df.filter(F.col(value).isNotNull())
+    basic = [
         F.count(value).alias("count"),
         F.sum(value).alias("sum"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
         F.avg(value).alias("mean"),
-    )
-    return basic.join(picked, by)
+    ]
+    crowded = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > ranks.CALM_ROWS)
+    if crowded.isEmpty():
+        sorted_ = F.sort_array(F.collect_list(value)).alias("_sorted")
+        picks = [
+            F.get("_sorted", F.floor(F.col("count") * F.lit(share)).cast("int")).alias(name) for name, share in shares.items()
+        ]
+        names = [*by, "count", "sum", "min", "max", "mean"]
+        return known.groupBy(*by).agg(*basic, sorted_).select(*names, *picks)
+    picked = ranks.order_statistics(
+        df, by, value, {name: F.floor(n * F.lit(share)) for name, share in shares.items()}
+    ).drop("n")
+    return known.groupBy(*by).agg(*basic).join(picked, by)
 
 
 def metric_key(name: Column, labels: Column) -> Column:
