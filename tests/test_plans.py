@@ -28,15 +28,31 @@ def test_first_row_is_cut_below_the_shuffle(spark, folder):
     assert "WindowGroupLimit" in text and "CartesianProduct" not in text
 
 
-def test_quantiles_never_group_a_key_in_one_task(spark, folder):
-    text = plan(quantiles(table(spark, folder, "events"), ["event_type"], "value", {"m": 0.5}))
-    assert "percentile" not in text and "collect" not in text
-
-
-def test_user_aggregates_have_no_collect_or_cross_join(spark, folder):
-    text = plan(aggregate_users(features(spark, folder), WindowSpec("fixed", "1 day")))
-    for word in ("collect_list", "collect_set", "BroadcastNestedLoopJoin", "CartesianProduct", "Python"):
-        assert word not in text
+def test_quantiles_never_group_a_crowded_key_in_one_task(spark, folder):
+    """Groups up to a fixed number of rows are aggregated at once, larger ones never."""
+    events = table(spark, folder, "events")
+    spread = plan(quantiles(events, ["event_type"], "value", {"m": 0.5}, calm_rows=0))
+    assert "percentile" not in spread and "collect" not in spread
+    both = plan(quantiles(events, ["event_type"], "value", {"m": 0.5}, calm_rows=10))
+    assert "percentile" in both and "isnull(_crowded" in both
+    calm = plan(quantiles(events, ["event_type"], "value", {"m": 0.5}))
+    assert calm.count("Exchange hashpartitioning") == 1 and calm.count("FileScan") == 1
+
+
+def test_user_aggregates_collect_calm_groups_only(spark, folder):
+    both = plan(aggregate_users(features(spark, folder), WindowSpec("fixed", "1 day"), calm_rows=1))
+    assert "LeftAnti" in both and "LeftSemi" in both
+    calm = plan(aggregate_users(features(spark, folder), WindowSpec("fixed", "1 day")))
+    assert calm.count("Exchange hashpartitioning") == 1 and calm.count("FileScan") == 1
+    for word in ("collect_list", "BroadcastNestedLoopJoin", "CartesianProduct", "Python"):
+        assert word not in both and word not in calm
+
+
+def test_sessions_and_frames_read_their_source_once(spark, folder):
+    sessions = plan(aggregate_users(features(spark, folder), WindowSpec("session", gap="6 hours")))
+    assert sessions.count("Exchange hashpartitioning") <= 5 and "events.parquet" not in sessions
+    for name in ("per_user_30d", "velocity"):
+        assert "events.parquet" not in plan(catalog.queries()[name](spark, folder))
 
 
 def test_large_limits_rank_salted_first(spark):
