@@ -213,6 +213,23 @@ def test_clusters(spark, k, width):
     assert sorted(map(tuple, got.collect()), key=str) == clustered(rows, k, 3, width)
 
 
+def test_equally_near_centroids_go_by_number(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [int(x) / 256 for x in rng.integers(0, 4, 3)]) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = centroids.cluster(vectors, k=40, rounds=2, width=3)
+    assert sorted(map(tuple, got.collect()), key=str) == clustered(rows, 40, 2, 3)
+
+
+def test_components_beyond_32_bits(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [1e7 + float(x) for x in rng.normal(size=2).round(2)]) for i in range(40)]
+    rows += [(100 + i, [-4e6, float(i)]) for i in range(5)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = centroids.cluster(vectors, k=20, rounds=1, width=2)
+    assert sorted(map(tuple, got.collect()), key=str) == clustered(rows, 20, 1, 2)
+
+
 def test_fewer_vectors_than_centroids_and_none(spark):
     vectors = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [2.0, 1.0])], "vec_id long, embedding array<double>")
     got = centroids.cluster(vectors, k=9, width=2).collect()

@@ -28,6 +28,8 @@ from tidemill.session import materialize, work_path
 #: A tree larger than this is refused, since every worker holds one.
 MAX_TREE_BYTES = 256 << 20
 _FAR = np.iinfo(np.int64).max
+#: Differences of components below it fit into 64 bits.
+_WIDEST = 1 << 61
 _SUMS = "cluster int, component int, total bigint, n bigint"
 
 
@@ -65,6 +67,15 @@ def squared(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return found
 
 
+def _exact(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The same, in Python's integers where 64 bits might not do."""
+    try:
+        return squared(vectors, centroids)
+    except OverflowError:
+        v = vectors.astype(object)
+        return np.stack([((v - c) ** 2).sum(1) for c in centroids.astype(object)], axis=1)
+
+
 def build_tree(centroids: np.ndarray, leaf: int = 8) -> Tree:
     """Split at the median distance from a vantage point until ``leaf`` centroids are left."""
     nodes: list[_Node] = []
@@ -75,14 +86,15 @@ def build_tree(centroids: np.ndarray, leaf: int = 8) -> Tree:
             nodes.append(_Node(numbers))
             return at
         # The centroid farthest from the first one spreads the others best.
-        vantage = int(squared(centroids[numbers], centroids[numbers[:1]])[:, 0].argmax())
+        vantage = int(_exact(centroids[numbers], centroids[numbers[:1]])[:, 0].argmax())
         rest = np.delete(numbers, vantage)
-        apart = squared(centroids[rest], centroids[numbers[vantage]][None])[:, 0]
+        apart = _exact(centroids[rest], centroids[numbers[vantage]][None])[:, 0]
         order = np.argsort(apart, kind="stable")
         nodes.append(_Node(numbers[vantage : vantage + 1]))
         halves = [half for half in np.array_split(order, 2) if len(half)]
         nodes[at].children = tuple(
-            (grow(rest[half]), float(apart[half].min()) ** 0.5, float(apart[half].max()) ** 0.5) for half in halves
+            # In ascending order, so that of equally near centroids of a leaf the first has the smaller number.
+            (grow(np.sort(rest[half])), float(apart[half].min()) ** 0.5, float(apart[half].max()) ** 0.5) for half in halves
         )
         return at
 
@@ -108,21 +120,27 @@ def nearest(tree: Tree, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for i in np.unique(at):
             node, rows, base = tree.nodes[i], live[at == i], low[at == i]
             bounds[rows, i] = np.inf
-            found = squared(vectors[rows], tree.centroids[node.numbers])
+            found = _exact(vectors[rows], tree.centroids[node.numbers])
             column = found.argmin(1)  # numbers of a leaf ascend, so ties go to the smaller one
             apart, who = found[np.arange(len(rows)), column], node.numbers[column]
+            distance = np.sqrt(apart.astype(np.float64))
+            apart = np.minimum(apart, _FAR).astype(np.int64)
             better = (apart < best[rows]) | ((apart == best[rows]) & (who < number[rows]))
             best[rows[better]], number[rows[better]] = apart[better], who[better]
             if node.children:
-                distance = np.sqrt(apart.astype(np.float64))
                 for child, near, far in node.children:
                     gap = np.maximum(distance - far, near - distance) - 1e-12 * (distance + far)
                     bounds[rows, child] = np.maximum(base, gap)
+    if (best == _FAR).any():
+        raise OverflowError("a squared distance does not fit into 64 bits")
     return number, best
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    found = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    if (np.abs(found) >= _WIDEST).any():
+        raise OverflowError("a component does not fit into 61 bits")
+    return found
 
 
 def _blocks(batch: pa.RecordBatch, tree: Tree) -> Iterator[pa.RecordBatch]:
@@ -136,7 +154,7 @@ def _partial_sums(tree: Broadcast, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(tree.value.centroids)
-        sums, sizes = np.zeros((k, width), np.int64), np.zeros(k, np.int64)
+        sums, sizes, most = np.zeros((k, width), np.int64), np.zeros(k, np.int64), 0
         for batch in batches:
             for part in _blocks(batch, tree.value):
                 vectors = _matrix(part.column("q"), width)
@@ -145,6 +163,9 @@ def _partial_sums(tree: Broadcast, width: int):
                 cut = np.flatnonzero(np.diff(number[order], prepend=-1))
                 sums[number[order][cut]] += np.add.reduceat(vectors[order].astype(np.int64), cut, axis=0)
                 sizes += np.bincount(number, minlength=k)
+                most = max(most, int(np.abs(vectors).max(initial=0)))
+                if most * int(sizes.max()) >= 2**63:
+                    raise OverflowError("a sum of components may not fit into 64 bits")
         held = np.flatnonzero(sizes)
         n = len(held) * width
         yield pa.record_batch(
@@ -180,7 +201,7 @@ def quantized(vectors: DataFrame, width: int, scale: float, id_column: str = "ve
         vectors.select(F.col(id_column).cast("bigint").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"))
         .filter(F.size("v") == width)
         .filter(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-        .select("vec_id", F.transform(v, lambda x: F.floor(x * scale).cast("int")).alias("q"))
+        .select("vec_id", F.transform(v, lambda x: F.floor(x * scale)).alias("q"))
     )
 
 
