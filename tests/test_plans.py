@@ -69,3 +69,16 @@ def test_stream_states_equal_batch_states(spark, folder):
     batch = sorted(map(str, queries["alert_state"](spark, folder).select(*names).collect()))
     stream = sorted(map(str, queries["stateful_alert"](spark, folder).select(*names).collect()))
     assert batch == stream
+
+
+def test_costly_rows_leave_the_one_row_group_of_their_file(spark, tmp_path):
+    from tidemill.catalog import records
+
+    rows = spark.range(200_000).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts", "id % 97 AS user_id",
+        "'click' AS event_type", "rand(1) AS value", "concat('{\"k\": ', id % 100, '}') AS props",
+    )
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    docs = records.documents(spark, str(tmp_path))
+    sizes = [r[0] for r in docs.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 200_000 and len(sizes) > 4 and max(sizes) < 100_000

@@ -26,7 +26,7 @@ from tidemill.operators.extract import (
     read_document,
 )
 from tidemill.plans.training import flatten_profile, prepare_training
-from tidemill.session import table
+from tidemill.session import spread_table, table
 from tidemill.sources import adapters
 
 # What the irregular documents should read as, straight from the table.
@@ -54,7 +54,7 @@ DOCS = f"""{EV}, docs AS (
 
 
 def documents(spark, folder):
-    return adapters.raw_documents(table(spark, folder, "events"))
+    return adapters.raw_documents(spread_table(spark, folder, "events"))
 
 
 def extracted(spark, folder):

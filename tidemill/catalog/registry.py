@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators.extract import extract_features, features_of
-from tidemill.session import table
+from tidemill.session import spread_table, table
 from tidemill.sources import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,7 +71,7 @@ def present(df: DataFrame, digits: int = 7) -> DataFrame:
 
 
 def tx(spark: SparkSession, folder: str) -> DataFrame:
-    return adapters.transactions(table(spark, folder, "events"))
+    return adapters.transactions(spread_table(spark, folder, "events"))
 
 
 def features(spark: SparkSession, folder: str) -> DataFrame:

@@ -193,7 +193,7 @@ def generic_columns(names: list[str] | None, document: str | None = None) -> dic
     if names is not None:
         return {name: f"`{name}`" for name in names}
     members = f"map_entries(try_variant_get({document}, '$', 'map<string,variant>'))"
-    scalar = "e -> schema_of_variant(e.value) NOT LIKE 'OBJECT%' AND schema_of_variant(e.value) NOT LIKE 'ARRAY%'"
+    scalar = "e -> schema_of_variant(e.value) NOT RLIKE '^(OBJECT|ARRAY)'"
     text = "e -> struct(e.key, try_variant_get(e.value, '$', 'string') AS value)"
     return {"fields": f"map_from_entries(transform(filter({members}, {scalar}), {text}))"}
 

@@ -66,6 +66,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes of Parquet per task where each row costs much CPU: the least, and the most once every core is busy.
+SPREAD_BYTES = (256 << 10, 1 << 20)
+
+
+def spread_parts(spark: SparkSession, folder: str, name: str) -> int:
+    """Tasks that costly work on the rows of a supplied table should have; it grows with the table."""
+    store, path = _in_store(spark, f"{folder}/{name}.parquet")
+    size = store.getContentSummary(path).getLength()
+    least, most = SPREAD_BYTES
+    return min(-(-size // least), max(4 * spark.sparkContext.defaultParallelism, -(-size // most)))
+
+
+def spread(df: DataFrame, parts: int) -> DataFrame:
+    """The same rows in ``parts`` tasks, wherever the files keep them.
+
+    Spark reads a row group in one task, however long its rows take afterwards. Rows
+    are dealt by their content, so a repeated task deals them in the same way.
+    """
+    return df.repartition(parts, *df.columns) if parts > 1 else df
+
+
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the supplied tables, its rows spread for costly work on each."""
+    return spread(table(spark, folder, name), spread_parts(spark, folder, name))
+
+
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

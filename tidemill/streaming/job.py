@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemill.operators.extract import ERROR, errors_of, extract_features, features_of
 from tidemill.operators.validate import invalid_of, valid_of, validate_features
 from tidemill.plans.features import FeatureSettings
+from tidemill.session import spread, spread_parts
 from tidemill.sinks.files import write_json_lines
 from tidemill.sinks.keyed import KeyedTable
 from tidemill.sinks.tables import Outputs, append_tables, write_to_store
@@ -144,7 +145,8 @@ def finish(queries: list[StreamingQuery]) -> None:
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Stream over one of the supplied Parquet tables, file or folder."""
+    """Stream over one of the supplied Parquet tables, file or folder, its rows spread over tasks."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     # A pattern keeps the source from taking a single file for a partition root.
-    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
+    rows = spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
+    return spread(rows, spread_parts(spark, folder, name))
