@@ -82,3 +82,15 @@ def test_costly_rows_leave_the_one_row_group_of_their_file(spark, tmp_path):
     docs = records.documents(spark, str(tmp_path))
     sizes = [r[0] for r in docs.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert sum(sizes) == 200_000 and len(sizes) > 4 and max(sizes) < 100_000
+
+
+def test_fits_pass_over_written_rows_in_even_tasks(spark, monkeypatch):
+    from tidemill.operators import training as T
+
+    monkeypatch.setattr(T, "TASK_ROWS", 1000)
+    rows = spark.range(0, 5000, 1, 1).selectExpr("CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 3 = 0 AS INT) AS label")
+    with T.training_table(rows) as table:
+        sizes = [r[0] for r in table.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert sum(sizes) == 5000 and len(sizes) == 5 and max(sizes) <= 1100
+        assert table.inputFiles()
+    assert T.fit(rows, ["a"], numTrees=3, balanced=True).stages[-1].getNumTrees == 3

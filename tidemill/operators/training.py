@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import ranks
+from tidemill.session import discard, materialize, work_path
 
 
 def hash_share(ids: list[str], seed: int = 42) -> Column:
@@ -94,7 +97,8 @@ def estimator(kind: str, task: str = "classification", label: str = "label", **p
     common = {"featuresCol": "features", "labelCol": label}
     # Default parameters per model kind.
     if kind == "random_forest":
-        options = {"numTrees": 100, "seed": 42, **params}
+        # Deep trees are not walked from their roots again for each level.
+        options = {"numTrees": 100, "seed": 42, "cacheNodeIds": True, **params}
         return (RandomForestClassifier if classify else RandomForestRegressor)(**common, **options)
     if kind == "boosted_trees":
         options = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "seed": 42, **params}
@@ -121,6 +125,22 @@ def as_doubles(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
+#: Rows of a task of a fit. A forest of a hundred trees keeps some 500 bytes of each.
+TASK_ROWS = 100_000
+
+
+@contextmanager
+def training_table(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows written once, as fits pass over them many times, and spread evenly over tasks."""
+    path = work_path(df.sparkSession, "training")
+    kept = materialize(df, path)
+    parts = max(1, -(-kept.count() // TASK_ROWS))
+    try:
+        yield kept.repartition(parts) if parts > 1 else kept
+    finally:
+        discard(df.sparkSession, path)
+
+
 def fit(
     df: DataFrame,
     columns: list[str],
@@ -131,11 +151,17 @@ def fit(
     **params,
 ) -> PipelineModel:
     """Fit one of the model kinds on a training table."""
-    rows = as_doubles(df, columns).withColumn(label, F.col(label).cast("double"))
-    if balanced:
-        rows = with_class_weights(rows, label)
-        params["weightCol"] = "weight"
-    return build_pipeline(columns, estimator(kind, task, label, **params)).fit(rows)
+    rows = as_doubles(df, columns).select(*columns, *_named_columns(params), F.col(label).cast("double").alias(label))
+    with training_table(rows) as table:
+        if balanced:
+            table = with_class_weights(table, label)
+            params["weightCol"] = "weight"
+        return build_pipeline(columns, estimator(kind, task, label, **params)).fit(table)
+
+
+def _named_columns(params: dict) -> list[str]:
+    """Further columns that an estimator is told to read."""
+    return [value for name, value in params.items() if name.endswith("Col") and value]
 
 
 def score(model: PipelineModel, df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
@@ -210,7 +236,7 @@ def tune(
     """Cross-validated random search by area under the ROC curve."""
     model = estimator(kind, "classification", label)
     grid = search_grid(kind, model, trials)
-    rows = as_doubles(df, columns).withColumn(label, F.col(label).cast("double"))
+    rows = as_doubles(df, columns).select(*columns, F.col(label).cast("double").alias(label))
     validator = CrossValidator(
         estimator=build_pipeline(columns, model),
         estimatorParamMaps=grid,
@@ -219,7 +245,8 @@ def tune(
         seed=42,
         parallelism=parallelism,
     )
-    return validator.fit(rows)
+    with training_table(rows) as table:
+        return validator.fit(table)
 
 
 def fold_id(ids: list[str], folds: int, seed: int = 42) -> Column:
