@@ -94,3 +94,34 @@ def test_fits_pass_over_written_rows_in_even_tasks(spark, monkeypatch):
         assert sum(sizes) == 5000 and len(sizes) == 5 and max(sizes) <= 1100
         assert table.inputFiles()
     assert T.fit(rows, ["a"], numTrees=3, balanced=True).stages[-1].getNumTrees == 3
+
+
+def test_the_last_row_of_an_entity_alone_is_packed(spark):
+    from tidemill.operators import store as S
+
+    rows = spark.range(0, 4000, 1, 4).selectExpr("CAST(id % 3 AS STRING) AS user_id", "id AS n", "CAST(id AS STRING) AS text", "map('a', id) AS m")
+    packed = S.pack_features(rows, "g", processing_time="2024-02-01", order=["n"], drop=("n",))
+    assert packed.count() == 3
+    state = S.upsert(spark.createDataFrame([], S.STORE_SCHEMA), packed)
+    found = {r.entity_id: r.features for r in state.collect()}
+    assert {k: v["text"] for k, v in found.items()} == {"0": '"3999"', "1": '"3997"', "2": '"3998"'}
+    same = rows.unionByName(rows.withColumn("text", F.lit("other")))
+    results = [
+        sorted(map(str, S.pack_features(df, "g", processing_time="2024-02-01", order=["n"]).collect()))
+        for df in (same.repartition(7), same.repartition(2, "text"))
+    ]
+    assert results[0] == results[1]
+
+
+def test_entry_gives_a_plain_session_the_method_limit(spark):
+    from tidemill.session import with_method_limit
+
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "65535")
+        assert with_method_limit(spark).conf.get(name) == "8000"
+        spark.conf.set(name, "4000")
+        assert with_method_limit(spark).conf.get(name) == "4000"
+    finally:
+        spark.conf.set(name, before)

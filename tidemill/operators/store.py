@@ -62,14 +62,17 @@ def pack_features(
     """Feature rows as store rows: metadata dropped, the rest in a map.
 
     Rows without a usable entity are left out; they are dead letters. ``order``
-    is the arrival order inside a batch.
+    is the arrival order inside a batch. All rows have the same names, so with an
+    order the last row of an entity stands for all of its rows, and only this one
+    is turned into a map.
     """
     now = moment(processing_time)
     out = {entity, *METADATA_FIELDS, *drop}
     kinds = [(name, kind) for name, kind in df.dtypes if name not in out]
     pairs = [p for name, kind in kinds for p in (F.lit(name), json_value(F.col(name), kind))]
     when = now if event_time is None else (F.col(event_time) if isinstance(event_time, str) else moment(event_time))
-    return df.filter(F.col(entity).isNotNull() & (F.col(entity) != "unknown")).select(
+    usable = df.filter(F.col(entity).isNotNull() & (F.col(entity) != "unknown"))
+    return (latest_rows(usable, entity, order) if order else usable).select(
         F.col(entity).cast("string").alias("entity_id"),
         F.lit(group).alias("feature_group"),
         F.create_map(*pairs).alias("features"),
@@ -81,6 +84,17 @@ def pack_features(
     )
 
 
+def latest_rows(df: DataFrame, entity: str, order: list[str]) -> DataFrame:
+    """The last row of each entity in an order; equal places go by a hash of the row, so reruns agree.
+
+    The maximum combines before the shuffle, so an entity sends one row per task.
+    """
+    hashed = [name for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    place = F.struct(*order, F.xxhash64(*hashed))
+    last = df.groupBy(F.col(entity).alias("_entity")).agg(F.max_by(F.struct(*df.columns), place).alias("_row"))
+    return last.select("_row.*")
+
+
 def fold_batch(batch: DataFrame) -> DataFrame:
     """One row per key of a batch, later rows over earlier ones.
 

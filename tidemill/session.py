@@ -56,6 +56,16 @@ def with_local_folder(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+def with_method_limit(spark: SparkSession) -> SparkSession:
+    """Give a session that keeps Spark's own limit of generated methods the one of :func:`build_session`."""
+    if int(spark.conf.get(_METHOD_LIMIT)) > 8000:
+        spark.conf.set(_METHOD_LIMIT, "8000")
+    return spark
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one run below the shared folder."""
     return f"{shared_root(spark)}/tidemill/{name}-{uuid.uuid4().hex}"

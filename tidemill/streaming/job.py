@@ -104,6 +104,7 @@ def start_feature_job(
                     f"{root}/store",
                     "transaction_features",
                     processing_time=now,
+                    order=["event_time", "message_id"],
                     batch_id=batch_id,
                     dead_letter_path=f"{root}/dead_letters",
                 )
