@@ -101,6 +101,27 @@ def test_sketch_state_does_not_grow_with_a_window_and_keeps_its_bounds(spark, tm
     assert sizes[60_000] < 1.5 * sizes[2_000] and state_bytes(exact) > 5 * sizes[60_000]
 
 
+def test_sketch_state_of_small_windows_is_small(spark, tmp_path):
+    """Two rows a window: sketches of full size would take kilobytes for each."""
+    rows = spark.range(0, 10_000, 1, 3).select(
+        F.concat(F.lit("u"), F.floor(F.col("id") / 2)).alias("user_id"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 86400).alias("event_time"),
+        F.col("id").cast("double").alias("amount"),
+        F.when(F.col("id") % 2 == 0, "shop").alias("merchant_category"),
+        F.lit("t").alias("timestamp"),
+    )
+    later = rows.limit(1).withColumn("event_time", F.to_timestamp(F.lit("2024-02-01")))
+    rows.unionByName(later).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    out = aggregate_stream(stream, WindowSpec("fixed", "1 day"), summaries="sketch")
+    query = start_file_query(out, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    query.awaitTermination()
+    found = spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()
+    assert len(found) == 5000 and {(r.unique_merchants, r.unique_channels) for r in found} == {(2, 1)}
+    used = max(s["memoryUsedBytes"] for p in query.recentProgress for s in p["stateOperators"])
+    assert used / 5000 < 4000
+
+
 def test_no_windowing_writes_changed_users_only(spark, tmp_path):
     schema = "user_id string, event_time timestamp, amount double, timestamp string"
     batches = [[(f"u{i}", START, float(i), "t") for i in range(200)], [("u7", START, 100.0, "t"), (None, START, 1.0, "t")]]
