@@ -125,3 +125,8 @@ def test_entry_gives_a_plain_session_the_method_limit(spark):
         assert with_method_limit(spark).conf.get(name) == "4000"
     finally:
         spark.conf.set(name, before)
+
+
+def test_training_queries_extract_their_rows_once(spark, folder):
+    result = catalog.queries()["fit_logistic"](spark, folder)
+    assert result.inputFiles() and not [f for f in result.inputFiles() if "events.parquet" in f]

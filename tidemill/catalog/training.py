@@ -16,7 +16,7 @@ from tidemill.operators import ranks
 from tidemill.operators import training as T
 from tidemill.operators.labeling import rule_based
 from tidemill.operators.mapping import transform_features
-from tidemill.session import table
+from tidemill.session import materialize, table, work_path
 
 PAYMENTS = ("credit_card", "debit_card", "digital_wallet", "bank_transfer")
 COLUMNS = ["hour_of_day", "day_of_week", "is_weekend", "amount", "merchant_category_encoded", "payment_method_encoded"]
@@ -28,6 +28,11 @@ def training_rows(spark, folder):
     return transform_features(labelled, FRAUD_DETECTOR, ("message_id", "label")).select("message_id", "label", *COLUMNS)
 
 
+def written_rows(spark, folder):
+    """Training rows that are extracted once and read from files by every pass."""
+    return materialize(training_rows(spark, folder), work_path(spark, "training-rows"))
+
+
 @query(
     "split",
     with_(
@@ -79,7 +84,8 @@ def fit_and_measure(spark, folder, kind, **params):
     """Facts of a model that is fitted on the training rows: how many test rows
     it scored, that its metrics are shares, and that it beats the most frequent
     class."""
-    rows = T.stratified_split(training_rows(spark, folder), "label", ["message_id"])
+    rows = T.stratified_split(written_rows(spark, folder), "label", ["message_id"])
+    rows = materialize(rows, work_path(spark, "split"))
     model = T.fit(rows.filter("split = 'train'"), COLUMNS, kind, **params)
     scored = T.score(model, rows.filter("split = 'test'"), COLUMNS, ["message_id", "label"])
     measured = Q.binary_metrics(scored).crossJoin(
