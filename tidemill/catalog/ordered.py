@@ -26,6 +26,7 @@ from tidemill.operators import monitor as M
 from tidemill.operators import training as T
 from tidemill.plans.training import assemble_training
 from tidemill.operators.aggregate import aggregate_users
+from tidemill.session import materialize, work_path
 
 
 @query(
@@ -119,7 +120,7 @@ def topk_corr(spark, folder):
 )
 def topk_importance(spark, folder):
     """Most important inputs of a forest fitted on assembled training data."""
-    rows = features(spark, folder)
+    rows = materialize(features(spark, folder), work_path(spark, "features"))
     training = assemble_training(rows, aggregate_users(rows, None), labeling_options={"noise_std": 0.0})
     columns = [c for c in training.columns if c != "label"]
     model = T.fit(training, columns)
