@@ -5,6 +5,8 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +18,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tidemill.llm import exactdedup, kneserney, langid, linededup, mixing, neardup, packing, quality, queries, topk, urlfilter
 from tidemill.llm.graph import components
+from tidemill.session import shared_root
 
 SCHEMA = T.StructType(
     [
@@ -506,6 +509,25 @@ def test_shards_of_the_model_grow_with_the_tokens(docs):
     assert found[0] == found[1]
 
 
+def test_language_model_is_small_and_leaves_no_blobs(spark, tmp_path):
+    """Numbers instead of hashes of words; contexts of few and of many followers; steps are deleted once they are read."""
+    rng = np.random.default_rng(5)
+    texts = [f"of the w{i % 40} " + " ".join(f"w{i}" for i in np.minimum(rng.geometric(0.02, 60), 400)) for i in range(300)]
+    train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    left = lambda: {p.name for p in Path(urlparse(shared_root(spark)).path).glob("tidemill/ngrams-*")}
+    before = left()
+    model = kneserney.train(train, order=3, folder=str(tmp_path / "model"))
+    assert left() == before
+    grams = {tuple(x[i : i + 3]) for t in texts for x in [["<s>", "<s>", *words(t), "</s>"]] for i in range(len(x) - 2)}
+    held = sum(p.stat().st_size - 128 for p in (tmp_path / "model").glob("3-*.npy"))
+    assert held < 24 * len(grams)
+    score = brute_model(texts, 3)
+    asked = [*texts[:40], "of the w39 w1", "of the unknown", "", "unknown words of the"]
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string")
+    for r in kneserney.score_texts(docs, model).collect():
+        assert math.isclose(r.score, score(asked[r.doc_id]), rel_tol=1e-9)
+
+
 def test_language_model_without_texts(docs, none):
     model = kneserney.train(none, order=2)
     assert model.train_tokens == 0

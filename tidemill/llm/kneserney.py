@@ -1,11 +1,13 @@
 """Interpolated modified Kneser-Ney n-gram models in sorted hash arrays.
 
-Tasks count the n-grams of their texts and send them to shards, already summed,
-as a few large blobs; a shard sums what it gets and writes sorted arrays of
-64-bit hashes beside arrays of counts. An n-gram goes to the shard of its
-context, so that the context's totals arise there. If the context ends in one of
-the few most frequent words, its n-grams are spread over all shards by their own
-hash and the totals of the parts are added in the next step, in which the
+Words are counted first and numbered, frequent ones lowest. Tasks then count the
+n-grams of their texts and send them to shards, already summed, as a few large
+blobs of compressed word numbers; a shard sums what it gets and writes the sorted
+64-bit hashes of the contexts, and of each the words that follow with their
+counts. An n-gram goes to the shard of its context, so that the context's totals
+arise there. If the context ends in one
+of the few most frequent words, its n-grams are spread over all shards by their
+own hash and the totals of the parts are added in the next step, in which the
 distinct n-grams also become continuation counts of the next lower order.
 
 Scoring tasks map the arrays into memory and look up the distinct n-grams of a
@@ -23,16 +25,17 @@ from dataclasses import dataclass
 from urllib.parse import urlparse
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import chain64, hash_words, mix64, text_of, words_of
-from tidemill.session import materialize, work_path
+from tidemill.llm.common import chain64, mix64, text_of, words_of
+from tidemill.session import discard, materialize, work_path
 
-BEGIN, END = np.uint64(0x1D872B41_0B5E6F13), np.uint64(0x7C0A3D95_58E1F2A7)
+END = np.uint64(0x7C0A3D95_58E1F2A7)
 _BLOB = "kind string, shard int, n bigint, payload binary"
 
 
@@ -44,22 +47,36 @@ def local_folder(path: str) -> str:
     return parts.path
 
 
-def token_stream(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens and each text's number of tokens with its end.
-
-    Every text is led by ``order - 1`` begin marks and followed by one end.
-    """
-    lists = [words_of(x) for x in texts]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    hashed = hash_words([w for x in lists for w in x])
-    lead = order - 1
-    stream = np.full(len(hashed) + len(lists) * (lead + 1), BEGIN)
-    starts = np.concatenate([[0], np.cumsum(sizes + lead + 1)[:-1]]) + lead
-    text = np.repeat(np.arange(len(lists)), sizes)
-    within = np.arange(len(hashed)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-    stream[starts[text] + within] = hashed
-    stream[starts + sizes] = END
-    return stream, sizes + 1
+@dataclass
+class Tokens:
+    """Words of some texts: hashes of the distinct ones, the end first, and where each stands in them."""
+
+    distinct: np.ndarray
+    codes: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Tokens:
+        lists = [words_of(x) for x in texts]
+        flat = np.empty(sum(map(len, lists)), object)
+        flat[:] = [w for x in lists for w in x]
+        codes, words = pd.factorize(flat)
+        hashed = pd.util.hash_array(words, categorize=False) if len(words) else np.empty(0, np.uint64)
+        return cls(np.concatenate([[END], hashed]), codes + 1, np.array([len(x) for x in lists], np.int64))
+
+    def stream(self, names: np.ndarray, begin: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens, where ``names`` has one per distinct word, and each text's number of tokens with its end.
+
+        Every text is led by ``order - 1`` begin marks and followed by one end.
+        """
+        lead, sizes = order - 1, self.sizes
+        stream = np.full(len(self.codes) + len(sizes) * (lead + 1), begin, np.uint64)
+        starts = np.concatenate([[0], np.cumsum(sizes + lead + 1)[:-1]]) + lead
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        within = np.arange(len(self.codes)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+        stream[starts[text] + within] = names[self.codes]
+        stream[starts + sizes] = names[0]
+        return stream, sizes + 1
 
 
 def _positions(sizes: np.ndarray, order: int) -> np.ndarray:
@@ -75,16 +92,14 @@ def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
     return hashed
 
 
-def _summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Rows of equal hashes added up, in the order of the first column."""
+def _summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Rows of equal hashes added up, in the order of their hashes, which come last."""
     hashed = gram_hash(columns)
-    order = np.argsort(hashed, kind="stable")
+    order = np.argsort(hashed)
     hashed = hashed[order]
     first = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]]))
     total = np.add.reduceat(counts[order], first)
-    columns = [c[order[first]] for c in columns]
-    order = np.lexsort(columns[::-1])
-    return [c[order] for c in columns], total[order]
+    return [c[order[first]] for c in columns], total, hashed[first]
 
 
 def _range_of(hashed: np.ndarray, shards: int) -> np.ndarray:
@@ -97,34 +112,47 @@ def _shard_of(columns: list[np.ndarray], shards: int, frequent: np.ndarray) -> t
     grams = gram_hash(columns)
     if len(columns) == 1:
         return _range_of(grams, shards), np.ones(len(grams), bool)
-    spread = np.isin(mix64(columns[-2]), frequent)  # words are filed by their mixed hash
+    spread = np.isin(columns[-2], frequent)
     return _range_of(np.where(spread, grams, gram_hash(columns[:-1])), shards), spread
 
 
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
 def _pack(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    small = np.minimum(counts, 255).astype(np.uint8)
-    large = np.flatnonzero(counts >= 255)
-    head = np.array([len(columns), len(counts), len(large)], np.int64)
-    parts = [head, *columns, large.astype(np.int64), counts[large].astype(np.int64), small]
-    return b"".join(p.tobytes() for p in parts)
+    """Columns and counts byte by byte, without bytes that are zero in every row; of the first, which ascends, the steps."""
+    steps = np.diff(columns[0], prepend=np.uint64(0))
+    columns = [np.ascontiguousarray(c, np.uint64) for c in (steps, *columns[1:], counts)]
+    used = [max(1, (int(c.max()).bit_length() + 7) // 8) if len(c) else 1 for c in columns]
+    planes = [c.view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes() for c, n in zip(columns, used)]
+    head = np.array([len(columns), len(counts), *used], np.int64).tobytes()
+    return head + _CODEC.compress(b"".join(planes), asbytes=True)
 
 
 def _unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
-    width, n, n_large = np.frombuffer(blob, np.int64, 3)
-    at = 24
-    columns = [np.frombuffer(blob, np.uint64, n, at + 8 * n * i) for i in range(width)]
-    at += 8 * n * width
-    large, values = np.frombuffer(blob, np.int64, n_large, at), np.frombuffer(blob, np.int64, n_large, at + 8 * n_large)
-    counts = np.frombuffer(blob, np.uint8, n, at + 16 * n_large).astype(np.int64)
-    counts[large] = values
-    return columns, counts
+    width, n = np.frombuffer(blob, np.int64, 2).tolist()
+    used = np.frombuffer(blob, np.int64, width, 16).tolist()
+    planes = np.frombuffer(_CODEC.decompress(memoryview(blob)[16 + 8 * width :], n * sum(used), asbytes=True), np.uint8)
+    columns, at = [], 0
+    for size in used:
+        column = np.zeros((n, 8), np.uint8)
+        column[:, :size] = planes[at : at + n * size].reshape(size, n).T
+        columns.append(column.view(np.uint64).reshape(-1))
+        at += n * size
+    columns[0] = np.cumsum(columns[0], dtype=np.uint64)
+    return columns[:-1], columns[-1].astype(np.int64)
 
 
 def _rows(kind: str, shard: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One blob per shard."""
-    order = np.argsort(shard, kind="stable")
-    names, starts = np.unique(shard[order], return_index=True)
-    for s, own in zip(names.tolist(), np.split(order, starts[1:])):
+    """One blob per shard, in the order of the first two columns."""
+    if len(columns) == 1:
+        order = np.argsort(columns[0])
+    elif columns[1].max() < 1 << 32 and columns[0].max() < 1 << 32:
+        order = np.argsort(columns[0] << np.uint64(32) | columns[1])
+    else:
+        order = np.lexsort(columns[1::-1])
+    for s, own in _by_shard(shard[order]):
+        own = order[own]
         blob = _pack([c[own] for c in columns], counts[own])
         yield pa.record_batch(
             [pa.array([kind]), pa.array([s], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([blob], pa.binary())],
@@ -132,32 +160,30 @@ def _rows(kind: str, shard: np.ndarray, columns: list[np.ndarray], counts: np.nd
         )
 
 
-def _count(order: int, shards: int, frequent: np.ndarray, chunk_chars: int, held_rows: int):
-    """N-grams of a task's texts, summed before they are sent."""
+def _count(order: int, shards: int, words: Words | None, frequent: np.ndarray, chunk_chars: int, held_rows: int):
+    """N-grams of a task's texts, summed before they are sent; words count by their hashes until they are numbered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        held: list[list[np.ndarray]] = []
+        lookup = None if words is None else WordLookup(words)
 
         def flush():
-            columns = [np.concatenate([p[0][i] for p in parts]) for i in range(order)]
-            columns, counts = _summed(columns, np.concatenate([p[1] for p in parts]))
-            return columns, counts
+            columns = [np.concatenate([p[i] for p in held]) for i in range(order)]
+            columns, counts, _ = _summed(columns, np.ones(len(columns[0]), np.int64))
+            shard, _ = _shard_of(columns, shards, frequent)
+            return _rows("gram", shard, columns, counts)
 
         for texts in _text_chunks(batches, chunk_chars):
-            stream, sizes = token_stream(texts, order)
+            tokens = Tokens.of(texts)
+            names = tokens.distinct if lookup is None else lookup.find(tokens.distinct)[0]
+            stream, sizes = tokens.stream(names, 0 if words is None else words.begin, order)
             at = _positions(sizes, order)
-            columns = [stream[at - (order - 1 - i)] for i in range(order)]
-            parts.append(_summed(columns, np.ones(len(at), np.int64)))
-            held += len(parts[-1][1])
-            if held >= held_rows:
-                columns, counts = flush()
-                shard, _ = _shard_of(columns, shards, frequent)
-                yield from _rows("gram", shard, columns, counts)
-                parts, held = [], 0
-        if parts:
-            columns, counts = flush()
-            shard, _ = _shard_of(columns, shards, frequent)
-            yield from _rows("gram", shard, columns, counts)
+            held.append([stream[at - (order - 1 - i)] for i in range(order)])
+            if sum(len(p[0]) for p in held) >= held_rows:
+                yield from flush()
+                held.clear()
+        if held:
+            yield from flush()
 
     return run
 
@@ -186,23 +212,40 @@ def _save(folder: str, name: str, values: np.ndarray) -> None:
     os.replace(draft, path)
 
 
-def _count_column(folder: str, name: str, counts: np.ndarray) -> None:
-    """Counts in one byte each, those of 255 and more beside them."""
-    large = np.flatnonzero(counts >= 255)
+def _save_counts(folder: str, name: str, counts: np.ndarray) -> None:
+    """Counts in one byte each, those of 255 and more beside them by their place in the flat array."""
+    flat = counts.reshape(-1)
+    large = np.flatnonzero(flat >= 255)
     _save(folder, f"{name}-count", np.minimum(counts, 255).astype(np.uint8))
-    _save(folder, f"{name}-large", np.stack([large.astype(np.int64), counts[large]]))
+    _save(folder, f"{name}-large", np.stack([large.astype(np.int64), flat[large]]))
 
 
-_STATS = ("total", "ones", "twos", "more")
+#: Contexts with more followers have their totals written; those of others are added up when they are looked up.
+NARROW = 16
 
 
-def _context_stats(contexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(contexts, kind="stable")
-    contexts, counts = contexts[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(contexts) else np.empty(0, np.int64)
+def _context_stats(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each context its total and how many counts are one, two, and more; rows of a context begin at ``first``."""
     columns = [counts, counts == 1, counts == 2, counts >= 3]
-    added = [np.add.reduceat(c.astype(np.int64), first) if len(first) else np.empty(0, np.int64) for c in columns]
-    return contexts[first], np.stack(added)
+    return np.stack([np.add.reduceat(c.astype(np.int64), first) for c in columns])
+
+
+def _small(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.uint32) if not len(values) or values.max() < 1 << 32 else values
+
+
+def _save_contexts(folder: str, name: str, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Write contexts with their followers; returns where each begins and what it adds up to."""
+    first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
+    stats = _context_stats(counts, first)
+    starts = np.concatenate([first, [len(counts)]])
+    wide = np.flatnonzero(np.diff(starts) > NARROW)
+    _save(folder, f"{name}-key", contexts[first])
+    _save(folder, f"{name}-start", _small(starts))
+    _save(folder, f"{name}-word", _small(words))
+    _save(folder, f"{name}-wide", np.concatenate([wide[None], stats[:, wide]]))
+    _save_counts(folder, name, counts)
+    return first, stats
 
 
 def _reduce(folder: str, order: int, shards: int, frequent: np.ndarray, pass_down: bool, name: str):
@@ -216,34 +259,36 @@ def _reduce(folder: str, order: int, shards: int, frequent: np.ndarray, pass_dow
                 if kind in ("gram", "context"):
                     (held if kind == "gram" else totals).setdefault(shard, []).append(_unpack(payload))
         for shard, parts in totals.items():
-            # Contexts of the next higher order: hash and four numbers, as counts.
-            columns = [np.concatenate([p[0][i] for p in parts]) for i in range(5)]
-            sort = np.argsort(columns[0], kind="stable")
-            key = columns[0][sort]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            _save(folder, f"{order + 1}-{shard}-spread", key[first])
-            _save(folder, f"{order + 1}-{shard}-spread-stats", np.stack([np.add.reduceat(c[sort].astype(np.int64), first) for c in columns[1:]]))
+            # Contexts of the next higher order: their words and four numbers.
+            columns = [np.concatenate([p[0][i] for p in parts]) for i in range(order + 4)]
+            keys = gram_hash(columns[:order])
+            sort = np.argsort(keys)
+            keys = keys[sort]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            _save(folder, f"{order + 1}-{shard}-spread-gram", keys[first])
+            _save_counts(folder, f"{order + 1}-{shard}-spread", np.stack([np.add.reduceat(c[sort].astype(np.int64), first) for c in columns[order:]]))
         for shard, parts in held.items():
             columns = [np.concatenate([p[0][i] for p in parts]) for i in range(order)]
-            columns, counts = _summed(columns, np.concatenate([p[1] for p in parts]))
+            columns, counts, grams = _summed(columns, np.concatenate([p[1] for p in parts]))
             del parts
-            grams = gram_hash(columns)
-            sort = np.argsort(grams)
-            _save(folder, f"{name}-{shard}-gram", grams[sort])
-            _count_column(folder, f"{name}-{shard}", counts[sort])
             summary = {"n": [int((counts == i).sum()) for i in (1, 2, 3, 4)], "total": int(counts.sum()), "distinct": len(counts)}
             summary["more"] = int((counts >= 3).sum())
+            if order == 1:
+                _save(folder, f"{name}-{shard}-gram", grams)
+                _save_counts(folder, f"{name}-{shard}", counts)
+            if name == "word":
+                summary["ranks"] = np.bincount(_rank(counts), minlength=64).tolist()
             if order > 1:
-                _, spread = _shard_of(columns, shards, frequent)
                 contexts = gram_hash(columns[:-1])
-                key, stats = _context_stats(contexts[~spread], counts[~spread])
-                _save(folder, f"{order}-{shard}-context", key)
-                _save(folder, f"{order}-{shard}-context-stats", stats)
-                key, stats = _context_stats(contexts[spread], counts[spread])
-                if len(key):
-                    yield from _rows("context", _range_of(key, shards), [key, *(s.astype(np.uint64) for s in stats)], np.ones(len(key), np.int64))
+                sort = np.lexsort((columns[-1], contexts))
+                first, stats = _save_contexts(folder, f"{name}-{shard}", contexts[sort], columns[-1][sort], counts[sort])
+                first = sort[first]
+                _, spread = _shard_of([c[first] for c in columns], shards, frequent)
+                if spread.any():
+                    key = [*(c[first[spread]] for c in columns[:-1]), *stats[:, spread].astype(np.uint64)]
+                    yield from _rows("context", _range_of(contexts[first[spread]], shards), key, np.ones(spread.sum(), np.int64))
                 if pass_down:
-                    lower, known = _summed(columns[1:], np.ones(len(counts), np.int64))
+                    lower, known, _ = _summed(columns[1:], np.ones(len(counts), np.int64))
                     target, _ = _shard_of(lower, shards, frequent)
                     yield from _rows("gram", target, lower, known)
             yield pa.record_batch(
@@ -254,6 +299,47 @@ def _reduce(folder: str, order: int, shards: int, frequent: np.ndarray, pass_dow
     return run
 
 
+def _rank(counts: np.ndarray) -> np.ndarray:
+    """0 to 63, halving counts for each step down; frequent words come first."""
+    return 63 - np.frexp(counts.astype(np.float64))[1].clip(0, 63)
+
+
+@dataclass
+class Words:
+    """Where the numbered words are: below ``distinct``, then the begin mark and whatever is unknown."""
+
+    folder: str
+    shards: int
+    distinct: int
+
+    @property
+    def begin(self) -> int:
+        return self.distinct
+
+    @property
+    def unknown(self) -> int:
+        return self.distinct + 1
+
+
+def _number(folder: str, ranks: dict[int, list[int]], least: int):
+    """Number a shard's words, given the first number of each of its ranks; names those that count ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.column("shard").to_pylist():
+                words = _Table(folder, f"word-{shard}")
+                counts = words.counts(np.arange(len(words.grams)))
+                rank = _rank(counts)
+                order = np.argsort(rank, kind="stable")
+                before = np.searchsorted(rank[order], np.arange(64))
+                numbers = np.empty(len(counts), np.uint64)
+                numbers[order] = np.array(ranks[shard])[rank[order]] + np.arange(len(counts)) - before[rank[order]]
+                _save(folder, f"word-{shard}-number", _small(numbers))
+                yield pa.record_batch([pa.array(numbers[counts >= least].astype(np.int64))], names=["word"])
+
+    return run
+
+
 @dataclass
 class Model:
     """Where the arrays are and the few numbers that hold for all shards."""
@@ -261,7 +347,7 @@ class Model:
     folder: str
     order: int
     shards: int
-    word_shards: int
+    words: Words
     frequent: np.ndarray
     discounts: dict[int, list[float]]
     train_tokens: int
@@ -279,21 +365,24 @@ def _discounts(counts: list[int]) -> list[float]:
     return [min(max(d, 0.0), float(i)) for i, d in enumerate(found, 1)]
 
 
+def _summaries(rows: DataFrame) -> dict[int, dict]:
+    found = rows.filter("kind = 'summary'").select("shard", "payload").collect()
+    return {r["shard"]: json.loads(bytes(r["payload"])) for r in found}
+
+
 def _merged(rows: DataFrame) -> dict:
-    found = [json.loads(bytes(r["payload"])) for r in rows.filter("kind = 'summary'").select("payload").collect()]
+    found = list(_summaries(rows).values())
     merged = {k: sum(x[k] for x in found) for k in ("total", "distinct", "more")}
     return merged | {"n": [sum(x["n"][i] for x in found) for i in range(4)]}
 
 
-def _words_above(folder: str, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard in batch.column("shard").to_pylist():
-                words = _Table(folder, f"word-{shard}")
-                found = words.grams[:][words.counts(np.arange(len(words.grams))) >= least]
-                yield pa.record_batch([pa.array(found.view(np.int64))], names=["word"])
-
-    return run
+def _first_numbers(rows: DataFrame) -> dict[int, list[int]]:
+    """The first number of each rank of words in each shard."""
+    found = _summaries(rows)
+    shards = sorted(found)
+    sizes = np.array([found[s]["ranks"] for s in shards], np.int64).reshape(-1, 64).T
+    firsts = (np.cumsum(sizes) - sizes.reshape(-1)).reshape(sizes.shape)
+    return {s: firsts[:, i].tolist() for i, s in enumerate(shards)}
 
 
 def train(
@@ -317,24 +406,29 @@ def train(
     own = texts.select(text_of().alias("text"))
     none = np.empty(0, np.uint64)
 
-    def step(rows: DataFrame, k: int, frequent: np.ndarray, name: str, shards: int) -> DataFrame:
+    def step(rows: DataFrame, k: int, frequent: np.ndarray, name: str, shards: int) -> tuple[DataFrame, str]:
         dealt = rows.filter("kind <> 'summary'").repartitionById(shards, F.col("shard"))
-        run = _reduce(folder, k, shards, frequent, k > 1, name)
-        return materialize(dealt.mapInArrow(run, _BLOB), work_path(spark, f"ngrams-{name}"))
+        run, path = _reduce(folder, k, shards, frequent, k > 1, name), work_path(spark, f"ngrams-{name}")
+        return materialize(dealt.mapInArrow(run, _BLOB), path), path
 
-    words = step(own.mapInArrow(_count(1, word_shards, none, chunk_chars, held_rows), _BLOB), 1, none, "word", word_shards)
-    vocabulary = _merged(words)
+    counted, path = step(own.mapInArrow(_count(1, word_shards, None, none, chunk_chars, held_rows), _BLOB), 1, none, "word", word_shards)
+    vocabulary = _merged(counted)
     shards = max(word_shards, -(-vocabulary["total"] // shard_tokens))
-    above = _words_above(folder, max(2, vocabulary["total"] // (8 * shards)))
-    full = words.filter("kind = 'summary'").select("shard").mapInArrow(above, "word bigint")
+    number = _number(folder, _first_numbers(counted), max(2, vocabulary["total"] // (8 * shards)))
+    full = counted.filter("kind = 'summary'").select("shard").mapInArrow(number, "word bigint")
     frequent = np.array([r["word"] for r in full.collect()], np.int64).view(np.uint64)
-    rows = own.mapInArrow(_count(order, shards, frequent, chunk_chars, held_rows), _BLOB)
+    discard(spark, path)
+    words = Words(folder, word_shards, vocabulary["distinct"])
+    rows, path = own.mapInArrow(_count(order, shards, words, frequent, chunk_chars, held_rows), _BLOB), None
     discounts, summary = {}, {}
     for k in range(order, 0, -1):
-        rows = step(rows, k, frequent, str(k), shards)
-        summary = _merged(rows)
+        rows, done = step(rows, k, frequent, str(k), shards)
+        if path:
+            discard(spark, path)
+        path, summary = done, _merged(rows)
         discounts[k] = _discounts(summary["n"])
-    return Model(folder, order, shards, word_shards, frequent, discounts, vocabulary["total"], vocabulary["distinct"], summary)
+    discard(spark, path)
+    return Model(folder, order, shards, words, frequent, discounts, vocabulary["total"], vocabulary["distinct"], summary)
 
 
 class _Table:
@@ -345,11 +439,12 @@ class _Table:
         self.small = _mapped(f"{folder}/{name}-count.npy")
         self.large = _mapped(f"{folder}/{name}-large.npy")
 
-    def counts(self, at: np.ndarray) -> np.ndarray:
-        found = self.small[at].astype(np.int64)
+    def counts(self, at: np.ndarray, row: int | None = None) -> np.ndarray:
+        """Counts at some places, of one row where each place has several."""
+        found = (self.small if row is None else self.small[row])[at].astype(np.int64)
         top = np.flatnonzero(found == 255)
         if len(top):
-            found[top] = self.large[1][np.searchsorted(self.large[0], at[top])]
+            found[top] = self.large[1][np.searchsorted(self.large[0], at[top] + (row or 0) * self.small.shape[-1])]
         return found
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -360,6 +455,49 @@ class _Table:
         return found
 
 
+class _Contexts(_Table):
+    """One shard's sorted contexts, and of each the numbers of the words that follow, in order, with their counts."""
+
+    def __init__(self, folder: str, name: str):
+        self.keys, self.starts, self.words, self.small, self.large, self.wide = (
+            _mapped(f"{folder}/{name}-{part}.npy") for part in ("key", "start", "word", "count", "large", "wide")
+        )
+
+    def find(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words after contexts, and the totals of the contexts; 0 where there is none."""
+        found, stats = np.zeros(len(words), np.int64), np.zeros((4, len(words)), np.int64)
+        at, hit = _located(self.keys, contexts)
+        places, at = np.flatnonzero(hit), at[hit]
+        if not len(at):
+            return found, stats
+        begin = self.starts[at].astype(np.int64)
+        size = self.starts[at + 1] - begin
+        one, wide = size == 1, size > NARROW
+        few = ~one & ~wide
+        own, counts = places[one], self.counts(begin[one])
+        found[own] = np.where(self.words[begin[one]] == words[own], counts, 0)
+        stats[:, own] = counts, counts == 1, counts == 2, counts >= 3
+        if few.any():
+            own, many = places[few], size[few]
+            first = np.cumsum(many) - many
+            rows = np.repeat(begin[few] - first, many) + np.arange(many.sum())
+            counts = self.counts(rows)
+            same = self.words[rows] == np.repeat(words[own], many)
+            found[own] = np.add.reduceat(np.where(same, counts, 0), first)
+            stats[:, own] = _context_stats(counts, first)
+        if wide.any():
+            own, low, end = places[wide], begin[wide], (begin + size)[wide]
+            high, word = end, words[own]
+            while (low < high).any():
+                middle = (low + high) // 2
+                less = (low < high) & (self.words[np.minimum(middle, end - 1)] < word)
+                low, high = np.where(less, middle + 1, low), np.where(less, high, np.minimum(middle, high))
+            place = np.minimum(low, end - 1)
+            found[own] = np.where((low < end) & (self.words[place] == word), self.counts(place), 0)
+            stats[:, own] = self.wide[1:, np.searchsorted(self.wide[0], at[wide])]
+        return found, stats
+
+
 def _mapped(path: str) -> np.ndarray:
     return np.load(path, mmap_mode="r") if os.path.exists(path) else np.empty((0,))
 
@@ -371,55 +509,87 @@ def _located(sorted_: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, sorted_[at] == hashes
 
 
-def _by_shard(shard: np.ndarray, *keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.lexsort((*keys, shard))
+def _by_shard(shard: np.ndarray, key: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each shard's rows, in the order of ``key``."""
+    order = np.arange(len(shard)) if key is None else np.argsort(key)
+    small = shard.astype(np.uint16) if not len(shard) or shard.max() < 1 << 16 else shard  # sorted by digits
+    order = order[np.argsort(small[order], kind="stable")]
     names, starts = np.unique(shard[order], return_index=True)
     yield from zip(names.tolist(), np.split(order, starts[1:]))
 
 
+class WordLookup:
+    """Numbers and raw counts of words by their hashes, in the mapped arrays; one per task."""
+
+    def __init__(self, words: Words):
+        self.words = words
+        self.shards: dict[int, tuple[_Table, np.ndarray]] = {}
+
+    def _shard(self, s: int) -> tuple[_Table, np.ndarray]:
+        if s not in self.shards:
+            name = f"word-{s}"
+            self.shards[s] = _Table(self.words.folder, name), _mapped(f"{self.words.folder}/{name}-number.npy")
+        return self.shards[s]
+
+    def find(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = mix64(hashed)  # words are filed by their mixed hash
+        numbers = np.full(len(keys), self.words.unknown, np.uint64)
+        counts = np.zeros(len(keys), np.int64)
+        for s, own in _by_shard(_range_of(keys, self.words.shards), keys):
+            table, known = self._shard(s)
+            at, hit = _located(table.grams, keys[own])
+            numbers[own[hit]] = known[at[hit]]
+            counts[own[hit]] = table.counts(at[hit])
+        return numbers, counts
+
+
 class Scorer:
     """Looks up n-grams in the mapped arrays; one per task."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.tables: dict[str, _Table] = {}
-        self.contexts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.words = WordLookup(model.words)
+        self.tables: dict[str, _Table | _Contexts] = {}
 
-    def _table(self, name: str) -> _Table:
+    def _table(self, name: str, kind: type = _Table) -> _Table | _Contexts:
         if name not in self.tables:
-            self.tables[name] = _Table(self.model.folder, name)
+            self.tables[name] = kind(self.model.folder, name)
         return self.tables[name]
 
-    def _context(self, name: str) -> tuple[np.ndarray, np.ndarray]:
-        if name not in self.contexts:
-            self.contexts[name] = (_mapped(f"{self.model.folder}/{name}.npy"), _mapped(f"{self.model.folder}/{name}-stats.npy"))
-        return self.contexts[name]
-
-    def word_counts(self, words: np.ndarray) -> np.ndarray:
-        """Raw training counts of words."""
-        return self._counts("word", mix64(words), _range_of(mix64(words), self.model.word_shards))
-
-    def _counts(self, name: str, grams: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    def _unigrams(self, grams: np.ndarray, shard: np.ndarray) -> np.ndarray:
         found = np.zeros(len(grams), np.int64)
         for s, own in _by_shard(shard, grams):
-            found[own] = self._table(f"{name}-{s}").find(grams[own])
+            found[own] = self._table(f"1-{s}").find(grams[own])
         return found
 
-    def _stats(self, k: int, contexts: np.ndarray, shard: np.ndarray, kind: str) -> np.ndarray:
-        found = np.zeros((4, len(contexts)), np.int64)
+    def _followers(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of n-grams and the totals of their contexts."""
+        k, model = len(columns), self.model
+        contexts, words = gram_hash(columns[:-1]), columns[-1]
+        shard, spread = _shard_of(columns, model.shards, model.frequent)
+        found, stats = np.zeros(len(words), np.int64), np.zeros((4, len(words)), np.int64)
         for s, own in _by_shard(shard, contexts):
-            keys, stats = self._context(f"{k}-{s}-{kind}")
-            at, hit = _located(keys, contexts[own])
-            if hit.any():
-                found[:, own[hit]] = stats[:, at[hit]]
-        return found
+            found[own], stats[:, own] = self._table(f"{k}-{s}", _Contexts).find(contexts[own], words[own])
+        # What a shard holds of a spread context is a part of it.
+        stats[:, spread] = 0
+        parted = np.flatnonzero(spread)
+        keys = contexts[parted]
+        for s, own in _by_shard(_range_of(keys, model.shards), keys):
+            table = self._table(f"{k}-{s}-spread")
+            at, hit = _located(table.grams, keys[own])
+            for row in range(4 if hit.any() else 0):
+                stats[row, parted[own[hit]]] = table.counts(at[hit], row)
+        return found, stats
 
     def probability(self, columns: list[np.ndarray]) -> np.ndarray:
         """Of the last word of each n-gram after the words before it."""
         model, k = self.model, len(columns)
         d1, d2, d3 = model.discounts[k]
-        shard, spread = _shard_of(columns, model.shards, model.frequent)
-        count = self._counts(str(k), gram_hash(columns), shard)
+        if k == 1:
+            grams = gram_hash(columns)
+            count = self._unigrams(grams, _range_of(grams, model.shards))
+        else:
+            count, stats = self._followers(columns)
         discount = np.choose(np.minimum(count, 3), [0.0, d1, d2, d3])
         if k == 1:
             total, (ones, twos, _, _) = model.unigram["total"], model.unigram["n"]
@@ -429,10 +599,6 @@ class Scorer:
             left = (d1 * ones + d2 * twos + d3 * model.unigram["more"]) / total
             return (count - discount) / total + left * rest
         lower = self.probability(columns[1:])
-        contexts = gram_hash(columns[:-1])
-        stats = np.zeros((4, len(count)), np.int64)
-        stats[:, ~spread] = self._stats(k, contexts[~spread], shard[~spread], "context")
-        stats[:, spread] = self._stats(k, contexts[spread], _range_of(contexts[spread], model.shards), "spread")
         total, ones, twos, more = stats
         seen = total > 0
         total = np.maximum(total, 1)
@@ -442,15 +608,18 @@ class Scorer:
     def score(self, texts: list[str | None]) -> dict[str, np.ndarray]:
         """Of each text: n_tokens, n_known, base_score and score, logarithms to 10."""
         model = self.model
-        stream, sizes = token_stream(texts, model.order)
+        tokens = Tokens.of(texts)
+        numbers, counts = self.words.find(tokens.distinct)
+        stream, sizes = tokens.stream(numbers, model.words.begin, model.order)
         at = _positions(sizes, model.order)
         columns = [stream[at - (model.order - 1 - i)] for i in range(model.order)]
         grams, first, place = np.unique(gram_hash(columns), return_index=True, return_inverse=True)
         logs = np.log10(self.probability([c[first] for c in columns]))[place]
-        words, of_word = np.unique(columns[-1], return_inverse=True)
-        counts = self.word_counts(words)
-        base = np.log10((counts + 1) / (model.train_tokens + model.vocabulary + 1))[of_word]
-        known = (counts > 0)[of_word]
+        logs_of_words = np.log10((counts + 1) / (model.train_tokens + model.vocabulary + 1))
+        ends = np.cumsum(sizes) - 1
+        of_word = np.zeros(len(at), np.int64)  # the end is the first of the distinct words
+        of_word[np.delete(np.arange(len(at)), ends)] = tokens.codes
+        base, known = logs_of_words[of_word], (counts > 0)[of_word]
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         return {
             "n_tokens": sizes,
