@@ -6,11 +6,14 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import ENTRY_DIR
+from tidemill.catalog.streams import JOB_SETTINGS
 from tidemill.config import WindowSpec
 from tidemill.operators.aggregate import DISTINCT_ERROR
 from tidemill.sinks.keyed import KeyedTable
+from tidemill.sources import adapters
 from tidemill.sources.recorded import read_recorded, record_topics
-from tidemill.streaming.job import start_file_query
+from tidemill.streaming.job import finish, read_table_stream, start_feature_job, start_file_query
 from tidemill.streaming.windows import aggregate_stream
 
 START = dt.datetime(2024, 1, 1)
@@ -150,3 +153,16 @@ def test_a_repeated_merge_changes_nothing(spark, tmp_path):
     table.merge(rows.withColumn("v", F.col("v") * 10))
     table.merge(rows.limit(0))
     assert sorted(r.v for r in table.read().collect()) == [10.0, 20.0, 30.0]
+
+
+def test_job_extracts_documents_once(spark, tmp_path):
+    """The aggregates stream from the features that were written; a second run adds nothing."""
+    out, found = f"{tmp_path}/out", []
+    for _ in range(2):
+        source = adapters.raw_documents(read_table_stream(spark, ENTRY_DIR, "events"))
+        queries = start_feature_job(source, out, f"{tmp_path}/checkpoint", JOB_SETTINGS, "value")
+        finish(queries)
+        names = [p["sources"][0]["description"] for p in queries[1].recentProgress]
+        assert all(f"{out}/features" in name for name in names) and (names or found)
+        found.append([spark.read.parquet(f"{out}/{name}").count() for name in ("features", "aggregated_features")])
+    assert found[0] == found[1] and min(found[0]) > 0

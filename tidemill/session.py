@@ -138,6 +138,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
         store.delete(path, True)
 
 
+def make_folder(spark: SparkSession, name: str) -> None:
+    """Make a folder where there is none."""
+    store, path = _in_store(spark, name)
+    store.mkdirs(path)
+
+
 def exists(spark: SparkSession, name: str) -> bool:
     """Whether a file or folder is there."""
     store, path = _in_store(spark, name)

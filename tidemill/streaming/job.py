@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemill.operators.extract import ERROR, errors_of, extract_features, features_of
 from tidemill.operators.validate import invalid_of, valid_of, validate_features
 from tidemill.plans.features import FeatureSettings
-from tidemill.session import spread, spread_parts
+from tidemill.session import make_folder, spread, spread_parts
 from tidemill.sinks.files import write_json_lines
 from tidemill.sinks.keyed import KeyedTable
 from tidemill.sinks.tables import Outputs, append_tables, write_to_store
@@ -70,7 +70,10 @@ def start_feature_job(
     The first writes features, errors and invalid rows per micro-batch; each
     batch is extracted once and kept while its outputs are written. The second
     aggregates valid features over event-time windows. Both recover from their
-    own checkpoint, and a repeated batch overwrites its own folder.
+    own checkpoint, and a repeated batch overwrites its own folder. Where the job
+    ends with what is there (``availableNow`` or ``once``) and features go to
+    tables, the second starts when the first is done and streams from its
+    features table, so that documents are extracted once.
 
     ``output`` sends valid features to append ``tables``, to JSON lines in
     ``files``, to the feature ``store`` below ``root``, or to tables and store
@@ -119,11 +122,15 @@ def start_feature_job(
         .foreachBatch(write)
         .start()
     )
-    extracted = features_of(extract_features(source, document, now, settings.domain))
-    valid = valid_of(validate_features(extracted, settings.rules))
     window = settings.window
     if window is None:
         return [records]
+    extracted = features_of(extract_features(source, document, now, settings.domain))
+    valid = valid_of(validate_features(extracted, settings.rules))
+    if output in ("tables", "both") and (trigger.get("availableNow") or trigger.get("once")):
+        # Only finished batches: a folder that a repeat would overwrite is never read.
+        finish([records])
+        valid = read_written_features(source.sparkSession, f"{root}/features", valid)
     aggregates = start_file_query(
         aggregate_stream(valid, window),
         f"{root}/aggregated_features",
@@ -134,6 +141,13 @@ def start_feature_job(
     return [records, aggregates]
 
 
+def read_written_features(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """Stream over the features that batches have written, whatever their age; columns as in ``like``."""
+    make_folder(spark, path)
+    rows = spark.readStream.schema(like.schema).option("maxFileAge", "36500d").parquet(path)
+    return rows.select(*like.columns)
+
+
 def finish(queries: list[StreamingQuery]) -> None:
     """Wait for every query; the first failure stops the others and is raised."""
     try:
