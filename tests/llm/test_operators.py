@@ -10,6 +10,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -528,6 +529,20 @@ def test_language_model_is_small_and_leaves_no_blobs(spark, tmp_path):
         assert math.isclose(r.score, score(asked[r.doc_id]), rel_tol=1e-9)
 
 
+def test_scoring_looks_each_word_up_once(spark, monkeypatch):
+    """Not once for every trigram that holds it; words are split at ASCII white space only, wherever it stands."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 30, 2000)) for _ in range(10)]
+    model = kneserney.train(spark.createDataFrame([(t,) for t in texts], "text string"), order=3)
+    looked = []
+    plain = kneserney._Table.find
+    monkeypatch.setattr(kneserney._Table, "find", lambda table, hashes: looked.append(len(hashes)) or plain(table, hashes))
+    kneserney.Scorer(model).score(pa.array(texts))
+    trigrams = {t for x in texts for t in zip(*(words(x)[i:] for i in range(3)))}
+    assert len(trigrams) > 10_000 and sum(looked) <= 32
+    assert kneserney.Tokens.of(pa.array(["", " \t", " A\x0bb\r\n", "é\x1fÄ x\xa0y\x85z\x1c a"])).sizes.tolist() == [0, 0, 2, 3]
+
+
 def test_language_model_without_texts(docs, none):
     model = kneserney.train(none, order=2)
     assert model.train_tokens == 0

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import chain64, mix64, text_of, words_of
+from tidemill.llm.common import chain64, mix64, text_of
 from tidemill.session import discard, materialize, work_path
 
 END = np.uint64(0x7C0A3D95_58E1F2A7)
@@ -56,13 +56,19 @@ class Tokens:
     sizes: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[str | None]) -> Tokens:
-        lists = [words_of(x) for x in texts]
-        flat = np.empty(sum(map(len, lists)), object)
-        flat[:] = [w for x in lists for w in x]
-        codes, words = pd.factorize(flat)
-        hashed = pd.util.hash_array(words, categorize=False) if len(words) else np.empty(0, np.uint64)
-        return cls(np.concatenate([[END], hashed]), codes + 1, np.array([len(x) for x in lists], np.int64))
+    def of(cls, texts: pa.Array) -> Tokens:
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        flat, starts = split.flatten(), split.offsets.to_numpy()
+        sizes = np.diff(starts).astype(np.int64)
+        # White space at an end of a text leaves an empty word there.
+        empty = np.flatnonzero(pc.binary_length(flat).to_numpy(zero_copy_only=False) == 0)
+        if len(empty):
+            sizes -= np.bincount(np.searchsorted(starts, empty, side="right") - 1, minlength=len(sizes))
+            flat = flat.filter(pc.not_equal(pc.binary_length(flat), 0))
+        words = flat.dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False)
+        hashed = pd.util.hash_array(distinct, categorize=False) if len(distinct) else np.empty(0, np.uint64)
+        return cls(np.concatenate([[END], hashed]), words.indices.to_numpy().astype(np.int64) + 1, sizes)
 
     def stream(self, names: np.ndarray, begin: int, order: int) -> tuple[np.ndarray, np.ndarray]:
         """All tokens, where ``names`` has one per distinct word, and each text's number of tokens with its end.
@@ -173,8 +179,8 @@ def _count(order: int, shards: int, words: Words | None, frequent: np.ndarray, c
             shard, _ = _shard_of(columns, shards, frequent)
             return _rows("gram", shard, columns, counts)
 
-        for texts in _text_chunks(batches, chunk_chars):
-            tokens = Tokens.of(texts)
+        for batch in _merged_batches(batches, chunk_chars):
+            tokens = Tokens.of(batch.column("text"))
             names = tokens.distinct if lookup is None else lookup.find(tokens.distinct)[0]
             stream, sizes = tokens.stream(names, 0 if words is None else words.begin, order)
             at = _positions(sizes, order)
@@ -188,20 +194,6 @@ def _count(order: int, shards: int, words: Words | None, frequent: np.ndarray, c
     return run
 
 
-def _text_chunks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[list[str]]:
-    held, size = [], 0
-    for batch in batches:
-        for start in range(0, batch.num_rows, 100):  # not all texts of a batch at once
-            for text in batch.column("text").slice(start, 100).to_pylist():
-                held.append(text)
-                size += len(text)
-                if size >= chars:
-                    yield held
-                    held, size = [], 0
-    if held:
-        yield held
-
-
 def _save(folder: str, name: str, values: np.ndarray) -> None:
     """All or nothing: a repeated task writes the same file again."""
     os.makedirs(folder, exist_ok=True)
@@ -389,7 +381,7 @@ def train(
     texts: DataFrame,
     order: int = 3,
     folder: str | None = None,
-    chunk_chars: int = 500_000,
+    chunk_chars: int = 2_000_000,
     held_rows: int = 800_000,
     shard_tokens: int = 1_000_000,
 ) -> Model:
@@ -463,43 +455,27 @@ class _Contexts(_Table):
             _mapped(f"{folder}/{name}-{part}.npy") for part in ("key", "start", "word", "count", "large", "wide")
         )
 
-    def find(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of words after contexts, and the totals of the contexts; 0 where there is none."""
-        found, stats = np.zeros(len(words), np.int64), np.zeros((4, len(words)), np.int64)
+    def places(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of contexts the place in the order of keys, where their followers begin, and how many there are; 0 for unknown ones."""
         at, hit = _located(self.keys, contexts)
-        places, at = np.flatnonzero(hit), at[hit]
-        if not len(at):
-            return found, stats
+        if not len(self.keys):
+            return at, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         begin = self.starts[at].astype(np.int64)
-        size = self.starts[at + 1] - begin
-        one, wide = size == 1, size > NARROW
-        few = ~one & ~wide
-        own, counts = places[one], self.counts(begin[one])
-        found[own] = np.where(self.words[begin[one]] == words[own], counts, 0)
-        stats[:, own] = counts, counts == 1, counts == 2, counts >= 3
-        if few.any():
-            own, many = places[few], size[few]
-            first = np.cumsum(many) - many
-            rows = np.repeat(begin[few] - first, many) + np.arange(many.sum())
-            counts = self.counts(rows)
-            same = self.words[rows] == np.repeat(words[own], many)
-            found[own] = np.add.reduceat(np.where(same, counts, 0), first)
-            stats[:, own] = _context_stats(counts, first)
-        if wide.any():
-            own, low, end = places[wide], begin[wide], (begin + size)[wide]
-            high, word = end, words[own]
-            while (low < high).any():
-                middle = (low + high) // 2
-                less = (low < high) & (self.words[np.minimum(middle, end - 1)] < word)
-                low, high = np.where(less, middle + 1, low), np.where(less, high, np.minimum(middle, high))
-            place = np.minimum(low, end - 1)
-            found[own] = np.where((low < end) & (self.words[place] == word), self.counts(place), 0)
-            stats[:, own] = self.wide[1:, np.searchsorted(self.wide[0], at[wide])]
-        return found, stats
+        return at, begin, np.where(hit, self.starts[at + 1] - begin, 0)
+
+    def search(self, low: np.ndarray, size: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Counts of words among the followers that begin at ``low``; 0 where there is none."""
+        low, size = low.copy(), size.copy()
+        for _ in range(int(size.max()).bit_length()):
+            half = size >> 1
+            low += np.where(self.words[low + np.maximum(half, 1) - 1] < word, half, 0)
+            size -= half
+        return np.where(self.words[low] == word, self.counts(low), 0)
 
 
 def _mapped(path: str) -> np.ndarray:
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else np.empty((0,))
+    # A plain view: arrays of the mapped class take several times as long for each small lookup.
+    return np.load(path, mmap_mode="r").view(np.ndarray) if os.path.exists(path) else np.empty((0,))
 
 
 def _located(sorted_: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -509,11 +485,16 @@ def _located(sorted_: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, sorted_[at] == hashes
 
 
-def _by_shard(shard: np.ndarray, key: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """The places of each shard's rows, in the order of ``key``."""
+def _sorted_by_shard(shard: np.ndarray, key: np.ndarray | None = None) -> np.ndarray:
+    """The places of all rows by shard, each shard's in the order of ``key``."""
     order = np.arange(len(shard)) if key is None else np.argsort(key)
     small = shard.astype(np.uint16) if not len(shard) or shard.max() < 1 << 16 else shard  # sorted by digits
-    order = order[np.argsort(small[order], kind="stable")]
+    return order[np.argsort(small[order], kind="stable")]
+
+
+def _by_shard(shard: np.ndarray, key: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each shard's rows, in the order of ``key``."""
+    order = _sorted_by_shard(shard, key)
     names, starts = np.unique(shard[order], return_index=True)
     yield from zip(names.tolist(), np.split(order, starts[1:]))
 
@@ -543,6 +524,37 @@ class WordLookup:
         return numbers, counts
 
 
+@dataclass
+class Grams:
+    """Distinct n-grams of some texts: their hashes, last words, contexts, and what the first word leaves of them.
+
+    Contexts and tails are places among the distinct n-grams of the order below.
+    """
+
+    order: int
+    hashes: np.ndarray
+    word: np.ndarray
+    context: np.ndarray | None = None
+    tail: np.ndarray | None = None
+
+    @classmethod
+    def words(cls, numbers: np.ndarray) -> Grams:
+        return cls(1, mix64(numbers), np.arange(len(numbers)))
+
+    def longer(self, ids: np.ndarray, stream: np.ndarray, numbers: np.ndarray) -> tuple[Grams, np.ndarray]:
+        """The n-grams one word longer and which of them ends at each place, given those of this order that do.
+
+        Those that would begin before the stream, or end in a begin mark, mean nothing and are never asked for.
+        """
+        before = np.concatenate([ids[:1], ids[:-1]])
+        places, pairs = pd.factorize(before * len(numbers) + stream)
+        last = np.empty(len(pairs), np.int64)
+        last[places] = np.arange(len(places))
+        context, word = before[last], stream[last]
+        hashes = chain64(self.hashes[context], numbers[word])
+        return Grams(self.order + 1, hashes, word, context, ids[last]), places
+
+
 class Scorer:
     """Looks up n-grams in the mapped arrays; one per task."""
 
@@ -562,63 +574,107 @@ class Scorer:
             found[own] = self._table(f"1-{s}").find(grams[own])
         return found
 
-    def _followers(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of n-grams and the totals of their contexts."""
-        k, model = len(columns), self.model
-        contexts, words = gram_hash(columns[:-1]), columns[-1]
-        shard, spread = _shard_of(columns, model.shards, model.frequent)
-        found, stats = np.zeros(len(words), np.int64), np.zeros((4, len(words)), np.int64)
-        for s, own in _by_shard(shard, contexts):
-            found[own], stats[:, own] = self._table(f"{k}-{s}", _Contexts).find(contexts[own], words[own])
+    def _followers(self, grams: Grams, lower: Grams, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of n-grams, and the totals of each n-gram of the order below as a context."""
+        k, shards = grams.order, self.model.shards
+        contexts, words = lower.hashes[grams.context], self.numbers[grams.word]
+        spread = frequent[lower.word][grams.context]
+        shard = _range_of(np.where(spread, grams.hashes, contexts), shards)
+        order = _sorted_by_shard(shard, contexts)
+        contexts, words, spread, shard = contexts[order], words[order], spread[order], shard[order]
+        new = np.concatenate([[True], (contexts[1:] != contexts[:-1]) | (shard[1:] != shard[:-1])])
+        first = np.flatnonzero(new)  # of each context's n-grams in a shard
+        group = np.cumsum(new) - 1
+        keys, found = contexts[first], np.zeros(len(words), np.int64)
+        size, stats = np.zeros(len(keys), np.int64), np.zeros((4, len(keys)), np.int64)
+        known, counts = [], []
+        names, begins = np.unique(shard[first], return_index=True)
+        for s, start, stop in zip(names.tolist(), begins.tolist(), [*begins[1:].tolist(), len(keys)]):
+            table = self._table(f"{k}-{s}", _Contexts)
+            at, begin, own = table.places(keys[start:stop])
+            wide = np.flatnonzero(own > NARROW)
+            if len(wide):
+                stats[:, start + wide] = table.wide[1:, np.searchsorted(table.wide[0], at[wide])]
+                low, high = first[start], first[stop] if stop < len(first) else len(words)
+                place = group[low:high] - start
+                many = np.flatnonzero(own[place] > NARROW)
+                found[low + many] = table.search(begin[place[many]], own[place[many]], words[low + many])
+                own[wide] = 0
+            size[start:stop] = own
+            rows = np.repeat(begin - np.cumsum(own) + own, own) + np.arange(own.sum())
+            if len(rows):
+                known.append(table.words[rows].astype(np.uint64))
+                counts.append(table.counts(rows))
+        if known:
+            known, counts = np.concatenate(known), np.concatenate(counts)
+            some = np.flatnonzero(size)
+            begin = np.cumsum(size) - size
+            stats[:, some] = _context_stats(counts, begin[some])
+            # Words below the whole vocabulary number each context's followers apart from all others'.
+            width = np.uint64(self.model.words.unknown + 1)
+            row = np.repeat(np.arange(len(size), dtype=np.uint64), size) * width + known
+            narrow = np.flatnonzero(size[group])
+            at, hit = _located(row, group[narrow].astype(np.uint64) * width + words[narrow])
+            found[narrow[hit]] = counts[at[hit]]
+        totals = np.zeros((4, len(lower.hashes)), np.int64)
+        whole = ~spread[first]
+        totals[:, grams.context[order[first[whole]]]] = stats[:, whole]
         # What a shard holds of a spread context is a part of it.
-        stats[:, spread] = 0
-        parted = np.flatnonzero(spread)
-        keys = contexts[parted]
-        for s, own in _by_shard(_range_of(keys, model.shards), keys):
+        parted = np.zeros(len(lower.hashes), bool)
+        parted[grams.context[order[spread]]] = True
+        parted = np.flatnonzero(parted)
+        keys = lower.hashes[parted]
+        for s, own in _by_shard(_range_of(keys, shards), keys):
             table = self._table(f"{k}-{s}-spread")
             at, hit = _located(table.grams, keys[own])
             for row in range(4 if hit.any() else 0):
-                stats[row, parted[own[hit]]] = table.counts(at[hit], row)
-        return found, stats
-
-    def probability(self, columns: list[np.ndarray]) -> np.ndarray:
-        """Of the last word of each n-gram after the words before it."""
-        model, k = self.model, len(columns)
-        d1, d2, d3 = model.discounts[k]
-        if k == 1:
-            grams = gram_hash(columns)
-            count = self._unigrams(grams, _range_of(grams, model.shards))
-        else:
-            count, stats = self._followers(columns)
+                totals[row, parted[own[hit]]] = table.counts(at[hit], row)
+        result = np.empty(len(found), np.int64)
+        result[order] = found
+        return result, totals
+
+    def _first_order(self, grams: Grams) -> np.ndarray:
+        model = self.model
+        d1, d2, d3 = model.discounts[1]
+        count = self._unigrams(grams.hashes, _range_of(grams.hashes, model.shards))
+        discount = np.choose(np.minimum(count, 3), [0.0, d1, d2, d3])
+        total, (ones, twos, _, _) = model.unigram["total"], model.unigram["n"]
+        rest = 1 / (model.vocabulary + 1)
+        if not total:
+            return np.full(len(count), rest)
+        left = (d1 * ones + d2 * twos + d3 * model.unigram["more"]) / total
+        return (count - discount) / total + left * rest
+
+    def _next_order(self, grams: Grams, lower: Grams, below: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+        d1, d2, d3 = self.model.discounts[grams.order]
+        count, (total, ones, twos, more) = self._followers(grams, lower, frequent)
         discount = np.choose(np.minimum(count, 3), [0.0, d1, d2, d3])
-        if k == 1:
-            total, (ones, twos, _, _) = model.unigram["total"], model.unigram["n"]
-            rest = 1 / (model.vocabulary + 1)
-            if not total:
-                return np.full(len(count), rest)
-            left = (d1 * ones + d2 * twos + d3 * model.unigram["more"]) / total
-            return (count - discount) / total + left * rest
-        lower = self.probability(columns[1:])
-        total, ones, twos, more = stats
-        seen = total > 0
+        seen = (total > 0)[grams.context]
         total = np.maximum(total, 1)
         left = (d1 * ones + d2 * twos + d3 * more) / total
-        return np.where(seen, (count - discount) / total + left * lower, lower)
+        below = below[grams.tail]
+        return np.where(seen, (count - discount) / total[grams.context] + left[grams.context] * below, below)
 
-    def score(self, texts: list[str | None]) -> dict[str, np.ndarray]:
+    def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Of each text: n_tokens, n_known, base_score and score, logarithms to 10."""
         model = self.model
         tokens = Tokens.of(texts)
         numbers, counts = self.words.find(tokens.distinct)
-        stream, sizes = tokens.stream(numbers, model.words.begin, model.order)
+        self.numbers = np.append(numbers, np.uint64(model.words.begin))
+        frequent = np.isin(self.numbers, model.frequent)
+        begin = len(numbers)
+        stream, sizes = tokens.stream(np.arange(begin, dtype=np.uint64), begin, model.order)
+        stream = stream.astype(np.int64)
         at = _positions(sizes, model.order)
-        columns = [stream[at - (model.order - 1 - i)] for i in range(model.order)]
-        grams, first, place = np.unique(gram_hash(columns), return_index=True, return_inverse=True)
-        logs = np.log10(self.probability([c[first] for c in columns]))[place]
+        grams, ids = Grams.words(self.numbers), stream
+        chances = self._first_order(grams)
+        for _ in range(1, model.order):
+            lower = grams
+            grams, ids = lower.longer(ids, stream, self.numbers)
+            chances = self._next_order(grams, lower, chances, frequent)
+        logs = np.log10(chances)[ids[at]]
         logs_of_words = np.log10((counts + 1) / (model.train_tokens + model.vocabulary + 1))
-        ends = np.cumsum(sizes) - 1
-        of_word = np.zeros(len(at), np.int64)  # the end is the first of the distinct words
-        of_word[np.delete(np.arange(len(at)), ends)] = tokens.codes
+        of_word = stream[at]
         base, known = logs_of_words[of_word], (counts > 0)[of_word]
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         return {
@@ -629,7 +685,7 @@ class Scorer:
         }
 
 
-def score_texts(docs: DataFrame, model: Model, chunk_chars: int = 1_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, model: Model, chunk_chars: int = 2_000_000) -> DataFrame:
     """The columns of ``docs`` without ``text``, with n_tokens, n_known, base_score and score.
 
     ``score`` is the model's log10 probability of the text's words and its end,
@@ -643,7 +699,7 @@ def score_texts(docs: DataFrame, model: Model, chunk_chars: int = 1_000_000) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in _merged_batches(batches, chunk_chars):
-            found = scorer.score(batch.column("text").to_pylist())
+            found = scorer.score(batch.column("text"))
             yield pa.record_batch(
                 [*(batch.column(c) for c in carried), *(pa.array(found[c]) for c in added)], names=[*carried, *added]
             )
