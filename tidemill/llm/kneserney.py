@@ -113,9 +113,8 @@ def _range_of(hashed: np.ndarray, shards: int) -> np.ndarray:
     return ((hashed >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _shard_of(columns: list[np.ndarray], shards: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shard of each n-gram and whether its context is spread."""
-    grams = gram_hash(columns)
+def _shard_of(columns: list[np.ndarray], shards: int, frequent: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shard of each n-gram, whose hashes are ``grams``, and whether its context is spread."""
     if len(columns) == 1:
         return _range_of(grams, shards), np.ones(len(grams), bool)
     spread = np.isin(columns[-2], frequent)
@@ -175,21 +174,27 @@ def _count(order: int, shards: int, words: Words | None, frequent: np.ndarray, c
 
         def flush():
             columns = [np.concatenate([p[i] for p in held]) for i in range(order)]
-            columns, counts, _ = _summed(columns, np.ones(len(columns[0]), np.int64))
-            shard, _ = _shard_of(columns, shards, frequent)
+            columns, counts, grams = _summed(columns, np.concatenate([p[order] for p in held]))
+            shard, _ = _shard_of(columns, shards, frequent, grams)
             return _rows("gram", shard, columns, counts)
 
         for batch in _merged_batches(batches, chunk_chars):
             tokens = Tokens.of(batch.column("text"))
             names = tokens.distinct if lookup is None else lookup.find(tokens.distinct)[0]
-            stream, sizes = tokens.stream(names, 0 if words is None else words.begin, order)
-            at = _positions(sizes, order)
-            held.append([stream[at - (order - 1 - i)] for i in range(order)])
+            if order == 1:
+                times = np.bincount(tokens.codes, minlength=len(names))
+                times[0] = len(tokens.sizes)
+                held.append([names, times])
+            else:
+                stream, sizes = tokens.stream(names, 0 if words is None else words.begin, order)
+                at = _positions(sizes, order)
+                held.append([*(stream[at - (order - 1 - i)] for i in range(order)), np.ones(len(at), np.int64)])
             if sum(len(p[0]) for p in held) >= held_rows:
                 yield from flush()
                 held.clear()
         if held:
             yield from flush()
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     return run
 
@@ -216,10 +221,25 @@ def _save_counts(folder: str, name: str, counts: np.ndarray) -> None:
 NARROW = 16
 
 
+_ONE_OR_TWO = np.array([0, 1, 1 << 32, 0], np.int64)
+
+
 def _context_stats(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Of each context its total and how many counts are one, two, and more; rows of a context begin at ``first``."""
-    columns = [counts, counts == 1, counts == 2, counts >= 3]
-    return np.stack([np.add.reduceat(c.astype(np.int64), first) for c in columns])
+    total = np.add.reduceat(counts, first)
+    both = np.add.reduceat(_ONE_OR_TWO[np.minimum(counts, 3)], first)  # ones and twos in one pass
+    ones, twos = both & 0xFFFFFFFF, both >> 32
+    return np.stack([total, ones, twos, np.diff(first, append=len(counts)) - ones - twos])
+
+
+def _by_context(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The places of rows in the order of contexts, and of words within each. Two plain sorts take less time than one by two keys."""
+    order = np.argsort(contexts)
+    sorted_ = contexts[order]
+    group = np.cumsum(np.concatenate([[False], sorted_[1:] != sorted_[:-1]])).astype(np.uint64)
+    if len(words) and (int(words.max()) >= 1 << 32 or len(words) >= 1 << 32):
+        return np.lexsort((words, contexts))
+    return order[np.argsort(group << np.uint64(32) | words[order])]
 
 
 def _small(values: np.ndarray) -> np.ndarray:
@@ -250,7 +270,8 @@ def _reduce(folder: str, order: int, shards: int, frequent: np.ndarray, pass_dow
             for kind, shard, payload in zip(*(batch.column(c).to_pylist() for c in ("kind", "shard", "payload"))):
                 if kind in ("gram", "context"):
                     (held if kind == "gram" else totals).setdefault(shard, []).append(_unpack(payload))
-        for shard, parts in totals.items():
+        while totals:
+            shard, parts = totals.popitem()
             # Contexts of the next higher order: their words and four numbers.
             columns = [np.concatenate([p[0][i] for p in parts]) for i in range(order + 4)]
             keys = gram_hash(columns[:order])
@@ -259,7 +280,8 @@ def _reduce(folder: str, order: int, shards: int, frequent: np.ndarray, pass_dow
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             _save(folder, f"{order + 1}-{shard}-spread-gram", keys[first])
             _save_counts(folder, f"{order + 1}-{shard}-spread", np.stack([np.add.reduceat(c[sort].astype(np.int64), first) for c in columns[order:]]))
-        for shard, parts in held.items():
+        while held:
+            shard, parts = held.popitem()
             columns = [np.concatenate([p[0][i] for p in parts]) for i in range(order)]
             columns, counts, grams = _summed(columns, np.concatenate([p[1] for p in parts]))
             del parts
@@ -272,16 +294,16 @@ def _reduce(folder: str, order: int, shards: int, frequent: np.ndarray, pass_dow
                 summary["ranks"] = np.bincount(_rank(counts), minlength=64).tolist()
             if order > 1:
                 contexts = gram_hash(columns[:-1])
-                sort = np.lexsort((columns[-1], contexts))
+                sort = _by_context(contexts, columns[-1])
                 first, stats = _save_contexts(folder, f"{name}-{shard}", contexts[sort], columns[-1][sort], counts[sort])
                 first = sort[first]
-                _, spread = _shard_of([c[first] for c in columns], shards, frequent)
+                spread = np.isin(columns[-2][first], frequent)
                 if spread.any():
                     key = [*(c[first[spread]] for c in columns[:-1]), *stats[:, spread].astype(np.uint64)]
                     yield from _rows("context", _range_of(contexts[first[spread]], shards), key, np.ones(spread.sum(), np.int64))
                 if pass_down:
-                    lower, known, _ = _summed(columns[1:], np.ones(len(counts), np.int64))
-                    target, _ = _shard_of(lower, shards, frequent)
+                    lower, known, hashed = _summed(columns[1:], np.ones(len(counts), np.int64))
+                    target, _ = _shard_of(lower, shards, frequent, hashed)
                     yield from _rows("gram", target, lower, known)
             yield pa.record_batch(
                 [pa.array(["summary"]), pa.array([shard], pa.int32()), pa.array([len(counts)], pa.int64()), pa.array([json.dumps(summary).encode()], pa.binary())],
@@ -381,7 +403,7 @@ def train(
     texts: DataFrame,
     order: int = 3,
     folder: str | None = None,
-    chunk_chars: int = 2_000_000,
+    chunk_chars: int = 1_000_000,
     held_rows: int = 800_000,
     shard_tokens: int = 1_000_000,
 ) -> Model:
@@ -468,7 +490,7 @@ class _Contexts(_Table):
         low, size = low.copy(), size.copy()
         for _ in range(int(size.max()).bit_length()):
             half = size >> 1
-            low += np.where(self.words[low + np.maximum(half, 1) - 1] < word, half, 0)
+            low += half * (self.words[low + half - 1] < word)  # where half is 0, any word will do
             size -= half
         return np.where(self.words[low] == word, self.counts(low), 0)
 
@@ -574,13 +596,17 @@ class Scorer:
             found[own] = self._table(f"1-{s}").find(grams[own])
         return found
 
-    def _followers(self, grams: Grams, lower: Grams, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of n-grams, and the totals of each n-gram of the order below as a context."""
+    def _followers(self, grams: Grams, lower: Grams, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of n-grams, and of each n-gram of the order below, as a context, its total and the sum of its discounts."""
         k, shards = grams.order, self.model.shards
         contexts, words = lower.hashes[grams.context], self.numbers[grams.word]
         spread = frequent[lower.word][grams.context]
         shard = _range_of(np.where(spread, grams.hashes, contexts), shards)
-        order = _sorted_by_shard(shard, contexts)
+        if shards < 1 << 16:
+            # The upper bits will do: contexts that share them may alternate, and are then looked up more than once.
+            order = np.argsort(shard.astype(np.uint64) << np.uint64(48) | contexts >> np.uint64(16))
+        else:
+            order = _sorted_by_shard(shard, contexts)
         contexts, words, spread, shard = contexts[order], words[order], spread[order], shard[order]
         new = np.concatenate([[True], (contexts[1:] != contexts[:-1]) | (shard[1:] != shard[:-1])])
         first = np.flatnonzero(new)  # of each context's n-grams in a shard
@@ -616,9 +642,10 @@ class Scorer:
             narrow = np.flatnonzero(size[group])
             at, hit = _located(row, group[narrow].astype(np.uint64) * width + words[narrow])
             found[narrow[hit]] = counts[at[hit]]
-        totals = np.zeros((4, len(lower.hashes)), np.int64)
-        whole = ~spread[first]
-        totals[:, grams.context[order[first[whole]]]] = stats[:, whole]
+        total, left = np.zeros(len(lower.hashes), np.int64), np.zeros(len(lower.hashes))
+        whole = np.flatnonzero(~spread[first])
+        place = grams.context[order[first[whole]]]
+        total[place], left[place] = self._sums(k, stats[:, whole])
         # What a shard holds of a spread context is a part of it.
         parted = np.zeros(len(lower.hashes), bool)
         parted[grams.context[order[spread]]] = True
@@ -627,11 +654,18 @@ class Scorer:
         for s, own in _by_shard(_range_of(keys, shards), keys):
             table = self._table(f"{k}-{s}-spread")
             at, hit = _located(table.grams, keys[own])
-            for row in range(4 if hit.any() else 0):
-                totals[row, parted[own[hit]]] = table.counts(at[hit], row)
+            if hit.any():
+                place = parted[own[hit]]
+                total[place], left[place] = self._sums(k, [table.counts(at[hit], row) for row in range(4)])
         result = np.empty(len(found), np.int64)
         result[order] = found
-        return result, totals
+        return result, total, left
+
+    def _sums(self, k: int, stats: np.ndarray | list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of contexts, and what their discounts take off them."""
+        d1, d2, d3 = self.model.discounts[k]
+        total, ones, twos, more = stats
+        return total, d1 * ones + d2 * twos + d3 * more
 
     def _first_order(self, grams: Grams) -> np.ndarray:
         model = self.model
@@ -647,11 +681,11 @@ class Scorer:
 
     def _next_order(self, grams: Grams, lower: Grams, below: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         d1, d2, d3 = self.model.discounts[grams.order]
-        count, (total, ones, twos, more) = self._followers(grams, lower, frequent)
+        count, total, left = self._followers(grams, lower, frequent)
         discount = np.choose(np.minimum(count, 3), [0.0, d1, d2, d3])
         seen = (total > 0)[grams.context]
         total = np.maximum(total, 1)
-        left = (d1 * ones + d2 * twos + d3 * more) / total
+        left = left / total
         below = below[grams.tail]
         return np.where(seen, (count - discount) / total[grams.context] + left[grams.context] * below, below)
 
@@ -703,6 +737,7 @@ def score_texts(docs: DataFrame, model: Model, chunk_chars: int = 2_000_000) ->
             yield pa.record_batch(
                 [*(batch.column(c) for c in carried), *(pa.array(found[c]) for c in added)], names=[*carried, *added]
             )
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     fields = docs.select(*[F.col(f"`{c}`") for c in carried]).schema.fields
     schema = T.StructType(
