@@ -543,6 +543,25 @@ def test_scoring_looks_each_word_up_once(spark, monkeypatch):
     assert kneserney.Tokens.of(pa.array(["", " \t", " A\x0bb\r\n", "é\x1fÄ x\xa0y\x85z\x1c a"])).sizes.tolist() == [0, 0, 2, 3]
 
 
+def test_a_scorer_holds_no_files_and_one_map_of_a_table(spark, tmp_path, monkeypatch):
+    """Models of many shards: workers may have some thousands of files open and 65530 maps."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 300, 400)) for _ in range(40)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    folder = str(tmp_path / "model")
+    model = kneserney.train(train, order=3, folder=folder, shard_tokens=200)
+    assert model.shards > 60
+    opened = lambda: sum(str(p.readlink()).startswith(folder) for p in Path("/proc/self/fd").iterdir() if p.is_symlink())
+    scorer = kneserney.Scorer(model)
+    found = scorer.score(pa.array(texts))["score"].tolist()
+    with open("/proc/self/maps") as maps:
+        mapped = sum(folder in line for line in maps)
+    assert opened() == 0 and model.shards < mapped <= 5 * model.shards + 2 * model.words.shards
+    monkeypatch.setattr(kneserney, "MOST_MAPS", 7)
+    few = kneserney.Scorer(model)
+    assert few.score(pa.array(texts))["score"].tolist() == found and len(few.tables) == 7
+
+
 def test_language_model_without_texts(docs, none):
     model = kneserney.train(none, order=2)
     assert model.train_tokens == 0

@@ -12,13 +12,16 @@ distinct n-grams also become continuation counts of the next lower order.
 
 Scoring tasks map the arrays into memory and look up the distinct n-grams of a
 chunk of texts in sorted order. The model may be larger than any worker's
-memory; its pages are shared by all workers of a machine.
+memory; its pages are shared by all workers of a machine. All arrays of a shard
+and order share one file, which is mapped once and needs no open file meanwhile.
 """
 
 from __future__ import annotations
 
 import json
+import mmap
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -148,6 +151,10 @@ def _unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     return columns[:-1], columns[-1].astype(np.int64)
 
 
+#: Bytes of blobs that travel in one batch: with many shards each is small.
+BATCH_BYTES = 1 << 20
+
+
 def _rows(kind: str, shard: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One blob per shard, in the order of the first two columns."""
     if len(columns) == 1:
@@ -156,13 +163,22 @@ def _rows(kind: str, shard: np.ndarray, columns: list[np.ndarray], counts: np.nd
         order = np.argsort(columns[0] << np.uint64(32) | columns[1])
     else:
         order = np.lexsort(columns[1::-1])
+    shards, sizes, blobs, held = [], [], [], 0
+
+    def batch():
+        parts = [pa.array([kind] * len(shards)), pa.array(shards, pa.int32()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())]
+        return pa.record_batch(parts, names=["kind", "shard", "n", "payload"])
+
     for s, own in _by_shard(shard[order]):
         own = order[own]
         blob = _pack([c[own] for c in columns], counts[own])
-        yield pa.record_batch(
-            [pa.array([kind]), pa.array([s], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([blob], pa.binary())],
-            names=["kind", "shard", "n", "payload"],
-        )
+        shards.append(s), sizes.append(len(own)), blobs.append(blob)
+        held += len(blob)
+        if held >= BATCH_BYTES:
+            yield batch()
+            shards, sizes, blobs, held = [], [], [], 0
+    if shards:
+        yield batch()
 
 
 def _count(order: int, shards: int, words: Words | None, frequent: np.ndarray, chunk_chars: int, held_rows: int):
@@ -199,22 +215,29 @@ def _count(order: int, shards: int, words: Words | None, frequent: np.ndarray, c
     return run
 
 
-def _save(folder: str, name: str, values: np.ndarray) -> None:
-    """All or nothing: a repeated task writes the same file again."""
+def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
+    """Arrays of one or two dimensions in one file, as bytes after a table of their names, kinds and shapes.
+
+    All or nothing: a repeated task writes the same file again.
+    """
     os.makedirs(folder, exist_ok=True)
     path = f"{folder}/{name}.npy"
     draft = f"{path}.{uuid.uuid4().hex}"
+    table = json.dumps([[key, a.dtype.str, a.shape] for key, a in arrays.items()]).encode()
+    parts = [np.array([len(table)], np.int64).tobytes(), table, *(a.tobytes() for a in arrays.values())]
+    padded = [part + bytes(-len(part) % 8) for part in parts]
     with open(draft, "wb") as out:
-        np.save(out, values)
+        size = sum(map(len, padded))
+        np.lib.format.write_array_header_1_0(out, {"descr": "|u1", "fortran_order": False, "shape": (size,)})
+        out.writelines(padded)
     os.replace(draft, path)
 
 
-def _save_counts(folder: str, name: str, counts: np.ndarray) -> None:
+def _counts(counts: np.ndarray) -> dict[str, np.ndarray]:
     """Counts in one byte each, those of 255 and more beside them by their place in the flat array."""
     flat = counts.reshape(-1)
     large = np.flatnonzero(flat >= 255)
-    _save(folder, f"{name}-count", np.minimum(counts, 255).astype(np.uint8))
-    _save(folder, f"{name}-large", np.stack([large.astype(np.int64), flat[large]]))
+    return {"count": np.minimum(counts, 255).astype(np.uint8), "large": np.stack([large.astype(np.int64), flat[large]])}
 
 
 #: Contexts with more followers have their totals written; those of others are added up when they are looked up.
@@ -252,11 +275,8 @@ def _save_contexts(folder: str, name: str, contexts: np.ndarray, words: np.ndarr
     stats = _context_stats(counts, first)
     starts = np.concatenate([first, [len(counts)]])
     wide = np.flatnonzero(np.diff(starts) > NARROW)
-    _save(folder, f"{name}-key", contexts[first])
-    _save(folder, f"{name}-start", _small(starts))
-    _save(folder, f"{name}-word", _small(words))
-    _save(folder, f"{name}-wide", np.concatenate([wide[None], stats[:, wide]]))
-    _save_counts(folder, name, counts)
+    wide = np.concatenate([wide[None], stats[:, wide]])
+    _save(folder, name, key=contexts[first], start=_small(starts), word=_small(words), wide=wide, **_counts(counts))
     return first, stats
 
 
@@ -278,8 +298,8 @@ def _reduce(folder: str, order: int, shards: int, frequent: np.ndarray, pass_dow
             sort = np.argsort(keys)
             keys = keys[sort]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            _save(folder, f"{order + 1}-{shard}-spread-gram", keys[first])
-            _save_counts(folder, f"{order + 1}-{shard}-spread", np.stack([np.add.reduceat(c[sort].astype(np.int64), first) for c in columns[order:]]))
+            sums = np.stack([np.add.reduceat(c[sort].astype(np.int64), first) for c in columns[order:]])
+            _save(folder, f"{order + 1}-{shard}-spread", gram=keys[first], **_counts(sums))
         while held:
             shard, parts = held.popitem()
             columns = [np.concatenate([p[0][i] for p in parts]) for i in range(order)]
@@ -288,8 +308,7 @@ def _reduce(folder: str, order: int, shards: int, frequent: np.ndarray, pass_dow
             summary = {"n": [int((counts == i).sum()) for i in (1, 2, 3, 4)], "total": int(counts.sum()), "distinct": len(counts)}
             summary["more"] = int((counts >= 3).sum())
             if order == 1:
-                _save(folder, f"{name}-{shard}-gram", grams)
-                _save_counts(folder, f"{name}-{shard}", counts)
+                _save(folder, f"{name}-{shard}", gram=grams, **_counts(counts))
             if name == "word":
                 summary["ranks"] = np.bincount(_rank(counts), minlength=64).tolist()
             if order > 1:
@@ -348,7 +367,7 @@ def _number(folder: str, ranks: dict[int, list[int]], least: int):
                 before = np.searchsorted(rank[order], np.arange(64))
                 numbers = np.empty(len(counts), np.uint64)
                 numbers[order] = np.array(ranks[shard])[rank[order]] + np.arange(len(counts)) - before[rank[order]]
-                _save(folder, f"word-{shard}-number", _small(numbers))
+                _save(folder, f"word-{shard}-number", number=_small(numbers))
                 yield pa.record_batch([pa.array(numbers[counts >= least].astype(np.int64))], names=["word"])
 
     return run
@@ -449,9 +468,7 @@ class _Table:
     """One shard's sorted hashes and their counts, mapped into memory."""
 
     def __init__(self, folder: str, name: str):
-        self.grams = _mapped(f"{folder}/{name}-gram.npy")
-        self.small = _mapped(f"{folder}/{name}-count.npy")
-        self.large = _mapped(f"{folder}/{name}-large.npy")
+        self.grams, self.small, self.large = _mapped(folder, name, "gram", "count", "large")
 
     def counts(self, at: np.ndarray, row: int | None = None) -> np.ndarray:
         """Counts at some places, of one row where each place has several."""
@@ -473,9 +490,8 @@ class _Contexts(_Table):
     """One shard's sorted contexts, and of each the numbers of the words that follow, in order, with their counts."""
 
     def __init__(self, folder: str, name: str):
-        self.keys, self.starts, self.words, self.small, self.large, self.wide = (
-            _mapped(f"{folder}/{name}-{part}.npy") for part in ("key", "start", "word", "count", "large", "wide")
-        )
+        parts = _mapped(folder, name, "key", "start", "word", "count", "large", "wide")
+        self.keys, self.starts, self.words, self.small, self.large, self.wide = parts
 
     def places(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of contexts the place in the order of keys, where their followers begin, and how many there are; 0 for unknown ones."""
@@ -495,9 +511,30 @@ class _Contexts(_Table):
         return np.where(self.words[low] == word, self.counts(low), 0)
 
 
-def _mapped(path: str) -> np.ndarray:
-    # A plain view: arrays of the mapped class take several times as long for each small lookup.
-    return np.load(path, mmap_mode="r").view(np.ndarray) if os.path.exists(path) else np.empty((0,))
+#: A map keeps its file open unless told otherwise, and a worker may only have so many files open.
+_UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+
+#: Files that a worker keeps mapped; a process may have 65530 maps, and by default often fewer open files.
+MOST_MAPS = 40_000 if _UNTRACKED else 4_000
+
+
+def _mapped(folder: str, name: str, *wanted: str) -> list[np.ndarray]:
+    """Arrays of a file, which is mapped once; empty ones where there is no file."""
+    try:
+        with open(f"{folder}/{name}.npy", "rb") as file:
+            held = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **_UNTRACKED)
+    except FileNotFoundError:
+        return [np.empty((0,)) for _ in wanted]
+    at = 10 + int.from_bytes(held[8:10], "little")  # where the header of the file ends
+    size = int.from_bytes(held[at : at + 8], "little")
+    table = json.loads(held[at + 8 : at + 8 + size])
+    at += 8 + size + -size % 8
+    found = {}
+    for key, kind, shape in table:
+        kind, n = np.dtype(kind), int(np.prod(shape))
+        found[key] = np.frombuffer(held, kind, n, at).reshape(shape)
+        at += n * kind.itemsize + -(n * kind.itemsize) % 8
+    return [found[key] for key in wanted]
 
 
 def _located(sorted_: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -531,7 +568,7 @@ class WordLookup:
     def _shard(self, s: int) -> tuple[_Table, np.ndarray]:
         if s not in self.shards:
             name = f"word-{s}"
-            self.shards[s] = _Table(self.words.folder, name), _mapped(f"{self.words.folder}/{name}-number.npy")
+            self.shards[s] = _Table(self.words.folder, name), *_mapped(self.words.folder, f"{name}-number", "number")
         return self.shards[s]
 
     def find(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -586,9 +623,12 @@ class Scorer:
         self.tables: dict[str, _Table | _Contexts] = {}
 
     def _table(self, name: str, kind: type = _Table) -> _Table | _Contexts:
-        if name not in self.tables:
-            self.tables[name] = kind(self.model.folder, name)
-        return self.tables[name]
+        found = self.tables.get(name)
+        if found is None:
+            found = kind(self.model.folder, name)
+            if len(self.tables) < MOST_MAPS:  # others are mapped for each chunk anew
+                self.tables[name] = found
+        return found
 
     def _unigrams(self, grams: np.ndarray, shard: np.ndarray) -> np.ndarray:
         found = np.zeros(len(grams), np.int64)
