@@ -130,3 +130,41 @@ def test_entry_gives_a_plain_session_the_method_limit(spark):
 def test_training_queries_extract_their_rows_once(spark, folder):
     result = catalog.queries()["fit_logistic"](spark, folder)
     assert result.inputFiles() and not [f for f in result.inputFiles() if "events.parquet" in f]
+
+
+def noisy_rows(spark, n):
+    return spark.range(0, n, 1, 2).selectExpr(
+        "CAST(id % 7 AS DOUBLE) AS a", "CAST(id * 37 % 11 AS DOUBLE) AS b", "CAST(pmod(hash(id, 1), 5) AS DOUBLE) AS c",
+        "CAST((id % 7 + id * 37 % 11 > 8) = (pmod(hash(id), 10) > 1) AS INT) AS label",
+    )
+
+
+def test_boosted_trees_are_fitted_to_summed_rows(spark, monkeypatch):
+    """As many as there are bins and labels that occur together, and the model is that of the single rows."""
+    from tidemill.operators import training as T
+
+    sizes, plain = [], T.GBTClassifier.fit
+    monkeypatch.setattr(T.GBTClassifier, "fit", lambda self, df, *args: sizes.append(df.count()) or plain(self, df, *args))
+    rows = noisy_rows(spark, 6000)
+    model = T.fit(rows, ["a", "b", "c"], "boosted_trees", maxIter=8, maxDepth=4)
+    assert len(sizes) == 1 and sizes[0] <= 2 * 7 * 11 * 5
+    single = T.as_doubles(rows, ["a", "b", "c", "label"])
+    direct = T.build_pipeline(["a", "b", "c"], T.estimator("boosted_trees", maxIter=8, maxDepth=4)).fit(single)
+    found, want = (
+        {r[:3]: r.probabilities[1] for r in T.score(m, rows, ["a", "b", "c"], ["a", "b", "c"]).distinct().collect()} for m in (model, direct)
+    )
+    assert len(found) == 385 and all(abs(found[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_bins_end_half_way_between_their_values(spark):
+    from tidemill.operators import binned
+
+    rows = spark.range(0, 5000, 1, 3).selectExpr("CAST(id * id AS DOUBLE) AS x", "CAST(id % 3 AS DOUBLE) AS y")
+    values = binned.bin_values(rows, ["x", "y"], 32)
+    assert len(values["x"]) == 32 and values["y"] == [0.0, 1.0, 2.0]
+    numbered = rows.select("x", "y", binned.bin_number(F.col("x"), values["x"]).alias("i"), binned.bin_number(F.col("y"), values["y"]).alias("j"))
+    for r in numbered.collect():
+        assert r.j == r.y and r.i == min(range(32), key=lambda i: (abs(values["x"][i] - r.x), i))
+    cells = binned.with_values(binned.cells(rows, {"x": values["x"]}, ["y"], F.lit(1.0)), {"x": values["x"]})
+    sums = cells.groupBy("x").agg(F.sum("_weight").alias("n")).collect()
+    assert sorted(r.x for r in sums) == values["x"] and sum(r.n for r in sums) == 5000 and max(r.n for r in sums) < 250

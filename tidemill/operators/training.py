@@ -21,7 +21,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import ranks
+from tidemill.operators import binned, ranks
 from tidemill.session import discard, materialize, work_path
 
 
@@ -130,17 +130,30 @@ TASK_ROWS = 100_000
 
 
 @contextmanager
-def training_table(df: DataFrame) -> Iterator[DataFrame]:
-    """The rows written once, as fits pass over them many times, and spread evenly over tasks."""
+def written_table(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows written once."""
     path = work_path(df.sparkSession, "training")
     kept = materialize(df, path)
-    parts = max(1, -(-kept.count() // TASK_ROWS))
     try:
-        yield kept.repartition(parts) if parts > 1 else kept
+        yield kept
     finally:
         discard(df.sparkSession, path)
 
 
+def even_tasks(kept: DataFrame, least: int = 1) -> DataFrame:
+    """Written rows spread evenly over tasks; no less than ``least`` where each has a tenth of the most rows."""
+    rows = kept.count()
+    parts = max(1, -(-rows // TASK_ROWS), min(least, 10 * rows // TASK_ROWS))
+    return kept.repartition(parts) if parts > 1 else kept
+
+
+@contextmanager
+def training_table(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows written once, as fits pass over them many times, and spread evenly over tasks."""
+    with written_table(df) as kept:
+        yield even_tasks(kept)
+
+
 def fit(
     df: DataFrame,
     columns: list[str],
@@ -152,13 +165,42 @@ def fit(
 ) -> PipelineModel:
     """Fit one of the model kinds on a training table."""
     rows = as_doubles(df, columns).select(*columns, *_named_columns(params), F.col(label).cast("double").alias(label))
-    with training_table(rows) as table:
+    with written_table(rows) as kept:
+        of_cells = kind == "boosted_trees" and task == "classification" and set(params) <= _OF_CELLS
+        table = kept if of_cells else even_tasks(kept)  # a few passes need not deal the rows anew
         if balanced:
             table = with_class_weights(table, label)
             params["weightCol"] = "weight"
+        if of_cells:
+            return _fit_boosted(table, columns, label, params)
         return build_pipeline(columns, estimator(kind, task, label, **params)).fit(table)
 
 
+#: Parameters of boosted trees that do not ask for single rows, as draws or counts of rows do.
+_OF_CELLS = {"maxIter", "maxDepth", "stepSize", "seed", "maxBins", "weightCol", "lossType"}
+
+#: MLlib looks for splits in as many rows as the square of ``maxBins``; the square of more is no integer there.
+_MOST_BINS = 46_340
+
+
+def _fit_boosted(table: DataFrame, columns: list[str], label: str, params: dict) -> PipelineModel:
+    """Boosted trees pass over the rows some hundred times, so they are fitted to rows of equal bins and label added up.
+
+    Trees see no more than bins of the features, and half way between the values that stand for two bins, where they
+    split, is where these end. The model is that of the single rows, each of which has the weight 1.
+    """
+    stages = build_pipeline(columns, estimator("boosted_trees", label=label, **params)).getStages()
+    head = Pipeline(stages=stages[:2]).fit(table)
+    weight = F.col(params["weightCol"]).cast("double") if params.get("weightCol") else F.lit(1.0)
+    values = binned.bin_values(table, columns, params.get("maxBins", 32))
+    with written_table(binned.cells(table, values, [label], weight)) as cells:
+        bins = max(len(v) for v in values.values())
+        model = stages[2].setWeightCol("_weight").setMaxBins(min(_MOST_BINS, max(2, bins, math.isqrt(cells.count()) + 1)))
+        spread = even_tasks(cells, table.sparkSession.sparkContext.defaultParallelism)
+        fitted = model.fit(head.transform(binned.with_values(spread, values)))
+    return PipelineModel(stages=[*head.stages, fitted])
+
+
 def _named_columns(params: dict) -> list[str]:
     """Further columns that an estimator is told to read."""
     return [value for name, value in params.items() if name.endswith("Col") and value]
