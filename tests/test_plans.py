@@ -168,3 +168,55 @@ def test_bins_end_half_way_between_their_values(spark):
     cells = binned.with_values(binned.cells(rows, {"x": values["x"]}, ["y"], F.lit(1.0)), {"x": values["x"]})
     sums = cells.groupBy("x").agg(F.sum("_weight").alias("n")).collect()
     assert sorted(r.x for r in sums) == values["x"] and sum(r.n for r in sums) == 5000 and max(r.n for r in sums) < 250
+
+
+def test_a_forest_holds_those_of_fewer_trees_and_levels():
+    import numpy as np
+
+    from tidemill.operators import binned
+
+    rng = np.random.default_rng(3)
+    bins, rows, held = rng.integers(0, 9, (400, 5)), rng.integers(0, 6, (400, 2)).astype(float), rng.integers(0, 9, (90, 5))
+    grown = [list(binned.grow(bins, rows, held, d, 2, np.random.default_rng(8))) for d in ([2, 6, 30], [6], [2])]
+    assert [len(x) for x in grown] == [3, 1, 1] and (grown[0][1] == grown[1][0]).all() and (grown[0][0] == grown[2][0]).all()
+    assert len(set(grown[2][0])) <= 4 < len(set(grown[0][2]))
+    score, own = rng.integers(0, 5, 90).astype(float), rng.integers(0, 4, (90, 2)).astype(float)
+    pairs = [(a > b) + (a == b) / 2 for a, n in zip(score, own[:, 1]) for b, m in zip(score, own[:, 0]) for _ in range(int(n * m))]
+    assert abs(binned.area(score, own) - np.mean(pairs)) < 1e-12
+
+
+def test_a_search_grows_shared_forests_as_good_as_single_ones(spark, monkeypatch):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator
+
+    from tidemill.operators import training as T
+
+    rows, columns = noisy_rows(spark, 3000), ["a", "b", "c"]
+    fits, plain = [], T.RandomForestClassifier.fit
+    monkeypatch.setattr(T.RandomForestClassifier, "fit", lambda self, *args: fits.append(1) or plain(self, *args))
+    found = T.tune(rows, columns, "random_forest", trials=4, folds=3)
+    assert len(fits) == 1 and len(found.avgMetrics) == 4
+    model = T.estimator("random_forest")
+    grid = T.search_grid("random_forest", model, 4)
+    assert found.bestModel.stages[-1].getNumTrees == max(zip(found.avgMetrics, [next(v for p, v in x.items() if p.name == "numTrees") for x in grid]))[1]
+    evaluator = BinaryClassificationEvaluator(labelCol="label")
+    single = CrossValidator(estimator=T.build_pipeline(columns, model), estimatorParamMaps=grid[:2], evaluator=evaluator, numFolds=3, seed=42)
+    want = single.fit(T.as_doubles(rows, [*columns, "label"])).avgMetrics
+    assert all(abs(a - b) < 0.02 for a, b in zip(found.avgMetrics, want)), (found.avgMetrics, want)
+
+
+def test_tune_searches_the_published_points_and_folds(spark, folder, monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemill.catalog import training as C
+
+    asked = []
+
+    def search(rows, columns, kind, **options):
+        asked.append((kind, options["trials"], options["folds"]))
+        return SimpleNamespace(avgMetrics=[0.7] * options["trials"])
+
+    monkeypatch.setattr(C.T, "tune", search)
+    found = catalog.queries()["tune"](spark, folder)
+    assert asked == [("random_forest", 20, 5)] and sorted(r.trial for r in found.collect()) == list(range(20))
+    assert "range(20)" in catalog.oracle_sql()["tune"]

@@ -17,7 +17,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -275,7 +275,12 @@ def tune(
     folds: int = 5,
     parallelism: int = 4,
 ):
-    """Cross-validated random search by area under the ROC curve."""
+    """Cross-validated random search by area under the ROC curve.
+
+    Forests of the folds are grown on rows of equal bins added up, and share trees (:func:`binned.search_forests`);
+    the best point is fitted to all rows by MLlib. Other kinds, and forests of too many different rows, are
+    searched by MLlib alone.
+    """
     model = estimator(kind, "classification", label)
     grid = search_grid(kind, model, trials)
     rows = as_doubles(df, columns).select(*columns, F.col(label).cast("double").alias(label))
@@ -287,8 +292,26 @@ def tune(
         seed=42,
         parallelism=parallelism,
     )
-    with training_table(rows) as table:
-        return validator.fit(table)
+    with written_table(rows) as kept:
+        found = _forest_areas(kept, columns, label, folds, grid) if kind == "random_forest" else None
+        table = even_tasks(kept)
+        if found is None:
+            return validator.fit(table)
+        means = found.mean(axis=1)
+        best = validator.getEstimator().fit(table, grid[int(means.argmax())])
+        return validator._copyValues(CrossValidatorModel(best, means.tolist(), [], found.std(axis=1).tolist()))
+
+
+def _forest_areas(table: DataFrame, columns: list[str], label: str, folds: int, grid: list[dict]):
+    """Areas of a grid of forests by point and fold; None where their rows are too many or no two classes."""
+    values = binned.bin_values(table, columns, 32)
+    dealt = table.withColumn("_fold", F.floor(F.rand(42) * folds).cast("int"))
+    path = work_path(table.sparkSession, "cells")
+    cells = materialize(binned.cells(dealt, values, [label, "_fold"], F.lit(1.0)), path)
+    try:
+        return binned.search_forests(cells, columns, label, "_fold", folds, [{k.name: v for k, v in p.items()} for p in grid])
+    finally:
+        discard(table.sparkSession, path)
 
 
 def fold_id(ids: list[str], folds: int, seed: int = 42) -> Column:
